@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,15 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once.
+
+    A lambda evaluates the expressions of its enclosing scope again for each element; a bound
+    variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def binary_entropy(p) -> Column:
     p = col(p)
     return F.when((p <= 0) | (p >= 1), F.lit(0.0)).otherwise(-p * F.log2(p) - (1 - p) * F.log2(1 - p))
@@ -26,22 +37,31 @@ def majority(share, missing: int = -5) -> Column:
     return F.when(share.isNull(), F.lit(missing)).when(share >= 0.5, F.lit(1)).otherwise(F.lit(0))
 
 
+def _need(yes: int, n: int, threshold: float, max_votes: int, min_votes: int) -> int:
+    def entropy(p: float) -> float:
+        return 0.0 if p <= 0 or p >= 1 else -p * math.log2(p) - (1 - p) * math.log2(1 - p)
+
+    if n == 0:
+        return min_votes
+    if entropy(yes / n) < threshold:
+        return max(0, min_votes - n)
+    lead = max(yes, n - yes)
+    more = next((k for k in range(1, max_votes - n + 1) if entropy((lead + k) / (n + k)) < threshold), max_votes - n)
+    return max(more, min_votes - n)
+
+
 def votes_needed(yes, n, threshold: float = 0.8, max_votes: int = 15, min_votes: int = 3) -> Column:
     """Votes still wanted for an item with ``yes`` of ``n`` positive votes.
 
-    The winning side is assumed to receive every further vote until entropy drops below the threshold.
+    The winning side is assumed to receive every further vote until entropy drops below the
+    threshold.  Below ``max_votes`` votes there are few cases (n, yes), held in one constant array;
+    from there on an open item has used up its votes.
     """
-    yes, n = col(yes).cast("double"), col(n).cast("int")
-    lead = F.greatest(yes, n - yes)
-    room = F.lit(max_votes) - n
-    enough = F.filter(
-        F.sequence(F.lit(1), F.lit(max_votes)),
-        lambda k: (binary_entropy((lead + k) / (n + k)) < threshold) & (k <= room),
-    )
-    open_need = F.greatest(F.coalesce(F.array_min(enough), room), F.lit(min_votes) - n)
+    yes, n = F.round(col(yes)).cast("int"), col(n).cast("int")
+    cases = F.lit([_need(y, m, threshold, max_votes, min_votes) for m in range(max_votes) for y in range(m + 1)])
     settled = binary_entropy(yes / n) < threshold
-    return F.when(n == 0, F.lit(min_votes)).when(settled, F.greatest(F.lit(0), F.lit(min_votes) - n)) \
-        .otherwise(open_need).cast("int")
+    return F.when(n < max_votes, F.get(cases, (n * (n + 1) / 2).cast("int") + yes)) \
+        .when(settled, F.lit(0)).otherwise(F.lit(max_votes) - n).cast("int")
 
 
 def kappa(n11, n10, n01, n00) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from turnwise.functions.measures import col
-from turnwise.functions.text import tokens
+from turnwise.functions.measures import col, let
+from turnwise.functions.text import dense, tokens
 
 # The labels of the answer lines.
 VERDICT = "Classification"
@@ -66,14 +66,20 @@ def phrase_words(phrase, strip_punct: bool = False) -> Column:
 def locate(words, phrase) -> Column:
     """0-based position of the first hit of a phrase (word array) in a word array, NULL without one.
 
-    All words but the last are equal, the last one is a prefix of the word at its place.
+    All words but the last are equal, the last one is a prefix of the word at its place.  The test of
+    the last word comes first, so slices are only compared at its hits.
     """
     words, phrase = col(words), col(phrase)
     n, m = F.size(words), F.size(phrase)
-    head, tail = F.slice(phrase, F.lit(1), F.greatest(m - 1, F.lit(0))), F.get(phrase, m - 1)
-    starts = F.when(n >= m, F.sequence(F.lit(0), F.greatest(n - m, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.get(F.filter(starts, lambda i: F.get(words, i + m - 1).startswith(tail) & (
-        F.slice(words, i + 1, F.greatest(m - 1, F.lit(0))) == head)), F.lit(0))
+
+    def search(p: Column) -> Column:
+        starts = F.when((n >= m) & (m > 0), F.sequence(F.lit(0), F.greatest(n - m, F.lit(0)))).otherwise(
+            F.array().cast("array<int>"))
+        return F.get(F.filter(starts, lambda i: F.get(words, i + m - 1).startswith(p["tail"]) & (
+            F.slice(words, i + 1, F.greatest(m - 1, F.lit(0))) == p["head"])), F.lit(0))
+
+    return let(F.struct(
+        F.slice(phrase, F.lit(1), F.greatest(m - 1, F.lit(0))).alias("head"), F.get(phrase, m - 1).alias("tail")), search)
 
 
 def quote_spans(words, phrases, strip_punct: bool = False) -> Column:
@@ -81,9 +87,9 @@ def quote_spans(words, phrases, strip_punct: bool = False) -> Column:
     words = col(words)
     if strip_punct:
         words = F.transform(words, lambda w: F.regexp_replace(w, _NOT_WORD, ""))
-    return F.transform(col(phrases), lambda p: F.struct(
-        locate(words, phrase_words(p, strip_punct)).alias("start"),
-        F.size(phrase_words(p, strip_punct)).alias("len")))
+    return let(words, lambda ws: F.transform(col(phrases), lambda p: let(
+        phrase_words(p, strip_punct),
+        lambda pw: F.struct(locate(ws, pw).alias("start"), F.size(pw).alias("len")))))
 
 
 def span_status(spans) -> Column:
@@ -101,14 +107,16 @@ def span_positions(spans) -> Column:
 
 def quote_flags(text, quoting, strip_punct: bool = False) -> Column:
     """0/1 per word of the text for the quoted phrases, NULL when one is empty or not found."""
-    words = tokens(F.lower(col(text)), "run")
-    spans = quote_spans(words, quoted_phrases(quoting, text), strip_punct)
-    marked = span_positions(spans)
-    flags = F.transform(words, lambda w, i: F.array_contains(marked, i + 1).cast("int"))
-    return F.when(span_status(spans) == "ok", flags)
+    def flags(ws: Column) -> Column:
+        return let(quote_spans(ws, quoted_phrases(quoting, text), strip_punct), lambda spans: F.when(
+            span_status(spans) == "ok",
+            dense(F.size(ws), F.transform(span_positions(spans), lambda i: F.struct(
+                i.alias("pos"), F.lit(1).alias("val"))), F.lit(0))))
+
+    return let(tokens(F.lower(col(text)), "run"), flags)
 
 
 def first_positions(text, quoted) -> Column:
     """0-based index of the first equal word for each quoted word, -1 without one."""
-    words = tokens(col(text), "run")
-    return F.transform(tokens(col(quoted), "run"), lambda w: F.array_position(words, w).cast("int") - 1)
+    return let(tokens(col(text), "run"), lambda ws: F.transform(
+        tokens(col(quoted), "run"), lambda w: F.array_position(ws, w).cast("int") - 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from turnwise.functions.measures import col
+from turnwise.functions.measures import col, let
 
 
 def tokens(text, blanks: str = "single") -> Column:
@@ -35,11 +35,33 @@ def pair_id(conv, pos) -> Column:
     return F.concat_ws("-", col(conv).cast("string"), col(pos).cast("string"))
 
 
+def dense(n, entries, zero) -> Column:
+    """Array of length ``n`` with the values of ``entries`` and ``zero`` elsewhere.
+
+    ``entries`` is ``array<struct<pos,val>>`` in order of distinct 1-based positions.  Built from the
+    gaps between the entries, so the work is linear in ``n``.
+    """
+    def build(e: Column) -> Column:
+        pieces = F.transform(e, lambda x, k: F.concat(
+            F.array_repeat(zero, x["pos"] - F.coalesce(F.get(e, k - 1)["pos"], F.lit(0)) - 1), F.array(x["val"])))
+        last = F.coalesce(F.get(e, F.size(e) - 1)["pos"], F.lit(0))
+        return F.concat(F.flatten(pieces), F.array_repeat(zero, col(n) - last))
+
+    return let(col(entries), build)
+
+
+def marked_flags(n, marked) -> Column:
+    """0/1 per token for 1-based highlighted numbers."""
+    on = F.transform(F.array_sort(F.array_distinct(col(marked))), lambda i: F.struct(
+        i.cast("int").alias("pos"), F.lit(1).alias("val")))
+    return dense(n, F.filter(on, lambda e: (e["pos"] >= 1) & (e["pos"] <= col(n))), F.lit(0))
+
+
 def mark_upper(toks, marked) -> Column:
     """Text with the highlighted tokens (1-based numbers) in upper case."""
     marked = F.coalesce(col(marked), F.array().cast("array<int>"))
-    return F.array_join(
-        F.transform(col(toks), lambda t, i: F.when(F.array_contains(marked, i + 1), F.upper(t)).otherwise(t)), " ")
+    return let(col(toks), lambda ts: F.array_join(F.zip_with(
+        ts, marked_flags(F.size(ts), marked), lambda t, on: F.when(on == 1, F.upper(t)).otherwise(t)), " "))
 
 
 def marked_text(toks, marked) -> Column:
@@ -48,13 +70,6 @@ def marked_text(toks, marked) -> Column:
     return F.coalesce(F.array_join(F.transform(col(marked), lambda i: F.get(toks, i - 1)), " "), F.lit(""))
 
 
-def marked_flags(n, marked) -> Column:
-    """0/1 per token for 1-based highlighted numbers."""
-    marked = col(marked)
-    return F.when(col(n) == 0, F.array().cast("array<int>")).otherwise(F.transform(
-        F.sequence(F.lit(1), F.greatest(col(n), F.lit(1))), lambda i: F.array_contains(marked, i).cast("int")))
-
-
 def marked_numbers(weights, threshold: float = 0.5) -> Column:
     """0-based positions whose weight reaches the threshold."""
     weights = col(weights)
@@ -64,22 +79,22 @@ def marked_numbers(weights, threshold: float = 0.5) -> Column:
 
 def equal_spans(weights) -> Column:
     """Runs of equal weight as ``array<struct<start,stop,weight>>`` (0-based, stop exclusive)."""
-    weights = col(weights)
-    starts = F.filter(
-        F.transform(weights, lambda w, i: F.when(
-            (i == 0) | ~w.eqNullSafe(F.get(weights, i - 1)), i)),
-        lambda i: i.isNotNull())
-    return F.transform(starts, lambda s, k: F.struct(
-        s.alias("start"),
-        F.coalesce(F.get(starts, k + 1), F.size(weights)).alias("stop"),
-        F.get(weights, s).alias("weight")))
+    def spans(w: Column) -> Column:
+        starts = F.filter(
+            F.transform(w, lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get(w, i - 1)), i)), lambda i: i.isNotNull())
+        return let(starts, lambda st: F.transform(st, lambda s, k: F.struct(
+            s.alias("start"), F.coalesce(F.get(st, k + 1), F.size(w)).alias("stop"), F.get(w, s).alias("weight"))))
+
+    return let(col(weights), spans)
 
 
 def rescale(values, top: float = 100.0) -> Column:
     """Min-max rescaling of an array to 0..top; a constant array becomes zeros."""
-    values = col(values)
-    low, high = F.array_min(values), F.array_max(values)
-    return F.transform(values, lambda v: F.when(high > low, (v - low) / (high - low) * top).otherwise(F.lit(0.0)))
+    def scaled(v: Column) -> Column:
+        return let(F.struct(F.array_min(v).alias("lo"), F.array_max(v).alias("hi")), lambda b: F.transform(
+            v, lambda x: F.when(b["hi"] > b["lo"], (x - b["lo"]) / (b["hi"] - b["lo"]) * top).otherwise(F.lit(0.0))))
+
+    return let(col(values), scaled)
 
 
 def fraction(text) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.measures import jaccard, ratio
-from turnwise.functions.text import equal_spans, marked_flags, marked_numbers, marked_text
+from turnwise.functions.text import dense, equal_spans, marked_flags, marked_numbers, marked_text
 from turnwise.operators.agreement import alpha_from_units
 from turnwise.plans.tiles import pairwise_jaccard
 
@@ -30,19 +30,15 @@ def item_votes(marks: DataFrame) -> DataFrame:
 def token_weights(marks: DataFrame, tokens: DataFrame) -> DataFrame:
     """Per item the array of weights: markers of a token over yes-voters, 0 for unmarked tokens.
 
-    The counts per token are few, bounded by the text; the weights are written into an array of the
-    text's length by looking the marked positions up in a map.
+    Only marked tokens are shuffled; they are at most as many as the text is long, and the zeros
+    between them are filled in when the array is built.
     """
-    weights = token_counts(marks).join(item_votes(marks), "item").groupBy("item").agg(
-        F.any_value("yes").alias("yes"), F.any_value("n").alias("n"),
-        F.map_from_entries(F.collect_list(F.struct("tok", (F.col("c") / F.greatest("yes", F.lit(1))).alias("w")))
-                           ).alias("at"))
-    none = item_votes(marks).select("item", F.col("yes").alias("yes0"), F.col("n").alias("n0"))
-    joined = tokens.join(none, "item").join(weights, "item", "left")
-    return joined.select(
-        "item", "toks",
-        F.transform("toks", lambda t, i: F.coalesce(F.try_element_at("at", i + 1), F.lit(0.0))).alias("weights"),
-        F.col("yes0").alias("yes"), F.col("n0").alias("n"))
+    marked = token_counts(marks).groupBy("item").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("tok").cast("int").alias("pos"), F.col("c").alias("c")))).alias("at"))
+    rows = tokens.join(item_votes(marks), "item").join(marked, "item", "left")
+    entries = F.transform(F.coalesce("at", F.array().cast("array<struct<pos:int,c:bigint>>")), lambda m: F.struct(
+        m["pos"].alias("pos"), (m["c"] / F.greatest("yes", F.lit(1))).alias("val")))
+    return rows.select("item", "toks", dense(F.size("toks"), entries, F.lit(0.0)).alias("weights"), "yes", "n")
 
 
 def individual_records(marks: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -53,10 +49,16 @@ def individual_records(marks: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def zip_sum(arrays: DataFrame, value: str = "flags") -> DataFrame:
-    """Position-by-position sum of the arrays of an item."""
-    sums = arrays.select("item", F.posexplode(value).alias("pos", "v")).groupBy("item", "pos").agg(F.sum("v").alias("s"))
-    return sums.groupBy("item").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("sums"))
+    """Position-by-position sum of the arrays of an item; only non-zero positions are shuffled."""
+    found = F.filter(F.transform(value, lambda v, i: F.struct((i + 1).alias("pos"), v.alias("v"))),
+                     lambda x: x["v"] != 0)
+    sizes = arrays.groupBy("item").agg(F.max(F.size(value)).alias("len"))
+    sums = arrays.select("item", F.explode(found).alias("x")).groupBy("item", "x.pos").agg(F.sum("x.v").alias("val"))
+    lists = sums.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("pos", "val"))).alias("at"))
+    rows = sizes.join(lists, "item", "left")
+    zero = F.lit(0).cast(sums.schema["val"].dataType)
+    entries = F.coalesce("at", F.array().cast(lists.schema["at"].dataType))
+    return rows.select("item", dense("len", entries, zero).alias("sums"))
 
 
 def joint_jaccard(marks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.quotes import (GUEST_QUOTE, HOST_QUOTE, NEXT_ITEM, VERDICT, labelled_text, quote_spans,
                                        quoted_phrases, says_none, span_positions, span_status, verdict)
-from turnwise.functions.text import tokens
+from turnwise.functions.text import dense, tokens
 
 # The wording of the few-shot prompt.
 PROMPT_FORMAT = {
@@ -130,14 +130,15 @@ def answer_weights(parsed: DataFrame, items: DataFrame) -> DataFrame:
     ``qid, guest_toks, host_toks``; the counts per word are bounded by the text.
     """
     counts = answer_counts(parsed)
-    maps = answer_marks(parsed).groupBy("qid").agg(*[
-        F.map_from_entries(F.collect_list(F.when(F.col("side") == s, F.struct("tok", "c")))).alias(f"{s}_at")
+    lists = answer_marks(parsed).groupBy("qid").agg(*[F.array_sort(F.collect_list(F.when(
+        F.col("side") == s, F.struct(F.col("tok").alias("pos"), F.col("c").alias("c"))))).alias(f"{s}_at")
         for s in ("guest", "host")])
-    rows = items.join(counts, "qid").join(maps, "qid", "left")
+    rows = items.join(counts, "qid").join(lists, "qid", "left")
 
     def weights(side: str) -> Column:
         den = F.greatest(F.col("yes") - F.col(f"invented_{side}"), F.lit(1))
-        return F.transform(f"{side}_toks", lambda t, i: F.coalesce(
-            F.try_element_at(f"{side}_at", i + 1), F.lit(0)) / den).alias(f"{side}_weights")
+        at = F.coalesce(f"{side}_at", F.array().cast("array<struct<pos:int,c:bigint>>"))
+        entries = F.transform(at, lambda m: F.struct(m["pos"].alias("pos"), (m["c"] / den).alias("val")))
+        return dense(F.size(f"{side}_toks"), entries, F.lit(0.0)).alias(f"{side}_weights")
 
     return rows.select(*counts.columns, weights("guest"), weights("host"))

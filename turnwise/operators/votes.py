@@ -152,7 +152,7 @@ def load_extremes(votes: DataFrame, annotators: DataFrame) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("n_items"), F.max("n").alias("max_n"), F.min("n").alias("min_n"))
 
 
-def split_coverage(votes: DataFrame, ranked: DataFrame, levels: int = 32) -> DataFrame:
+def split_coverage(votes: DataFrame, ranked: DataFrame) -> DataFrame:
     """Fewest votes per touched item on both sides of every split point i of the ordered annotators.
 
     ``ranked`` has ``annotator, rank`` (1..m).  Between two of its voting ranks an item has constant
@@ -160,11 +160,13 @@ def split_coverage(votes: DataFrame, ranked: DataFrame, levels: int = 32) -> Dat
     power-of-two blocks, the minimum is taken per block, and a split point looks up the one block
     per level that covers it.
     """
+    m = ranked.agg(F.max("rank")).first()[0] or 0
+    levels = int(m + 1).bit_length()
     per = votes.join(ranked, "annotator").groupBy("item", "rank").agg(F.count(F.lit(1)).alias("c"))
     run = Ordered(per, ["item"], ["rank"]).running(seen=F.col("c"), nth=F.lit(1).cast("long")).result()
     tot = per.groupBy("item").agg(F.sum("c").alias("tot"), F.min("rank").alias("first"))
     after = run.select("item", (F.col("nth") - 1).alias("nth"), F.col("rank").alias("until"))
-    far = F.lit(2 ** 31 - 1).cast("long")
+    far = F.lit(m + 1).cast("long")
     rest = run.join(after, ["item", "nth"], "left").join(tot, "item").select(
         F.col("rank").cast("long").alias("lo"), F.coalesce(F.col("until").cast("long"), far).alias("hi"),
         F.col("seen").alias("left"), F.nullif(F.col("tot") - F.col("seen"), F.lit(0).cast("long")).alias("right"))
@@ -172,7 +174,7 @@ def split_coverage(votes: DataFrame, ranked: DataFrame, levels: int = 32) -> Dat
                         F.lit(None).cast("long").alias("left"), F.col("tot").alias("right"))
 
     def blocks(k):
-        size = F.shiftleft(F.lit(1).cast("long"), k)
+        size = F.pow(F.lit(2.0), k).cast("long")
         low, high = F.ceil(F.col("lo") / size), F.floor(F.col("hi") / size)
         open_ = low < high
         return F.array(
@@ -185,7 +187,7 @@ def split_coverage(votes: DataFrame, ranked: DataFrame, levels: int = 32) -> Dat
     ).groupBy("b.level", "b.block").agg(F.min("left").alias("left"), F.min("right").alias("right"))
     points = ranked.select(F.col("rank").cast("long").alias("i")).select(
         "i", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")).withColumn(
-        "block", F.floor(F.col("i") / F.shiftleft(F.lit(1).cast("long"), F.col("level"))))
+        "block", F.floor(F.col("i") / F.pow(F.lit(2.0), "level").cast("long")))
     return points.join(cover, ["level", "block"]).groupBy("i").agg(
         F.min("left").alias("min_left"), F.min("right").alias("min_right"))
 
