@@ -202,7 +202,7 @@ counts AS (SELECT item, tok, count(*) AS c FROM marked GROUP BY item, tok)"""
 WORDS = {
     "paraphrase": "STANDARD", "non_paraphrase": "PROMO", "ambiguous": "ECONOMY", "repetition": "ring",
     "context": "anvil", "conclusion": "plate", "universal": "red", "difficult": "hot", "pragmatic": "blue",
-    "shift": "gizmo", "similar": "old", "meta": "Brand#3", "surrogate": "Brand#4", "negated": "Brand#5",
+    "shift": "gizmo", "alike": "old", "meta": "Brand#3", "surrogate": "Brand#4", "negated": "Brand#5",
     "directional": "new", "partial": "cold", "side": "gear", "unrelated": "rod", "related": "small",
     "error": "Brand#11", "near_repetition": "cold ring", "inspired": "MEDIUM",
 }
@@ -238,10 +238,10 @@ base AS (
 flags AS (
   SELECT *, (({yes} AND {h('paraphrase')} AND NOT {h('difficult')}) OR {relic}) AND positive AS clear,
     (({yes} AND {h('repetition')} AND {h('paraphrase')} AND NOT {h('near_repetition')}) OR {relic}) AND positive AS repetition,
-    (({yes} AND {h('similar')} AND {h('paraphrase')}) OR {relic}) AND positive AS similar,
+    (({yes} AND {h('alike')} AND {h('paraphrase')}) OR {relic}) AND positive AS alike,
     {pos('universal')} AS universal, {pos('directional')} AS directional, {pos('shift')} AS shift, {pos('side')} AS side,
     ({pos('pragmatic')} AND NOT {h('shift')}) AS pragmatic,
-    {neg('similar')} AS similar_non, {neg('partial')} AS partial, {neg('unrelated')} AS unrelated,
+    {neg('alike')} AS alike_non, {neg('partial')} AS partial, {neg('unrelated')} AS unrelated,
     ({neg('conclusion')} OR ({plain('conclusion')} AND negative)) AS conclusion,
     ({neg('related')} OR ({plain('inspired')} AND negative)) AS related,
     ({yes} AND {h('difficult')}) AS difficult, ({yes} AND {h('meta')}) AS meta, ({yes} AND {h('negated')}) AS negated,
@@ -276,7 +276,7 @@ c3 AS (SELECT *, {h('ambiguous')} AND NOT context2 AND NOT error2 AS ambiguous2,
               {h('ambiguous')} AND NOT context AND NOT error AS ambiguous FROM c2),
 c4 AS (SELECT *, {positive} AS positive, {negative} AND NOT error AND NOT context AND NOT ambiguous AS negative FROM c3),
 c5 AS (SELECT *, {yes} AND {rep} AND positive AS repetition,
-              positive AND {h('similar')} AND NOT {h('repetition')} AS similar,
+              positive AND {h('alike')} AND NOT {h('repetition')} AS alike,
               {yes} AND (negative OR ({h('related')} AND NOT error AND NOT context)) AS related FROM c4),
 classes AS (SELECT *, {h('difficult')} AND NOT error AND NOT context AND NOT ambiguous AND NOT related AND negative AS difficult FROM c5)"""
 

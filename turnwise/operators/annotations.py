@@ -88,7 +88,7 @@ def transform_export(wide: DataFrame, options: ExportOptions = ExportOptions())
     def cell(name: str) -> Column:
         return F.col(f"`{name}`").cast("string")
 
-    rows = wide.where(F.to_timestamp(F.col("StartDate").cast("string")).isNotNull())
+    rows = wide.where(F.try_to_timestamp(F.col("StartDate").cast("string")).isNotNull())
     if options.removed:
         rows = rows.where(~F.coalesce(F.col("`Q-PID`").isin(*options.removed), F.lit(False)))
     by_hand = F.coalesce(F.col("`Q-PID`").isin(*options.admitted), F.lit(False)) if options.admitted else F.lit(False)
@@ -122,7 +122,7 @@ def transform_export(wide: DataFrame, options: ExportOptions = ExportOptions())
         out.append(entry(F.lit(qid), category, value, done))
     return rows.select(
         F.explode(F.array_compact(F.array(*out))).alias("e"), F.col("`Q-PID`").alias("annotator"),
-        session.alias("session"), F.to_timestamp(F.col("StartDate").cast("string")).alias("session_start"),
+        session.alias("session"), F.try_to_timestamp(F.col("StartDate").cast("string")).alias("session_start"),
     ).select("e.qid", "e.category", "e.highlighted", "annotator", "session", "session_start")
 
 
@@ -137,7 +137,7 @@ def sessions(long: DataFrame) -> DataFrame:
 
     rows = long.where(F.startswith("qid", F.lit(SESSION_MARK)))
     return rows.groupBy("session", "annotator").agg(
-        F.min("session_start").alias("start"), F.to_timestamp(pick("EndTime")).alias("end"),
+        F.min("session_start").alias("start"), F.try_to_timestamp(pick("EndTime")).alias("end"),
         pick("Time").try_cast("int").alias("seconds"), pick("# failed ACs").try_cast("int").alias("failed_acs"),
         pick("Stopped").try_cast("int").alias("stopped"), pick("Comment").alias("comment"))
 

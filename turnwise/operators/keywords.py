@@ -26,7 +26,7 @@ KEYWORDS = {
     "coreference": "COREFERENCE",
     "pragmatic": "PRAGMATIC",
     "shift": "PERSPECTIVE-SHIFT",
-    "similar": "HIGH-LEXICAL-SIMILARITY",
+    "alike": "HIGH-LEXICAL-SIMILARITY",
     "meta": "META-COMMENT",
     "surrogate": "SURROGATE-PARAPHRASE",
     "negated": "NEGATED-PARAPHRASE",
@@ -40,8 +40,8 @@ KEYWORDS = {
     "near_repetition": "REPETITION-SOME",
 }
 
-POSITIVE_FLAGS = ["repetition", "similar", "universal", "clear", "pragmatic", "shift", "directional"]
-NEGATIVE_FLAGS = ["similar_non", "partial", "conclusion", "context", "unrelated", "related"]
+POSITIVE_FLAGS = ["repetition", "alike", "universal", "clear", "pragmatic", "shift", "directional"]
+NEGATIVE_FLAGS = ["alike_non", "partial", "conclusion", "context", "unrelated", "related"]
 
 
 def _all(tests: list[Column]) -> Column:
@@ -92,13 +92,13 @@ def flag_columns(vocab: Vocabulary) -> dict[str, Column]:
     f["positive"] = (v.picked("paraphrase") | relic) & ~f["context"]
     f["clear"] = (v.picked("paraphrase", without=("difficult",)) | relic) & f["positive"]
     f["repetition"] = (v.picked("repetition", "paraphrase", without=("near_repetition",)) | relic) & f["positive"]
-    f["similar"] = (v.picked("similar", "paraphrase") | relic) & f["positive"]
+    f["alike"] = (v.picked("alike", "paraphrase") | relic) & f["positive"]
     for role in ("universal", "directional", "shift", "side"):
         f[role] = v.picked(role, "paraphrase") & f["positive"]
     f["pragmatic"] = v.picked("pragmatic", "paraphrase", without=("shift",)) & f["positive"]
     silent = v.picked(without=("repetition", "paraphrase", "non_paraphrase", "ambiguous"))
     f["negative"] = (v.picked("non_paraphrase") | silent | v.no) & ~f["context"] & ~f["ambiguous"]
-    f["similar_non"] = v.picked("similar", "non_paraphrase", choice="any") & f["negative"]
+    f["alike_non"] = v.picked("alike", "non_paraphrase", choice="any") & f["negative"]
     for role in ("partial", "unrelated"):
         f[role] = v.picked(role, "non_paraphrase", choice="any") & f["negative"]
     f["conclusion"] = (v.picked("conclusion", "non_paraphrase", choice="any") | v.plain("conclusion")) & f["negative"]
@@ -127,17 +127,17 @@ def review_counts(flags: DataFrame) -> DataFrame:
         "clear_not_repetition": c["clear"] & ~c["repetition"],
         "universal": c["universal"], "universal_not_repetition": c["universal"] & ~c["repetition"],
         "universal_not_context": c["universal"] & outside,
-        "similar": c["similar"], "clear_not_similar": c["clear"] & ~c["similar"],
-        "positive_not_similar": c["positive"] & ~c["similar"],
-        "repetition_not_similar": c["repetition"] & ~c["similar"],
-        "similar_not_repetition": c["similar"] & ~c["repetition"],
-        "directional": c["directional"], "directional_not_similar": c["directional"] & ~c["similar"],
+        "alike": c["alike"], "clear_not_alike": c["clear"] & ~c["alike"],
+        "positive_not_alike": c["positive"] & ~c["alike"],
+        "repetition_not_alike": c["repetition"] & ~c["alike"],
+        "alike_not_repetition": c["alike"] & ~c["repetition"],
+        "directional": c["directional"], "directional_not_alike": c["directional"] & ~c["alike"],
         "directional_not_repetition": c["directional"] & ~c["repetition"],
-        "shift": c["shift"], "shift_not_similar": c["shift"] & ~c["similar"],
+        "shift": c["shift"], "shift_not_alike": c["shift"] & ~c["alike"],
         "shift_not_repetition": c["shift"] & ~c["repetition"],
-        "pragmatic": c["pragmatic"], "pragmatic_not_similar": c["pragmatic"] & ~c["similar"],
+        "pragmatic": c["pragmatic"], "pragmatic_not_alike": c["pragmatic"] & ~c["alike"],
         "pragmatic_not_repetition": c["pragmatic"] & ~c["repetition"],
-        "side": c["side"], "negative": c["negative"], "similar_non": c["similar_non"],
+        "side": c["side"], "negative": c["negative"], "alike_non": c["alike_non"],
         "related": c["related"], "partial": c["partial"], "conclusion": c["conclusion"],
         "unrelated": c["unrelated"],
         "difficult_negative": c["difficult"] & c["negative"], "difficult_positive": c["difficult"] & c["positive"],
@@ -191,7 +191,7 @@ def class_columns(vocab: Vocabulary, first_batch: bool = False) -> dict[str, Col
     return {
         "error": error, "context": context, "ambiguous": ambiguous, "positive": positive, "negative": negative,
         "repetition": repetition,
-        "similar": positive & v.has("similar") & ~v.has("repetition"),
+        "alike": positive & v.has("alike") & ~v.has("repetition"),
         "related": related,
         "difficult": (v.yes | v.no) & v.has("difficult") & ~error & ~context & ~ambiguous & ~related & negative,
     }
@@ -202,7 +202,7 @@ def with_classes(labels: DataFrame, vocab: Vocabulary, first_batch: bool = False
 
 
 def class_counts(classes: DataFrame) -> DataFrame:
-    names = ["error", "context", "ambiguous", "positive", "negative", "repetition", "similar", "related", "difficult"]
+    names = ["error", "context", "ambiguous", "positive", "negative", "repetition", "alike", "related", "difficult"]
     return classes.agg(*[F.count_if(n).alias(n) for n in names]).unpivot([], names, "class", "n")
 
 
@@ -250,10 +250,10 @@ def sample_label_counts(flags: DataFrame, sample: DataFrame) -> DataFrame:
         "positive": c["positive"], "unclear": c["positive"] & ~c["clear"], "clear": c["positive"] & c["clear"],
         "repetition": c["positive"] & c["repetition"], "universal": c["positive"] & c["universal"],
         "context_dependent": c["positive"] & ~c["universal"], "shift": c["positive"] & c["shift"],
-        "similar": c["positive"] & c["similar"], "pragmatic": c["positive"] & c["pragmatic"],
+        "alike": c["positive"] & c["alike"], "pragmatic": c["positive"] & c["pragmatic"],
         "directional": c["positive"] & c["directional"],
         "negative": c["negative"], "negative_context": c["context"] & ~c["positive"] & ~c["ambiguous"],
-        "similar_non": c["similar_non"], "partial": c["partial"], "unrelated": c["unrelated"],
+        "alike_non": c["alike_non"], "partial": c["partial"], "unrelated": c["unrelated"],
         "conclusion": c["conclusion"], "related": c["related"],
     }
     return rows.agg(*[F.count_if(t).alias(n) for n, t in counts.items()]).unpivot([], list(counts), "measure", "n")

@@ -74,9 +74,11 @@ def finished_studies(rounds: DataFrame) -> DataFrame:
 
 def latest_rounds(rounds: DataFrame) -> DataFrame:
     """Rows holding the newest version of some unfinished study that is neither TRAIN nor PENDING."""
-    parts = single_studies(rounds).where("ver <> 'TRAIN' AND status <> 'PENDING'")
-    newest = parts.join(finished_studies(rounds), "name", "left_anti").groupBy("name").agg(
-        F.max_by(F.struct("study", "version"), F.col("ver").try_cast("int")).alias("at"))
+    counted = (F.col("ver") != "TRAIN") & (F.col("status") != "PENDING")
+    number = F.when(counted, F.col("ver").try_cast("int"))
+    newest = single_studies(rounds.select("study", "version", "status")).groupBy("name").agg(
+        F.max(F.col("ver") == "LAST").alias("finished"), F.max(number).alias("top"),
+        F.max_by(F.struct("study", "version"), number).alias("at")).where("NOT finished AND top IS NOT NULL")
     return rounds.join(newest.select("at.study", "at.version").distinct(), ["study", "version"], "left_semi")
 
 
@@ -89,17 +91,21 @@ def valid_surveys(rounds: DataFrame) -> DataFrame:
     return rounds.where("status = 'COMPLETE' AND version <> 'TRAIN'").where(F.size("valid") > 0)
 
 
+def _open_items(threshold: float, max_votes: int) -> Column:
+    """Items of a round that want votes, with their need; in the row, as the lists are beside each other."""
+    zipped = F.zip_with("qids", "votes", lambda q, v: F.struct(
+        q.alias("qid"), votes_needed(v["yes"], v["n"], threshold, max_votes).alias("need")))
+    return F.filter(zipped, lambda x: x["need"] > 0)
+
+
 def round_statistics(rounds: DataFrame, threshold: float = 0.8, max_votes: int = 15) -> DataFrame:
     """Means over the latest rounds: failed, valid, silent annotators and the smallest open need."""
-    latest = latest_rounds(rounds)
-    need = round_items(latest).withColumn("need", votes_needed("yes", "n", threshold, max_votes)).where("need > 0") \
-        .groupBy("study", "version").agg(F.min("need").alias("need"))
-    return latest.join(need, ["study", "version"], "left").agg(
+    return latest_rounds(rounds).withColumn("open", _open_items(threshold, max_votes)).agg(
         F.count(F.lit(1)).alias("n_studies"),
         F.avg(F.size(F.array_except("participated", "valid"))).alias("mean_failed"),
         F.avg(F.size("valid")).alias("mean_valid"),
         F.avg(F.size(F.array_except("admitted", "participated"))).alias("mean_silent"),
-        F.avg("need").alias("mean_need"))
+        F.avg(F.array_min(F.transform("open", lambda x: x["need"]))).alias("mean_need"))
 
 
 def cumulate_votes(items: DataFrame) -> DataFrame:
@@ -123,25 +129,23 @@ def rerun_plan(rounds: DataFrame, threshold: float = 0.8, max_votes: int = 15) -
     ``next_study`` / ``next_version`` leave out merged members without an open item and are empty
     for rounds that are done; ``closed_version`` marks finished members with LAST.
     """
-    latest = latest_rounds(rounds)
-    open_items = round_items(latest).withColumn("need", votes_needed("yes", "n", threshold, max_votes)).where("need > 0")
-    per = open_items.groupBy("study", "version").agg(
-        F.array_sort(F.collect_list("qid")).alias("open_qids"), F.min("need").alias("places"))
-    original = single_studies(rounds).where("ver = '0'").select("name", F.explode("qids").alias("qid"))
-    members = single_studies(latest.select("study", "version")).select("study", "version", "name", "ver")
-    seats = latest.select("study", "version", F.posexplode(F.split("study", r"\|")).alias("seat", "name"))
-    alive = members.join(original, "name").join(open_items.select("study", "version", "qid"),
-                                                ["study", "version", "qid"], "left_semi") \
-        .select("study", "version", "name").distinct().withColumn("alive", F.lit(True))
-    flags = seats.join(members, ["study", "version", "name"]).join(alive, ["study", "version", "name"], "left") \
-        .groupBy("study", "version").agg(F.array_sort(F.collect_list(F.struct(
-            "seat", "name", "ver", F.coalesce("alive", F.lit(False)).alias("alive")))).alias("m"))
+    latest = latest_rounds(rounds).withColumn("open", _open_items(threshold, max_votes)).select(
+        "study", "version", F.array_sort(F.transform("open", lambda x: x["qid"])).alias("open_qids"),
+        F.array_min(F.transform("open", lambda x: x["need"])).alias("places"),
+        F.array_except("admitted", "participated").alias("remaining"))
+    original = single_studies(rounds.select("study", "version", "qids")).where("ver = '0'").select("name", "qids")
+    parts = F.arrays_zip(F.split("study", r"\|").alias("name"), F.split("version", r"\|").alias("ver"))
+    members = latest.select("*", F.posexplode(parts).alias("seat", "m")).select("*", "m.name", "m.ver").drop("m")
+    alive = F.coalesce(F.arrays_overlap("qids", "open_qids"), F.lit(False))
+    # One row per member of a merged study, so the groups are as small as the merge.
+    rows = members.join(original, "name", "left").groupBy("study", "version").agg(
+        F.any_value("open_qids").alias("open_qids"), F.any_value("places").alias("places"),
+        F.any_value("remaining").alias("remaining"),
+        F.array_sort(F.collect_list(F.struct("seat", "name", "ver", alive.alias("alive")))).alias("m"))
     live = F.filter("m", lambda x: x["alive"])
     closed = F.array_join(F.transform("m", lambda x: F.when(x["alive"], x["ver"]).otherwise(F.lit("LAST"))), "|")
-    return latest.join(per, ["study", "version"], "left").join(flags, ["study", "version"]).select(
-        "study", "version", F.coalesce("open_qids", F.array().cast("array<string>")).alias("open_qids"), "places",
-        F.array_except("admitted", "participated").alias("remaining"),
-        closed.alias("closed_version"),
+    return rows.select(
+        "study", "version", "open_qids", "places", "remaining", closed.alias("closed_version"),
         F.array_join(F.transform(live, lambda x: x["name"]), "|").alias("next_study"),
         F.array_join(F.transform(live, lambda x: x["ver"]), "|").alias("next_version"))
 
@@ -166,12 +170,17 @@ def study_candidates(studies: DataFrame, capacity: DataFrame, history: DataFrame
 
 
 def round_robin(annotators: DataFrame, studies: DataFrame, groups: int) -> DataFrame:
-    """Annotator i and study j meet when i mod g = j mod g."""
+    """Group number of every annotator (i mod g) and study (j mod g): ``kind, id, grp``.
+
+    The annotators of a group get the studies of the same group.  The group number is the whole
+    assignment, so the pairs are not written out.
+    """
     a = row_numbers(annotators.select("annotator"), [], ["annotator"], "i").select(
-        "annotator", ((F.col("i") - 1) % groups).alias("grp"))
-    s = row_numbers(studies.select("study"), [], ["study"], "j").select(
-        "study", ((F.col("j") - 1) % groups).alias("grp"))
-    return s.join(a, "grp")
+        F.lit("annotator").alias("kind"), F.col("annotator").cast("string").alias("id"),
+        ((F.col("i") - 1) % groups).alias("grp"))
+    s = row_numbers(studies.select("study"), [], ["study"], "i").select(
+        F.lit("study").alias("kind"), F.col("study").cast("string").alias("id"), ((F.col("i") - 1) % groups).alias("grp"))
+    return a.unionByName(s)
 
 
 def _packing_segments(histogram: dict[int, int], length: int) -> list[tuple[int, int, int, int, int]]:
