@@ -133,7 +133,7 @@ def rerun_plan(rounds: DataFrame, threshold: float = 0.8, max_votes: int = 15) -
         "study", "version", F.array_sort(F.transform("open", lambda x: x["qid"])).alias("open_qids"),
         F.array_min(F.transform("open", lambda x: x["need"])).alias("places"),
         F.array_except("admitted", "participated").alias("remaining"))
-    original = single_studies(rounds.select("study", "version", "qids")).where("ver = '0'").select("name", "qids")
+    original = rounds.where("version = '0'").select(F.col("study").alias("name"), "qids")
     parts = F.arrays_zip(F.split("study", r"\|").alias("name"), F.split("version", r"\|").alias("ver"))
     members = latest.select("*", F.posexplode(parts).alias("seat", "m")).select("*", "m.name", "m.ver").drop("m")
     alive = F.coalesce(F.arrays_overlap("qids", "open_qids"), F.lit(False))

@@ -59,9 +59,9 @@ def stopping_rounds(votes: DataFrame, threshold: float = THRESHOLD, max_votes: i
         head: pd.DataFrame | None = None
         for frame in frames:
             head = frame if head is None else pd.concat([head, frame])
-            head = head.nsmallest(max_votes, ["ts_us", "annotator"])
+            head = head.sort_values(["ts_us", "annotator"]).head(max_votes)
         if head is not None:
-            for vote in head.sort_values(["ts_us", "annotator"])["vote"]:
+            for vote in head["vote"]:
                 yes, n = yes + int(vote), n + 1
                 if _settled(yes, n, threshold, max_votes):
                     closed = True
