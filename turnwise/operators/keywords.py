@@ -60,10 +60,17 @@ class Vocabulary:
 
     def __init__(self, words: dict[str, str] | None = None, choice: str = "choice", comment: str = "comment"):
         self.words = {**KEYWORDS, **(words or {})}
-        self.yes = F.coalesce(F.col(choice) == "Yes", F.lit(False))
-        self.no = F.coalesce(F.col(choice) == "No", F.lit(False))
+        self.choice = choice
         self.comment = comment
 
+    @property
+    def yes(self) -> Column:
+        return F.coalesce(F.col(self.choice) == "Yes", F.lit(False))
+
+    @property
+    def no(self) -> Column:
+        return F.coalesce(F.col(self.choice) == "No", F.lit(False))
+
     def has(self, role: str) -> Column:
         return F.coalesce(F.contains(F.col(self.comment), F.lit(self.words[role])), F.lit(False))
 
