@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,9 +177,11 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = F.array(*[F.struct(F.lit(i + 1).alias("annotator"), F.lit(x).alias("letter"))
                        for i, x in enumerate(LETTERS)])
-    hl = F.filter(F.transform("toks", lambda t, i: F.when(F.contains(t, F.col("a.letter")), i + 1)),
-                  lambda i: i.isNotNull())
-    return doc_tokens(spark, sf_dir).withColumn("a", F.explode(people)).select(
+    holds_any = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in LETTERS])
+    some = F.filter(F.transform("toks", lambda t, i: F.when(holds_any(t), F.struct((i + 1).alias("n"), t.alias("t")))),
+                    lambda x: x.isNotNull())
+    hl = F.transform(F.filter("some", lambda x: F.contains(x["t"], F.col("a.letter"))), lambda x: x["n"])
+    return doc_tokens(spark, sf_dir).select("item", some.alias("some")).withColumn("a", F.explode(people)).select(
         "item", F.col("a.annotator").alias("annotator"), hl.alias("hl"))
 
 

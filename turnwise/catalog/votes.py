@@ -71,7 +71,7 @@ def total_annotations(spark, sf_dir):
 
 @query("ordered_votes", V + "SELECT item, rank, annotator, session, vote FROM ranked")
 def ordered_votes(spark, sf_dir):
-    return v.ordered_votes(votes(spark, sf_dir), ORDER).select("item", "rank", "annotator", "session", "vote")
+    return v.ordered_votes(votes(spark, sf_dir), ORDER, raw_votes(spark, sf_dir)).select("item", "rank", "annotator", "session", "vote")
 
 
 @query("first_three_votes", V + "SELECT item, annotator, CAST(rank AS BIGINT) AS rank, vote FROM ranked WHERE rank <= 3")
@@ -88,7 +88,7 @@ RUNNING = V + """, running AS (
 @query("running_votes", RUNNING + """
 SELECT item, rank, cum_yes, rank - cum_yes AS cum_no, round(cum_yes / rank, 6) AS share FROM running""")
 def running_votes(spark, sf_dir):
-    return v.running_votes(votes(spark, sf_dir), ORDER).select("item", "rank", "cum_yes", "cum_no", r6("share"))
+    return v.running_votes(votes(spark, sf_dir), ORDER, probe=raw_votes(spark, sf_dir)).select("item", "rank", "cum_yes", "cum_no", r6("share"))
 
 
 @query("running_shuffled_votes", V + """, mixed AS (
@@ -106,7 +106,7 @@ SELECT r.rank, count(*) AS n_items, round(avg(abs(r.cum_yes / r.rank - t.share))
        round(avg(CAST((r.cum_yes / r.rank >= 0.5) = (t.share >= 0.5) AS INTEGER)), 6) AS accuracy
 FROM running r JOIN tuples t USING (item) GROUP BY r.rank""")
 def convergence(spark, sf_dir):
-    return v.convergence(votes(spark, sf_dir), ORDER).select("rank", "n_items", r6("mean_distance"), r6("accuracy"))
+    return v.convergence(votes(spark, sf_dir), ORDER, raw_votes(spark, sf_dir)).select("rank", "n_items", r6("mean_distance"), r6("accuracy"))
 
 
 ARRIVALS_SQL = """
@@ -211,7 +211,7 @@ KAPPA_SQL = """CASE WHEN n10 + n01 = 0 THEN 1.0 ELSE ((n11 + n00) / n - ((n11 +
 SELECT a, b, n11, n10, n01, n00, shared, round(kappa, 6) AS kappa, round(agreement, 6) AS agreement
 FROM kappas WHERE shared >= 15""")
 def pairwise_kappa(spark, sf_dir):
-    return a.pairwise_kappa(votes(spark, sf_dir)).select(
+    return a.pairwise_kappa(votes(spark, sf_dir), sized_by=raw_votes(spark, sf_dir)).select(
         "a", "b", "n11", "n10", "n01", "n00", "shared", r6("kappa"), r6("agreement"))
 
 
@@ -227,7 +227,7 @@ def _summary(pairs):
 
 @query("kappa_summary", V + pairs_sql() + SUMMARY + " WHERE shared >= 15")
 def kappa_summary(spark, sf_dir):
-    return _summary(a.pairwise_kappa(votes(spark, sf_dir)))
+    return _summary(a.pairwise_kappa(votes(spark, sf_dir), sized_by=raw_votes(spark, sf_dir)))
 
 
 @query("kappa_summary_by_study", V + """, numbered AS (
@@ -240,7 +240,7 @@ def kappa_summary_by_study(spark, sf_dir):
 
 @query("pair_agreement", V + pairs_sql() + "SELECT round(avg(agreement), 6) AS pair_agreement FROM kappas")
 def pair_agreement(spark, sf_dir):
-    return a.pair_agreement(votes(spark, sf_dir)).select(r6("pair_agreement"))
+    return a.pair_agreement(votes(spark, sf_dir), raw_votes(spark, sf_dir)).select(r6("pair_agreement"))
 
 
 @query("fleiss_first_three", V + """, heads AS (
@@ -327,13 +327,13 @@ SELECT 'all' AS cut, measure, round(value, 6) AS value FROM (
   UNION ALL SELECT 'majority_kappa', k FROM mk WHERE inc = 0
   UNION ALL SELECT 'majority_kappa_incl', k FROM mk WHERE inc = 1)""")
 def agreement_report(spark, sf_dir):
-    return a.agreement_report(votes(spark, sf_dir), "all").select("cut", "measure", r6("value"))
+    return a.agreement_report(votes(spark, sf_dir), "all", sized_by=raw_votes(spark, sf_dir)).select("cut", "measure", r6("value"))
 
 
 @query("agreement_first_three", V + """, heads AS (SELECT * FROM ranked WHERE rank <= 3)""" + pairs_sql("heads") + SUMMARY
        + " WHERE shared >= 1")
 def agreement_first_three(spark, sf_dir):
-    return _summary(a.pairwise_kappa(v.first_votes(votes(spark, sf_dir), 3, ORDER), 1))
+    return _summary(a.pairwise_kappa(v.first_votes(votes(spark, sf_dir), 3, ORDER), 1, sized_by=raw_votes(spark, sf_dir)))
 
 
 SEATED = with_ctes(RAW_VOTES_SQL) + """, sv AS (
@@ -436,7 +436,7 @@ def stop_points(spark, sf_dir):
 @query("agreement_dynamic_stop", STOPS + ", cut AS (SELECT h.* FROM heads h JOIN stops s USING (item) WHERE rank <= stop)"
        + pairs_sql("cut") + SUMMARY + " WHERE shared >= 1")
 def agreement_dynamic_stop(spark, sf_dir):
-    return _summary(a.pairwise_kappa(st.votes_until_stop(votes(spark, sf_dir), ORDER), 1))
+    return _summary(a.pairwise_kappa(st.votes_until_stop(votes(spark, sf_dir), ORDER), 1, sized_by=raw_votes(spark, sf_dir)))
 
 
 def _stop_sql() -> str:

@@ -31,13 +31,14 @@ def two_list_scores(pairs: DataFrame, a: str, b: str, by: list[str] | None = Non
                         ((F.col("n11") + F.col("n00")) / n).alias("overlap"), kappa(*CELLS).alias("kappa"))
 
 
-def pairwise_kappa(votes: DataFrame, min_shared: float = 15, study: str | None = None) -> DataFrame:
+def pairwise_kappa(votes: DataFrame, min_shared: float = 15, study: str | None = None,
+                   sized_by: DataFrame | None = None) -> DataFrame:
     """Kappa and agreement of every annotator pair with at least ``min_shared`` common items."""
-    cells = pair_tables(votes, study)
+    cells = pair_tables(votes, study, max(1, min_shared), sized_by=sized_by)
     shared = F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")
     return cells.withColumns({
         "shared": shared, "kappa": kappa(*CELLS), "agreement": (F.col("n11") + F.col("n00")) / shared,
-    }).where(F.col("shared") >= min_shared)
+    })
 
 
 def kappa_summary(pairs: DataFrame) -> DataFrame:
@@ -55,9 +56,9 @@ def study_blocks(votes: DataFrame, size: int = 10, item: str = "item") -> DataFr
     return votes.join(studies, item)
 
 
-def pair_agreement(votes: DataFrame) -> DataFrame:
+def pair_agreement(votes: DataFrame, sized_by: DataFrame | None = None) -> DataFrame:
     """Mean over annotator pairs with a common item of their share of equal votes."""
-    return pairwise_kappa(votes, 1).agg(F.avg("agreement").alias("pair_agreement"))
+    return pairwise_kappa(votes, 1, sized_by=sized_by).agg(F.avg("agreement").alias("pair_agreement"))
 
 
 def fleiss_kappa(votes: DataFrame, raters: int) -> DataFrame:
@@ -138,29 +139,48 @@ def spread(scores: DataFrame, value: str) -> DataFrame:
     return scores.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
 
 
-def agreement_report(votes: DataFrame, cut: str, min_shared: float = 0.5) -> DataFrame:
-    """All measures of one data cut as ``cut, measure, value`` rows."""
-    pairs = pairwise_kappa(votes, min_shared)
-    stats = kappa_summary(pairs).select(F.lit("pair").alias("k"), "*")
-    rows = [stats.select(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
-            for m in ("n_pairs", "mean_kappa", "std_kappa", "median_kappa", "n_negative", "n_above")]
-
-    def one(df: DataFrame, column: str, name: str) -> DataFrame:
-        return df.select(F.lit(name).alias("measure"), F.col(column).cast("double").alias("value"))
-
-    items = item_agreement(votes)
-    rows += [
-        one(krippendorff_alpha(votes), "alpha", "alpha"),
-        one(pairs.where("shared >= 1").agg(F.avg("agreement").alias("v")), "v", "pair_agreement"),
-        one(items, "mean_agreement", "item_agreement"), one(items, "std_agreement", "item_agreement_std"),
-        one(majority_accuracy(votes).agg(F.avg("accuracy").alias("v")), "v", "majority_accuracy"),
-        one(majority_kappa(votes).agg(F.avg("kappa").alias("v")), "v", "majority_kappa"),
-        one(majority_kappa(votes, True).agg(F.avg("kappa").alias("v")), "v", "majority_kappa_incl"),
+def agreement_report(votes: DataFrame, cut: str, min_shared: float = 1,
+                     sized_by: DataFrame | None = None) -> DataFrame:
+    """All measures of one data cut as ``cut, measure, value`` rows.
+
+    Three passes: annotator pairs, item tallies, and votes against the other votes.
+    """
+    pairs = pairwise_kappa(votes, 1, sized_by=sized_by)
+    kept = F.when(F.col("shared") >= min_shared, F.col("kappa"))
+    top = F.greatest("share", 1 - F.col("share"))
+    tallies = vote_tuples(votes)
+    one, zero = F.col("yes"), F.col("n") - F.col("yes")
+    shared = F.col("n") >= 2
+    others = against_others(votes).where("others IS NOT NULL").withColumn("all", F.col("yes") / F.col("n"))
+    labelled = others.withColumns({
+        "right": (majority("others") == F.col("vote")).cast("int"), "a": F.bround("others", 0).cast("int"),
+        "b": F.bround("all", 0).cast("int")})
+    ab = [c.alias(f"{m}_{name}") for m in ("a", "b") for c, name in zip(table_of("vote", m), CELLS)]
+    people = labelled.groupBy("annotator").agg(F.avg("right").alias("right"), *ab)
+    parts = [
+        pairs.agg(
+            F.count(kept).alias("n_pairs"), F.avg(kept).alias("mean_kappa"), F.stddev_pop(kept).alias("std_kappa"),
+            F.median(kept).alias("median_kappa"), F.count_if(kept < 0).alias("n_negative"),
+            F.count_if(kept > 0.2).alias("n_above"), F.avg("agreement").alias("pair_agreement")),
+        tallies.agg(
+            F.avg(top).alias("item_agreement"), F.stddev_pop(top).alias("item_agreement_std"),
+            F.sum(F.when(shared, 2 * zero * one / (F.col("n") - 1))).alias("seen"),
+            F.sum(F.when(shared, zero)).alias("zeros"), F.sum(F.when(shared, one)).alias("ones")),
+        people.agg(
+            F.avg("right").alias("majority_accuracy"),
+            F.avg(kappa(*[f"a_{c}" for c in CELLS])).alias("majority_kappa"),
+            F.avg(kappa(*[f"b_{c}" for c in CELLS])).alias("majority_kappa_incl")),
     ]
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
-    return out.select(F.lit(cut).alias("cut"), "measure", "value")
+    row = parts[0].withColumn("k", F.lit(1))
+    for part in parts[1:]:
+        row = row.join(part.withColumn("k", F.lit(1)), "k")
+    total = F.col("zeros") + F.col("ones")
+    chance = 2 * F.col("zeros") * F.col("ones") / (total - 1)
+    row = row.withColumn("alpha", F.when(chance > 0, 1 - F.col("seen") / chance))
+    names = ["n_pairs", "mean_kappa", "std_kappa", "median_kappa", "n_negative", "n_above", "alpha", "pair_agreement",
+             "item_agreement", "item_agreement_std", "majority_accuracy", "majority_kappa", "majority_kappa_incl"]
+    return row.select(*[F.col(n).cast("double").alias(n) for n in names]).unpivot([], names, "measure", "value").select(
+        F.lit(cut).alias("cut"), "measure", "value")
 
 
 def gold_scores(votes: DataFrame, gold: DataFrame, strata: str | None = None) -> DataFrame:

@@ -99,20 +99,25 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     return rows
 
 
-def answer_counts(parsed: DataFrame) -> DataFrame:
-    """Verdict and error counts per item."""
+COUNTS = ("yes", "no", "unparsed", "no_identifier", "hl_errors", "no_pair", "invented", "invented_guest", "invented_host")
+
+
+def _count_flags() -> dict[str, Column]:
+    """What one parsed reply adds to each count."""
     def either(*kinds: str) -> Column:
         return F.coalesce(F.col("guest_status").isin(*kinds), F.lit(False)) | F.coalesce(
             F.col("host_status").isin(*kinds), F.lit(False))
 
     invented, no_pair, missing = either("not_found"), either("none", "empty"), either("no_identifier")
-    return parsed.groupBy("qid").agg(
-        F.count_if(F.col("verdict") == 1).alias("yes"), F.count_if(F.col("verdict") == 0).alias("no"),
-        F.count_if(F.col("verdict").isNull()).alias("unparsed"),
-        F.count_if(missing).alias("no_identifier"), F.count_if(invented | no_pair | missing).alias("hl_errors"),
-        F.count_if(no_pair).alias("no_pair"), F.count_if(invented).alias("invented"),
-        F.count_if(F.col("guest_status") == "not_found").alias("invented_guest"),
-        F.count_if(F.col("host_status") == "not_found").alias("invented_host"))
+    tests = (F.col("verdict") == 1, F.col("verdict") == 0, F.col("verdict").isNull(), missing,
+             invented | no_pair | missing, no_pair, invented, F.col("guest_status") == "not_found",
+             F.col("host_status") == "not_found")
+    return dict(zip(COUNTS, tests))
+
+
+def answer_counts(parsed: DataFrame) -> DataFrame:
+    """Verdict and error counts per item."""
+    return parsed.groupBy("qid").agg(*[F.count_if(test).alias(name) for name, test in _count_flags().items()])
 
 
 def answer_marks(parsed: DataFrame) -> DataFrame:
@@ -127,18 +132,27 @@ def answer_weights(parsed: DataFrame, items: DataFrame) -> DataFrame:
     """Per item the counts and, per side, the quote weight of each word.
 
     The weight divides by the yes answers less the invented quotes of that side.  ``items`` has
-    ``qid, guest_toks, host_toks``; the counts per word are bounded by the text.
+    ``qid, guest_toks, host_toks``.  A reply becomes one row for its counts and one per quoted word,
+    so the replies are parsed once and summed up before the shuffle; the words are bounded by the text.
     """
-    counts = answer_counts(parsed)
-    lists = answer_marks(parsed).groupBy("qid").agg(*[F.array_sort(F.collect_list(F.when(
-        F.col("side") == s, F.struct(F.col("tok").alias("pos"), F.col("c").alias("c"))))).alias(f"{s}_at")
-        for s in ("guest", "host")])
-    rows = items.join(counts, "qid").join(lists, "qid", "left")
+    flags = parsed.withColumns({f"__{n}": F.coalesce(t, F.lit(False)).cast("int") for n, t in _count_flags().items()})
+
+    def marks(side: str) -> Column:
+        return F.transform(f"{side}_marks", lambda t: F.struct(F.lit(side).alias("side"), t.alias("tok")))
+
+    head = F.array(F.struct(F.lit("").alias("side"), F.lit(0).alias("tok")))
+    rows = flags.select("qid", *[f"__{n}" for n in COUNTS], F.explode(F.concat(head, marks("guest"), marks("host"))).alias("x"))
+    summed = rows.groupBy("qid", "x.side", "x.tok").agg(
+        F.count(F.lit(1)).alias("c"), *[F.sum(f"__{n}").alias(n) for n in COUNTS])
+    is_head = F.col("side") == ""
+    per = summed.groupBy("qid").agg(
+        *[F.max(F.when(is_head, F.col(n))).alias(n) for n in COUNTS],
+        *[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct(F.col("tok").alias("pos"), "c")))).alias(f"{s}_at")
+          for s in ("guest", "host")])
 
     def weights(side: str) -> Column:
         den = F.greatest(F.col("yes") - F.col(f"invented_{side}"), F.lit(1))
-        at = F.coalesce(f"{side}_at", F.array().cast("array<struct<pos:int,c:bigint>>"))
-        entries = F.transform(at, lambda m: F.struct(m["pos"].alias("pos"), (m["c"] / den).alias("val")))
+        entries = F.transform(f"{side}_at", lambda m: F.struct(m["pos"].alias("pos"), (m["c"] / den).alias("val")))
         return dense(F.size(f"{side}_toks"), entries, F.lit(0.0)).alias(f"{side}_weights")
 
-    return rows.select(*counts.columns, weights("guest"), weights("host"))
+    return items.join(per, "qid").select("qid", *COUNTS, weights("guest"), weights("host"))

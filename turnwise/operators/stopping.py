@@ -63,10 +63,19 @@ def stop_points(votes: DataFrame, order: list[str] = ORDER, threshold: float = 0
 
 def votes_until_stop(votes: DataFrame, order: list[str] = ORDER, threshold: float = 0.8,
                      max_votes: int = 15) -> DataFrame:
-    """The votes a dynamic recruitment would have collected."""
-    head = first_votes(votes, max_votes, order)
-    return head.join(stop_points(votes, order, threshold, max_votes).select("item", "stop"), "item") \
-        .where(F.col("rank") <= F.col("stop")).drop("stop")
+    """The votes (``item, annotator, vote, rank``) a dynamic recruitment would have collected.
+
+    At most ``max_votes`` votes of an item are in its list, which is cut at the stop and spread again.
+    """
+    head = first_votes(votes.where(F.col("vote").isNotNull()), max_votes, order)
+    lists = head.groupBy("item").agg(
+        F.count(F.lit(1)).cast("int").alias("n"),
+        F.array_sort(F.collect_list(F.struct("rank", F.col("vote").cast("int").alias("vote"), "annotator"))).alias("vs"))
+    cum = F.transform("vs", lambda v, i: F.aggregate(
+        F.slice("vs", F.lit(1), i + 1), F.lit(0), lambda a, x: a + x["vote"]))
+    stopped = lists.withColumn("cum", cum).withColumn("stop", need_stop(threshold=threshold, max_votes=max_votes))
+    return stopped.select("item", F.inline(F.slice("vs", F.lit(1), F.col("stop")))).select(
+        "item", "annotator", "vote", "rank")
 
 
 def stop_report(votes: DataFrame, order: list[str] = ORDER, agreeing: list[int] = (1, 2, 3, 4, 5),

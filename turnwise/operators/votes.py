@@ -74,9 +74,9 @@ def unique_counts(votes: DataFrame) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
-def ordered_votes(votes: DataFrame, order: list[str] = ORDER) -> DataFrame:
+def ordered_votes(votes: DataFrame, order: list[str] = ORDER, probe: DataFrame | None = None) -> DataFrame:
     """Votes with their rank inside the item; ordered lists stay rows."""
-    return row_numbers(votes, ["item"], order, "rank")
+    return row_numbers(votes, ["item"], order, "rank", probe)
 
 
 def first_votes(votes: DataFrame, k: int, order: list[str] = ORDER) -> DataFrame:
@@ -85,12 +85,17 @@ def first_votes(votes: DataFrame, k: int, order: list[str] = ORDER) -> DataFrame
     return votes.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= k)
 
 
-def running_votes(votes: DataFrame, order: list[str] = ORDER, set_max: int = 0) -> DataFrame:
-    """Cumulative yes and no, and the share after each vote."""
+def running_votes(votes: DataFrame, order: list[str] = ORDER, set_max: int = 0,
+                  probe: DataFrame | None = None) -> DataFrame:
+    """Cumulative yes and no, and the share after each vote.
+
+    ``probe`` has at least the same votes and is cheaper to count (such as the raw submissions).
+    """
     cast = votes.where(F.col("vote").isNotNull())
     if set_max:
+        # No item has more than set_max votes left, so there is nothing to measure.
         cast = first_votes(cast, set_max, order).drop("rank")
-    run = Ordered(cast, ["item"], order).running(cum_yes=F.col("vote").cast("long"), rank=F.lit(1).cast("long"))
+    run = Ordered(cast, ["item"], order, probe=probe, sizes=(set_max, set_max) if set_max else None).running(cum_yes=F.col("vote").cast("long"), rank=F.lit(1).cast("long"))
     return run.result().withColumns({
         "cum_no": F.col("rank") - F.col("cum_yes"), "share": F.col("cum_yes") / F.col("rank")})
 
@@ -100,9 +105,9 @@ def shuffled_order(votes: DataFrame, seed: int) -> DataFrame:
     return votes.withColumn("shuffle", F.md5(F.concat_ws("|", F.lit(str(seed)), "item", "annotator")))
 
 
-def convergence(votes: DataFrame, order: list[str] = ORDER) -> DataFrame:
+def convergence(votes: DataFrame, order: list[str] = ORDER, probe: DataFrame | None = None) -> DataFrame:
     """Mean distance to the final share and accuracy of the label after n votes."""
-    run = running_votes(votes, order)
+    run = running_votes(votes, order, probe=probe)
     final = vote_tuples(votes).select("item", F.col("share").alias("final"))
     return run.join(final, "item").groupBy("rank").agg(
         F.count(F.lit(1)).alias("n_items"),

@@ -122,9 +122,10 @@ class Ordered:
         return self.df.drop(_RANGE)
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "rn",
+                probe: DataFrame | None = None) -> DataFrame:
     """Dense numbers 1..n inside each group."""
-    return Ordered(df, keys, order).row_number(name).result()
+    return Ordered(df, keys, order, probe=probe).row_number(name).result()
 
 
 def _cut_points(df: DataFrame, keys: list[str], order: list[str], rows: int,

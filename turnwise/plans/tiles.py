@@ -9,80 +9,105 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.functions.measures import jaccard
+from turnwise.functions.measures import let
 
 BLOCK = 256
-ITEMS_PER_TILE = 2048
+ITEMS_PER_TILE = 16384
 SETS_PER_BLOCK = 64
 
 
-def _member_blocks(votes: DataFrame, block: int, items_per_tile: int) -> tuple[int, int]:
-    members, items = votes.agg(
-        F.approx_count_distinct("annotator"), F.approx_count_distinct("item")).first()
-    return max(1, -(-members // block)), max(1, -(-items // items_per_tile))
+def _tiling(votes: DataFrame, by: list[str], block: int, items_per_tile: int) -> tuple[int, Column, Column, bool]:
+    """Number of blocks, cell and bundle of a row, and whether a group has several cells.
 
-
-def pair_tables(votes: DataFrame, extra: str | None = None, block: int = BLOCK,
-                items_per_tile: int = ITEMS_PER_TILE) -> DataFrame:
-    """2x2 counts ``a, b, n11, n10, n01, n00`` of every pair of annotators sharing an item.
+    A cell is a set of at most about ``items_per_tile`` items of one group, a bundle holds the cells
+    of about as many items, so small groups share a task and a huge group is spread over many.  One
+    pass with sketches measures members and items.
+    """
+    per = votes.groupBy(*by).agg(
+        F.approx_count_distinct("item").alias("n"), F.hll_sketch_agg("annotator").alias("members"))
+    total, top, members = per.agg(
+        F.sum("n"), F.max("n"), F.hll_sketch_estimate(F.hll_union_agg("members"))).first()
+    n_blocks = max(1, -(-(members or 0) // block))
+    most = max(1, -(-(top or 0) // items_per_tile))
+    cell = F.pmod(F.xxhash64("item"), F.lit(most)).cast("int") if most > 1 else F.lit(0)
+    if not by:
+        return n_blocks, cell, cell, most > 1
+    bundles = max(1, -(-(total or 0) * most // items_per_tile))
+    return n_blocks, cell, F.pmod(F.xxhash64(*by, cell), F.lit(bundles)).cast("int"), most > 1
+
+
+def pair_tables(votes: DataFrame, extra: str | None = None, min_shared: float = 1, block: int = BLOCK,
+                items_per_tile: int = ITEMS_PER_TILE, sized_by: DataFrame | None = None) -> DataFrame:
+    """2x2 counts ``a, b, n11, n10, n01, n00`` of every pair of annotators sharing ``min_shared`` items.
 
     ``votes`` has one row per (item, annotator) with ``vote`` 0/1.  ``extra`` names a column that
-    further splits the pairs (for instance a study number).
+    further splits the pairs (for instance a study number).  ``sized_by`` is a frame with at least the
+    same items and annotators that is cheaper to measure.
     """
-    n_blocks, n_shards = _member_blocks(votes, block, items_per_tile)
     by = [extra] if extra else []
-    rows = votes.where(F.col("vote").isNotNull()).select(
-        *by, "item", "annotator", "vote",
-        F.pmod(F.xxhash64("annotator"), F.lit(n_blocks)).cast("int").alias("own"),
-        F.pmod(F.xxhash64("item"), F.lit(n_shards)).cast("int").alias("shard"))
+    votes = votes.where(F.col("vote").isNotNull()).select(*by, "item", "annotator", "vote")
+    n_blocks, cell, bundle, several = _tiling(
+        votes if sized_by is None else sized_by, by, block, items_per_tile)
+    rows = votes.withColumns({
+        "own": F.pmod(F.xxhash64("annotator"), F.lit(n_blocks)).cast("int"), "cell": cell, "bundle": bundle})
     if n_blocks == 1:
-        rows = rows.select("*", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+        rows = rows.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
     else:
         # The blocks present in an item: at most n_blocks small numbers.
-        present = rows.groupBy("item").agg(F.collect_set("own").alias("present"))
-        rows = rows.join(present, "item").withColumn("other", F.explode("present")).select(
-            *by, "item", "annotator", "vote", "own", "shard",
-            F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        present = rows.groupBy(*by, "item").agg(F.collect_set("own").alias("present"))
+        rows = rows.join(present, [*by, "item"]).withColumn("other", F.explode("present")).withColumns({
+            "lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("present", "other")
     member = votes.schema["annotator"].dataType.simpleString()
     first = f"{extra} {votes.schema[extra].dataType.simpleString()}, " if extra else ""
     schema = f"{first}a {member}, b {member}, n11 bigint, n10 bigint, n01 bigint, n00 bigint"
+    enough = 1 if several else min_shared
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
-        item = np.unique(pdf["item"].to_numpy(), return_inverse=True)
-        left, right = (_side(pdf, item, pdf["own"].to_numpy() == side) for side in (lo, hi))
-        both = left[1].T @ right[1]
-        n11, yes_l, yes_r = left[2].T @ right[2], left[2].T @ right[1], left[1].T @ right[2]
-        keep = both > 0
-        if lo == hi:
-            keep &= np.triu(np.ones_like(keep, dtype=bool), 1)
-        i, j = np.nonzero(keep)
-        a, b = left[0][i], right[0][j]
-        n11, n10, n01 = n11[i, j], (yes_l - n11)[i, j], (yes_r - n11)[i, j]
-        n00 = both[i, j] - n11 - n10 - n01
-        swap = a > b
-        out = pd.DataFrame({
-            "a": np.where(swap, b, a), "b": np.where(swap, a, b), "n11": n11,
-            "n10": np.where(swap, n01, n10), "n01": np.where(swap, n10, n01), "n00": n00,
-        }).astype({c: "int64" for c in ("n11", "n10", "n01", "n00")})
-        if extra:
-            out.insert(0, extra, pdf[extra].iat[0])
-        return out
-
-    tiles = rows.groupBy(*by, "lo", "hi", "shard").applyInPandas(tile, schema)
-    return tiles.groupBy(*by, "a", "b").agg(*[F.sum(c).alias(c) for c in ("n11", "n10", "n01", "n00")])
-
-
-def _side(pdf: pd.DataFrame, item: tuple, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    names, col = np.unique(pdf["annotator"].to_numpy()[mask], return_inverse=True)
-    row = item[1][mask]
-    present = np.zeros((len(item[0]), len(names)), dtype=np.float32)
+        parts = [part for _, part in pdf.groupby([*by, "cell"], sort=False)]
+        return pd.concat([_cell_counts(part, lo, hi, extra, enough) for part in parts])
+
+    tiles = rows.groupBy("lo", "hi", "bundle").applyInPandas(tile, schema)
+    if not several:
+        return tiles
+    counts = ("n11", "n10", "n01", "n00")
+    summed = tiles.groupBy(*by, "a", "b").agg(*[F.sum(c).alias(c) for c in counts])
+    return summed.where(F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00") >= min_shared)
+
+
+def _cell_counts(pdf: pd.DataFrame, lo: int, hi: int, extra: str | None, min_shared: float) -> pd.DataFrame:
+    items, row = np.unique(pdf["item"].to_numpy(), return_inverse=True)
+    own, member, vote = pdf["own"].to_numpy(), pdf["annotator"].to_numpy(), pdf["vote"].to_numpy()
+    left = _side(len(items), row, member, vote, own == lo)
+    right = left if lo == hi else _side(len(items), row, member, vote, own == hi)
+    both = left[1].T @ right[1]
+    keep = both >= min_shared
+    if lo == hi:
+        keep &= np.triu(np.ones_like(keep, dtype=bool), 1)
+    i, j = np.nonzero(keep)
+    both, n11 = both[i, j], (left[2].T @ right[2])[i, j]
+    n10, n01 = (left[2].T @ right[1])[i, j] - n11, (left[1].T @ right[2])[i, j] - n11
+    a, b = left[0][i], right[0][j]
+    swap = a > b
+    out = {
+        "a": np.where(swap, b, a), "b": np.where(swap, a, b), "n11": n11.astype("int64"),
+        "n10": np.where(swap, n01, n10).astype("int64"), "n01": np.where(swap, n10, n01).astype("int64"),
+        "n00": (both - n11 - n10 - n01).astype("int64")}
+    if extra:
+        out = {extra: np.full(len(a), pdf[extra].iat[0]), **out}
+    return pd.DataFrame(out)
+
+
+def _side(n_items: int, row: np.ndarray, member: np.ndarray, vote: np.ndarray, mask: np.ndarray) -> tuple:
+    """Members of a block, and who voted and who voted yes as item x member matrices."""
+    names, col = np.unique(member[mask], return_inverse=True)
+    present = np.zeros((n_items, len(names)), dtype=np.float32)
     yes = np.zeros_like(present)
-    present[row, col] = 1
-    yes[row, col] = pdf["vote"].to_numpy()[mask]
+    present[row[mask], col] = 1
+    yes[row[mask], col] = vote[mask]
     return names, present, yes
 
 
@@ -112,19 +137,24 @@ def pairwise_jaccard(marks: DataFrame, per_block: int = SETS_PER_BLOCK) -> DataF
             F.first(F.when(F.col("block") == F.col("hi"), F.col("sets")), ignorenulls=True).alias("right"),
             F.any_value(F.col("lo") == F.col("hi")).alias("same")).where("left IS NOT NULL AND right IS NOT NULL")
 
-    def weight(x, i, y, j):
-        twice = F.when(F.col("same") & (i == j), x["m"] * (x["m"] - 1)).otherwise(x["m"] * y["m"])
-        return F.when(F.col("same"), twice / 2).otherwise(twice.cast("double"))
-
-    def inner(x, i, f):
-        return F.aggregate(
-            F.transform("right", lambda y, j: f(x, i, y, j)), F.lit(0.0), lambda acc, v: acc + v)
+    # Among equal highlights the overlap is 1; within one block each unordered pair counts once.
+    def overlap(x: Column, i: Column) -> Column:
+        others = F.when(F.col("same"), F.slice("right", i + 2, F.greatest(F.size("right") - i - 1, F.lit(0)))) \
+            .otherwise(F.col("right"))
+        own = F.when(F.col("same"), x["m"] * (x["m"] - 1) / 2).otherwise(F.lit(0.0))
+        return F.aggregate(others, own, lambda acc, y: acc + _overlap(x["hl"], y["hl"]) * x["m"] * y["m"])
 
-    def total(f):
-        return F.aggregate(F.transform("left", lambda x, i: inner(x, i, f)), F.lit(0.0), lambda acc, v: acc + v)
+    def members(side: str) -> Column:
+        return F.aggregate(side, F.lit(0).cast("long"), lambda acc, x: acc + x["m"])
 
     per_tile = tiles.select(
         "item",
-        total(lambda x, i, y, j: weight(x, i, y, j) * jaccard(x["hl"], y["hl"])).alias("overlap"),
-        total(weight).alias("pairs"))
+        F.aggregate(F.transform("left", overlap), F.lit(0.0), lambda acc, v: acc + v).alias("overlap"),
+        F.when(F.col("same"), members("left") * (members("left") - 1) / 2)
+        .otherwise((members("left") * members("right")).cast("double")).alias("pairs"))
     return per_tile.groupBy("item").agg(F.sum("overlap").alias("overlap"), F.sum("pairs").alias("pairs"))
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    """Jaccard overlap of two non-empty arrays without repetitions."""
+    return let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))

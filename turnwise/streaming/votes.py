@@ -5,6 +5,8 @@ Votes have ``item, annotator, vote, ts``.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -56,16 +58,15 @@ def stopping_rounds(votes: DataFrame, threshold: float = THRESHOLD, max_votes: i
                 pass
             return
         # Only the earliest votes can matter: keep that many across the chunks.
-        head: pd.DataFrame | None = None
+        head: list[tuple] = []
         for frame in frames:
-            head = frame if head is None else pd.concat([head, frame])
-            head = head.sort_values(["ts_us", "annotator"]).head(max_votes)
-        if head is not None:
-            for vote in head["vote"]:
-                yes, n = yes + int(vote), n + 1
-                if _settled(yes, n, threshold, max_votes):
-                    closed = True
-                    break
+            chunk = zip(frame["ts_us"].tolist(), frame["annotator"].tolist(), frame["vote"].tolist())
+            head = heapq.nsmallest(max_votes, itertools.chain(head, chunk))
+        for _, _, vote in head:
+            yes, n = yes + int(vote), n + 1
+            if _settled(yes, n, threshold, max_votes):
+                closed = True
+                break
         state.update((yes, n, closed))
         if closed:
             yield pd.DataFrame({"item": [key[0]], "yes": [yes], "n": [n]})
