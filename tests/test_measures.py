@@ -182,3 +182,34 @@ def test_kept_and_doubled_sessions(spark):
         ("q1", "a", 0), ("q2", "a", 1), ("q2", "b", 1)}
     left = v.drop_doubled_sessions(df)
     assert {(r["item"], r["session"]) for r in left.collect()} == {("q1", "s2"), ("q2", "s3")}
+
+
+@pytest.mark.parametrize("window_rows", [5_000, 10])
+def test_running_median(spark, small_tasks, window_rows):
+    import random
+    import statistics
+    rnd = random.Random(6)
+    rows = [("hot" if i % 3 else f"k{i % 4}", i, float(rnd.randrange(9))) for i in range(90)]
+    df = spark.createDataFrame(rows, "g string, id int, value double")
+    got = {r["id"]: r["running_median"] for r in v.running_median(df, "g", ["id"], window_rows).collect()}
+    for g, i, _ in rows:
+        assert got[i] == statistics.median(x for h, j, x in rows if h == g and j <= i)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_annotator_split(spark, seed):
+    import random
+    rnd = random.Random(seed)
+    m = 9
+    rows = [(i, a) for i in range(12) for a in range(1, m + 1) if rnd.random() < 0.6]
+    votes = spark.createDataFrame(rows, "item int, annotator int")
+    ranked = spark.createDataFrame([(a, a) for a in range(1, m + 1)], "annotator int, rank long")
+    expected = None
+    for split in range(1, m + 1):
+        left = [sum(a <= split for i, a in rows if i == item) for item in range(12)]
+        right = [sum(a > split for i, a in rows if i == item) for item in range(12)]
+        left, right = [x for x in left if x], [x for x in right if x]
+        if left and right and min(left) == min(right):
+            expected = (split, min(left))
+    got = v.best_annotator_split(votes, ranked).first()
+    assert (got["split_at"], got["max_k"]) == (expected or (None, None))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.measures import majority
 from turnwise.plans.ordered import Ordered, row_numbers
+from turnwise.session import cut_lineage
 
 ORDER = ["start", "session", "line"]
 
@@ -122,13 +123,49 @@ def arrival_progress(arrivals: DataFrame, group: str, order: list[str]) -> DataF
     return run.result().withColumn("running_mean", F.col("total") / F.col("nth")).drop("total")
 
 
-def running_median(arrivals: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Median of the values seen so far, by arrival order.
+def running_median(arrivals: DataFrame, group: str, order: list[str], window_rows: int = 5_000) -> DataFrame:
+    """Adds the median of the values seen so far, by arrival order (``value`` without NULLs).
 
-    The window keeps the sorted values of one group, so this one is for groups that fit a task.
+    A window keeps the counts of all values seen, which suits groups up to ``window_rows`` rows.
+    Beyond that the wanted order statistics are found bit by bit (see ``_medians_by_bits``).
     """
-    win = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return arrivals.withColumn("running_median", F.percentile("value", 0.5).over(win))
+    top = arrivals.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (top or 0) <= window_rows:
+        win = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return arrivals.withColumn("running_median", F.percentile("value", 0.5).over(win))
+    numbered = cut_lineage(row_numbers(arrivals, [group], order, "__n"))
+    return numbered.join(_medians_by_bits(numbered, group), [group, "__n"]).drop("__n")
+
+
+def _medians_by_bits(numbered: DataFrame, group: str) -> DataFrame:
+    """``group, __n, running_median`` for rows numbered by ``__n`` in each group.
+
+    Values are replaced by their dense codes.  A row asks for the one or two middle values among the
+    rows up to it.  All values and questions descend the bits of the codes together: a question goes
+    to the side holding its order statistic, which a running count of the zero bits tells.  Every bit
+    is one ordered pass, so large groups are spread over tasks as in any other ordered plan.
+    """
+    codes = cut_lineage(row_numbers(numbered.select("value").distinct(), [], ["value"], "code"))
+    bits = max(1, int(codes.agg(F.max("code")).first()[0] - 1).bit_length())
+    values = numbered.join(codes, "value").select(
+        group, F.col("__n").alias("t"), F.lit(0).alias("q"), (F.col("code") - 1).alias("code"),
+        F.lit(None).cast("long").alias("k"), F.lit(0).cast("long").alias("node"))
+    middle = F.array_distinct(F.array(F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)))
+    asked = numbered.select(group, F.col("__n").alias("t"), F.posexplode(middle).alias("p", "k")).select(
+        group, "t", (F.col("p") + 1).alias("q"), F.lit(None).cast("long").alias("code"), "k",
+        F.lit(0).cast("long").alias("node"))
+    rows = values.unionByName(asked)
+    for bit in range(bits - 1, -1, -1):
+        side = F.floor(F.col("code") / 2 ** bit) % 2
+        zero = F.when(side == 0, 1).otherwise(0)
+        rows = Ordered(cut_lineage(rows), [group, "node"], ["t", "q"]).running(zeros=zero).result()
+        right = F.when(F.col("q") == 0, side).otherwise((F.col("k") > F.col("zeros")).cast("long"))
+        rows = rows.withColumn("right", right).select(
+            group, "t", "q", "code",
+            (F.col("k") - F.when(F.col("right") == 1, F.col("zeros")).otherwise(0)).alias("k"),
+            (F.col("node") * 2 + F.col("right")).alias("node"))
+    found = rows.where("q > 0").withColumn("code", F.col("node") + 1).join(codes, "code")
+    return found.groupBy(group, F.col("t").alias("__n")).agg(F.avg("value").alias("running_median"))
 
 
 def candidate_share(votes: DataFrame) -> DataFrame:
