@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnwise.session import cut_lineage
+
 MAX_RANGES = 2_000
 ROWS_PER_TASK = 1_000_000
 ROWS_PER_TASK_CONF = "spark.turnwise.rowsPerTask"
@@ -51,7 +53,8 @@ class Ordered:
         self.order = list(order)
         cuts = _cut_points(df if probe is None else probe, self.keys, self.order, rows or rows_per_task(df), sizes)
         self.split = cuts is not None
-        self.df = df if cuts is None else _tag_ranges(df, cuts, self.keys, self.order)
+        # The rows are read once per summary and once for the windows, so they are stored when split.
+        self.df = df if cuts is None else cut_lineage(_tag_ranges(df, cuts, self.keys, self.order))
 
     # -- windows ---------------------------------------------------------------------------
 

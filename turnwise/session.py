@@ -40,8 +40,11 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table into the shared folder and go on from there.
+
+    The table survives lost executors, later reads prune its columns, and its size is known to the
+    planner.
+    """
+    folder = new_folder(df.sparkSession, "stage")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
