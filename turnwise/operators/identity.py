@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.plans.ordered import row_numbers
@@ -46,11 +46,14 @@ def apply_map_to_lists(rows: DataFrame, names: DataFrame, keys: list[str], colum
         F.struct(F.lit(c).alias("c"), F.col(c).alias("ids")) for c in columns])).alias("e")).select(
         *keys, "e.c", F.posexplode("e.ids").alias("pos", "orig"))
     mapped = entries.join(names.select("orig", "anon"), "orig", "left")
-    bad = mapped.where(F.col("anon").isNull() & ~F.col("c").isin(*keep_unknown))
-    lists = mapped.groupBy(*keys).agg(*[F.transform(F.array_sort(F.collect_list(F.when(
-        F.col("c") == c, F.struct("pos", F.coalesce("anon", "orig").alias("id"))))), lambda x: x["id"]).alias(f"__{c}")
-        for c in columns])
-    done = rows.join(lists, keys, "left").withColumns({
-        c: F.when(train, F.col(c)).otherwise(F.coalesce(f"__{c}", c)) for c in columns}).drop(*[f"__{c}" for c in columns])
-    quarantine = rows.join(bad.select(*keys).distinct(), keys, "left_semi")
-    return done.join(quarantine.select(*keys), keys, "left_anti"), quarantine
+    unknown = F.col("anon").isNull() & ~F.col("c").isin(*keep_unknown)
+
+    def mapped_list(column: str) -> Column:
+        ids = F.collect_list(F.when(F.col("c") == column, F.struct("pos", F.coalesce("anon", "orig").alias("id"))))
+        return F.transform(F.array_sort(ids), lambda x: x["id"]).alias(f"__{column}")
+
+    lists = mapped.groupBy(*keys).agg(F.max(unknown).alias("__bad"), *[mapped_list(c) for c in columns])
+    joined = rows.join(lists, keys, "left").withColumn("__bad", F.coalesce("__bad", F.lit(False)))
+    done = joined.where(~F.col("__bad")).withColumns({
+        c: F.when(train, F.col(c)).otherwise(F.coalesce(f"__{c}", c)) for c in columns}).select(*rows.columns)
+    return done, joined.where("__bad").select(*rows.columns)

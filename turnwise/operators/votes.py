@@ -205,15 +205,16 @@ def split_coverage(votes: DataFrame, ranked: DataFrame) -> DataFrame:
     m = ranked.agg(F.max("rank")).first()[0] or 0
     levels = int(m + 1).bit_length()
     per = votes.join(ranked, "annotator").groupBy("item", "rank").agg(F.count(F.lit(1)).alias("c"))
-    run = Ordered(per, ["item"], ["rank"]).running(seen=F.col("c"), nth=F.lit(1).cast("long")).result()
-    tot = per.groupBy("item").agg(F.sum("c").alias("tot"), F.min("rank").alias("first"))
-    after = run.select("item", (F.col("nth") - 1).alias("nth"), F.col("rank").alias("until"))
-    far = F.lit(m + 1).cast("long")
-    rest = run.join(after, ["item", "nth"], "left").join(tot, "item").select(
-        F.col("rank").cast("long").alias("lo"), F.coalesce(F.col("until").cast("long"), far).alias("hi"),
-        F.col("seen").alias("left"), F.nullif(F.col("tot") - F.col("seen"), F.lit(0).cast("long")).alias("right"))
-    before = tot.select(F.lit(0).cast("long").alias("lo"), F.col("first").cast("long").alias("hi"),
-                        F.lit(None).cast("long").alias("left"), F.col("tot").alias("right"))
+    tot = per.groupBy("item").agg(F.sum("c").alias("tot"), F.max("rank").alias("last"))
+    run = Ordered(per, ["item"], ["rank"]).previous(prior="rank").running(seen=F.col("c")).result()
+    zero = F.lit(0).cast("long")
+    before = F.col("seen") - F.col("c")
+    # The span that ends at a voting rank, and the one after the last voting rank.
+    spans = run.join(tot, "item").select(
+        F.coalesce(F.col("prior").cast("long"), zero).alias("lo"), F.col("rank").cast("long").alias("hi"),
+        F.nullif(before, zero).alias("left"), (F.col("tot") - before).alias("right"))
+    tail = tot.select(F.col("last").cast("long").alias("lo"), F.lit(m + 1).cast("long").alias("hi"),
+                      F.col("tot").alias("left"), F.lit(None).cast("long").alias("right"))
 
     def blocks(k):
         size = F.pow(F.lit(2.0), k).cast("long")
@@ -223,7 +224,7 @@ def split_coverage(votes: DataFrame, ranked: DataFrame) -> DataFrame:
             F.when(open_ & (low % 2 == 1), F.struct(k.alias("level"), low.alias("block"))),
             F.when(open_ & (high % 2 == 1), F.struct(k.alias("level"), (high - 1).alias("block"))))
 
-    cover = rest.unionByName(before).select(
+    cover = spans.unionByName(tail).select(
         "left", "right",
         F.explode(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), blocks)))).alias("b"),
     ).groupBy("b.level", "b.block").agg(F.min("left").alias("left"), F.min("right").alias("right"))

@@ -7,13 +7,19 @@ the task.  Only one row per distinct pair and tile leaves it, or one number per
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.measures import let
 
+# Executors get the tile functions by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK = 256
 ITEMS_PER_TILE = 16384
 SETS_PER_BLOCK = 64

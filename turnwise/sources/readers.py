@@ -57,13 +57,6 @@ def _readable(spark: SparkSession, target: str) -> bool:
         return False
 
 
-def utf16_files(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Which of the files start with a UTF-16 byte order mark."""
-    found = spark.read.format("binaryFile").load(paths).where(
-        F.substring("content", 1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))).select("path")
-    return [r["path"] for r in found.collect()]
-
-
 def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> list[str]:
     reader = spark.read.format("binaryFile")
     if pattern:
@@ -71,21 +64,36 @@ def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> li
     return sorted(r["path"] for r in reader.load(path).select("path").collect())
 
 
+def _file_heads(spark: SparkSession, path: str) -> list:
+    """Path, metadata path, byte order mark and header line of each file, in path order."""
+    wide = F.substring("content", 1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))
+    head = F.when(wide, F.decode("content", "UTF-16")).otherwise(F.decode(F.substring("content", 1, 1 << 20), "UTF-8"))
+    rows = spark.read.format("binaryFile").load(path).select(
+        "path", F.col("_metadata.file_path").alias("uri"), wide.alias("wide"),
+        F.regexp_replace(F.substring_index(head, "\n", 1), "^\ufeff", "").alias("header"))
+    return sorted(rows.collect(), key=lambda r: r["path"])
+
+
 def read_tsv(spark: SparkSession, paths: list[str], header: bool = True) -> DataFrame:
-    """TSV files of mixed encoding and differing columns, in order of the list.
+    """TSV files of mixed encoding and differing columns; ``file_no`` is the place in the list.
 
-    Columns come from each file's own header, so files are read one by one and united by name;
-    ``file_no`` is the place in the list.
+    Files with the same encoding and header line are one scan, and the scans are united by name, so
+    the plan grows with the number of layouts, not of files.
     """
-    files = [f for p in paths for f in list_files(spark, p)]
-    wide = set(utf16_files(spark, files))
+    files = [r for p in paths for r in _file_heads(spark, p)]
+    layouts: dict[tuple, list[str]] = {}
+    for r in files:
+        layouts.setdefault((r["wide"], r["header"] if header else None), []).append(r["path"])
     frames = []
-    for number, file in enumerate(files):
+    for (wide, _), group in layouts.items():
         reader = spark.read.option("sep", "\t").option("header", header).option("multiLine", True).option("escape", '"')
-        if file in wide:
+        if wide:
             reader = reader.option("encoding", "UTF-16")
-        frames.append(reader.csv(file).withColumn("file_no", F.lit(number)))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+        rows = reader.csv(group)
+        frames.append(rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_metadata.file_path").alias("__uri")))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    numbers = spark.createDataFrame([(r["uri"], i) for i, r in enumerate(files)], "__uri string, file_no int")
+    return rows.join(numbers, "__uri").drop("__uri")
 
 
 def read_exports(spark: SparkSession, paths: list[str], options=None) -> DataFrame:

@@ -8,15 +8,20 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnwise.functions.measures import votes_needed
 
+# Executors get the state function by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_VOTES = 15
 MIN_VOTES = 3
 THRESHOLD = 0.8
