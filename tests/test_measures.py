@@ -213,3 +213,13 @@ def test_best_annotator_split(spark, seed):
             expected = (split, min(left))
     got = v.best_annotator_split(votes, ranked).first()
     assert (got["split_at"], got["max_k"]) == (expected or (None, None))
+
+
+def test_agreement_by_cut(spark):
+    votes = spark.createDataFrame(
+        [(i, a, (i + a * (i % 3)) % 2, a) for i in range(12) for a in range(6)], "item int, annotator int, vote int, ord int")
+    got = {(r["cut"], r["measure"]): r["value"] for r in st.agreement_by_cut(votes, ["ord"]).collect()}
+    assert {c for c, _ in got} == {"first", "dynamic", "all"} and len(got) == 39
+    assert got["first", "n_pairs"] == 3 and got["all", "n_pairs"] == 15
+    only = a.agreement_report(votes, "all").collect()
+    assert {r["measure"]: r["value"] for r in only} == {m: x for (c, m), x in got.items() if c == "all"}

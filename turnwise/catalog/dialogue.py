@@ -226,3 +226,13 @@ def token_counts_of_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.size(tokens("text")).cast("long").alias("n_single"),
         F.size(tokens("text", "run")).cast("long").alias("n_run"))
+
+
+@query("pairs_with_context", with_ctes(DIALOGUES_SQL, pairs_sql()) + """,
+facts AS (SELECT conv, count(*) || ' turns' AS summary FROM utterances GROUP BY conv)
+SELECT qid, summary, md5(array_to_string(texts, ' ' || chr(10))) AS guest_md5 FROM pairs JOIN facts USING (conv)""")
+def pairs_with_context(spark, sf_dir):
+    rows = dialogues(spark, sf_dir)
+    texts = p.rebuild_texts(p.pair_positions(p.extract_pairs(d.speaker_runs(rows))), rows)
+    facts = rows.groupBy(F.col("conv").alias("id")).agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" turns")).alias("summary"))
+    return p.with_context(texts, facts, ("summary",)).select("qid", "summary", F.md5("guest_text").alias("guest_md5"))

@@ -383,3 +383,17 @@ def pair_verdicts(spark, sf_dir):
     return out.select("item.conv_id", "item.turn", "label",
                       e.one_side_only("guest_labels", "host_labels").cast("int").alias("lopsided"),
                       F.md5(F.array_join(F.col("guest_labels").cast("array<string>"), "")).alias("labels_md5"))
+
+
+@query("side_similarity", H + """, texts AS (
+  SELECT t.item, p.annotator, list_transform(list_filter(t.toks, lambda w: contains(w, p.letter)), lambda w: lower(w)) AS ws
+  FROM toks t CROSS JOIN people p),
+pairs_ AS (SELECT g.item, g.annotator, g.ws AS a, h.ws AS b FROM texts g JOIN texts h ON h.item = g.item AND h.annotator = 6 - g.annotator),
+sets_ AS (SELECT CASE WHEN len(a) = 0 THEN [''] ELSE list_distinct(a) END AS a, CASE WHEN len(b) = 0 THEN [''] ELSE list_distinct(b) END AS b
+  FROM pairs_ WHERE len(a) > 0 OR len(b) > 0)
+SELECT round(avg(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))), 6) AS mean_jaccard, count(*) AS n FROM sets_""")
+def side_similarity(spark, sf_dir):
+    """Guest side: the highlights of annotator k; host side: those of annotator 6 - k."""
+    texts = h.highlight_texts(highlights(spark, sf_dir), doc_tokens(spark, sf_dir))
+    host = texts.withColumn("annotator", 6 - F.col("annotator"))
+    return h.side_similarity(texts, host).select(r6("mean_jaccard"), "n")

@@ -515,3 +515,12 @@ def id_problems(spark, sf_dir):
 @query("random_customers", "SELECT c_custkey FROM customer ORDER BY md5('21|' || c_custkey), c_custkey LIMIT 50")
 def random_customers(spark, sf_dir):
     return s.random_sample(table(spark, sf_dir, "customer").select("c_custkey"), 50, 21, "c_custkey")
+
+
+@query("reindexed_rows", """SELECT c_custkey AS id, o.n FROM customer LEFT JOIN (
+  SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) o ON o_custkey = c_custkey""")
+def reindexed_rows(spark, sf_dir):
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("nth"))
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("id")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return an.reindexed(ids, rows, "id").select("id", "n")

@@ -413,10 +413,10 @@ def vote_entropy(spark, sf_dir):
 
 
 @query("votes_needed", with_ctes(VOTES_SQL, NEED_SQL) + """, heads AS (
-  SELECT item, rank AS n, CAST(sum(vote) OVER (PARTITION BY item ORDER BY rank) AS BIGINT) AS yes FROM ranked WHERE rank <= 20)
+  SELECT item, rank AS n, CAST(sum(vote) OVER (PARTITION BY item ORDER BY rank) AS BIGINT) AS yes FROM ranked)
 SELECT h.item, h.n, h.yes, CAST(need.need AS BIGINT) AS need FROM heads h JOIN need USING (yes, n)""")
 def votes_needed_after_each(spark, sf_dir):
-    run = v.running_votes(votes(spark, sf_dir), ORDER, set_max=20)
+    run = v.running_votes(votes(spark, sf_dir), ORDER, probe=raw_votes(spark, sf_dir))
     return run.select("item", F.col("rank").alias("n"), F.col("cum_yes").alias("yes"),
                       votes_needed("cum_yes", "rank").cast("long").alias("need"))
 

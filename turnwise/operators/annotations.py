@@ -234,3 +234,8 @@ def id_problems(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     hits = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return wanted.select(key).distinct().join(hits, key, "left").select(
         key, F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
+
+
+def reindexed(ids: DataFrame, rows: DataFrame, key: str = "qid", order: str = "nth") -> DataFrame:
+    """Rows in the order of an id list (``key, order``); ids without a row stay with NULLs."""
+    return ids.select(key, order).join(rows, key, "left").orderBy(order)

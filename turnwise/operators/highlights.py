@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.measures import jaccard, ratio
-from turnwise.functions.text import dense, equal_spans, marked_flags, marked_numbers, marked_text
+from turnwise.functions.text import dense, equal_spans, lexical_jaccard, marked_flags, marked_numbers, marked_text
 from turnwise.operators.agreement import alpha_from_units
 from turnwise.plans.tiles import pairwise_jaccard
 
@@ -119,6 +119,16 @@ def highlight_texts(marks: DataFrame, tokens: DataFrame) -> DataFrame:
     return marks.join(tokens, "item").select("item", "annotator", marked_text("toks", "hl").alias("text"))
 
 
+def side_similarity(guest: DataFrame, host: DataFrame) -> DataFrame:
+    """Token overlap of the guest and the host highlight text of each (item, annotator), with its mean.
+
+    Both tables have ``item, annotator, text``; pairs of empty texts are left out.
+    """
+    both = guest.join(host.withColumnRenamed("text", "other"), ["item", "annotator"])
+    j = lexical_jaccard("text", "other")
+    return both.agg(F.avg(j).alias("mean_jaccard"), F.count(j).alias("n"))
+
+
 def mean_cosine(vectors: DataFrame) -> DataFrame:
     """Mean pairwise cosine within each item (``item, vec``).
 

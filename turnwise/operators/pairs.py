@@ -126,6 +126,12 @@ def rebuild_texts(positions: DataFrame, utterances: DataFrame, sep: str = " \n")
     return found.groupBy("qid").agg(side("guest"), side("host"), side("reply"))
 
 
+def with_context(texts: DataFrame, conversations: DataFrame, columns: tuple[str, ...] = ("summary", "date")) -> DataFrame:
+    """Pair texts with facts of their conversation (``id`` and ``columns``), joined once for all pairs."""
+    facts = conversations.select(F.col("id").alias("conv"), *columns)
+    return texts.withColumn("conv", conversation_of("qid")).join(facts, "conv").drop("conv")
+
+
 def resolve_pair_ids(qids: DataFrame, runs: Runs) -> DataFrame:
     """Positions of pair ids (``qid``); an id without a closing turn gets ``resolved = false``."""
     wanted = qids.select("qid", conversation_of("qid").alias("conv"), position_of("qid").alias("pos"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.measures import binary_entropy, col, kappa, majority, scaled_entropy, votes_needed
-from turnwise.operators.agreement import CELLS, table_of
+from turnwise.operators.agreement import CELLS, agreement_report, table_of
 from turnwise.operators.votes import ORDER, first_votes, vote_tuples
 
 
@@ -78,6 +78,15 @@ def votes_until_stop(votes: DataFrame, order: list[str] = ORDER, threshold: floa
         "item", "annotator", "vote", "rank")
 
 
+def agreement_by_cut(votes: DataFrame, order: list[str] = ORDER, first: int = 3, threshold: float = 0.8,
+                     max_votes: int = 15, min_shared: float = 1) -> DataFrame:
+    """The agreement report on the first votes, on a simulated dynamic recruitment and on all votes."""
+    cuts = {"first": first_votes(votes, first, order),
+            "dynamic": votes_until_stop(votes, order, threshold, max_votes), "all": votes}
+    reports = [agreement_report(rows, name, min_shared, votes) for name, rows in cuts.items()]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])
+
+
 def stop_report(votes: DataFrame, order: list[str] = ORDER, agreeing: list[int] = (1, 2, 3, 4, 5),
                 thresholds: list[float] = (0.5, 0.7, 0.8, 0.9), max_votes: int = 10, min_votes: int = 3,
                 scaled_thresholds: list[float] = (0.2, 0.3, 0.4)) -> DataFrame:
