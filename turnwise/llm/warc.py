@@ -30,7 +30,9 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 EOL = "\r\n"
 RECORDS_PER_FILE = 2_000
 DECODED = "row long, id string, url string, record_type string, refers_to string, claimed string, payload binary, problem string"
-SEGMENTS = "origin string, number int, total long, row long, id string, url string, claimed string, block binary"
+SEGMENTS = (
+    "origin string, number int, total long, row long, id string, url string, claimed string, record_type string, "
+    "refers_to string, block binary")
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -175,8 +177,10 @@ def _decoded(blocks: list[bytes]) -> tuple[bytes | None, str | None]:
 
 
 def _common(h: dict[str, str]) -> dict:
+    refers = h.get("warc-refers-to")
     return {
         "row": int(h.get("x-row", -1)), "id": h.get("x-page-id"), "url": h.get("warc-target-uri"),
+        "refers_to": refers.removeprefix("<urn:page:").removesuffix(">") if refers else None,
         "claimed": h.get("warc-payload-digest", "").removeprefix("sha1:") or None}
 
 
@@ -203,10 +207,7 @@ def read_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         continue
                     kind = h["warc-type"]
                     payload, problem = (None, None) if kind == "revisit" else _decoded([block])
-                    refers = h.get("warc-refers-to")
-                    yield _common(h) | {
-                        "record_type": kind, "refers_to": refers[10:-1] if refers else None, "payload": payload,
-                        "problem": problem}
+                    yield _common(h) | {"record_type": kind, "payload": payload, "problem": problem}
     return _frames(rows(), [c.split()[0] for c in DECODED.split(", ")])
 
 
@@ -217,11 +218,11 @@ def read_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for data in batch["content"]:
                 for h, block in read_records(data):
                     if "warc-segment-number" in h:
-                        total = h.get("warc-segment-total-length")
+                        total, number = h.get("warc-segment-total-length"), int(h["warc-segment-number"])
                         yield _common(h) | {
                             "origin": h.get("warc-segment-origin-id", h["warc-record-id"]),
-                            "number": int(h["warc-segment-number"]), "total": int(total) if total else None,
-                            "block": block}
+                            "number": number, "total": int(total) if total else None, "block": block,
+                            "record_type": h["warc-type"] if number == 1 else None}
     columns = [c.split()[0] for c in SEGMENTS.split(", ")]
     for frame in _frames(rows(), columns):
         yield frame.astype({"total": "Int64"})
@@ -239,9 +240,9 @@ def join_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 elif pd.isna(r.total) or sum(map(len, parts)) != r.total:
                     problem = "the total length differs"
                 else:
-                    payload, problem = _decoded(parts)
+                    payload, problem = (None, None) if r.record_type == "revisit" else _decoded(parts)
                 yield {
-                    "row": r.row, "id": r.id, "url": r.url, "record_type": "response", "refers_to": None,
+                    "row": r.row, "id": r.id, "url": r.url, "record_type": r.record_type, "refers_to": r.refers_to,
                     "claimed": r.claimed, "payload": payload, "problem": problem}
     return _frames(rows(), [c.split()[0] for c in DECODED.split(", ")])
 
@@ -257,8 +258,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     if spark.read.format("binaryFile").load(folder).limit(1).isEmpty():
         return spark.createDataFrame([], DECODED.replace("claimed string, ", "") + ", payload_digest string")
     segments = files.mapInPandas(read_segments, SEGMENTS).groupBy("origin").agg(
-        F.max("total").alias("total"), F.max("row").alias("row"), F.max("id").alias("id"), F.max("url").alias("url"),
-        F.max("claimed").alias("claimed"),
+        *[F.max(c).alias(c) for c in ("total", "row", "id", "url", "claimed", "record_type", "refers_to")],
         F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"))
     records = files.mapInPandas(read_whole, DECODED).unionByName(segments.mapInPandas(join_segments, DECODED))
     digest = payload_digest(F.col("payload"))
