@@ -33,7 +33,7 @@ SAMPLE = 8_000  # labelled texts that the trigram models are fitted on, at most
 ENOUGH = 200  # trigrams that count in full; in longer texts they count less each, as they depend on each other
 STRENGTH = 0.5  # of a trigram's log likelihood
 SMOOTHING = 20.0  # rows that a parent's share weighs in a prior
-ACCEPT = 0.7  # least posterior of an accepted row
+ACCEPT = 0.5  # least posterior of an accepted row
 SUFFIX_TRUST = 0.8  # chance that a country's suffix tells the language of its texts
 
 # Languages of country suffixes.
