@@ -1,3 +1,4 @@
+import json
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,10 @@ def test_text_helpers(spark):
     assert one(spark, t.fraction("x"), x="10") is None and one(spark, t.fraction("x"), x="a/b") is None
     assert one(spark, t.int_list("x"), x="[1, 5, 6]") == [1, 5, 6] and one(spark, t.int_list("x"), x="-") is None
     assert one(spark, t.string_list("x"), x="['a', 'b']") == ["a", "b"]
+    for texts in (["don't", "y"], ['say "x"', "it's"], ["both ' and \" here"], ["[a]", "b\n\tc", "back\\slash \\x41"], ["é\xa0\x07", ""], []):
+        assert one(spark, t.string_list("x"), x=repr(texts)) == texts
+        assert one(spark, t.string_list("x"), x=json.dumps(texts)) == texts
+    assert one(spark, t.string_list("x"), x="['a', b") is None
     assert one(spark, t.next_versions("x"), x="0|12") == "1|13"
     assert one(spark, t.rescale(F.array(*[F.lit(float(x)) for x in (0, 5, 4, 9, 10)]))) == [0, 50, 40, 90, 100]
     assert one(spark, t.rescale(F.array(F.lit(2.0), F.lit(2.0)))) == [0, 0]

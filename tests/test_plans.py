@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from turnwise.plans.ordered import Ordered, row_numbers
+from turnwise.operators.dialogue import canonical_speakers, conversation_roles
+from turnwise.operators.votes import arrival_progress, running_median
+from turnwise.plans.ordered import ROWS_PER_TASK_CONF, Ordered, row_numbers
 from turnwise.plans.tiles import pair_tables, pairwise_jaccard
 
 
@@ -108,3 +110,73 @@ def test_pairwise_jaccard_matches_all_pairs(spark, per_block):
             continue
         assert got[item][1] == len(js)
         assert got[item][0] == pytest.approx(sum(js))
+
+
+def both_paths(spark, make):
+    """Rows of ``make()`` with groups of any size in one task, and cut into ranges of about ten rows."""
+    key = lambda r: str(tuple(r))
+    plain = sorted(make().collect(), key=key)
+    spark.conf.set(ROWS_PER_TASK_CONF, "20")
+    try:
+        return plain, sorted(make().collect(), key=key)
+    finally:
+        spark.conf.unset(ROWS_PER_TASK_CONF)
+
+
+def gaps(spark, n=400):
+    """A hot group with NULL values, a group of NULLs only, repeated order values, a NULL group."""
+    rnd = random.Random(11)
+    rows = [("hot" if i % 2 else rnd.choice(["a", "none", None]), i // 3, i, None if i < 40 or rnd.random() < 0.3 else float(rnd.randrange(6)), rnd.randrange(2))
+            for i in range(n)]
+    return spark.createDataFrame(
+        [(k, t, i, None if k == "none" else v, a) for k, t, i, v, a in rows], "k string, t int, id int, value double, accepted int")
+
+
+def test_running_sums_with_nulls(spark):
+    df = gaps(spark)
+    plain, split = both_paths(spark, lambda: Ordered(df, ["k"], ["t", "id"]).running(
+        total=F.col("value"), n=F.lit(1).cast("long"), seen=F.col("value").isNotNull().cast("int")).previous(before="value").result())
+    assert plain == split and any(r["total"] is None for r in plain)
+
+
+def test_arrival_progress_on_both_paths(spark):
+    df = gaps(spark)
+    plain, split = both_paths(spark, lambda: arrival_progress(df, "k", ["t", "id"]))
+    assert plain == split
+
+
+def test_running_median_on_both_paths(spark, small_tasks):
+    df = gaps(spark, 120)
+    key = lambda r: (r["id"],)
+    window = sorted(running_median(df, "k", ["t", "id"]).collect(), key=key)
+    bits = sorted(running_median(df, "k", ["t", "id"], window_rows=1).select(*df.columns, "running_median").collect(), key=key)
+    assert window == bits
+    few = spark.createDataFrame([("g", i, i, v, 0) for i, v in enumerate([5.0, None, 1.0, 9.0, 2.0, None, 7.0])], df.schema)
+    for rows in (5_000, 1):
+        got = sorted(running_median(few, "k", ["t", "id"], window_rows=rows).collect(), key=key)
+        assert [r["running_median"] for r in got] == [5, 5, 3, 5, 3.5, 3.5, 5]
+
+
+def test_ranges_follow_the_rows(spark):
+    """More than 2,000 ranges, and no range above the limit."""
+    df = spark.range(4_400).select(F.lit("hot").alias("k"), (F.col("id") * 7919 % 4_400).alias("t"))
+    spark.conf.set(ROWS_PER_TASK_CONF, "4")
+    try:
+        o = Ordered(df, ["k"], ["t"])
+        sizes = [r["count"] for r in o.df.groupBy("__range").count().collect()]
+        assert len(sizes) > 2_000 and max(sizes) <= 4
+        got = o.row_number().result().agg(F.count_if(F.col("rn") == F.col("t") + 1)).first()[0]
+        assert got == 4_400
+    finally:
+        spark.conf.unset(ROWS_PER_TASK_CONF)
+
+
+def test_casts_on_both_paths(spark):
+    rows = [("c1", i, s) for i, s in enumerate(["ANN", "BOB", None, "ANN", "BOB RAY"])]
+    rows += [("c2", i, f"NAME {i % 40}") for i in range(60)] + [("c3", 0, None), ("c4", 0, ""), ("c4", 1, "X"), ("c5", 0, "A" * 3_000), ("c5", 1, "A" * 2_999)]
+    said = spark.createDataFrame([(c, p, s, "t") for c, p, s in rows], "conv string, pos int, speaker string, text string")
+    for operator in (canonical_speakers, conversation_roles):
+        plain, one, split = (sorted(map(tuple, operator(said, n).collect()), key=str) for n in (1_000, 32, 0))
+        assert plain == one == split
+    roles = {r["conv"]: (r["n_speakers"], r["two_speakers"]) for r in conversation_roles(said).collect()}
+    assert roles["c1"] == (2, True) and "c3" not in roles

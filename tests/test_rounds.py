@@ -98,9 +98,9 @@ def test_candidates_skip_history_and_full_annotators(spark):
 
 def test_pseudonyms_go_on_from_the_largest(spark):
     known = spark.createDataFrame([("u1", "PROLIFIC_7"), ("u2", "PROLIFIC_3")], "orig string, anon string")
-    seen = spark.createDataFrame([("u9", 1), ("u1", 2), (None, 3), ("Lead-Anna", 4), ("u8", 0), ("u9", 9)], "orig string, at int")
+    seen = spark.createDataFrame([("u9", 1), ("u1", 2), (None, 3), ("Lead-Team", 4), ("u8", 0), ("u9", 9)], "orig string, at int")
     got = {r["orig"]: r["anon"] for r in idn.extend_map(known, seen, "at").collect()}
-    assert got == {"u1": "PROLIFIC_7", "u2": "PROLIFIC_3", "u8": "PROLIFIC_8", "u9": "PROLIFIC_9", "Lead-Anna": "Lead-anna"}
+    assert got == {"u1": "PROLIFIC_7", "u2": "PROLIFIC_3", "u8": "PROLIFIC_8", "u9": "PROLIFIC_9", "Lead-Team": "Lead-team"}
     rows = spark.createDataFrame([(1, "u9"), (2, "zz")], "k int, annotator string")
     mapped = idn.apply_map(rows, idn.extend_map(known, seen, "at"), "annotator")
     assert {(r["k"], r["annotator"]) for r in mapped.collect()} == {(1, "PROLIFIC_9"), (2, "zz")}

@@ -1,6 +1,7 @@
 import json
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from turnwise.operators import annotations as an
@@ -92,6 +93,39 @@ def test_cut_corpus_and_pair_ids(spark, tmp_path):
     assert (row["qid"], row["guest_idx"], row["reply_idx"]) == ("NPR-4-10", [10, 11], [13])
 
 
+def test_corpus_survives_a_round_trip(spark, tmp_path):
+    texts = ["don't", 'say "x"', "a\tb\nc", " blanks ", "[1]", "\\"]
+    rows = spark.createDataFrame([("i1", "a \"quoted\"\ntitle", texts, ["A", "O'B"] * 3)], "id string, title string, utt array<string>, speaker array<string>")
+    writers.write_tsv(rows, str(tmp_path / "c"))
+    assert readers.read_cut_corpus(spark, str(tmp_path / "c")).first() == rows.first()
+    (tmp_path / "bad.tsv").write_text("id\tspeaker\tutt\nx\t['a', b\t['c']\ny\t['a']\t['c']\n")
+    with pytest.raises(Exception, match="not a list in speaker"):
+        readers.read_cut_corpus(spark, str(tmp_path / "bad.tsv")).collect()
+    assert [r["id"] for r in readers.unparsed_lists(spark, str(tmp_path / "bad.tsv")).collect()] == ["x"]
+    assert readers.read_cut_corpus(spark, str(tmp_path / "bad.tsv"), strict=False).where("speaker IS NULL").count() == 1
+
+
+def test_json_maps_survive_a_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(f"q{i}", f"p '{i}' \"x\"\n{{,}}") for i in range(30)], "qid string, prompt string")
+    for one in (False, True):
+        path = str(tmp_path / f"m{one}")
+        writers.write_json_map(rows, path, one_object=one)
+        assert sorted(readers.read_prompts(spark, path).collect()) == sorted(rows.collect())
+    (text,) = [p.read_text() for p in (tmp_path / "mTrue").glob("part-*")]
+    assert json.loads(text) == {r["qid"]: r["prompt"] for r in rows.collect()}
+    lists = spark.createDataFrame([("q1", ["a", "b\"c"]), ("q2", [])], "qid string, answers array<string>")
+    writers.write_json_map(lists, str(tmp_path / "lists"), value="answers")
+    assert {(r["qid"], r["rep"], r["reply"]) for r in readers.read_replies(spark, str(tmp_path / "lists")).collect()} == {("q1", 0, "a"), ("q1", 1, "b\"c")}
+
+
+def test_long_headers_are_read_whole(spark, tmp_path):
+    wide = [f"column_{i:06d}" for i in range(7_000)]
+    for n, last in ((1, "x"), (2, "y")):
+        pd.DataFrame({**{c: [n] for c in wide}, last: [n]}).to_csv(tmp_path / f"{n}.tsv", sep="\t", index=False)
+    rows = readers.read_tsv(spark, [str(tmp_path / "1.tsv"), str(tmp_path / "2.tsv")]).select("x", "y", "file_no")
+    assert {tuple(r) for r in rows.collect()} == {("1", None, 0), (None, "2", 1)}
+
+
 def test_snapshots_only_on_change(spark, tmp_path):
     path = str(tmp_path / "db")
     rows = spark.createDataFrame([(1, ["a"]), (1, ["a"]), (2, None)], "k int, l array<string>")

@@ -67,18 +67,20 @@ ranked AS (
 tuples AS (
   SELECT item, CAST(sum(vote) AS BIGINT) AS yes, count(*) AS n, avg(vote) AS share FROM votes GROUP BY item)"""
 
-NEED_SQL = """entropies AS (
+NEED_SQL = """longest AS (SELECT max(n) AS most FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey)),
+entropies AS (
   SELECT y, m, CASE WHEN y <= 0 OR y >= m THEN 0.0
     ELSE -(y / m) * log2(y / m) - (1 - y / m) * log2(1 - y / m) END AS h
   FROM (SELECT CAST(a.i AS DOUBLE) AS y, CAST(b.i AS DOUBLE) AS m
-        FROM range(0, 121) a(i), range(1, 121) b(i) WHERE a.i <= b.i)),
+        FROM (SELECT unnest(range(0, most + 16)) AS i FROM longest) a, (SELECT unnest(range(1, most + 16)) AS i FROM longest) b
+        WHERE a.i <= b.i)),
 need AS (
   SELECT CAST(e.y AS BIGINT) AS yes, CAST(e.m AS BIGINT) AS n,
     CASE WHEN e.h < 0.8 THEN greatest(0, 3 - e.m)
          ELSE greatest(coalesce((SELECT min(k.i) FROM range(1, 16) k(i) JOIN entropies f
                  ON f.y = greatest(e.y, e.m - e.y) + k.i AND f.m = e.m + k.i
                  WHERE f.h < 0.8 AND k.i <= 15 - e.m), 15 - e.m), 3 - e.m) END AS need
-  FROM entropies e WHERE e.m <= 100)"""
+  FROM entropies e)"""
 
 # -- long dialogues: the events of a user ------------------------------------------------------
 

@@ -63,20 +63,26 @@ def zip_sums(spark, sf_dir):
     return h.zip_sum(rows).select("item", F.md5(F.array_join(F.col("sums").cast("array<string>"), "")).alias("sums_md5"))
 
 
-JOINT = H + """, two AS (SELECT item, count(*) FILTER (WHERE k > 0) AS yes, count(*) AS n FROM hls WHERE annotator >= 4 GROUP BY item),
-both_ AS (SELECT item, tok, count(*) AS c FROM marked WHERE annotator >= 4 GROUP BY item, tok),
+JOINT = H + """, duos AS (SELECT item * 10 + annotator // 2 AS item, k FROM hls),
+two AS (SELECT item, count(*) FILTER (WHERE k > 0) AS yes, count(*) AS n FROM duos GROUP BY item),
+both_ AS (SELECT item * 10 + annotator // 2 AS item, tok, count(*) AS c FROM marked GROUP BY ALL),
 joint_ AS (SELECT item, count(*) FILTER (WHERE c = n) / count(*) AS j FROM both_ JOIN two USING (item) WHERE yes = n GROUP BY item)
 """
 
 
+def _duos(spark, sf_dir):
+    """The highlights of annotators 2k and 2k + 1 on a text as an item of their own."""
+    return highlights(spark, sf_dir).withColumn("item", F.col("item") * 10 + F.floor(F.col("annotator") / 2))
+
+
 @query("joint_jaccard", JOINT + "SELECT item, round(j, 6) AS jaccard FROM joint_")
 def joint_jaccard(spark, sf_dir):
-    return h.joint_jaccard(highlights(spark, sf_dir).where("annotator >= 4")).select("item", r6("jaccard"))
+    return h.joint_jaccard(_duos(spark, sf_dir)).select("item", r6("jaccard"))
 
 
 @query("mean_joint_jaccard", JOINT + "SELECT round(coalesce(avg(j), 0), 6) AS mean_jaccard FROM joint_")
 def mean_joint_jaccard(spark, sf_dir):
-    return h.mean_joint_jaccard(highlights(spark, sf_dir).where("annotator >= 4")).select(r6("mean_jaccard"))
+    return h.mean_joint_jaccard(_duos(spark, sf_dir)).select(r6("mean_jaccard"))
 
 
 PAIR_JACCARD = """, jac AS (

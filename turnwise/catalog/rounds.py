@@ -209,7 +209,27 @@ def _open_groups(spark, sf_dir):
         F.count_distinct("l_partkey").alias("size"))
 
 
-@query("packed_studies")
+# First-fit decreasing by size: each size fills the rooms of the bins in their order, then opens new bins.
+PACKED_SQL = """WITH RECURSIVE sized AS (
+  SELECT l_orderkey AS study, count(DISTINCT l_partkey) AS size FROM lineitem WHERE l_quantity > 15 GROUP BY 1),
+placed AS (SELECT *, least(size, 11) AS cls, row_number() OVER (PARTITION BY least(size, 11) ORDER BY size DESC, study) AS place FROM sized),
+counts AS (SELECT c.cls, count(p.study) AS many FROM (SELECT unnest(range(1, 12)) AS cls) c LEFT JOIN placed p USING (cls) GROUP BY 1),
+fill(cls, rooms, takes) AS (
+  SELECT CAST(12 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT cls, list_concat(list_transform(rooms, lambda r, i: r - old[i] * cls), list_transform(new, lambda t: 10 - t * cls)), list_concat(old, new)
+  FROM (SELECT cls, rooms, old, list_transform(range(CAST(ceil((many - coalesce(list_sum(old), 0)) / greatest(1, 10 // cls)) AS BIGINT)),
+          lambda j: least(greatest(1, 10 // cls), CAST(many - coalesce(list_sum(old), 0) AS BIGINT) - j * greatest(1, 10 // cls))) AS new
+        FROM (SELECT cls, many, rooms, list_transform(caps, lambda c, i: CAST(greatest(0, least(c, many - coalesce(list_sum(caps[1:i - 1]), 0))) AS BIGINT)) AS old
+              FROM (SELECT c.cls, c.many, f.rooms, list_transform(f.rooms, lambda r: greatest(0, r // c.cls)) AS caps
+                    FROM fill f JOIN counts c ON c.cls = f.cls - 1)))),
+seats AS (SELECT cls, bin, row_number() OVER (PARTITION BY cls ORDER BY bin) AS place FROM (
+  SELECT cls, bin, unnest(range(take)) FROM (SELECT cls, generate_subscripts(takes, 1) - 1 AS bin, unnest(takes) AS take FROM fill) WHERE take > 0)),
+packed AS (SELECT study, size, bin FROM placed JOIN seats USING (cls, place))
+"""
+
+
+@query("packed_studies", PACKED_SQL + "SELECT study, size, CAST(bin AS BIGINT) AS bin FROM packed")
 def packed_studies(spark, sf_dir):
     return rd.pack_studies(_open_groups(spark, sf_dir))
 
@@ -228,7 +248,12 @@ def packed_study_loads(spark, sf_dir):
         F.greatest(half - 1, F.lit(0)).cast("int").alias("n_wasteful"))
 
 
-@query("merged_studies")
+@query("merged_studies", PACKED_SQL + """, lists AS (
+  SELECT l_orderkey AS study, list_sort(list(DISTINCT 'Q-' || l_partkey)) AS qids, min(l_linenumber) AS places FROM lineitem WHERE l_quantity > 15 GROUP BY 1)
+SELECT CAST(bin AS BIGINT) AS bin, string_agg(CAST(study AS VARCHAR), '|' ORDER BY size DESC, study) AS study,
+  string_agg(CAST(places + 1 AS VARCHAR), '|' ORDER BY size DESC, study) AS version,
+  string_agg(array_to_string(qids, ','), ',' ORDER BY size DESC, study) AS qids, min(places) AS places
+FROM packed JOIN lists USING (study) GROUP BY bin""")
 def merged_studies(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").where("l_quantity > 15")
     lists = line.groupBy(F.col("l_orderkey").alias("study")).agg(
@@ -483,15 +508,16 @@ def filled_highlights(spark, sf_dir):
     return an.fill_highlights(choices).groupBy("category", "highlighted").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("inspection_rows", _export_sql(True) + """, txt AS (
-  SELECT o_orderkey, p_name FROM (SELECT l_orderkey AS o_orderkey, min(l_partkey) AS k FROM lineitem GROUP BY 1) JOIN part ON p_partkey = k)
+@query("inspection_rows", _export_sql(True) + """, txt AS (SELECT string_agg(n_name, ' ' ORDER BY n_nationkey) AS names FROM nation)
 SELECT session, category, CASE category WHEN 'Comment' THEN 'sum' WHEN 'Referred' THEN
-  array_to_string(list_transform(str_split('one two three four five six seven', ' '), lambda w, i:
+  array_to_string(list_transform(str_split((SELECT names FROM txt), ' '), lambda w, i:
     CASE WHEN list_contains(str_split(replace(replace(highlighted, '[', ''), ']', ''), ', '), CAST(i AS VARCHAR)) THEN upper(w) ELSE w END), ' ')
   ELSE '' END AS text FROM long WHERE qid = 'NPR-8-3' AND category IN ('Referred', 'Comment', 'Is Referring')""")
 def inspection_rows(spark, sf_dir):
     long = _long(spark, sf_dir).where("qid = 'NPR-8-3' AND category IN ('Referred', 'Comment', 'Is Referring')")
-    texts = spark.sql("SELECT 'NPR-8-3' AS qid, 'one two three four five six seven' AS guest_text, 'x' AS host_text, 'sum' AS summary")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda n: n["n_name"]), " ")
+    texts = table(spark, sf_dir, "nation").agg(names.alias("guest_text")).select(
+        F.lit("NPR-8-3").alias("qid"), "guest_text", F.lit("x").alias("host_text"), F.lit("sum").alias("summary"))
     return an.with_inspection_text(long, texts).select("session", "category", "text")
 
 

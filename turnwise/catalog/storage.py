@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnwise.catalog.base import ORDER, query, table, votes
+from turnwise.catalog.base import NEED_SQL, ORDER, query, table, votes, with_ctes
 from turnwise.catalog.dialogue import _reply_rows
+from turnwise.functions.text import string_list
 from turnwise.operators import sampling as s
 from turnwise.operators import votes as v
 from turnwise.session import new_folder
@@ -22,6 +23,48 @@ def tsv_round_trip(spark, sf_dir):
     return readers.read_tsv(spark, [f"{folder}/wide/*.csv", f"{folder}/plain/*.csv"]).select(*rows.columns)
 
 
+TURNS_SQL = """SELECT conv_id, turn, md5(role || '/' || text || '/' || array_to_string(str_split(text, '. '), '|')) AS text_md5
+FROM conversations"""
+
+
+def _turns(spark, sf_dir):
+    """Turns with their text and its parts, made awkward: quotes, apostrophes, brackets, line breaks and blanks at the ends."""
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", "role", "text", F.split("text", r"\. ").alias("parts"))
+
+
+@query("tsv_texts", TURNS_SQL)
+def tsv_texts(spark, sf_dir):
+    folder = new_folder(spark, "turns")
+    odd = F.lit(" don't say \"x\", ['y']\n\t\\\\ ")
+    rows = _turns(spark, sf_dir).withColumn("text", F.concat(odd, "text", odd)).withColumn(
+        "parts", F.transform("parts", lambda p: F.concat(odd, p, odd)))
+    writers.write_tsv(rows, folder)
+    back = readers.read_tsv(spark, [f"{folder}/*.csv"]).withColumn("parts", string_list("parts"))
+    plain = lambda c: F.substring(c, F.length(odd) + 1, F.length(c) - 2 * F.length(odd))
+    whole = F.startswith("text", odd) & F.endswith("text", odd) & F.forall("parts", lambda p: F.startswith(p, odd) & F.endswith(p, odd))
+    return back.where(whole).select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.md5(F.concat_ws("/", "role", plain(F.col("text")), F.array_join(F.transform("parts", plain), "|"))).alias("text_md5"))
+
+
+@query("json_map_texts", "SELECT conv_id || '-' || turn AS qid, md5(text) AS text_md5 FROM conversations")
+def json_map_texts(spark, sf_dir):
+    folder = new_folder(spark, "prompts")
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.col("text").alias("prompt"))
+    writers.write_json_map(rows, folder)
+    return readers.read_prompts(spark, folder).select("qid", F.md5("prompt").alias("text_md5"))
+
+
+@query("reply_map_texts", "SELECT conv_id || '-' || turn AS qid, t.rep, md5(CASE t.rep WHEN 0 THEN text ELSE role END) AS reply_md5 FROM conversations, (VALUES (0), (1)) t(rep)")
+def reply_map_texts(spark, sf_dir):
+    folder = new_folder(spark, "replies")
+    rows = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("qid"), F.array("text", "role").alias("answers"))
+    writers.write_json_map(rows, folder, value="answers", one_object=True)
+    return readers.read_replies(spark, folder).select("qid", "rep", F.md5("reply").alias("reply_md5"))
+
+
 @query("snapshots", """SELECT 'first' AS step, 1 AS snapshot, count(*) AS n FROM orders UNION ALL
 SELECT 'same', 1, count(*) FROM orders UNION ALL SELECT 'changed', 2, count(*) FROM orders WHERE o_orderstatus <> 'P'""")
 def snapshots(spark, sf_dir):
@@ -78,30 +121,44 @@ def cut_corpus(spark, sf_dir):
 # -- streams ------------------------------------------------------------------------------------
 
 def _vote_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "lineitem").schema
-    line = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
-    return line.select(
+    """Line items as votes, stored as three files by time and read one file a batch."""
+    folder = new_folder(spark, "votes")
+    line = table(spark, sf_dir, "lineitem").withColumn("ts", F.col("l_shipdate").cast("timestamp"))
+    cuts = line.agg(F.percentile_approx(F.unix_micros("ts"), [1 / 3, 2 / 3]).alias("c")).first()["c"] or [0, 0]
+    part = F.when(F.unix_micros("ts") <= cuts[0], 0).when(F.unix_micros("ts") <= cuts[1], 1).otherwise(2)
+    for n in range(3):
+        line.where(part == n).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(line.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream.select(
         F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("annotator"), F.col("l_orderkey").alias("session"),
-        F.col("l_linenumber").alias("line"), F.col("l_shipdate").cast("timestamp").alias("ts"), (F.col("l_quantity") > 25).cast("int").alias("vote"))
+        F.col("l_linenumber").alias("line"), "ts", (F.col("l_quantity") > 25).cast("int").alias("vote"))
 
 
-def _drain(spark, stream, label: str, mode: str = "append"):
-    """Run a stream over all available input into the shared folder and read the result."""
+def _drain(spark, stream, label: str, keys: list[str] | None = None):
+    """Run a stream over all available input into the shared folder and read the result.
+
+    With ``keys`` the stream is in update mode, and the newest row of each key counts.
+    """
     folder = new_folder(spark, label)
-    if mode == "append":
+    if keys is None:
         writer = stream.writeStream.format("parquet").option("path", f"{folder}/out")
     else:
         writer = stream.writeStream.foreachBatch(
-            lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out")).outputMode(mode)
+            lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out")).outputMode("update")
     writer.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    if keys is None:
+        return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("v")).select(*keys, "v.*")
 
 
-@query("stream_tallies", """SELECT l_partkey AS item, CAST(sum(CAST(l_quantity > 25 AS INTEGER)) AS BIGINT) AS yes, count(*) AS n
-FROM lineitem GROUP BY l_partkey""")
+@query("stream_tallies", with_ctes(NEED_SQL) + """, t AS (
+  SELECT l_partkey AS item, CAST(sum(CAST(l_quantity > 25 AS INTEGER)) AS BIGINT) AS yes, count(*) AS n FROM lineitem GROUP BY l_partkey)
+SELECT item, yes, n, CAST(greatest(0, need) AS BIGINT) AS need FROM t JOIN need USING (yes, n)""")
 def stream_tallies(spark, sf_dir):
-    out = _drain(spark, sv.running_tallies(_vote_stream(spark, sf_dir)), "tallies", "complete")
-    return out.select("item", "yes", "n")
+    out = _drain(spark, sv.running_tallies(_vote_stream(spark, sf_dir)), "tallies", ["item"])
+    return out.select("item", "yes", "n", F.col("need").cast("long").alias("need"))
 
 
 STOP_STREAM = """WITH raw_votes AS (
@@ -115,7 +172,7 @@ SELECT item, min(n) AS n, arg_min(yes, n) AS yes FROM ok WHERE n >= 15 OR (n >=
 @query("stream_stops", STOP_STREAM)
 def stream_stops(spark, sf_dir):
     stream = _vote_stream(spark, sf_dir).withColumn("annotator", F.concat_ws("-", "annotator", "session", "line"))
-    return _drain(spark, sv.stopping_rounds(stream), "stops").select("item", "n", "yes")
+    return _drain(spark, sv.stopping_rounds(stream, forget_after="9000 days"), "stops").select("item", "n", "yes")
 
 
 @query("stream_first_submissions", "SELECT DISTINCT l_partkey AS item, l_suppkey AS annotator FROM lineitem")
@@ -124,6 +181,15 @@ def stream_first_submissions(spark, sf_dir):
     return _drain(spark, stream, "first").select("item", "annotator")
 
 
+@query("stream_last_submissions", """SELECT item, annotator, session, line, vote FROM (
+  SELECT l_partkey AS item, l_suppkey AS annotator, l_orderkey AS session, l_linenumber AS line, CAST(l_quantity > 25 AS INTEGER) AS vote,
+    row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS place FROM lineitem)
+WHERE place = 1""")
+def stream_last_submissions(spark, sf_dir):
+    out = _drain(spark, sv.last_submissions(_vote_stream(spark, sf_dir)), "last", ["item", "annotator"])
+    return out.select("item", "annotator", "session", "line", "vote")
+
+
 @query("stream_anonymised", """SELECT CASE WHEN s_acctbal > 0 THEN 'A' || s_suppkey END AS anon, count(*) AS n
 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""")
 def stream_anonymised(spark, sf_dir):

@@ -337,7 +337,7 @@ def agreement_first_three(spark, sf_dir):
 
 
 SEATED = with_ctes(RAW_VOTES_SQL) + """, sv AS (
-  SELECT item // 50 AS study, item, annotator % 8 AS annotator, max(vote) AS vote FROM raw_votes GROUP BY ALL),
+  SELECT item // 50 AS study, item, annotator, max(vote) AS vote FROM raw_votes GROUP BY ALL),
 seats AS (SELECT study, annotator, row_number() OVER (PARTITION BY study ORDER BY annotator) AS seat
           FROM (SELECT DISTINCT study, annotator FROM sv)),
 duos AS (
@@ -370,7 +370,7 @@ SELECT study, duo, n AS n_items, round((n11 + n10 + n01) / n, 6) AS candidate_sh
                  CASE WHEN n01 + n00 > 0 THEN n00 / (n01 + n00) ELSE 0 END), 6) AS consumed FROM cells""")
 def duo_scores(spark, sf_dir):
     rows = raw_votes(spark, sf_dir).groupBy(
-        F.floor(F.col("item") / 50).alias("study"), "item", (F.col("annotator") % 8).alias("annotator")).agg(
+        F.floor(F.col("item") / 50).alias("study"), "item", "annotator").agg(
         F.max("vote").alias("vote"))
     return a.duo_scores(a.seated_pairs(rows)).select(
         "study", "duo", "n_items", r6("candidate_share"), r6("share_1"), r6("share_2"), r6("kappa"),
@@ -428,9 +428,10 @@ stops AS (SELECT item, coalesce(min(rank) FILTER (WHERE rank >= 3 AND need <= 0)
           FROM heads JOIN need ON need.yes = heads.y AND need.n = heads.rank GROUP BY item)"""
 
 
-@query("stop_points", STOPS + "SELECT item, stop FROM stops")
+@query("stop_points", STOPS + "SELECT item, n, stop FROM stops JOIN tuples USING (item)")
 def stop_points(spark, sf_dir):
-    return st.stop_points(votes(spark, sf_dir), ORDER).select("item", F.col("stop").cast("long").alias("stop"))
+    return st.stop_points(votes(spark, sf_dir), ORDER).select(
+        "item", F.col("n").cast("long").alias("n"), F.col("stop").cast("long").alias("stop"))
 
 
 @query("agreement_dynamic_stop", STOPS + ", cut AS (SELECT h.* FROM heads h JOIN stops s USING (item) WHERE rank <= stop)"
@@ -439,13 +440,18 @@ def agreement_dynamic_stop(spark, sf_dir):
     return _summary(a.pairwise_kappa(st.votes_until_stop(votes(spark, sf_dir), ORDER), 1, sized_by=raw_votes(spark, sf_dir)))
 
 
+# The thresholds that the rules are compared at.
+ENTROPIES = (0.99, 0.97, 0.95, 0.93, 0.9, 0.88, 0.85, 0.83, 0.8, 0.78, 0.75, 0.73, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)
+SCALED = (0.3, 0.25, 0.2, 0.17, 0.15, 0.14, 0.13, 0.12, 0.11, 0.1, 0.09, 0.08, 0.07, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01)
+
+
 def _stop_sql() -> str:
     parts = []
     for k in (1, 2, 3, 4, 5):
         parts.append(f"SELECT 'agree_{k}' AS rule, item, coalesce(min(rank) FILTER (WHERE y = {k} OR rank - y = {k}), max(rank)) AS stop FROM heads GROUP BY item")
-    for t in (0.5, 0.7, 0.8, 0.9):
+    for t in ENTROPIES:
         parts.append(f"SELECT 'entropy_{t}', item, coalesce(min(rank) FILTER (WHERE rank BETWEEN 3 AND 10 AND h <= {t}), least(max(rank), 10)) FROM heads GROUP BY item")
-    for t in (0.2, 0.3, 0.4):
+    for t in SCALED:
         parts.append(f"SELECT 'scaled_{t}', item, coalesce(min(rank) FILTER (WHERE rank BETWEEN 3 AND 10 AND h / sqrt(rank) <= {t}), least(max(rank), 10)) FROM heads GROUP BY item")
     return " UNION ALL ".join(parts)
 
@@ -458,14 +464,14 @@ SELECT rule, round(avg(stop), 6) AS mean_votes,
   round(avg(CAST((h.y / h.rank >= 0.5) = (t.share >= 0.5) AS INTEGER)), 6) AS accuracy
 FROM stops s JOIN heads h ON h.item = s.item AND h.rank = s.stop JOIN tuples t ON t.item = s.item GROUP BY rule""")
 def stop_report(spark, sf_dir):
-    return st.stop_report(votes(spark, sf_dir), ORDER).select("rule", r6("mean_votes"), r6("accuracy"))
+    return st.stop_report(votes(spark, sf_dir), ORDER, thresholds=ENTROPIES, scaled_thresholds=SCALED).select("rule", r6("mean_votes"), r6("accuracy"))
 
 
-@query("bootstrap_reliability", V + f""", heads AS (SELECT item, vote, rank FROM ranked WHERE rank <= 10),
+@query("bootstrap_reliability", V + f""", heads AS (SELECT item, vote, rank FROM ranked WHERE rank <= 20),
 arr AS (SELECT item, count(*) AS n, list(vote ORDER BY rank) AS vs FROM heads GROUP BY item),
 drawn AS (
   SELECT rep, item, n, j, vs[j] AS org, vs[1 + CAST('0x' || substr(md5('1|' || rep || '|' || item || '|' || j), 1, 8) AS BIGINT) % n] AS re
-  FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM (SELECT *, unnest(range(1, 21)) AS rep FROM arr))),
+  FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM (SELECT *, unnest(range(1, 101)) AS rep FROM arr))),
 cum AS (SELECT rep, item, j AS k, sum(re) OVER w / j AS a, sum(org) OVER w / j AS b,
           (sum(org) OVER (PARTITION BY rep, item)) / n AS f FROM drawn WINDOW w AS (PARTITION BY rep, item ORDER BY j)),
 cells AS (SELECT rep, k, count(*) AS n, count(*) FILTER (WHERE a >= 0.5 AND b >= 0.5) AS n11, count(*) FILTER (WHERE a >= 0.5 AND b < 0.5) AS n10,
@@ -473,15 +479,15 @@ cells AS (SELECT rep, k, count(*) AS n, count(*) FILTER (WHERE a >= 0.5 AND b >=
   avg(CAST((b >= 0.5) = (f >= 0.5) AS INTEGER)) AS acc FROM cum GROUP BY rep, k)
 SELECT k, round(avg({KAPPA_SQL}), 6) AS kappa, round(avg(acc), 6) AS accuracy FROM cells GROUP BY k""")
 def bootstrap_reliability(spark, sf_dir):
-    return st.bootstrap_reliability(votes(spark, sf_dir), n=10, replicates=20, order=ORDER).select(
+    return st.bootstrap_reliability(votes(spark, sf_dir), order=ORDER).select(
         F.col("k").cast("long").alias("k"), r6("kappa"), r6("accuracy"))
 
 
 @query("smallest_need", with_ctes(VOTES_SQL, NEED_SQL) + """, heads AS (
-  SELECT item, item // 10 AS study, count(*) AS n, CAST(sum(vote) AS BIGINT) AS yes FROM ranked WHERE rank <= 5 GROUP BY item)
+  SELECT item, item // 10 AS study, count(*) AS n, CAST(sum(vote) AS BIGINT) AS yes FROM ranked GROUP BY item)
 SELECT study, count(*) AS n_open, CAST(min(need) AS BIGINT) AS places FROM heads JOIN need USING (yes, n) WHERE need > 0 GROUP BY study""")
 def smallest_need(spark, sf_dir):
-    head = v.vote_tuples(v.first_votes(votes(spark, sf_dir), 5, ORDER)).withColumn("study", F.floor(F.col("item") / 10))
+    head = v.vote_tuples(votes(spark, sf_dir)).withColumn("study", F.floor(F.col("item") / 10))
     return st.smallest_need(head).select("study", "n_open", F.col("places").cast("long").alias("places"))
 
 

@@ -111,14 +111,24 @@ def int_list(literal) -> Column:
 
 
 def string_list(literal) -> Column:
-    """``"['a', 'b']"`` as ``array<string>``; literals that mix quote kinds give NULL."""
-    return F.from_json(F.translate(col(literal), "'", '"'), "array<string>")
+    """A JSON array or a Python list literal of texts as ``array<string>``; NULL if it is neither.
+
+    Either kind of quotes may enclose a text, escaped characters are those of JSON, ``\\'`` and ``\\xhh``.
+    """
+    plain = F.regexp_replace(col(literal), r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    return F.from_json(plain, "array<string>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
 
 
 def list_literal(values) -> Column:
+    """Numbers as ``[1, 5, 6]``."""
     return F.concat(F.lit("["), F.array_join(col(values).cast("array<string>"), ", "), F.lit("]"))
 
 
+def text_list_literal(values) -> Column:
+    """Texts as a JSON array, which ``string_list`` reads back as they are."""
+    return F.to_json(col(values))
+
+
 def code_label(code, mapping: dict[int, str]) -> Column:
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]
     return F.try_element_at(F.create_map(*pairs), col(code).try_cast("int"))

@@ -26,8 +26,11 @@ def explode_interviews(interviews: DataFrame) -> DataFrame:
 
 
 def speaker_names(utterances: DataFrame) -> DataFrame:
-    """Distinct names per conversation with their first and last position and their utterances."""
-    return utterances.groupBy("conv", "speaker").agg(
+    """Distinct names per conversation with their first and last position and their utterances.
+
+    An utterance without a speaker has no name and counts for none.
+    """
+    return utterances.where("speaker IS NOT NULL").groupBy("conv", "speaker").agg(
         F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("n"))
 
 
@@ -54,46 +57,59 @@ def _in_row_cast(names: DataFrame) -> DataFrame:
 def _spread_canon(names: DataFrame) -> DataFrame:
     """Canonical names for conversations with any number of names.
 
-    Every substring of every name keeps its best owner by a partially aggregated ``max_by``, and each
-    name looks itself up: linear in the names, no pairs of names.
+    Every substring that is as long as some name of the conversation keeps its best owner by a partially
+    aggregated ``max_by``, and each name looks itself up: no pairs of names.
     """
     size = F.length("speaker")
+    lengths = names.groupBy("conv").agg(F.collect_set(size).alias("lengths"))
     parts = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-        lambda s: F.transform(
-            F.sequence(F.lit(1), F.greatest(size - s + 1, F.lit(1))), lambda n: F.substring(F.col("speaker"), s, n))))
-    owners = names.select(
-        "conv", "speaker", "last_pos",
-        F.explode(F.array_distinct(F.concat(parts, F.array(F.lit(""))))).alias("part"),
+        F.filter("lengths", lambda n: n <= size),
+        lambda n: F.transform(
+            F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda s: F.substring(F.col("speaker"), s, n))))
+    owners = names.join(lengths, "conv").select(
+        "conv", "speaker", "last_pos", F.explode(F.array_distinct(parts)).alias("part"),
     ).groupBy("conv", "part").agg(
         F.max_by("speaker", F.struct(F.length("speaker"), F.col("last_pos"))).alias("canon"))
     return names.join(owners.withColumnRenamed("part", "speaker"), ["conv", "speaker"]).select(
         "conv", "speaker", "canon", "first_pos", "last_pos")
 
 
+def _by_cast_size(names: DataFrame, in_row: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Names of conversations with up to ``in_row`` names, and those of the others, if there are any."""
+    if most <= in_row:
+        return names, None
+    large = names.groupBy("conv").count().where(F.col("count") > in_row).select("conv")
+    return names.join(large, "conv", "left_anti"), names.join(large, "conv", "left_semi")
+
+
 def canonical_speakers(utterances: DataFrame, in_row: int = IN_ROW_NAMES) -> DataFrame:
     """``conv, speaker, canon, first_pos, last_pos``.
 
     A name contained in longer names of the conversation maps to the longest of them, ties to the
-    one seen last.
+    one seen last.  Conversations with more than ``in_row`` names take another way to the same result.
     """
     names = speaker_names(utterances)
-    if _name_sizes(names)[0] > in_row:
-        return _spread_canon(names)
-    return _in_row_cast(names).select("conv", F.explode("cast").alias("m")).select(
+    small, large = _by_cast_size(names, in_row, _name_sizes(names)[0])
+    found = _in_row_cast(small).select("conv", F.explode("cast").alias("m")).select(
         "conv", "m.speaker", "m.canon", "m.first_pos", "m.last_pos")
+    return found if large is None else found.unionByName(_spread_canon(large))
 
 
-def _casts(names: DataFrame, in_row: bool) -> DataFrame:
+def _casts(names: DataFrame, in_row: int, most: int) -> DataFrame:
     """``conv, n_speakers, host, guest, host_names``; guest only where there are two speakers."""
-    if in_row:
-        people = F.array_sort(F.col("cast"))
-        order = F.array_distinct(F.transform(people, lambda m: m["canon"]))
-        return _in_row_cast(names).select(
-            "conv", F.size(order).cast("long").alias("n_speakers"), F.get(order, F.lit(0)).alias("host"),
-            F.when(F.size(order) == 2, F.get(order, F.lit(1))).alias("guest"),
-            F.transform(F.filter(people, lambda m: m["canon"] == F.get(order, F.lit(0))),
-                        lambda m: m["speaker"]).alias("host_names"))
+    small, large = _by_cast_size(names, in_row, most)
+    people = F.array_sort(F.col("cast"))
+    order = F.array_distinct(F.transform(people, lambda m: m["canon"]))
+    casts = _in_row_cast(small).select(
+        "conv", F.size(order).cast("long").alias("n_speakers"), F.get(order, F.lit(0)).alias("host"),
+        F.when(F.size(order) == 2, F.get(order, F.lit(1))).alias("guest"),
+        F.transform(F.filter(people, lambda m: m["canon"] == F.get(order, F.lit(0))),
+                    lambda m: m["speaker"]).alias("host_names"))
+    return casts if large is None else casts.unionByName(_spread_casts(large))
+
+
+def _spread_casts(names: DataFrame) -> DataFrame:
+    """The same for conversations with any number of names."""
     canon = cut_lineage(_spread_canon(names))
     people = canon.groupBy("conv", "canon").agg(F.min("first_pos").alias("first_pos"))
     roles = people.groupBy("conv").agg(
@@ -113,7 +129,7 @@ def conversation_roles(utterances: DataFrame, in_row: int = IN_ROW_NAMES) -> Dat
     call itself host or anchor.
     """
     names = speaker_names(utterances)
-    return _with_test(_casts(names, _name_sizes(names)[0] <= in_row)).drop("host_names")
+    return _with_test(_casts(names, in_row, _name_sizes(names)[0])).drop("host_names")
 
 
 def _with_test(casts: DataFrame) -> DataFrame:
@@ -136,16 +152,16 @@ class Runs:
 
 
 def speaker_runs(utterances: DataFrame, in_row: int = IN_ROW_NAMES) -> Runs:
-    """Number the runs of each two-speaker conversation.
+    """Number the runs of each two-speaker conversation; utterances without a speaker are in none.
 
     The host's names of a conversation are a short list, and joining it on the conversation leaves
     one shuffle of the texts for the join, the windows and the run aggregate.
     """
     names = speaker_names(utterances)
     most_names, total, longest = _name_sizes(names)
-    casts = _with_test(_casts(names, most_names <= in_row))
+    casts = _with_test(_casts(names, in_row, most_names))
     cast = casts.where("two_speakers").select("conv", "host", "guest", "host_names")
-    spoken = utterances.join(cast, "conv").withColumn(
+    spoken = utterances.where("speaker IS NOT NULL").join(cast, "conv").withColumn(
         "is_host", F.array_contains("host_names", F.col("speaker")))
     marked = Ordered(spoken.drop("host_names", "speaker"), ["conv"], ["pos"],
                      probe=utterances, sizes=(total, longest))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.plans.ordered import row_numbers
+from turnwise.plans.ordered import row_numbers, rows_per_task
 
 
 def draw(seed: int, *keys: str) -> Column:
@@ -87,11 +87,7 @@ def sample_ratio(pool: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 def _slices(weights: DataFrame, seed: int, key: str, digits: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with a uniform slice of the md5 order, and the weight before each slice.
-
-    The slices are 16**digits rows, a fixed number, so the second table may be broadcast and its own
-    window is small.
-    """
+    """Rows with a uniform slice of the md5 order, and the weight before each of the 16**digits slices."""
     rows = weights.withColumn("__h", draw(seed, key)).withColumn("__s", F.substring("__h", 1, digits))
     per = rows.groupBy("__s").agg(F.sum("weight").alias("w"))
     win = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,16 +96,23 @@ def _slices(weights: DataFrame, seed: int, key: str, digits: int) -> tuple[DataF
 
 def weighted_split(weights: DataFrame, seed: int, key: str = "qid",
                    cuts: tuple[tuple[str, float], ...] = (("train", 0.70), ("dev", 0.85), ("test", 1.0)),
-                   digits: int = 2) -> DataFrame:
+                   digits: int | None = None) -> DataFrame:
     """Group-disjoint split by cumulative weight in md5 order.
 
+    The order is cut into slices by its first ``digits``, by default as many as keep a slice within the
+    rows of a task; each slice is a window of its own.
+
     ``weights`` has ``key, weight`` with one row per item, so no item is in two splits.  A row goes
     to the first split whose cut is above the share of the weight before it.
     """
     total = weights.agg(F.sum("weight").alias("__total")).withColumn("__k", F.lit(1))
+    if digits is None:
+        slices, digits = weights.count() / (rows_per_task(weights) / 4), 2
+        while 16 ** digits < slices:
+            digits += 1
     rows, before = _slices(weights, seed, key, digits)
     win = Window.partitionBy("__s").orderBy("__h", key).rowsBetween(Window.unboundedPreceding, -1)
-    cum = rows.join(F.broadcast(before), "__s").withColumn(
+    cum = rows.join(before, "__s").withColumn(
         "__cum", F.col("__before") + F.coalesce(F.sum("weight").over(win), F.lit(0)))
     placed = cum.withColumn("__k", F.lit(1)).join(F.broadcast(total), "__k").withColumn(
         "__p", F.col("__cum") / F.col("__total"))

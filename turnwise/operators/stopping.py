@@ -56,9 +56,11 @@ def label_at(stop, cum="cum") -> Column:
 
 
 def stop_points(votes: DataFrame, order: list[str] = ORDER, threshold: float = 0.8, max_votes: int = 15) -> DataFrame:
-    """Dynamic stop per item; after ``max_votes`` votes nothing is needed, so that prefix decides."""
-    return vote_prefixes(votes, max_votes, order).select(
-        "item", "n", need_stop(threshold=threshold, max_votes=max_votes).alias("stop"))
+    """Votes ``n`` and dynamic stop per item; after ``max_votes`` votes nothing is needed, so that prefix decides."""
+    stops = vote_prefixes(votes, max_votes, order).select(
+        "item", need_stop(threshold=threshold, max_votes=max_votes).alias("stop"))
+    counts = votes.groupBy("item").agg(F.count("vote").cast("int").alias("n"))
+    return stops.join(counts, "item").select("item", "n", "stop")
 
 
 def votes_until_stop(votes: DataFrame, order: list[str] = ORDER, threshold: float = 0.8,

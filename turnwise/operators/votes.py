@@ -68,11 +68,13 @@ def total_annotations(votes: DataFrame) -> DataFrame:
 
 def unique_counts(votes: DataFrame) -> DataFrame:
     """Exact distinct items, annotators and sessions, one distinct set at a time."""
-    parts = []
-    for column in ("item", "annotator", "session"):
-        parts.append(votes.select(column).distinct().agg(
-            F.lit(column).alias("what"), F.count(column).alias("n")))
-    return parts[0].union(parts[1]).union(parts[2])
+    names = ["item", "annotator", "session"]
+    kinds = F.array(*[
+        F.struct(F.lit(n).alias("what"), *[(F.col(n) if m == n else F.lit(None)).alias(m) for m in names]) for n in names])
+    # One pass over the votes; the values of a column are distinct before they are counted.
+    values = votes.select(F.explode(kinds).alias("v")).select("v.*").distinct()
+    return values.groupBy("what").agg(
+        F.count(F.coalesce(*[F.col(n).cast("string") for n in names])).alias("n"))
 
 
 def ordered_votes(votes: DataFrame, order: list[str] = ORDER, probe: DataFrame | None = None) -> DataFrame:
@@ -124,7 +126,7 @@ def arrival_progress(arrivals: DataFrame, group: str, order: list[str]) -> DataF
 
 
 def running_median(arrivals: DataFrame, group: str, order: list[str], window_rows: int = 5_000) -> DataFrame:
-    """Adds the median of the values seen so far, by arrival order (``value`` without NULLs).
+    """Adds the median of the values seen so far, by arrival order; NULL values are not seen.
 
     A window keeps the counts of all values seen, which suits groups up to ``window_rows`` rows.
     Beyond that the wanted order statistics are found bit by bit (see ``_medians_by_bits``).
@@ -133,25 +135,31 @@ def running_median(arrivals: DataFrame, group: str, order: list[str], window_row
     if (top or 0) <= window_rows:
         win = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return arrivals.withColumn("running_median", F.percentile("value", 0.5).over(win))
-    numbered = cut_lineage(row_numbers(arrivals, [group], order, "__n"))
-    return numbered.join(_medians_by_bits(numbered, group), [group, "__n"]).drop("__n")
+    numbered = cut_lineage(Ordered(arrivals, [group], order).running(
+        __n=F.lit(1).cast("long"), __seen=F.col("value").isNotNull().cast("long")).result())
+    medians = _medians_by_bits(
+        numbered.select(F.col(group).alias("__group"), "__n", "__seen", "value"), "__group").withColumnRenamed("__n", "__at")
+    return numbered.join(
+        medians, numbered[group].eqNullSafe(medians["__group"]) & (numbered["__n"] == medians["__at"]), "left").drop(
+            "__n", "__seen", "__group", "__at")
 
 
 def _medians_by_bits(numbered: DataFrame, group: str) -> DataFrame:
-    """``group, __n, running_median`` for rows numbered by ``__n`` in each group.
+    """``group, __n, running_median`` for rows numbered by ``__n`` in each group, ``__seen`` values up to each.
 
-    Values are replaced by their dense codes.  A row asks for the one or two middle values among the
-    rows up to it.  All values and questions descend the bits of the codes together: a question goes
+    Values are replaced by their dense codes.  A row asks for the one or two middle values among those
+    up to it.  All values and questions descend the bits of the codes together: a question goes
     to the side holding its order statistic, which a running count of the zero bits tells.  Every bit
     is one ordered pass, so large groups are spread over tasks as in any other ordered plan.
     """
-    codes = cut_lineage(row_numbers(numbered.select("value").distinct(), [], ["value"], "code"))
-    bits = max(1, int(codes.agg(F.max("code")).first()[0] - 1).bit_length())
-    values = numbered.join(codes, "value").select(
+    present = numbered.where("value IS NOT NULL")
+    codes = cut_lineage(row_numbers(present.select("value").distinct(), [], ["value"], "code"))
+    bits = max(1, int((codes.agg(F.max("code")).first()[0] or 1) - 1).bit_length())
+    values = present.join(codes, "value").select(
         group, F.col("__n").alias("t"), F.lit(0).alias("q"), (F.col("code") - 1).alias("code"),
         F.lit(None).cast("long").alias("k"), F.lit(0).cast("long").alias("node"))
-    middle = F.array_distinct(F.array(F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)))
-    asked = numbered.select(group, F.col("__n").alias("t"), F.posexplode(middle).alias("p", "k")).select(
+    middle = F.array_distinct(F.array(F.floor((F.col("__seen") + 1) / 2), F.floor((F.col("__seen") + 2) / 2)))
+    asked = numbered.where("__seen > 0").select(group, F.col("__n").alias("t"), F.posexplode(middle).alias("p", "k")).select(
         group, "t", (F.col("p") + 1).alias("q"), F.lit(None).cast("long").alias("code"), "k",
         F.lit(0).cast("long").alias("node"))
     rows = values.unionByName(asked)

@@ -1,13 +1,11 @@
 """Ordered per-group computations that stay balanced when one group is huge.
 
 A window puts a whole group into one task.  ``Ordered`` first counts the groups.  While every group
-fits a task it is a plain window over the keys.  Otherwise the groups above the limit are cut into
-consecutive ranges of the order columns: the window runs per (group, range) and what precedes a
-range (row counts, sums, last value) comes from one small row per range.
-
-The limit is never below 1/MAX_RANGES of all rows, so there are at most MAX_RANGES groups above it
-and about twice as many ranges, whatever the data size.  That bound is what makes collecting the
-cut points and broadcasting the range summaries safe.
+fits a task it is a plain window over the keys.  Otherwise the rows of the groups above the limit are
+dealt by ranges of keys and order columns, about half the limit each, and stored with the number of
+their range: the window runs per (group, range), and what precedes a range (row counts, sums, last
+value) comes from one row per group and range.  The number of ranges follows the rows, so a task
+never gets more of them as the data grow; the summaries are joined like any table.
 """
 
 from __future__ import annotations
@@ -16,15 +14,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turnwise.session import cut_lineage
 
-MAX_RANGES = 2_000
 ROWS_PER_TASK = 1_000_000
 ROWS_PER_TASK_CONF = "spark.turnwise.rowsPerTask"
-_SAMPLES_PER_RANGE = 32
-_SEARCH_STEPS = 13
 
 _RANGE = "__range"
 
@@ -51,10 +45,12 @@ class Ordered:
         """
         self.keys = list(keys)
         self.order = list(order)
-        cuts = _cut_points(df if probe is None else probe, self.keys, self.order, rows or rows_per_task(df), sizes)
-        self.split = cuts is not None
+        limit = rows or rows_per_task(df)
+        counts = (df if probe is None else probe).groupBy(*self.keys).agg(F.count(F.lit(1)).alias("__n"))
+        _, top = sizes or counts.agg(F.sum("__n"), F.max("__n")).first()
+        self.split = (top or 0) > limit
         # The rows are read once per summary and once for the windows, so they are stored when split.
-        self.df = df if cuts is None else cut_lineage(_tag_ranges(df, cuts, self.keys, self.order))
+        self.df = _tag_ranges(df, counts.where(F.col("__n") > limit), self.keys, self.order, limit) if self.split else df
 
     # -- windows ---------------------------------------------------------------------------
 
@@ -68,16 +64,16 @@ class Ordered:
         return self.df.where(F.col(_RANGE).isNotNull())
 
     def _join_summary(self, summary: DataFrame) -> DataFrame:
-        """Broadcast join of the per-range rows; their number is bounded by the cut points."""
+        """Join with the rows per group and range; groups that are not split have none."""
         renamed = summary.select(
             *[F.col(k).alias(f"__s_{k}") for k in self.keys + [_RANGE]],
             *[c for c in summary.columns if c not in self.keys + [_RANGE]],
         )
         on = _same(self.df, renamed, self.keys, "__s_") & (self.df[_RANGE] == renamed[f"__s_{_RANGE}"])
-        return self.df.join(F.broadcast(renamed), on, "left").drop(*[f"__s_{k}" for k in self.keys + [_RANGE]])
+        return self.df.join(renamed, on, "left").drop(*[f"__s_{k}" for k in self.keys + [_RANGE]])
 
     def running(self, **sums: Column) -> "Ordered":
-        """Inclusive running sums; an expression ``F.lit(1)`` gives the row number."""
+        """Inclusive running sums, NULL until a value was seen; an expression ``F.lit(1)`` gives the row number."""
         win = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         if not self.split:
             self.df = self.df.withColumns({name: F.sum(expr).over(win) for name, expr in sums.items()})
@@ -91,7 +87,7 @@ class Ordered:
         local = {name: F.sum(expr).over(win) for name, expr in sums.items()}
         self.df = self._join_summary(totals)
         self.df = self.df.withColumns({
-            name: local[name] + F.coalesce(F.col(f"__b_{name}"), F.lit(0)) for name in sums
+            name: F.coalesce(local[name] + F.col(f"__b_{name}"), local[name], F.col(f"__b_{name}")) for name in sums
         }).drop(*[f"__b_{name}" for name in sums])
         return self
 
@@ -131,42 +127,17 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "r
     return Ordered(df, keys, order, probe=probe).row_number(name).result()
 
 
-def _cut_points(df: DataFrame, keys: list[str], order: list[str], rows: int,
-                sizes: tuple[int, int] | None = None) -> DataFrame | None:
-    """(keys, sorted cut structs) of the groups above the limit, or None when there is none."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total, top = sizes or counts.agg(F.sum("__n"), F.max("__n")).first()
-    if not total:
-        return None
-    limit = max(rows, total // MAX_RANGES)
-    if top <= limit:
-        return None
-    big = counts.where(F.col("__n") > limit).drop("__n")
-    members = df
-    if keys:
-        big = big.select(*[F.col(k).alias(f"__k_{k}") for k in keys])
-        members = df.join(F.broadcast(big), _same(df, big, keys, "__k_"), "left_semi")
-    # Cut points are drawn by the hash of the order columns: the same rows on every attempt.
-    drawn = members.where(F.pmod(F.xxhash64(*order), F.lit(max(1, limit // _SAMPLES_PER_RANGE))) == 0)
-    every = _SAMPLES_PER_RANGE if limit >= _SAMPLES_PER_RANGE else 1
-    cuts = drawn.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(*order))).alias("__all")).select(
-        *keys, F.filter("__all", lambda x, i: i % every == every // 2).alias("__cuts"))
-    found = cuts.collect()
-    if not found:
-        return None
-    return df.sparkSession.createDataFrame(found, T.StructType(cuts.schema.fields))
-
-
-def _tag_ranges(df: DataFrame, cuts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Number of cut points below the row, by binary search; NULL for groups that are not cut."""
-    right = cuts.select(*[F.col(k).alias(f"__c_{k}") for k in keys], "__cuts")
-    joined = df.join(F.broadcast(right), _same(df, right, keys, "__c_"), "left").drop(*[f"__c_{k}" for k in keys])
-    row = F.struct(*order)
-
-    def step(pos: Column, power: Column) -> Column:
-        probe = F.get("__cuts", pos + power - 1)
-        return F.when(probe.isNotNull() & (probe < row), pos + power).otherwise(pos)
-
-    powers = F.array(*[F.lit(2 ** k) for k in range(_SEARCH_STEPS, -1, -1)])
-    position = F.aggregate(powers, F.lit(0), step)
-    return joined.withColumn(_RANGE, F.when(F.col("__cuts").isNotNull(), position)).drop("__cuts")
+def _tag_ranges(df: DataFrame, large: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
+    """All rows, stored, with the number of their range; NULL for groups that are not ``large`` (keys, ``__n``)."""
+    rows = large.agg(F.sum("__n")).first()[0]
+    ranges = -(-2 * rows // limit)
+    none = F.lit(None).cast("int").alias(_RANGE)
+
+    def dealt(part: DataFrame) -> DataFrame:
+        return part.repartitionByRange(ranges, *keys, *order).select("*", F.spark_partition_id().alias(_RANGE))
+
+    if not keys:
+        return cut_lineage(dealt(df))
+    named = large.select(*[F.col(k).alias(f"__k_{k}") for k in keys])
+    same = _same(df, named, keys, "__k_")
+    return cut_lineage(df.join(named, same, "left_anti").select("*", none).unionByName(dealt(df.join(named, same, "left_semi"))))

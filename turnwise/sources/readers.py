@@ -26,11 +26,32 @@ def ingest_interviews(spark: SparkSession, path: str, target: str, partitions: i
     return spark.read.parquet(target)
 
 
-def read_cut_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """A corpus saved as TSV with list literals in ``speaker`` and ``utt``."""
-    rows = spark.read.option("sep", "\t").option("header", True).option("multiLine", True) \
-        .option("escape", '"').csv(path)
-    return rows.withColumns({"speaker": string_list("speaker"), "utt": string_list("utt")})
+def _tsv(spark: SparkSession):
+    return spark.read.option("sep", "\t").option("header", True).option("multiLine", True).option("escape", '"')
+
+
+def read_cut_corpus(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """A corpus saved as TSV with list literals in ``speaker`` and ``utt``.
+
+    A literal that cannot be parsed ends the job; with ``strict`` off it is NULL, and
+    ``unparsed_lists`` has the rows.
+    """
+    rows = _tsv(spark).csv(path)
+
+    def parsed(name: str):
+        found = string_list(name)
+        if not strict:
+            return found
+        return F.when(F.col(name).isNotNull() & found.isNull(), F.raise_error(
+            F.concat(F.lit(f"not a list in {name}: "), F.substring(name, 1, 200))).cast("array<string>")).otherwise(found)
+
+    return rows.withColumns({name: parsed(name) for name in ("speaker", "utt")})
+
+
+def unparsed_lists(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a saved corpus with a list literal that cannot be parsed, as they are in the file."""
+    bad = [F.col(c).isNotNull() & string_list(c).isNull() for c in ("speaker", "utt")]
+    return _tsv(spark).csv(path).where(bad[0] | bad[1])
 
 
 def cut_corpus(interviews: DataFrame, qids: DataFrame, target: str, recreate: bool = False) -> DataFrame:
@@ -65,9 +86,17 @@ def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> li
 
 
 def _file_heads(spark: SparkSession, path: str) -> list:
-    """Path, metadata path, byte order mark and header line of each file, in path order."""
+    """Path, metadata path, byte order mark and header line of each file, in path order.
+
+    The start of a file is decoded, or all of it where the start holds no line feed.
+    """
     wide = F.substring("content", 1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))
-    head = F.when(wide, F.decode("content", "UTF-16")).otherwise(F.decode(F.substring("content", 1, 1 << 20), "UTF-8"))
+
+    def decoded(content):
+        return F.when(wide, F.decode(content, "UTF-16")).otherwise(F.decode(content, "UTF-8"))
+
+    start = decoded(F.substring("content", 1, 1 << 16))
+    head = F.when(F.instr(start, "\n") > 0, start).otherwise(decoded(F.col("content")))
     rows = spark.read.format("binaryFile").load(path).select(
         "path", F.col("_metadata.file_path").alias("uri"), wide.alias("wide"),
         F.regexp_replace(F.substring_index(head, "\n", 1), "^\ufeff", "").alias("header"))
@@ -86,7 +115,7 @@ def read_tsv(spark: SparkSession, paths: list[str], header: bool = True) -> Data
         layouts.setdefault((r["wide"], r["header"] if header else None), []).append(r["path"])
     frames = []
     for (wide, _), group in layouts.items():
-        reader = spark.read.option("sep", "\t").option("header", header).option("multiLine", True).option("escape", '"')
+        reader = _tsv(spark).option("header", header)
         if wide:
             reader = reader.option("encoding", "UTF-16")
         rows = reader.csv(group)
@@ -110,16 +139,31 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode(parts).alias("p")).select("p.split", F.explode("p.ids").alias("id"))
 
 
+def read_json_map(spark: SparkSession, path: str, value: str = "string") -> DataFrame:
+    """``key, value`` of JSON maps: one per line, or one per file with an entry per line or in any layout.
+
+    Files with a map or an entry per line are split between tasks.  Only if some line is neither, files
+    are read whole, each as one value.
+    """
+    kind = f"map<string,{value}>"
+    line = F.trim(F.regexp_replace("value", r"^\ufeff", ""))
+    entry = F.when(line.startswith("{") & line.endswith("}"), line).otherwise(
+        F.concat(F.lit("{"), F.regexp_replace(line, r",$", ""), F.lit("}")))
+    lines = spark.read.text(path).select(line.alias("line"), F.from_json(entry, kind).alias("map")).where(
+        ~F.col("line").isin("", "{", "}"))
+    if not lines.where("map IS NULL").isEmpty():
+        lines = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("map"))
+    return lines.select(F.explode("map").alias("key", "value"))
+
+
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """``qid, prompt`` from a JSON object."""
-    doc = spark.read.text(path, wholetext=True)
-    return doc.select(F.explode(F.from_json("value", "map<string,string>")).alias("qid", "prompt"))
+    """``qid, prompt`` from JSON maps."""
+    return read_json_map(spark, path).toDF("qid", "prompt")
 
 
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
-    """``qid, rep, reply`` from a JSON object of answer lists; a nested list gives its first element."""
-    doc = spark.read.text(path, wholetext=True)
-    rows = doc.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("qid", "answers"))
+    """``qid, rep, reply`` from JSON maps of answer lists; a nested list gives its first element."""
+    rows = read_json_map(spark, path, "array<string>").toDF("qid", "answers")
     first = F.get(F.from_json("reply", "array<string>"), F.lit(0))
     return rows.select("qid", F.posexplode("answers").alias("rep", "reply")).withColumn(
         "reply", F.when(F.startswith("reply", F.lit("[")), F.coalesce(first, F.col("reply"))).otherwise(F.col("reply")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.functions.text import list_literal
+from turnwise.functions.text import list_literal, text_list_literal
 from turnwise.operators.identity import apply_map
 from turnwise.sources.readers import _readable, list_files, read_tsv
 
@@ -39,16 +39,36 @@ def save_snapshot(rows: DataFrame, path: str) -> int:
 
 
 def write_tsv(rows: DataFrame, path: str, encoding: str = "UTF-8") -> None:
-    """TSV without index; array columns become list literals."""
-    flat = [list_literal(f.name).alias(f.name) if f.dataType.typeName() == "array" else F.col(f"`{f.name}`")
-            for f in rows.schema.fields]
-    rows.select(*flat).write.mode("overwrite").option("sep", "\t").option("header", True) \
-        .option("encoding", encoding).csv(path)
-
-
-def write_json_map(rows: DataFrame, path: str, key: str = "qid") -> None:
-    """One JSON object per id, in key order."""
-    rows.orderBy(key).write.mode("overwrite").json(path)
+    """TSV without index; arrays of texts become JSON arrays, other arrays list literals."""
+    def flat(field):
+        kind = field.dataType.simpleString()
+        if not kind.startswith("array"):
+            return F.col(f"`{field.name}`")
+        literal = text_list_literal if kind == "array<string>" else list_literal
+        return literal(F.col(f"`{field.name}`")).alias(field.name)
+
+    # Quotes inside a text are doubled, as the reader expects them; blanks at its ends stay.
+    rows.select(*[flat(f) for f in rows.schema.fields]).write.mode("overwrite").option("sep", "\t").option(
+        "header", True).option("encoding", encoding).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def write_json_map(rows: DataFrame, path: str, key: str = "qid", value: str = "prompt", one_object: bool = False) -> None:
+    """``key`` to ``value`` as JSON maps in key order: one entry per line, each a map of its own.
+
+    With ``one_object`` the folder holds a single file with one map, for tools that want that; it is written by one task.
+    """
+    entry = F.to_json(F.create_map(F.col(key).cast("string"), F.col(value)))
+    if not one_object:
+        rows.orderBy(key).select(entry).write.mode("overwrite").text(path)
+        return
+    lines = rows.select(F.col(key).cast("string").alias("key"), entry.alias("line")).withColumn(
+        "line", F.expr("substring(line, 2, length(line) - 2)"))
+    last = lines.agg(F.max("key")).first()[0]
+    body = lines.select(F.lit(1).alias("part"), "key", F.when(F.col("key") == last, F.col("line")).otherwise(
+        F.concat("line", F.lit(","))).alias("line"))
+    ends = rows.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "part int, key string, line string")
+    body.unionByName(ends).coalesce(1).sortWithinPartitions("part", "key").select("line").write.mode("overwrite").text(path)
 
 
 def pending_requests(requests: DataFrame, path: str, keys: tuple[str, ...] = ("qid", "rep")) -> DataFrame:

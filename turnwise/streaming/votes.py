@@ -34,10 +34,23 @@ def running_tallies(votes: DataFrame, threshold: float = THRESHOLD, max_votes: i
 
 
 def first_submissions(votes: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drops repeated (item, annotator) votes within the watermark; the first one stays."""
+    """Drops repeated (item, annotator) votes within the watermark; the one that arrives first stays.
+
+    Of votes that arrive in one batch any may stay; ``last_submissions`` keeps a defined one.
+    """
     return votes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["item", "annotator"])
 
 
+def last_submissions(votes: DataFrame, order: tuple[str, ...] = ("ts", "session", "line")) -> DataFrame:
+    """The last vote of each (item, annotator) by ``order`` (update mode): a later double submission replaces it.
+
+    Only the vote that counts is kept as state, and votes of one batch are combined before the shuffle.
+    """
+    rest = [c for c in votes.columns if c not in ("item", "annotator")]
+    last = votes.groupBy("item", "annotator").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("v"))
+    return last.select("item", "annotator", *[F.col("v")[c].alias(c) for c in rest])
+
+
 def _entropy(p: float) -> float:
     return 0.0 if p <= 0 or p >= 1 else -p * math.log2(p) - (1 - p) * math.log2(1 - p)
 
@@ -46,9 +59,12 @@ def _settled(yes: int, n: int, threshold: float, max_votes: int) -> bool:
     return n >= max_votes or (n >= MIN_VOTES and _entropy(yes / n) < threshold)
 
 
-def stopping_rounds(votes: DataFrame, threshold: float = THRESHOLD, max_votes: int = MAX_VOTES) -> DataFrame:
-    """Emits an item once, when it needs no more votes; later votes on it are ignored.
+def stopping_rounds(votes: DataFrame, threshold: float = THRESHOLD, max_votes: int = MAX_VOTES,
+                    forget_after: str = "90 days") -> DataFrame:
+    """Emits an item once, when it needs no more votes; later votes on it are ignored, NULL votes always.
 
+    An item loses its state when its last vote is ``forget_after`` older than the newest vote of all; a vote
+    after that begins anew.
     The state of an item is (yes, n, closed).  Votes of one batch count in time order, so the decision
     equals the batch rule when votes arrive in order.  At most ``max_votes`` votes of an item change
     its state, the rest only pass by.
@@ -59,12 +75,14 @@ def stopping_rounds(votes: DataFrame, threshold: float = THRESHOLD, max_votes: i
             state.remove()
             return
         if closed:
-            for _ in frames:
-                pass
+            latest = max(int(frame["ts_us"].max()) for frame in frames)
+            state.setTimeoutTimestamp(max(latest // 1_000, state.getCurrentWatermarkMs() + 1))
             return
         # Only the earliest votes can matter: keep that many across the chunks.
         head: list[tuple] = []
+        latest = 0
         for frame in frames:
+            latest = max(latest, int(frame["ts_us"].max()))
             chunk = zip(frame["ts_us"].tolist(), frame["annotator"].tolist(), frame["vote"].tolist())
             head = heapq.nsmallest(max_votes, itertools.chain(head, chunk))
         for _, _, vote in head:
@@ -73,15 +91,16 @@ def stopping_rounds(votes: DataFrame, threshold: float = THRESHOLD, max_votes: i
                 closed = True
                 break
         state.update((yes, n, closed))
+        state.setTimeoutTimestamp(max(latest // 1_000, state.getCurrentWatermarkMs() + 1))
         if closed:
             yield pd.DataFrame({"item": [key[0]], "yes": [yes], "n": [n]})
 
     item = votes.schema["item"].dataType.simpleString()
-    ready = votes.select("item", F.col("annotator").cast("string").alias("annotator"), "vote",
-                         F.unix_micros("ts").alias("ts_us"))
+    ready = votes.where("vote IS NOT NULL").withWatermark("ts", forget_after).select("item", F.col("annotator").cast("string").alias("annotator"), "vote",
+                         "ts", F.unix_micros("ts").alias("ts_us"))
     return ready.groupBy("item").applyInPandasWithState(
         step, f"item {item}, yes bigint, n bigint", "yes bigint, n bigint, closed boolean", "append",
-        GroupStateTimeout.NoTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def anonymised(votes: DataFrame, names: DataFrame, column: str = "annotator") -> DataFrame:
