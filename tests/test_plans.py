@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from turnwise.operators.dialogue import canonical_speakers, conversation_roles
 from turnwise.operators.votes import arrival_progress, running_median
 from turnwise.plans.ordered import ROWS_PER_TASK_CONF, Ordered, row_numbers
+from turnwise.plans.quantiles import exact_quantiles
 from turnwise.plans.tiles import pair_tables, pairwise_jaccard
 
 
@@ -159,14 +160,14 @@ def test_running_median_on_both_paths(spark, small_tasks):
 
 def test_ranges_follow_the_rows(spark):
     """More than 2,000 ranges, and no range above the limit."""
-    df = spark.range(4_400).select(F.lit("hot").alias("k"), (F.col("id") * 7919 % 4_400).alias("t"))
-    spark.conf.set(ROWS_PER_TASK_CONF, "4")
+    df = spark.range(2_200).select(F.lit("hot").alias("k"), (F.col("id") * 7919 % 2_200).alias("t"))
+    spark.conf.set(ROWS_PER_TASK_CONF, "2")
     try:
         o = Ordered(df, ["k"], ["t"])
         sizes = [r["count"] for r in o.df.groupBy("__range").count().collect()]
-        assert len(sizes) > 2_000 and max(sizes) <= 4
+        assert len(sizes) > 2_000 and max(sizes) <= 2
         got = o.row_number().result().agg(F.count_if(F.col("rn") == F.col("t") + 1)).first()[0]
-        assert got == 4_400
+        assert got == 2_200
     finally:
         spark.conf.unset(ROWS_PER_TASK_CONF)
 
@@ -180,3 +181,12 @@ def test_casts_on_both_paths(spark):
         assert plain == one == split
     roles = {r["conv"]: (r["n_speakers"], r["two_speakers"]) for r in conversation_roles(said).collect()}
     assert roles["c1"] == (2, True) and "c3" not in roles
+
+
+def test_exact_quantiles(spark):
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75, "low": 0.0, "top": 1.0}
+    for values in ([], [3.0], [5.0, None, 1.0, 9.0, 2.0, None, 7.0], [1.0] * 50 + [2.0] * 50, [float(i * 7 % 101) for i in range(101)]):
+        rows = spark.createDataFrame([(v,) for v in values], "v double")
+        want = rows.agg(*[F.percentile("v", s).alias(n) for n, s in shares.items()])
+        plain, split = both_paths(spark, lambda: exact_quantiles(rows, F.col("v"), shares))
+        assert plain == split == want.collect()

@@ -119,7 +119,7 @@ def test_json_maps_survive_a_round_trip(spark, tmp_path):
 
 
 def test_long_headers_are_read_whole(spark, tmp_path):
-    wide = [f"column_{i:06d}" for i in range(7_000)]
+    wide = [f"column_{i:060d}" for i in range(1_200)]
     for n, last in ((1, "x"), (2, "y")):
         pd.DataFrame({**{c: [n] for c in wide}, last: [n]}).to_csv(tmp_path / f"{n}.tsv", sep="\t", index=False)
     rows = readers.read_tsv(spark, [str(tmp_path / "1.tsv"), str(tmp_path / "2.tsv")]).select("x", "y", "file_no")
@@ -151,7 +151,13 @@ def test_anonymised_folder(spark, tmp_path):
     pd.DataFrame({"Annotator": ["u1"]}).to_csv(src / "ANON_done.tsv", sep="\t", index=False)
     names = spark.createDataFrame([("u1", "PROLIFIC_1")], "orig string, anon string")
     written = writers.anonymise_folder(spark, str(src), names, str(tmp_path / "out"))
-    assert [w.rsplit("/", 1)[-1] for w in written] == ["ANON_long.tsv"]
+    assert [w.rsplit("/", 1)[-1] for w in written] == ["file=ANON_long.tsv"]
+    (src / "more.tsv").write_text("QID\tAnnotator\nq2\tu1\nq3\tu2\n")
+    (src / "also.tsv").write_text("QID\tAnnotator\nq4\tu1\n")
+    written = writers.anonymise_folder(spark, str(src), names, str(tmp_path / "out2"))
+    assert sorted(w.rsplit("/", 1)[-1] for w in written) == ["file=ANON_also.tsv", "file=ANON_long.tsv", "file=ANON_more.tsv"]
+    rows = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out2" / "*" / "*"))
+    assert sorted(map(str, (tuple(r) for r in rows.collect()))) == sorted(map(str, [("q", "PROLIFIC_1"), ("q2", "PROLIFIC_1"), ("q3", "u2"), ("q4", "PROLIFIC_1")]))
     assert readers.read_tsv(spark, [written[0] + "/*.csv"]).first()["Annotator"] == "PROLIFIC_1"
 
 

@@ -7,11 +7,15 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from turnwise.catalog.base import NEED_SQL, query, r6, table, with_ctes
+from turnwise.functions.text import fraction, next_versions
 from turnwise.operators import annotations as an
 from turnwise.operators import identity as idn
 from turnwise.operators import rounds as rd
 from turnwise.operators import sampling as s
 from turnwise.plans.ordered import row_numbers
+from turnwise.session import new_folder
+from turnwise.sources.readers import read_exports
+from turnwise.sources.writers import write_tsv
 
 ROUNDS_SQL = """o AS (
   SELECT o_orderkey, 'S' || o_custkey AS study, o_orderstatus AS st, o_orderpriority AS pr, o_orderdate,
@@ -463,6 +467,53 @@ def labels_with_comments(spark, sf_dir):
     return an.labels_with_comments(_long(spark, sf_dir)).select("session", "label", "comment")
 
 
+@query("unmatched_labels", _export_sql(True) + """, odd AS (
+  SELECT qid, category, session FROM long WHERE NOT (qid = 'NPR-8-3' AND category = 'Comment' AND highlighted = 'F')
+  UNION ALL SELECT qid, category, session FROM long WHERE qid = 'NPR-8-3' AND category = 'Paraphrase' AND ends_with(session, '7'))
+SELECT qid, session, count(*) FILTER (WHERE category = 'Paraphrase') AS n_labels, count(*) FILTER (WHERE category = 'Comment') AS n_comments
+FROM odd WHERE category IN ('Paraphrase', 'Comment') AND NOT starts_with(qid, 'R_') GROUP BY qid, session
+HAVING n_labels <> 1 OR n_comments <> 1""")
+def unmatched_labels(spark, sf_dir):
+    long = _long(spark, sf_dir)
+    lost = long.where(~((F.col("qid") == "NPR-8-3") & (F.col("category") == "Comment") & (F.col("highlighted") == "F")))
+    twice = long.where((F.col("qid") == "NPR-8-3") & (F.col("category") == "Paraphrase") & F.endswith("session", F.lit("7")))
+    return an.unmatched_labels(lost.unionByName(twice)).select("qid", "session", "n_labels", "n_comments")
+
+
+@query("restricted_annotations", _export_sql(True) + """
+SELECT qid, category, highlighted, session FROM long SEMI JOIN (SELECT o_orderkey, 'R_' || o_orderkey AS session FROM orders WHERE o_custkey % 2 = 0) USING (session)
+WHERE qid = 'CNN-12-5'""")
+def restricted_annotations(spark, sf_dir):
+    even = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("P"), "c_custkey").alias("annotator"))
+    only = table(spark, sf_dir, "region").select(F.lit("CNN-12-5").alias("qid")).distinct()
+    return an.restrict(_long(spark, sf_dir), only, even).select("qid", "category", "highlighted", "session")
+
+
+@query("exports_from_files", _export_sql(True) + "SELECT qid, category, highlighted, session FROM long")
+def exports_from_files(spark, sf_dir):
+    folder = new_folder(spark, "exports")
+    wide = wide_export(spark, sf_dir)
+    write_tsv(wide.where("Progress <> '40'"), f"{folder}/wide", "UTF-16")
+    write_tsv(wide.where("Progress = '40'"), f"{folder}/plain")
+    return read_exports(spark, [f"{folder}/wide/*.csv", f"{folder}/plain/*.csv"], an.ExportOptions(
+        removed=("test", "P3"), include_fails=True)).select("qid", "category", "highlighted", "session")
+
+
+@query("next_versions", "SELECT o_orderkey, (o_orderkey % 3 + 1) || '|' || (o_custkey % 12 + 1) AS version FROM orders")
+def next_versions_of_lists(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("|", F.col("o_orderkey") % 3, F.col("o_custkey") % 12).alias("version"))
+    return rows.select("o_orderkey", next_versions("version").alias("version"))
+
+
+@query("parsed_fractions", """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 6 THEN CAST(l_quantity AS INTEGER) END AS yes,
+  CASE WHEN l_linenumber < 6 THEN CAST(l_suppkey AS INTEGER) END AS n FROM lineitem""")
+def parsed_fractions(spark, sf_dir):
+    top, bottom = F.col("l_quantity").cast("int"), F.col("l_suppkey")
+    text = F.when(F.col("l_linenumber") < 6, F.concat_ws(" / ", top, bottom)).when(
+        F.col("l_linenumber") == 6, F.concat_ws(" / ", top, F.lit("x"))).otherwise(top.cast("string"))
+    return table(spark, sf_dir, "lineitem").withColumn("f", fraction(text)).select("l_orderkey", "l_linenumber", "f.yes", "f.n")
+
+
 @query("unknown_categories", _export_sql(True) + """
 SELECT category, count(*) AS n FROM long WHERE category NOT IN ('Referred', 'Paraphrase', 'Comment') GROUP BY category""")
 def unknown_categories(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turnwise.catalog.base import NEED_SQL, ORDER, query, table, votes, with_ctes
 from turnwise.catalog.dialogue import _reply_rows
 from turnwise.functions.text import string_list
+from turnwise.operators.dialogue import explode_interviews
 from turnwise.operators import sampling as s
 from turnwise.operators import votes as v
 from turnwise.session import new_folder
@@ -65,6 +66,54 @@ def reply_map_texts(spark, sf_dir):
     return readers.read_replies(spark, folder).select("qid", "rep", F.md5("reply").alias("reply_md5"))
 
 
+@query("ingested_utterances", """SELECT CAST(conv_id AS VARCHAR) AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
+  role AS speaker, md5(text) AS text_md5 FROM conversations""")
+def ingested_utterances(spark, sf_dir):
+    folder = new_folder(spark, "interviews")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("id")).agg(turns.alias("t"))
+    rows.select("id", F.col("t.role").alias("speaker"), F.col("t.text").alias("utt")).write.json(f"{folder}/json")
+    interviews = readers.ingest_interviews(spark, f"{folder}/json", f"{folder}/parquet", lines=True)
+    return explode_interviews(interviews).select("conv", F.col("pos").cast("long").alias("pos"), "speaker", F.md5("text").alias("text_md5"))
+
+
+@query("split_from_file", """WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 10 < 7 THEN 'train' WHEN c_custkey % 10 = 7 THEN 'val' ELSE 'test' END AS split FROM customer)
+SELECT split, CAST(c_custkey AS VARCHAR) AS id FROM p""")
+def split_from_file(spark, sf_dir):
+    folder = new_folder(spark, "split")
+    key = F.col("c_custkey") % 10
+    lists = [F.collect_list(F.when(test, F.col("c_custkey").cast("string"))).alias(name) for name, test in (
+        ("train", key < 7), ("val", key == 7), ("test", key > 7))]
+    table(spark, sf_dir, "customer").agg(*lists).write.json(folder)
+    return readers.read_split(spark, folder)
+
+
+@query("ids_from_files", "SELECT DISTINCT 'Q-' || l_partkey AS qid FROM lineitem WHERE l_tax > 0.04")
+def ids_from_files(spark, sf_dir):
+    folder = new_folder(spark, "ids")
+    line = table(spark, sf_dir, "lineitem").where("l_tax > 0.04").select(F.concat(F.lit("Q-"), "l_partkey").alias("QID"), "l_suppkey")
+    writers.write_tsv(line, folder)
+    return readers.read_ids(spark, f"{folder}/*.csv")
+
+
+@query("anonymised_files", """SELECT l_returnflag AS flag, coalesce('A' || s.s_suppkey, CAST(l_suppkey AS VARCHAR)) AS annotator, count(*) AS n
+FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) s ON s_suppkey = l_suppkey GROUP BY 1, 2""")
+def anonymised_files(spark, sf_dir):
+    folder = new_folder(spark, "files")
+    line = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_suppkey").cast("string").alias("Annotator"))
+    # One file per part, each with its header line, as exports come.
+    body = line.select(F.monotonically_increasing_id().alias("n"), "*").select(
+        F.pmod("n", F.lit(3)).alias("place"), F.concat_ws("\t", "Annotator", "l_returnflag").alias("value"))
+    heads = spark.range(3).select(F.col("id").alias("place"), F.lit("Annotator\tflag").alias("value"))
+    heads.withColumn("o", F.lit(0)).unionByName(body.withColumn("o", F.lit(1))).repartition(3, "place").sortWithinPartitions(
+        "place", "o").select("place", "value").write.partitionBy("place").text(f"{folder}/in")
+    names = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(
+        F.col("s_suppkey").cast("string").alias("orig"), F.concat(F.lit("A"), "s_suppkey").alias("anon"))
+    out = writers.anonymise_folder(spark, f"{folder}/in/*", names, f"{folder}/out", pattern="part-*")
+    rows = spark.read.option("sep", "\t").option("header", True).csv(out)
+    return rows.groupBy("flag", F.col("Annotator").alias("annotator")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("snapshots", """SELECT 'first' AS step, 1 AS snapshot, count(*) AS n FROM orders UNION ALL
 SELECT 'same', 1, count(*) FROM orders UNION ALL SELECT 'changed', 2, count(*) FROM orders WHERE o_orderstatus <> 'P'""")
 def snapshots(spark, sf_dir):

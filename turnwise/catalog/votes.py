@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnwise.catalog.base import NEED_SQL, ORDER, RAW_VOTES_SQL, VOTES_SQL, query, r6, raw_votes, table, votes, with_ctes
+from turnwise.catalog.base import NEED_SQL, ORACLE, ORDER, RAW_VOTES_SQL, VOTES_SQL, query, r6, raw_votes, table, votes, with_ctes
 from turnwise.functions.measures import binary_entropy, scaled_entropy, votes_needed
 from turnwise.operators import agreement as a
 from turnwise.operators import sampling as s
@@ -445,6 +445,31 @@ ENTROPIES = (0.99, 0.97, 0.95, 0.93, 0.9, 0.88, 0.85, 0.83, 0.8, 0.78, 0.75, 0.7
 SCALED = (0.3, 0.25, 0.2, 0.17, 0.15, 0.14, 0.13, 0.12, 0.11, 0.1, 0.09, 0.08, 0.07, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01)
 
 
+_REPORT = ORACLE["agreement_report"].removeprefix(V)
+
+
+def _cut_report(cut: str, source: str) -> str:
+    """The agreement report of one cut: its names are local, so the votes of the cut take the place of all votes."""
+    return f"""SELECT * FROM (WITH votes AS (SELECT item, annotator, vote FROM {source}),
+tuples AS (SELECT item, CAST(sum(vote) AS BIGINT) AS yes, count(vote) AS n, avg(vote) AS share FROM votes GROUP BY item)
+""" + _REPORT.replace("'all' AS cut", f"'{cut}' AS cut") + ")"
+
+
+@query("agreement_by_cut", STOPS + """, every_ AS (SELECT * FROM votes), first_ AS (SELECT * FROM ranked WHERE rank <= 3),
+dynamic_ AS (SELECT h.* FROM heads h JOIN stops s USING (item) WHERE rank <= stop)
+""" + " UNION ALL ".join(_cut_report(c, f) for c, f in (("first", "first_"), ("dynamic", "dynamic_"), ("all", "every_"))))
+def agreement_by_cut(spark, sf_dir):
+    return st.agreement_by_cut(votes(spark, sf_dir), ORDER).select("cut", "measure", r6("value"))
+
+
+@query("choice_votes", """SELECT conv_id, count(vote) AS n, CAST(sum(vote) AS BIGINT) AS yes FROM (
+  SELECT conv_id, CASE WHEN role = 'user' THEN 0 WHEN turn % 3 > 0 THEN 1 END AS vote FROM conversations) GROUP BY conv_id""")
+def choice_votes(spark, sf_dir):
+    choice = F.when(F.col("role") == "user", "No").when(F.col("turn") % 3 > 0, "Yes")
+    rows = v.choice_votes(table(spark, sf_dir, "conversations").withColumn("highlighted", choice))
+    return rows.groupBy("conv_id").agg(F.count("vote").alias("n"), F.sum("vote").alias("yes"))
+
+
 def _stop_sql() -> str:
     parts = []
     for k in (1, 2, 3, 4, 5):

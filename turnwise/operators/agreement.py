@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from turnwise.functions.measures import col, kappa, majority, ratio
 from turnwise.operators.votes import vote_tuples
 from turnwise.plans.ordered import row_numbers
+from turnwise.plans.quantiles import beside, exact_quantiles
 from turnwise.plans.tiles import pair_tables
+from turnwise.session import cut_lineage
 
 
 def table_of(a, b) -> list:
@@ -43,10 +45,12 @@ def pairwise_kappa(votes: DataFrame, min_shared: float = 15, study: str | None =
 
 def kappa_summary(pairs: DataFrame) -> DataFrame:
     """Pairs, mean, population deviation, exact median, negatives and those above 0.2."""
-    return pairs.agg(
-        F.count("kappa").alias("n_pairs"), F.avg("kappa").alias("mean_kappa"),
-        F.stddev_pop("kappa").alias("std_kappa"), F.median("kappa").alias("median_kappa"),
+    kappas = cut_lineage(pairs.select("kappa"))
+    row = kappas.agg(
+        F.count("kappa").alias("n_pairs"), F.avg("kappa").alias("mean_kappa"), F.stddev_pop("kappa").alias("std_kappa"),
         F.count_if(F.col("kappa") < 0).alias("n_negative"), F.count_if(F.col("kappa") > 0.2).alias("n_above"))
+    return beside(row, exact_quantiles(kappas, F.col("kappa"), {"median_kappa": 0.5})).select(
+        "n_pairs", "mean_kappa", "std_kappa", "median_kappa", "n_negative", "n_above")
 
 
 def study_blocks(votes: DataFrame, size: int = 10, item: str = "item") -> DataFrame:
@@ -145,7 +149,7 @@ def agreement_report(votes: DataFrame, cut: str, min_shared: float = 1,
 
     Three passes: annotator pairs, item tallies, and votes against the other votes.
     """
-    pairs = pairwise_kappa(votes, 1, sized_by=sized_by)
+    pairs = cut_lineage(pairwise_kappa(votes, 1, sized_by=sized_by).select("kappa", "shared", "agreement"))
     kept = F.when(F.col("shared") >= min_shared, F.col("kappa"))
     top = F.greatest("share", 1 - F.col("share"))
     tallies = vote_tuples(votes)
@@ -160,8 +164,9 @@ def agreement_report(votes: DataFrame, cut: str, min_shared: float = 1,
     parts = [
         pairs.agg(
             F.count(kept).alias("n_pairs"), F.avg(kept).alias("mean_kappa"), F.stddev_pop(kept).alias("std_kappa"),
-            F.median(kept).alias("median_kappa"), F.count_if(kept < 0).alias("n_negative"),
-            F.count_if(kept > 0.2).alias("n_above"), F.avg("agreement").alias("pair_agreement")),
+            F.count_if(kept < 0).alias("n_negative"), F.count_if(kept > 0.2).alias("n_above"),
+            F.avg("agreement").alias("pair_agreement")),
+        exact_quantiles(pairs, kept, {"median_kappa": 0.5}),
         tallies.agg(
             F.avg(top).alias("item_agreement"), F.stddev_pop(top).alias("item_agreement_std"),
             F.sum(F.when(shared, 2 * zero * one / (F.col("n") - 1))).alias("seen"),

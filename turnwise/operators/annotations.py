@@ -65,10 +65,12 @@ class ExportOptions:
 
 
 def _question_columns(columns: list[str], categories: dict[str, str]) -> dict[tuple[str, str], list[tuple[int, str]]]:
-    """(item, identifier) -> [(token number, column)] from the column names of an export."""
+    """(item, identifier) -> [(token number, column)] from the column names of an export; timers are left out."""
     found: dict[tuple[str, str], list[tuple[int, str]]] = {}
     for name in columns:
         m = _COLUMN.match(name)
+        if m and m.group(2) not in categories and m.group(2) != "Timer":
+            raise ValueError(f"column of unknown kind: {name}")
         if m and m.group(2) in categories:
             found.setdefault((m.group(1), m.group(2)), []).append((int(m.group(3) or 0), name))
     return found
@@ -79,7 +81,7 @@ def transform_export(wide: DataFrame, options: ExportOptions = ExportOptions())
 
     Everything about a session is in its row and the items are in the column names, so each row
     expands by itself: no shuffle.  The two rows of column metadata are those whose start is not a
-    time.
+    time; ``undated_sessions`` lists sessions that are dropped for the same reason.
     """
     categories = OLD_CATEGORIES if options.old_categories else CATEGORIES
     marks = OLD_HIGHLIGHTS if options.old_categories else options.highlights
@@ -166,6 +168,13 @@ def unmatched_labels(long: DataFrame, category: str = "Paraphrase") -> DataFrame
         F.count_if(F.col("category") == "Comment").alias("n_comments")).where("n_labels <> 1 OR n_comments <> 1")
 
 
+def undated_sessions(wide: DataFrame) -> DataFrame:
+    """Sessions of an export whose start is not a time; ``transform_export`` leaves them out."""
+    return wide.where(
+        F.startswith("ResponseId", F.lit(SESSION_MARK)) & F.try_to_timestamp(F.col("StartDate").cast("string")).isNull()).select(
+        F.col("ResponseId").alias("session"), F.col("`Q-PID`").alias("annotator"), F.col("StartDate").alias("session_start"))
+
+
 def unknown_categories(long: DataFrame, allowed: tuple[str, ...] | None = None) -> DataFrame:
     known = allowed or tuple(set(CATEGORIES.values()) | set(SESSION_CATEGORIES) | {"Stopped"})
     return long.where(~F.col("category").isin(*known)).groupBy("category").agg(F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.measures import votes_needed
 from turnwise.plans.ordered import Ordered, row_numbers
+from turnwise.plans.quantiles import beside, exact_quantiles
 
 ACTIVE = ("COMPLETE", "PENDING")
 
@@ -273,7 +274,8 @@ def append_rounds(rounds: DataFrame, new: DataFrame) -> DataFrame:
 
 def duration_stats(sessions: DataFrame, column: str = "seconds") -> DataFrame:
     secs = F.col(column).try_cast("double")
-    return sessions.agg(F.median(secs).alias("median"), F.avg(secs).alias("mean"), F.stddev_samp(secs).alias("std"))
+    row = sessions.agg(F.avg(secs).alias("mean"), F.stddev_samp(secs).alias("std"))
+    return beside(row, exact_quantiles(sessions, secs, {"median": 0.5})).select("median", "mean", "std")
 
 
 def pay_per_hour(submissions: DataFrame) -> DataFrame:
@@ -283,8 +285,9 @@ def pay_per_hour(submissions: DataFrame) -> DataFrame:
     """
     approved = submissions.where("status = 'APPROVED'").withColumn("pph", (
         F.col("reward") + F.aggregate("bonus", F.lit(0.0), lambda a, x: a + x)) / 10000 / (F.col("secs") / 3600))
-    return approved.agg(F.count(F.lit(1)).alias("n"), F.avg("pph").alias("mean_pph"),
-                        F.median("pph").alias("median_pph"), F.count_distinct("study").alias("n_studies"))
+    row = approved.agg(F.count(F.lit(1)).alias("n"), F.avg("pph").alias("mean_pph"), F.count_distinct("study").alias("n_studies"))
+    return beside(row, exact_quantiles(approved, F.col("pph"), {"median_pph": 0.5})).select(
+        "n", "mean_pph", "median_pph", "n_studies")
 
 
 def demographics(people: DataFrame, column: str,
@@ -297,7 +300,8 @@ def demographics(people: DataFrame, column: str,
 def describe_ages(people: DataFrame, column: str = "age") -> DataFrame:
     """Count, mean, deviation and quartiles of the numeric values; sentinels and other text drop out."""
     age = F.col(column).try_cast("double")
-    return people.agg(
+    row = people.agg(
         F.count(age).alias("n"), F.avg(age).alias("mean"), F.stddev_samp(age).alias("std"), F.min(age).alias("min"),
-        F.percentile(age, 0.25).alias("q1"), F.median(age).alias("median"), F.percentile(age, 0.75).alias("q3"),
         F.max(age).alias("max"))
+    quartiles = exact_quantiles(people, age, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return beside(row, quartiles).select("n", "mean", "std", "min", "q1", "median", "q3", "max")

@@ -13,14 +13,16 @@ INTERVIEW = ("id string, program string, date string, url string, title string,
              "utt array<string>, speaker array<string>")
 
 
-def read_interviews(spark: SparkSession, path: str) -> DataFrame:
-    """Interviews from a JSON array (any layout, one task per file) or from JSON lines."""
-    return spark.read.schema(INTERVIEW).option("multiLine", True).json(path)
+def read_interviews(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Interviews from a JSON array (any layout, one task per file) or from JSON lines (files are split)."""
+    return spark.read.schema(INTERVIEW).option("multiLine", not lines).json(path)
 
 
-def ingest_interviews(spark: SparkSession, path: str, target: str, partitions: int | None = None) -> DataFrame:
+def ingest_interviews(
+    spark: SparkSession, path: str, target: str, partitions: int | None = None, lines: bool = False,
+) -> DataFrame:
     """One-time conversion to Parquet: a JSON array does not split, so later reads start from Parquet."""
-    rows = read_interviews(spark, path)
+    rows = read_interviews(spark, path, lines)
     rows = rows.repartition(partitions, "id") if partitions else rows.repartition("id")
     rows.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
@@ -78,13 +80,6 @@ def _readable(spark: SparkSession, target: str) -> bool:
         return False
 
 
-def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> list[str]:
-    reader = spark.read.format("binaryFile")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return sorted(r["path"] for r in reader.load(path).select("path").collect())
-
-
 def _file_heads(spark: SparkSession, path: str) -> list:
     """Path, metadata path, byte order mark and header line of each file, in path order.
 
@@ -125,6 +120,19 @@ def read_tsv(spark: SparkSession, paths: list[str], header: bool = True) -> Data
     return rows.join(numbers, "__uri").drop("__uri")
 
 
+def tsv_layouts(spark: SparkSession, path: str) -> list[tuple[list[str], DataFrame]]:
+    """Paths and rows (with ``file``, the file's name) of the files of each encoding and header line in a folder."""
+    groups: dict[tuple, list[str]] = {}
+    for r in _file_heads(spark, path):
+        groups.setdefault((r["wide"], r["header"]), []).append(r["path"])
+    out = []
+    for (wide, _), paths in groups.items():
+        reader = _tsv(spark).option("encoding", "UTF-16" if wide else "UTF-8")
+        rows = reader.csv(paths)
+        out.append((paths, rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_metadata.file_name").alias("file"))))
+    return out
+
+
 def read_exports(spark: SparkSession, paths: list[str], options=None) -> DataFrame:
     """Many survey exports as one long table."""
     from turnwise.operators.annotations import ExportOptions, transform_export

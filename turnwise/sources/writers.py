@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.text import list_literal, text_list_literal
 from turnwise.operators.identity import apply_map
-from turnwise.sources.readers import _readable, list_files, read_tsv
+from turnwise.sources.readers import _readable, tsv_layouts
 
 
 def latest_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
@@ -101,16 +101,23 @@ def read_split_ids(spark: SparkSession, path: str, split: str, key: str = "qid")
 ID_COLUMNS = ("Q-PID", "Annotator", "Participant id")
 
 
-def anonymise_folder(spark: SparkSession, source: str, names: DataFrame, target: str, prefix: str = "ANON_") -> list[str]:
-    """Pseudonymised copies of the TSV files of a folder, skipping finished ones and unknown kinds."""
+def anonymise_folder(
+    spark: SparkSession, source: str, names: DataFrame, target: str, prefix: str = "ANON_", pattern: str = "*.tsv",
+) -> list[str]:
+    """Pseudonymised copies of the TSV files of a folder, without finished ones and unknown kinds.
+
+    One job for each layout (encoding and header line), whatever the number of files: its rows are
+    written to ``target/layout=<n>/file=<prefix><name>``.
+    """
     written = []
-    for file in list_files(spark, source, "*.tsv"):
-        base = file.rsplit("/", 1)[-1]
-        rows = read_tsv(spark, [file]).drop("file_no")
+    for n, (paths, rows) in enumerate(tsv_layouts(spark, f"{source.rstrip('/')}/{pattern}")):
         column = next((c for c in ID_COLUMNS if c in rows.columns), None)
-        if base.startswith(prefix) or column is None:
+        todo = sorted({p.rsplit("/", 1)[-1] for p in paths if not p.rsplit("/", 1)[-1].startswith(prefix)})
+        if column is None or not todo:
             continue
-        out = f"{target.rstrip('/')}/{prefix}{base}"
-        write_tsv(apply_map(rows, names, column).select(*[F.col(f"`{c}`") for c in rows.columns]), out)
-        written.append(out)
+        mapped = apply_map(rows.where(F.col("file").isin(*todo)), names, column).select(*[F.col(f"`{c}`") for c in rows.columns])
+        mapped.withColumn("file", F.concat(F.lit(prefix), "file")).write.mode("overwrite").partitionBy("file").option(
+            "sep", "\t").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False).csv(f"{target.rstrip('/')}/layout={n}")
+        written += [f"{target.rstrip('/')}/layout={n}/file={prefix}{name}" for name in todo]
     return written
