@@ -215,15 +215,18 @@ def quoted_word_positions(spark, sf_dir):
     return docs.select("doc_id", F.array_join(first_positions("text", last).cast("array<string>"), ",").alias("at"))
 
 
+# Words 2 and 3 of each text are quoted; only a quote mark inside them cannot be quoted.
 @query("quote_flags", """WITH d AS (
-  SELECT doc_id, regexp_split_to_array(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\s+') AS w FROM documents
-  WHERE NOT contains(text, '"') AND NOT contains(text, '<quote>')),
-f AS (SELECT doc_id, w, list_filter(range(0, len(w) - 1), lambda i: w[i + 1] = w[2] AND starts_with(w[i + 2], w[3]))[1] AS s FROM d WHERE len(w) >= 3)
-SELECT doc_id, md5(array_to_string(list_transform(range(0, len(w)), lambda i: CAST(i = s OR i = s + 1 AS INTEGER)), '')) AS flags_md5 FROM f""")
+  SELECT doc_id, regexp_split_to_array(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\s+') AS w FROM documents),
+q AS (SELECT doc_id, w, w[2:3] AS p FROM d WHERE NOT contains(array_to_string(w[2:3], ' '), '"')),
+f AS (SELECT doc_id, w, len(p) AS m, CASE len(p)
+    WHEN 1 THEN list_filter(range(0, len(w)), lambda i: starts_with(w[i + 1], p[1]))[1]
+    WHEN 2 THEN list_filter(range(0, len(w) - 1), lambda i: w[i + 1] = p[1] AND starts_with(w[i + 2], p[2]))[1] END AS s FROM q)
+SELECT doc_id, CASE WHEN s IS NOT NULL THEN
+  md5(array_to_string(list_transform(range(0, len(w)), lambda i: CAST(i >= s AND i < s + m AS INTEGER)), '')) END AS flags_md5 FROM f""")
 def quote_flag_rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(
-        ~F.contains("text", F.lit('"')) & ~F.contains("text", F.lit("<quote>"))).select(
-        "doc_id", "text", tokens("text", "run").alias("w")).where(F.size("w") >= 3)
-    quoting = F.concat(F.lit('the "'), F.array_join(F.slice("w", 2, 2), " "), F.lit('" part'))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array_join(
+        F.slice(tokens(F.col("text"), "run"), 2, 2), " ").alias("phrase")).where(~F.contains("phrase", F.lit('"')))
+    quoting = F.concat(F.lit('the "'), "phrase", F.lit('" part'))
     return docs.select("doc_id", F.md5(F.array_join(
         quote_flags("text", quoting).cast("array<string>"), "")).alias("flags_md5"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +27,23 @@ def get_spark(app: str = "turnwise", master: str | None = None, **conf) -> Spark
     return builder.getOrCreate()
 
 
+@cache
+def _private_folder() -> str:
+    """For local runs without a shared folder; removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix="turnwise-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or a private one in local runs."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or a private one where driver and executor are one process."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="turnwise-")
+    return _private_folder()
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
