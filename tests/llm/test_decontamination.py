@@ -90,7 +90,7 @@ def test_empty(spark, documents):
 
 def test_ladder_of_sizes():
     sizes = [window_size(n) for n in range(1, 3_000)]
-    assert all(s <= n < s * 1.1 + 1 for n, s in zip(range(1, 3_000), sizes))
+    assert all(s <= n < s * 1.125 + 1 for n, s in zip(range(1, 3_000), sizes))
 
 
 def test_multi_index_guarantees_the_radius():

@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash windows of the size of the benchmark items.
 
 Documents and items are sequences of shingles of five words (runs of letters, digits and
-underscores in lower case).  Item sizes are rounded down to a ladder of sizes less than a tenth
+underscores in lower case).  Item sizes are rounded down to a ladder of sizes about an eighth
 apart.  For every size on it that items have, the fingerprints of all windows of that many shingles
 come from running sums of the shingles' hash bits.  A multi-index finds those within the Hamming
 radius of the head of an item (as many of its first shingles): if two fingerprints differ in at most
@@ -38,7 +38,7 @@ SIMILARITY = 0.8
 RADIUS = 15
 ITEMS = 20_000  # items that are sent to the tasks at a time
 AT_ONCE = 1 << 13  # shingles whose windows a task holds at a time
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 250_000
 WORD = re.compile(r"\w+")
 
 
@@ -83,9 +83,9 @@ def window_fingerprints(sums: np.ndarray, size: int) -> np.ndarray:
 
 
 def window_size(shingles: int) -> int:
-    """The largest size up to ``shingles`` on the ladder 1, 2, ... 10, 11, ... 20, 22, 24, ... (steps of a tenth)."""
+    """The largest size up to ``shingles`` on the ladder 1, 2, ... 16, 18, 20, 22, 24, 27, ... (steps of an eighth)."""
     size = 1
-    while (following := size + max(1, size // 10)) <= shingles:
+    while (following := size + max(1, size // 8)) <= shingles:
         size = following
     return size
 
