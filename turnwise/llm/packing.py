@@ -27,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 4_096
 END = 1  # the id that ends a document
-KEPT_WORDS = 1_000_000  # words whose ids a worker process keeps
+KEPT_WORDS = 500_000  # words whose ids a worker process keeps
 KEPT_LENGTH = 64  # characters of the longest word that is kept
 TOGETHER = 200  # documents whose new words are encoded in one call
 
