@@ -12,8 +12,8 @@ Nodes below the top are spread over the cluster.  Where one holds more fingerpri
 should (a large group of near copies), the traversal goes on in Spark: the node is split by further
 bits, and pairs of its parts that are within the radius become tasks of their own.
 
-A task reports its links as a spanning forest, in chains, so links of n fingerprints are less than n
-rows however dense they are.  The components of all links are found by alternating star
+A task reports its links as a spanning forest, as links to the smallest of each set, so links of n
+fingerprints are less than n rows however dense they are.  The components of all links are found by alternating star
 contractions (Kiveris et al., 2014), on fingerprints and not on documents.
 """
 
@@ -188,12 +188,11 @@ class Forest:
             i, j = i[apart], j[apart]
             np.minimum.at(self.parent, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
 
-    def chains(self) -> tuple[np.ndarray, np.ndarray]:
-        """Links that connect the members of each set one after the other."""
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each member that is no root, and its root."""
         root = self.roots()
-        order = np.argsort(root, kind="stable")
-        linked = root[order][1:] == root[order][:-1]
-        return order[:-1][linked], order[1:][linked]
+        member = np.flatnonzero(root != np.arange(len(root)))
+        return member, root[member]
 
 
 def join_task(depths: list[int], radius: int):
@@ -230,7 +229,7 @@ def join_task(depths: list[int], radius: int):
             if len(a):
                 for i, j in near_pairs(paths, paths, (a, b, c, d, err, same), depths[trie], radius):
                     forest.join(ids[i], ids[j])
-        i, j = forest.chains()
+        i, j = forest.links()
         if len(i):
             yield pd.DataFrame({"u": distinct[i], "v": distinct[j]})
     return run
