@@ -69,3 +69,31 @@ def test_ngrams_are_the_same_in_both_places(spark):
 def test_empty(documents, model):
     assert scan_licenses(documents([]), model).collect() == []
     assert scan_licenses(documents([(1, None), (2, "")]), model).collect() == []
+
+
+SHORT = {
+    "This article is available under CC BY-SA 4.0.": "cc-by-sa", "CC BY 4.0": "cc-by", "Released under MIT.": "mit",
+    "Distributed under the BSD 3-Clause terms.": "bsd", "Available under MPL 2.0": "mpl-2.0"}
+
+
+def test_notices_without_a_cue(documents, model, prose):
+    assert not any(CUE.search(t.lower()) for t in SHORT)
+    rows = [(n, f"{prose(12)}\n{t}\n{prose(12)}") for n, t in enumerate(SHORT)]
+    got = scan_licenses(documents(rows), model).collect()
+    assert {(r.doc_id, r.paragraph): r.family for r in got} == {(n, 1): f for n, f in enumerate(SHORT.values())}
+
+
+def test_scan_is_the_plain_classifier_without_cues(documents, model, prose):
+    draw, words = random.Random(5), ["mit", "by", "cc", "sa", "nc", "bsd", "mpl", "2.0", "4.0", "3", "1.2by", "under", "the", "released"]
+    texts = [" ".join(draw.choices(words, k=draw.randint(1, 6)) + prose(draw.randint(1, 4)).split()) for _ in range(400)]
+    want = {n: p[:-1].max() for n, p in enumerate(map(model.probabilities, texts)) if p[-1] < p[:-1].max()}
+    got = scan_licenses(documents(list(enumerate(texts))), model).collect()
+    assert 20 < len(want) and {r.doc_id: r.probability for r in got} == pytest.approx(want, abs=1e-5)
+
+
+def test_german_mit_is_other_text(documents, prose):
+    draw = random.Random(9)
+    german = [f"{prose(draw.randint(1, 8))} mit {prose(draw.randint(1, 8))} by {prose(2)}" for _ in range(300)]
+    model = fit_licenses(german)
+    got = scan_licenses(documents([*enumerate(german), (1_000, "Released under MIT.")]), model).collect()
+    assert [(r.doc_id, r.family) for r in got] == [(1_000, "mit")]

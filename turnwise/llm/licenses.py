@@ -3,10 +3,11 @@
 A multinomial logistic regression over n-grams of one to three words tells license families from
 each other and from other text.  It is fitted with an L1 penalty on the driver, on variants of the
 notices below and on a bounded sample of the corpus's own paragraphs, so only some n-grams have
-weights.  Every n-gram that counts holds a cue (a word of license notices); a paragraph without a
-cue is other text for certain, and is left out by a scan for the cues before it is cut into words.
+weights.  Every n-gram with a weight holds an anchor, a word that is taken from the weights themselves;
+a paragraph without an anchor has the scores of an empty one, which is other text, and is left out by a
+scan for the anchors before it is cut into words.
 
-Scanning is DataFrame expressions alone: paragraphs with cues, their distinct n-grams, a join with
+Scanning is DataFrame expressions alone: paragraphs with anchors, their distinct n-grams, a join with
 the weights (a table of bounded size), and sums per paragraph that are combined before the shuffle.
 """
 
@@ -61,6 +62,16 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
     "cc0": ["Released into the public domain under CC0 1.0.", "This work is dedicated to the public domain under the CC0 license."],
 }
+# Notices without a cue (below).
+SHORT = {
+    "mit": ["Released under MIT.", "Available under MIT."],
+    "bsd": ["Distributed under the BSD 3-Clause terms.", "Released under BSD 2-Clause."],
+    "mpl-2.0": ["Available under MPL 2.0.", "Released under MPL 2.0."],
+    "cc-by": ["This article is available under CC BY 4.0.", "CC BY 4.0"],
+    "cc-by-sa": ["This article is available under CC BY-SA 4.0.", "CC BY-SA 4.0"],
+    "cc-by-nc": ["This article is available under CC BY-NC 4.0.", "CC BY-NC 4.0"],
+    "cc-by-nc-sa": ["This article is available under CC BY-NC-SA 4.0.", "CC BY-NC-SA 4.0"],
+}
 # Notices of none of these families, and other uses of their words.
 UNKNOWN = [
     "Licensed under the terms of the company's license agreement.", "All rights reserved. No license is granted.",
@@ -73,13 +84,15 @@ OTHER = [
     "The warranty of the car ended in March.", "She studied at MIT before she came to Boston.", "The apache helicopter landed.",
     "The version of the story differs.", "A copyright dispute about a song.", "The domain of the function is open to the public."]
 CUES = "licen[sc]|copyright|copyleft|warrant|permi|redistribut|spdx|gnu|gpl|apache|mozilla|creative|public domain|cc0|reserved"
+FEATURE = re.compile(CUES + r"|\d|\b(?:mit|bsd|mpl|by|nc|sa|cc)\b")  # in n-grams that can have a weight
+NOTICE = re.compile(CUES + r"|\bcc[ -]by\b|\b(?:bsd|mpl)\b|\bunder (?:the )?mit\b")  # not in paragraphs taken as other text
 NONE, NEW = "none", "unknown"
 NGRAM = 3
 PARAGRAPHS = 4_000  # of the corpus that the classifier is fitted on, at most about
 CONFIRM = 0.6  # least share of a template's n-grams that a confirmed paragraph has
 WORD = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
-PLAIN_WORD = re.compile(r"[^\W_]+(?:\.\d+)*")  # the same for Python
 CUE = re.compile(CUES)
+PLAIN_WORD = re.compile(r"[^\W_]+(?:\.\d+)*")  # the same for Python
 
 
 def words_of(text: Column) -> Column:
@@ -111,6 +124,14 @@ class LicenseModel:
     templates: list[tuple[str, set[str]]]
     threshold: float
 
+    def anchors(self) -> list[str]:
+        """Words so that every n-gram with a weight holds one of them."""
+        found: set[str] = set()
+        for words in sorted((g.split(" ") for g in self.weights), key=lambda w: (len(w), w)):
+            if not found.intersection(words):
+                found.add(max(words, key=len))
+        return sorted(found)
+
     def probabilities(self, text: str) -> np.ndarray:
         scores = self.intercepts + sum((self.weights[g] for g in ngrams(text) if g in self.weights), np.zeros(len(self.classes)))
         scores = np.exp(scores - scores.max())
@@ -158,18 +179,18 @@ def fit_licenses(corpus: list[str], penalty: float = 2e-5) -> LicenseModel:
     """
     classes = [*TEMPLATES, NONE]
     draw = random.Random(7)
-    known = [(v, i % 4 == 3, k) for k, name in enumerate(TEMPLATES) for n in TEMPLATES[name] for i, v in enumerate(variants(n, draw))]
+    notices = {name: TEMPLATES[name] + SHORT.get(name, []) for name in TEMPLATES}
+    known = [(v, i % 4 == 3, k) for k, name in enumerate(notices) for n in notices[name] for i, v in enumerate(variants(n, draw))]
     unclear = [v for n in UNKNOWN for v in variants(n, draw)]
-    plain = [p for p in corpus if not CUE.search(p.lower())] + OTHER
+    plain = [p for p in corpus if not NOTICE.search(p.lower())] + OTHER
     rows = known + [(p, i % 4 == 3, len(TEMPLATES)) for i, p in enumerate(plain)]
-    vocabulary = sorted({g for t, held, k in known if not held for g in ngrams(t) if CUE.search(g) or re.search(r"\d|^(mit|bsd|by|nc|sa|cc)\b", g)})
+    vocabulary = sorted({g for t, held, k in known if not held for g in ngrams(t) if FEATURE.search(g)})
     place = {g: i for i, g in enumerate(vocabulary)}
 
     def matrix(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(vocabulary)))
         for i, text in enumerate(texts):
-            # A text without a cue has no features, as in the scan.
-            out[i, [place[g] for g in ngrams(text) if g in place] if CUE.search(text.lower()) else []] = 1
+            out[i, [place[g] for g in ngrams(text) if g in place]] = 1
         return out
 
     fitted = [(t, k) for t, held, k in rows if not held]
@@ -183,10 +204,11 @@ def fit_licenses(corpus: list[str], penalty: float = 2e-5) -> LicenseModel:
         p = p - p.max(axis=1, keepdims=True)
         return float((np.log(np.exp(p).sum(axis=1)) - p[np.arange(len(p)), answer]).mean())
 
+    intercepts[-1] = intercepts.max()  # a text without features is other text
     heat = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss)
     model = LicenseModel(
         classes, intercepts / heat, {g: w / heat for g, w in zip(vocabulary, weights) if np.abs(w).max() > 1e-6},
-        [(name, ngrams(n)) for name in TEMPLATES for n in TEMPLATES[name]], 0.5)
+        [(name, ngrams(n)) for name in notices for n in notices[name]], 0.5)
     right = [model.probabilities(t)[:-1].max() for t, k in checked if k < len(TEMPLATES)]
     wrong = [model.probabilities(t)[:-1].max() for t in unclear]
     cuts = np.linspace(0.3, 0.95, 66)
@@ -216,11 +238,15 @@ def scan_licenses(
     row; null ids stay null; an empty table gives an empty result; other columns are ignored.
     """
     spark, classes = docs.sparkSession, model.classes
+    # Words are runs of letters and digits, so no letter is beside one (a digit may be: "1.2by" is two words).
+    anchors = r"(?<!\p{L})(?:" + "|".join(re.escape(a) for a in model.anchors()) + r")(?!\p{L})"
     lines = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), full(text).alias("text")).where(
-            F.lower("text").rlike(CUES)).select("row", "id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(
-            F.lower("line").rlike(CUES))
-    grams = lines.select("row", "id", "paragraph", "line", F.explode(paragraph_ngrams(words_of(F.col("line")))).alias("gram"))
+            F.lower("text").rlike(anchors)).select("row", "id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(
+            F.lower("line").rlike(anchors))
+    # Words are a column of their own, else each n-gram would cut the line anew.
+    words = lines.withColumn("words", words_of(F.col("line")))
+    grams = words.select("row", "id", "paragraph", "line", F.explode(paragraph_ngrams(F.col("words"))).alias("gram"))
     # A vocabulary of bounded size: the n-grams of the notices above.
     known = sorted(set(model.weights) | {g for _, grams_ in model.templates for g in grams_})
     zero = np.zeros(len(classes))
