@@ -1,8 +1,8 @@
 """WARC archives of web pages: writing with revisits and segments, and reading back with reassembly.
 
-Writing is all JVM expressions.  A response block is an HTTP message with chunked transfer framing;
-blocks above ``segment`` characters are split into a first segment and continuation records.  Records
-with equal payloads are found by a grouped maximum over digests, so pages are shuffled once, by digest.
+A response block is an HTTP message with chunked transfer framing; blocks above ``segment`` characters are
+split into a first segment and continuation records.  Records with equal payloads are found by a grouped
+maximum over digests, so pages are shuffled once, by digest.
 
 Reading takes the archives file by file.  Unsegmented records are decoded where they are read; only
 the segments of others are shuffled, by the identifier of their origin, put in order by segment
@@ -11,6 +11,8 @@ number, checked against the total length, and decoded.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import io
 import sys
 import zlib
@@ -18,43 +20,80 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm.base import full, query, table
-from turnwise.session import new_folder
+from turnwise.session import cut_lineage, new_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 EOL = "\r\n"
 RECORDS_PER_FILE = 2_000
-DECODED = "row long, id string, url string, record_type string, refers_to string, claimed string, payload binary, problem string"
+DECODED = (
+    "row long, id string, url string, record_type string, refers_to string, payload binary, payload_digest string, "
+    "problem string")
 SEGMENTS = (
     "origin string, number int, total long, row long, id string, url string, claimed string, record_type string, "
     "refers_to string, block binary")
 
 
-def base32_of_hex(digest: Column) -> Column:
-    """Base-32 text of a digest given as hex: five hex digits are four characters."""
-    def quad(i: int) -> list[Column]:
-        bits = F.conv(digest.substr(5 * i + 1, 5), 16, 10).cast("int")
-        return [F.substring(F.lit(BASE32), F.shiftright(bits, 15 - 5 * k).bitwiseAND(31) + 1, F.lit(1)) for k in range(4)]
-    return F.concat(*[c for i in range(8) for c in quad(i)])
-
-
-def payload_digest(payload: Column) -> Column:
+def payload_digest(payload: bytes) -> str:
     """Bare upper-case base-32 SHA-1."""
-    return base32_of_hex(F.sha1(payload))
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _pieces(text: Column, size: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), 0)
+def _pieces(text: str, size: int) -> list[str]:
+    return [text[at:at + size] for at in range(0, len(text), size)]
 
 
-def _field(name: str, value: Column) -> Column:
+def _field(name: str, value) -> str:
     """A header line, or nothing for a null value."""
-    return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(EOL)), F.lit(""))
+    return "" if value is None else f"{name}: {value}{EOL}"
+
+
+def frame_task(chunk: int, segment: int):
+    """Task function: pages (row, id, url, html, hex, origin, revisit) to the text of their records, one or more each."""
+    def records(r) -> Iterator[str]:
+        head = f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}"
+        if r.revisit:
+            block = head + EOL
+        else:
+            framed = [f"{len(c.encode('utf-8', 'surrogatepass')):x}{EOL}{c}{EOL}" for c in _pieces(r.html, chunk)]
+            block = "".join([head, f"Transfer-Encoding: chunked{EOL}{EOL}", *framed, f"0{EOL}{EOL}"])
+        parts = _pieces(block, segment)
+        digest = base64.b32encode(bytes.fromhex(r.hex)).decode()
+        length = sum(len(p.encode("utf-8", "surrogatepass")) for p in parts)
+        for at, part in enumerate(parts):
+            first, last = at == 0, at + 1 == len(parts)
+            split = len(parts) > 1
+            yield "".join([
+                f"WARC/1.1{EOL}",
+                _field("WARC-Type", "continuation" if not first else "revisit" if r.revisit else "response"),
+                _field("WARC-Record-ID", f"<urn:row:{r.row}>" if first else f"<urn:row:{r.row}:{at}>"),
+                _field("WARC-Target-URI", r.url), _field("X-Row", r.row), _field("X-Page-ID", r.id),
+                _field("WARC-Payload-Digest", f"sha1:{digest}"),
+                _field("WARC-Refers-To", f"<urn:page:{r.origin}>" if r.revisit else None),
+                _field("WARC-Segment-Number", at + 1 if split else None),
+                _field("WARC-Segment-Origin-ID", None if first else f"<urn:row:{r.row}>"),
+                _field("WARC-Segment-Total-Length", length if split and last else None),
+                _field("Content-Type", "application/http; msgtype=response"),
+                _field("Content-Length", len(part.encode("utf-8", "surrogatepass"))), EOL, part])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            some, size = [], 0
+            for r in batch.itertuples(index=False):
+                for record in records(r):
+                    some.append(record)
+                    size += len(record)
+                    if size > 4 << 20:
+                        yield pd.DataFrame({"value": some})
+                        some, size = [], 0
+            if some:
+                yield pd.DataFrame({"value": some})
+    return run
 
 
 def write_archives(
@@ -69,40 +108,14 @@ def write_archives(
     """
     rows = pages.select(
         F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"),
-        F.regexp_replace(F.col(url), r"[\r\n]", " ").alias("url"), full(html).alias("html")).withColumn(
-            "digest", F.sha1("html"))
-    origins = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("id").alias("origin"))
-    marked = rows.join(origins, "digest", "left").withColumn(
-        "revisit", (F.octet_length("html") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("origin")))
-    framed = F.concat(
-        F.array_join(F.transform(_pieces(F.col("html"), chunk), lambda c: F.concat(
-            F.lower(F.hex(F.octet_length(c))), F.lit(EOL), c, F.lit(EOL))), ""), F.lit(f"0{EOL}{EOL}"))
-    http = F.concat(
-        F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}"),
-        F.when(F.col("revisit"), F.lit(EOL)).otherwise(
-            F.concat(F.lit(f"Transfer-Encoding: chunked{EOL}{EOL}"), framed)))
-    blocks = marked.withColumn("block", http).withColumn("length", F.octet_length("block")).select(
-        "row", "id", "url", "digest", "origin", "revisit", "length",
-        F.posexplode(_pieces(F.col("block"), segment)).alias("at", "part"),
-        F.size(_pieces(F.col("block"), segment)).alias("parts"))
-    first, split = F.col("at") == 0, F.col("parts") > 1
-    name = F.concat(F.lit("<urn:row:"), F.col("row"), F.lit(">"))
-    record = F.concat(
-        F.lit(f"WARC/1.1{EOL}"),
-        _field("WARC-Type", F.when(~first, "continuation").when(F.col("revisit"), "revisit").otherwise("response")),
-        _field("WARC-Record-ID", F.when(first, name).otherwise(F.concat(F.lit("<urn:row:"), F.col("row"), F.lit(":"), F.col("at"), F.lit(">")))),
-        _field("WARC-Target-URI", F.col("url")),
-        _field("X-Row", F.col("row")), _field("X-Page-ID", F.col("id")),
-        _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.col("digest")))),
-        _field("WARC-Refers-To", F.when(F.col("revisit"), F.concat(F.lit("<urn:page:"), F.col("origin"), F.lit(">")))),
-        _field("WARC-Segment-Number", F.when(split, F.col("at") + 1)),
-        _field("WARC-Segment-Origin-ID", F.when(~first, name)),
-        _field("WARC-Segment-Total-Length", F.when(split & (F.col("at") + 1 == F.col("parts")), F.col("length"))),
-        F.lit("Content-Type: application/http; msgtype=response" + EOL),
-        _field("Content-Length", F.octet_length("part")), F.lit(EOL), F.col("part"))
+        F.regexp_replace(F.col(url), r"[\r\n]", " ").alias("url"), full(html).alias("html")).withColumn("hex", F.sha1("html"))
+    origins = rows.where(F.octet_length("html") >= min_bytes).groupBy("hex").agg(F.max("id").alias("origin"))
+    marked = rows.join(origins, "hex", "left").select(
+        "row", F.col("id").cast("string").alias("id"), "url", "html", "hex", F.col("origin").cast("string").alias("origin"),
+        ((F.octet_length("html") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("origin"))).alias("revisit"))
     # Two line ends close a record, so they are the separator of the text sink.
-    blocks.select(record.alias("value")).write.option("lineSep", EOL * 2).option("compression", "gzip").option(
-        "maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    marked.mapInPandas(frame_task(chunk, segment), "value string").write.option("lineSep", EOL * 2).option(
+        "compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
 
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -169,11 +182,18 @@ def http_payload(block: bytes) -> bytes:
     return dechunk(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-def _decoded(blocks: list[bytes]) -> tuple[bytes | None, str | None]:
+def _decoded(kind: str | None, blocks: list[bytes], claimed: str | None) -> dict:
+    """Payload, its digest (hashed once) and what is wrong with them; of a revisit the digest that it states."""
+    if kind == "revisit":
+        return {"payload": None, "payload_digest": claimed, "problem": None}
     try:
-        return http_payload(b"".join(blocks)), None
+        payload = http_payload(b"".join(blocks))
     except ValueError as e:
-        return None, str(e)
+        return {"payload": None, "payload_digest": None, "problem": str(e)}
+    digest = payload_digest(payload)
+    return {
+        "payload": payload, "payload_digest": digest,
+        "problem": "the digest differs" if claimed is not None and digest != claimed else None}
 
 
 def _common(h: dict[str, str]) -> dict:
@@ -205,9 +225,8 @@ def read_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for h, block in read_records(data):
                     if "warc-segment-number" in h:
                         continue
-                    kind = h["warc-type"]
-                    payload, problem = (None, None) if kind == "revisit" else _decoded([block])
-                    yield _common(h) | {"record_type": kind, "payload": payload, "problem": problem}
+                    common = _common(h)
+                    yield common | {"record_type": h["warc-type"]} | _decoded(h["warc-type"], [block], common["claimed"])
     return _frames(rows(), [c.split()[0] for c in DECODED.split(", ")])
 
 
@@ -234,16 +253,15 @@ def join_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 parts = [p["block"] for p in r.parts]
-                payload = None
+                lost = {"payload": None, "payload_digest": r.claimed if r.record_type == "revisit" else None}
                 if [p["number"] for p in r.parts] != list(range(1, len(parts) + 1)):
-                    problem = "segments are missing or repeated"
+                    found = lost | {"problem": "segments are missing or repeated"}
                 elif pd.isna(r.total) or sum(map(len, parts)) != r.total:
-                    problem = "the total length differs"
+                    found = lost | {"problem": "the total length differs"}
                 else:
-                    payload, problem = (None, None) if r.record_type == "revisit" else _decoded(parts)
+                    found = _decoded(r.record_type, parts, r.claimed)
                 yield {
-                    "row": r.row, "id": r.id, "url": r.url, "record_type": r.record_type, "refers_to": r.refers_to,
-                    "claimed": r.claimed, "payload": payload, "problem": problem}
+                    "row": r.row, "id": r.id, "url": r.url, "record_type": r.record_type, "refers_to": r.refers_to} | found
     return _frames(rows(), [c.split()[0] for c in DECODED.split(", ")])
 
 
@@ -256,23 +274,19 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").load(folder).select("content")
     if spark.read.format("binaryFile").load(folder).limit(1).isEmpty():
-        return spark.createDataFrame([], DECODED.replace("claimed string, ", "") + ", payload_digest string")
+        return spark.createDataFrame([], DECODED)
     segments = files.mapInPandas(read_segments, SEGMENTS).groupBy("origin").agg(
         *[F.max(c).alias(c) for c in ("total", "row", "id", "url", "claimed", "record_type", "refers_to")],
         F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"))
-    records = files.mapInPandas(read_whole, DECODED).unionByName(segments.mapInPandas(join_segments, DECODED))
-    digest = payload_digest(F.col("payload"))
-    return records.select(
-        "row", "id", "url", "record_type", "refers_to", "payload",
-        F.when(F.col("record_type") == "revisit", F.col("claimed")).otherwise(digest).alias("payload_digest"),
-        F.coalesce("problem", F.when(digest != F.col("claimed"), "the digest differs")).alias("problem"))
+    return files.mapInPandas(read_whole, DECODED).unionByName(segments.mapInPandas(join_segments, DECODED))
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Length and digest of the full payload of every record; a revisit's are those of the response it repeats."""
-    own = records.select(
+    # Stored without the payloads, so that the archives are read once.
+    own = cut_lineage(records.select(
         "row", "id", "url", "record_type", "refers_to", "payload_digest", "problem",
-        F.octet_length("payload").cast("long").alias("payload_bytes"))
+        F.octet_length("payload").cast("long").alias("payload_bytes")))
     responses = own.where("record_type = 'response'")
     return responses.unionByName(
         own.where("record_type = 'revisit'").drop("payload_bytes").join(
