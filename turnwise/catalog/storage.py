@@ -66,17 +66,38 @@ def reply_map_texts(spark, sf_dir):
     return readers.read_replies(spark, folder).select("qid", "rep", F.md5("reply").alias("reply_md5"))
 
 
-@query("ingested_utterances", """SELECT CAST(conv_id AS VARCHAR) AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
-  role AS speaker, md5(text) AS text_md5 FROM conversations""")
-def ingested_utterances(spark, sf_dir):
-    folder = new_folder(spark, "interviews")
+UTTERANCES_SQL = """SELECT CAST(conv_id AS VARCHAR) AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
+  role AS speaker, md5(text) AS text_md5 FROM conversations"""
+
+
+def _interview_rows(spark, sf_dir):
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("id")).agg(turns.alias("t"))
-    rows.select("id", F.col("t.role").alias("speaker"), F.col("t.text").alias("utt")).write.json(f"{folder}/json")
-    interviews = readers.ingest_interviews(spark, f"{folder}/json", f"{folder}/parquet", lines=True)
+    return rows.select("id", F.col("t.role").alias("speaker"), F.col("t.text").alias("utt"))
+
+
+def _utterances(interviews):
     return explode_interviews(interviews).select("conv", F.col("pos").cast("long").alias("pos"), "speaker", F.md5("text").alias("text_md5"))
 
 
+@query("ingested_utterances", UTTERANCES_SQL)
+def ingested_utterances(spark, sf_dir):
+    folder = new_folder(spark, "interviews")
+    _interview_rows(spark, sf_dir).write.json(f"{folder}/json")
+    return _utterances(readers.ingest_interviews(spark, f"{folder}/json", f"{folder}/parquet", lines=True))
+
+
+@query("scanned_utterances", UTTERANCES_SQL)
+def scanned_utterances(spark, sf_dir):
+    """From arrays on one line; a title full of quotes, escapes and brackets stands before each list of turns."""
+    folder = new_folder(spark, "arrays")
+    odd = F.lit('}{"[\\"}],{\\')
+    rows = _interview_rows(spark, sf_dir).select("id", F.concat(odd, "id", odd).alias("title"), "speaker", "utt")
+    writers.write_json_arrays(rows, folder)
+    back = readers.read_interviews(spark, folder)
+    return _utterances(back.where(F.col("title") == F.concat(odd, "id", odd)))
+
+
 @query("split_from_file", """WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 10 < 7 THEN 'train' WHEN c_custkey % 10 = 7 THEN 'val' ELSE 'test' END AS split FROM customer)
 SELECT split, CAST(c_custkey AS VARCHAR) AS id FROM p""")
 def split_from_file(spark, sf_dir):

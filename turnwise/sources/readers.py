@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions.text import string_list
+from turnwise.sources.json_scan import read_json_array
 
 INTERVIEW = ("id string, program string, date string, url string, title string, summary string, "
              "utt array<string>, speaker array<string>")
 
 
 def read_interviews(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Interviews from a JSON array (any layout, one task per file) or from JSON lines (files are split)."""
-    return spark.read.schema(INTERVIEW).option("multiLine", not lines).json(path)
+    """Interviews from files that hold a JSON array (any layout) or JSON lines; both are split between tasks."""
+    return spark.read.schema(INTERVIEW).json(path) if lines else read_json_array(spark, path, INTERVIEW)
 
 
 def ingest_interviews(
     spark: SparkSession, path: str, target: str, partitions: int | None = None, lines: bool = False,
 ) -> DataFrame:
-    """One-time conversion to Parquet: a JSON array does not split, so later reads start from Parquet."""
+    """One-time conversion to Parquet, so that later reads prune columns and need no scan for the records."""
     rows = read_interviews(spark, path, lines)
     rows = rows.repartition(partitions, "id") if partitions else rows.repartition("id")
     rows.write.mode("overwrite").parquet(target)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +14,9 @@ from turnwise.functions.text import list_literal, text_list_literal
 from turnwise.operators.identity import apply_map
 from turnwise.sources.readers import _readable, tsv_layouts
 
+# Executors get task functions by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def latest_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
     """Newest snapshot and its number; the number comes from the partition folders alone."""
@@ -71,6 +79,25 @@ def write_json_map(rows: DataFrame, path: str, key: str = "qid", value: str = "p
     body.unionByName(ends).coalesce(1).sortWithinPartitions("part", "key").select("line").write.mode("overwrite").text(path)
 
 
+def array_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Task function: the objects of a partition as the elements of one array."""
+    held, start = None, "["
+    for batch in batches:
+        for value in batch["value"]:
+            if held is not None:
+                yield pd.DataFrame({"value": [f"{start}{held},"]})
+                start = ""
+            held = value
+    if held is not None:
+        yield pd.DataFrame({"value": [f"{start}{held}]"]})
+
+
+def write_json_arrays(rows: DataFrame, path: str) -> None:
+    """Files with one JSON array each, on one line; as many files as ``rows`` has partitions."""
+    rows.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(array_task, "value string").write.mode(
+        "overwrite").option("lineSep", " ").text(path)
+
+
 def pending_requests(requests: DataFrame, path: str, keys: tuple[str, ...] = ("qid", "rep")) -> DataFrame:
     """Requests without an answer at ``path`` yet: how an interrupted run goes on."""
     spark = requests.sparkSession
