@@ -203,3 +203,29 @@ def test_unknown_ids_go_to_the_side(spark):
     sv.split_unknown(batch, lambda d: seen.update(known=[tuple(r) for r in d.collect()]),
                      lambda d: seen.update(unknown=[tuple(r) for r in d.collect()]))
     assert seen == {"known": [("A1", 1)], "unknown": [("x",)]}
+
+
+def test_layouts_of_many_files(spark, tmp_path):
+    """Names with letters whose UTF-16 bytes hold a line feed, quoted and empty names, empty files, a repeated header line."""
+    (tmp_path / "a.tsv").write_bytes("﻿id\tĊ ਊ\tx\n1\tਊ\t2\n3\t\t4\n".encode("utf-16-le"))
+    (tmp_path / "b.tsv").write_bytes("﻿id\tĊ ਊ\tx\n5\ty\t6\n".encode("utf-16-be"))
+    (tmp_path / "c.tsv").write_text("﻿id\t\"x\"\t\tid2\n7\t8\t9\t10\nid\tx\t\tid2\n11\t\"two\nlines\"\t\t\n")
+    (tmp_path / "d.tsv").write_text("")
+    (tmp_path / "e.tsv").write_text("id\tx\n")
+    for k in range(40):
+        (tmp_path / f"f{k:02}.tsv").write_text(f"x\tid\n{k}\t{100 + k}\n")
+    rows, layouts = readers.tsv_cells(spark, [str(tmp_path)])
+    assert [names for _, names in layouts] == [["id", "Ċ ਊ", "x"], ["id", "x", "_c2", "id2"], ["id", "x"], ["x", "id"]]
+    got = readers.read_tsv(spark, [str(tmp_path)])
+    assert got.columns == ["id", "Ċ ਊ", "x", "_c2", "id2", "file_no"]
+    want = [("1", "ਊ", "2", None, None, 0), ("3", None, "4", None, None, 0), ("5", "y", "6", None, None, 1),
+            ("7", None, "8", "9", "10", 2), ("11", None, "two\nlines", None, None, 2)]
+    want += [(str(100 + k), None, str(k), None, None, 4 + k) for k in range(40)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert readers.column_names(["a", None, "A", "b"]) == ["a0", "_c1", "A2", "b"]
+
+
+def test_a_header_that_is_cut_off(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("id\t\"two\nlines\"\n1\t2\n")
+    with pytest.raises(ValueError, match="header"):
+        readers.read_tsv(spark, [str(tmp_path)])

@@ -130,8 +130,8 @@ def anonymised_files(spark, sf_dir):
         "place", "o").select("place", "value").write.partitionBy("place").text(f"{folder}/in")
     names = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(
         F.col("s_suppkey").cast("string").alias("orig"), F.concat(F.lit("A"), "s_suppkey").alias("anon"))
-    out = writers.anonymise_folder(spark, f"{folder}/in/*", names, f"{folder}/out", pattern="part-*")
-    rows = spark.read.option("sep", "\t").option("header", True).csv(out)
+    writers.write_anonymised(spark, f"{folder}/in/*", names, f"{folder}/out", pattern="part-*")
+    rows = spark.read.option("sep", "\t").option("header", True).csv(f"{folder}/out/layout=*/file=*")
     return rows.groupBy("flag", F.col("Annotator").alias("annotator")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions.text import string_list
+from turnwise.plans.ordered import row_numbers
+from turnwise.session import cut_lineage
 from turnwise.sources.json_scan import read_json_array
 
 INTERVIEW = ("id string, program string, date string, url string, title string, summary string, "
@@ -81,57 +83,115 @@ def _readable(spark: SparkSession, target: str) -> bool:
         return False
 
 
-def _file_heads(spark: SparkSession, path: str) -> list:
-    """Path, metadata path, byte order mark and header line of each file, in path order.
+def _tsv_heads(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file``, ``list_no`` (which of ``paths``), ``wide`` (UTF-16) and ``header`` of each file that is not empty.
 
-    The start of a file is decoded, or all of it where the start holds no line feed.
+    Files are read as lines of bytes (each byte one Latin-1 letter), and of all lines only the first one of the block at
+    byte 0 leaves a task: a byte order mark there tells UTF-16, of other files it is the header.
     """
-    wide = F.substring("content", 1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))
-
-    def decoded(content):
-        return F.when(wide, F.decode(content, "UTF-16")).otherwise(F.decode(content, "UTF-8"))
-
-    start = decoded(F.substring("content", 1, 1 << 16))
-    head = F.when(F.instr(start, "\n") > 0, start).otherwise(decoded(F.col("content")))
-    rows = spark.read.format("binaryFile").load(path).select(
-        "path", F.col("_metadata.file_path").alias("uri"), wide.alias("wide"),
-        F.regexp_replace(F.substring_index(head, "\n", 1), "^\ufeff", "").alias("header"))
-    return sorted(rows.collect(), key=lambda r: r["path"])
-
-
-def read_tsv(spark: SparkSession, paths: list[str], header: bool = True) -> DataFrame:
-    """TSV files of mixed encoding and differing columns; ``file_no`` is the place in the list.
-
-    Files with the same encoding and header line are one scan, and the scans are united by name, so
-    the plan grows with the number of layouts, not of files.
+    kinds = "file string, list_no int, wide boolean, header string"
+    found = spark.createDataFrame([], kinds)
+    for n, path in enumerate(paths):
+        lines = spark.read.option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "").schema("line string").csv(path)
+        first = lines.select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("place"), "line").where("block = 0").groupBy("file").agg(
+                F.min_by("line", "place").alias("line"))
+        header = F.regexp_replace(F.make_valid_utf8(F.encode("line", "ISO-8859-1").cast("string")), "^\ufeff", "")
+        found = found.unionByName(first.select(
+            "file", F.lit(n).alias("list_no"), F.substring("line", 1, 2).isin("\u00ff\u00fe", "\u00fe\u00ff").alias("wide"), header.alias("header")))
+    return found
+
+
+def _cells(spark: SparkSession, paths: list[str], wide: bool, width: int) -> DataFrame:
+    """``file``, ``place`` and ``cells`` of all records, header lines included."""
+    kinds = ", ".join(f"c{i} string" for i in range(width))
+    rows = _tsv(spark).option("header", False).option("encoding", "UTF-16" if wide else "UTF-8").schema(kinds).csv(paths)
+    cells = [F.regexp_replace("c0", "^\ufeff", "") if i == 0 else F.col(f"c{i}") for i in range(width)]
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), F.array(*cells).alias("cells"))
+
+
+def column_names(header: list[str | None]) -> list[str]:
+    """Names of the columns under a header: ``_c<place>`` where it has none, with the place added where one comes twice."""
+    lower = [None if name is None else name.lower() for name in header]
+    return [
+        f"_c{i}" if not name else f"{name}{i}" if lower.count(lower[i]) > 1 else name for i, name in enumerate(header)]
+
+
+def tsv_cells(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[tuple[int, list[str]]]]:
+    """Records of TSV files of mixed encoding and differing columns, and the layouts: number and column names.
+
+    ``file``, ``file_no`` (place in the list, files of one path by name), ``layout`` and ``cells``.  Files with the same
+    encoding and header line have one layout, and of all files one row for each layout reaches the driver.  The header
+    lines are no records, also where a file repeats its own.  Files without a line have none.
+    """
+    heads = cut_lineage(_tsv_heads(spark, paths))
+    if any("\"" in r.header and r.header.count("\"") % 2 for r in heads.where("NOT wide").select("header").distinct().toLocalIterator()):
+        raise ValueError("a header line ends inside a quoted name")
+    narrow = heads.where("NOT wide").select("file", "header")
+    splitter = {"sep": "\t", "escape": '"'}
+    width = heads.agg(F.max(F.when(~F.col("wide"), F.size(F.split("header", "\t"))))).first()[0] or 0
+    headers = spark.createDataFrame([], "file string, names array<string>")
+    if width:
+        kinds = ", ".join(f"c{i} string" for i in range(width))
+        parsed = narrow.select("file", "header", F.from_csv("header", kinds, splitter).alias("h")).select(
+            "file", F.slice(F.array("h.*"), F.lit(1), F.size(F.split("header", "\t"))).alias("names"))
+        headers = headers.unionByName(parsed)
+    wide = heads.where("wide").select("file")
+    some_wide = not wide.isEmpty()
+    if some_wide:
+        # How many columns they have is not known before they are decoded: a header has at most as many as its letters.
+        lines = spark.read.option("encoding", "UTF-16").option("sep", "\u0001").option("quote", "").option("multiLine", True).schema(
+            "line string").csv(paths).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), "line")
+        first = cut_lineage(lines.join(wide, "file", "left_semi").groupBy("file").agg(F.min_by("line", "place").alias("line")))
+        most = first.agg(F.max(F.size(F.split("line", "\t")))).first()[0]
+        kinds = ", ".join(f"c{i} string" for i in range(most))
+        parsed = first.withColumn("line", F.regexp_replace("line", "^\ufeff", "")).select(
+            "file", "line", F.from_csv("line", kinds, splitter).alias("h")).select(
+                "file", F.slice(F.array("h.*"), F.lit(1), F.size(F.split("line", "\t"))).alias("names"))
+        headers, width = headers.unionByName(parsed), max(width, most)
+    listed = headers.join(heads.select("file", "list_no", "wide"), "file")
+    numbered = row_numbers(listed, [], ["list_no", "file"], "file_no", probe=listed.select("list_no", "file")).select(
+        "file", "wide", "names", (F.col("file_no") - 1).cast("int").alias("file_no"))
+    layouts = numbered.groupBy("wide", "names").agg(F.min("file_no").alias("first"))
+    # One row for each layout.
+    kinds = sorted(layouts.collect(), key=lambda r: r["first"])
+    placed = cut_lineage(numbered.join(layouts.withColumnRenamed("first", "layout"), ["wide", "names"]).select(
+        "file", "file_no", "layout", "names"))
+    frames = [_cells(spark, paths, False, width)] if any(not r["wide"] for r in kinds) else []
+    frames = [(f, False) for f in frames] + ([(_cells(spark, paths, True, width), True)] if some_wide else [])
+    parts = []
+    for cells, is_wide in frames:
+        own = [r["first"] for r in kinds if r["wide"] == is_wide]
+        parts.append(cells.join(placed.where(F.col("layout").isin(own)), "file"))
+    rows = reduce(DataFrame.unionByName, parts)
+    rows = rows.where(~F.slice("cells", F.lit(1), F.size("names")).eqNullSafe(F.col("names")))
+    return rows.select("file", "file_no", "layout", "cells"), [(r["first"], column_names(r["names"])) for r in kinds]
+
+
+def read_tsv(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """TSV files of mixed encoding and differing columns as one table; ``file_no`` is the place of the file in the list.
+
+    Columns are united by name; the plan grows with the number of layouts, not of files.
     """
-    files = [r for p in paths for r in _file_heads(spark, p)]
-    layouts: dict[tuple, list[str]] = {}
-    for r in files:
-        layouts.setdefault((r["wide"], r["header"] if header else None), []).append(r["path"])
-    frames = []
-    for (wide, _), group in layouts.items():
-        reader = _tsv(spark).option("header", header)
-        if wide:
-            reader = reader.option("encoding", "UTF-16")
-        rows = reader.csv(group)
-        frames.append(rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_metadata.file_path").alias("__uri")))
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    numbers = spark.createDataFrame([(r["uri"], i) for i, r in enumerate(files)], "__uri string, file_no int")
-    return rows.join(numbers, "__uri").drop("__uri")
+    rows, layouts = tsv_cells(spark, paths)
+    names = list(dict.fromkeys(name for _, own in layouts for name in own))
+
+    def value(name: str):
+        found = F.lit(None).cast("string")
+        for layout, own in layouts:
+            if name in own:
+                found = F.when(F.col("layout") == layout, F.get("cells", F.lit(own.index(name)))).otherwise(found)
+        return found.alias(name)
+    return rows.select(*[value(name) for name in names], "file_no")
 
 
 def tsv_layouts(spark: SparkSession, path: str) -> list[tuple[list[str], DataFrame]]:
-    """Paths and rows (with ``file``, the file's name) of the files of each encoding and header line in a folder."""
-    groups: dict[tuple, list[str]] = {}
-    for r in _file_heads(spark, path):
-        groups.setdefault((r["wide"], r["header"]), []).append(r["path"])
-    out = []
-    for (wide, _), paths in groups.items():
-        reader = _tsv(spark).option("encoding", "UTF-16" if wide else "UTF-8")
-        rows = reader.csv(paths)
-        out.append((paths, rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_metadata.file_name").alias("file"))))
-    return out
+    """Column names and rows (with ``file``, the file's name) of the files of each encoding and header line in a folder."""
+    rows, layouts = tsv_cells(spark, [path])
+    name = F.url_decode(F.regexp_extract("file", "[^/]*$", 0))
+    return [(own, rows.where(F.col("layout") == layout).select(
+        *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(own)], name.alias("file"))) for layout, own in layouts]
 
 
 def read_exports(spark: SparkSession, paths: list[str], options=None) -> DataFrame:

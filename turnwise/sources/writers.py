@@ -128,23 +128,44 @@ def read_split_ids(spark: SparkSession, path: str, split: str, key: str = "qid")
 ID_COLUMNS = ("Q-PID", "Annotator", "Participant id")
 
 
-def anonymise_folder(
+def write_anonymised(
     spark: SparkSession, source: str, names: DataFrame, target: str, prefix: str = "ANON_", pattern: str = "*.tsv",
-) -> list[str]:
-    """Pseudonymised copies of the TSV files of a folder, without finished ones and unknown kinds.
+) -> int:
+    """Pseudonymised copies of the TSV files of a folder, without finished ones and unknown kinds; how many layouts.
 
     One job for each layout (encoding and header line), whatever the number of files: its rows are
     written to ``target/layout=<n>/file=<prefix><name>``.
     """
-    written = []
-    for n, (paths, rows) in enumerate(tsv_layouts(spark, f"{source.rstrip('/')}/{pattern}")):
-        column = next((c for c in ID_COLUMNS if c in rows.columns), None)
-        todo = sorted({p.rsplit("/", 1)[-1] for p in paths if not p.rsplit("/", 1)[-1].startswith(prefix)})
-        if column is None or not todo:
+    layouts = tsv_layouts(spark, f"{source.rstrip('/')}/{pattern}")
+    for n, (columns, rows) in enumerate(layouts):
+        column = next((c for c in ID_COLUMNS if c in columns), None)
+        if column is None:
             continue
-        mapped = apply_map(rows.where(F.col("file").isin(*todo)), names, column).select(*[F.col(f"`{c}`") for c in rows.columns])
-        mapped.withColumn("file", F.concat(F.lit(prefix), "file")).write.mode("overwrite").partitionBy("file").option(
-            "sep", "\t").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
-            "ignoreTrailingWhiteSpace", False).csv(f"{target.rstrip('/')}/layout={n}")
-        written += [f"{target.rstrip('/')}/layout={n}/file={prefix}{name}" for name in todo]
+        mapped = apply_map(rows.where(~F.startswith("file", F.lit(prefix))), names, column).select(
+            *[F.col(f"`{c}`") for c in columns], F.concat(F.lit(prefix), "file").alias("file"))
+        mapped.write.mode("overwrite").partitionBy("file").option("sep", "\t").option("header", True).option(
+            "escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(
+                f"{target.rstrip('/')}/layout={n}")
+    return len(layouts)
+
+
+def anonymise_folder(
+    spark: SparkSession, source: str, names: DataFrame, target: str, prefix: str = "ANON_", pattern: str = "*.tsv",
+) -> list[str]:
+    """``write_anonymised``, and the folders that it wrote by name: for folders with a moderate number of files."""
+    layouts = write_anonymised(spark, source, names, target, prefix, pattern)
+    written = []
+    for n in range(layouts):
+        folder = f"{target.rstrip('/')}/layout={n}"
+        if _readable_csv(spark, folder):
+            found = spark.read.option("sep", "\t").option("header", True).csv(folder).select("file").distinct().orderBy("file")
+            written += [f"{folder}/file={r['file']}" for r in found.collect()]
     return written
+
+
+def _readable_csv(spark: SparkSession, path: str) -> bool:
+    from pyspark.errors import AnalysisException
+    try:
+        return "file" in spark.read.option("header", True).csv(path).columns
+    except AnalysisException:
+        return False
