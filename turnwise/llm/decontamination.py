@@ -1,14 +1,16 @@
 """Benchmark decontamination: SimHash windows of the size of the benchmark items.
 
-Documents and items are sequences of shingles of five words (runs of letters, digits and
-underscores in lower case).  Item sizes are rounded down to a ladder of sizes about an eighth
-apart.  For every size on it that items have, the fingerprints of all windows of that many shingles
-come from running sums of the shingles' hash bits.  A multi-index finds those within the Hamming
-radius of the head of an item (as many of its first shingles): if two fingerprints differ in at most
-``radius`` of 64 bits, they differ in at most ``radius // 4`` bits of one of their four blocks of 16,
-and a table per block knows all values that near to an item's.  At each candidate the window of the
-item's full size is verified by the exact similarity of the weighted shingles (weights are numbers
-of occurrences: common weight by weight of the union).
+Documents and items are sequences of shingles of five words (runs of letters, digits and underscores in
+lower case).  For every size that items have, a window is a run of as many shingles, or at either end of a
+text a shorter run that can still be similar, so passages that are cut off there are found.  A window's
+fingerprint comes from running sums of the shingles' hash bits.  A multi-index finds items within the
+Hamming radius: if two fingerprints differ in at most ``radius`` of 64 bits, they differ in at most
+``radius // 4`` bits of one of their four blocks of 16; a table per block knows all values that near to an
+item's, and lookups of the values near to a window's return the items.  Candidates are verified by the exact
+similarity of the weighted shingles (weights are numbers of occurrences: common weight by weight of the union).
+
+Most windows need no fingerprint: a window that is similar enough to an item has so many shingles of items
+that a running count of those tells.  That skip loses nothing; ``skip=False`` goes without it.
 
 Documents never meet, so nothing is shuffled.  The items are a query set: they are sent to the tasks
 in blocks of bounded size, one pass over the documents for each block.
@@ -35,9 +37,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS = 5  # of a shingle
 SIMILARITY = 0.8
-RADIUS = 15
+RADIUS = 19  # two windows at 0.8 differ in about 10 bits, with a deviation of 3
 ITEMS = 20_000  # items that are sent to the tasks at a time
-AT_ONCE = 1 << 13  # shingles whose windows a task holds at a time
+ITEM_BYTES = 16 << 20  # and their texts
+AT_ONCE = 1 << 8  # windows that a task looks up at a time
+KNOWN_BITS = 24  # of the places of the table of all items' shingles: 16 MB
 KEPT_WORDS = 250_000
 WORD = re.compile(r"\w+")
 
@@ -68,108 +72,151 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def running_bits(hashes: np.ndarray, widest: int) -> np.ndarray:
-    """Sums of the hash bits before each shingle; in few bits, since only differences up to ``widest`` count."""
-    kind = np.uint8 if widest < 1 << 8 else np.uint16 if widest < 1 << 16 else np.uint32
+def running_bits(hashes: np.ndarray) -> np.ndarray:
+    """Sums of the hash bits before each shingle."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(hashes) + 1, 64), kind)
-    np.cumsum(bits, axis=0, dtype=kind, out=sums[1:])
+    sums = np.zeros((len(hashes) + 1, 64), np.int32)
+    np.cumsum(bits, axis=0, dtype=np.int32, out=sums[1:])
     return sums
 
 
-def window_fingerprints(sums: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of each window of ``size`` shingles: a bit is 1 if more than half of them have it."""
-    return np.packbits((sums[size:] - sums[:-size] > size // 2).ravel()).view(np.uint64)
+def window_fingerprints(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """SimHash of each window: a bit is 1 if more than half of its shingles have it."""
+    sums = running_bits(hashes)
+    ones = sums[ends] - sums[starts]
+    return np.packbits((2 * ones > (ends - starts)[:, None]).ravel()).view(np.uint64)
 
 
-def window_size(shingles: int) -> int:
-    """The largest size up to ``shingles`` on the ladder 1, 2, ... 16, 18, 20, 22, 24, 27, ... (steps of an eighth)."""
-    size = 1
-    while (following := size + max(1, size // 8)) <= shingles:
-        size = following
-    return size
+def least_common(window, item, similarity: float):
+    """The common weight that a window needs with an item, given the weights of both."""
+    return np.ceil(similarity * (window + item) / (1 + similarity) - 1e-9).astype(np.int64)
 
 
 class ItemIndex:
-    """The items of one window size: fingerprints of their heads, a multi-index over them, and weighted shingles."""
+    """The items of one size: fingerprints, a multi-index over them, and weighted shingles."""
 
     def __init__(self, size: int, items: list[tuple[int, np.ndarray]], radius: int):
         self.size, self.radius = size, radius
         self.number = [i for i, _ in items]
-        self.lengths = [len(h) for _, h in items]
         self.weights = [Counter(h.tolist()) for _, h in items]
-        self.prints = np.concatenate([window_fingerprints(running_bits(h[:size], size), size) for _, h in items])
+        whole = np.zeros(1, np.int64)
+        self.prints = np.concatenate([window_fingerprints(h, whole, whole + size) for _, h in items])
         near = radius // 4
-        masks = np.array([sum(1 << b for b in bits) for k in range(near + 1) for bits in combinations(range(16), k)])
-        tables = np.zeros((4, 1 << 16), bool)
-        for block, values in zip(tables, self.prints.view(np.uint16).reshape(-1, 4).T):
-            block[(values[:, None] ^ masks[None, :].astype(np.uint16)).ravel()] = True
-        self.tables = tables.ravel()
+        self.masks = np.array(
+            [sum(1 << b for b in bits) for k in range(near + 1) for bits in combinations(range(16), k)], np.uint16)
+        self.blocks = []  # for each block of bits the values near to an item's, and the items by their own values
+        for values in self.prints.view(np.uint16).reshape(-1, 4).T:
+            table = np.zeros(1 << 16, bool)
+            own = np.unique(values)
+            for at in range(0, len(own), 1_000):
+                table[(own[at:at + 1_000, None] ^ self.masks).ravel()] = True
+            order = np.argsort(values, kind="stable")
+            self.blocks.append((table, values[order], order))
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index pairs (window, item) within the radius."""
-        places = prints.view(np.uint16).reshape(-1, 4) + np.arange(0, 4 << 16, 1 << 16)
-        at = np.flatnonzero(self.tables.take(places).view(np.uint32))  # any of four tables
-        near = np.flatnonzero(np.bitwise_count(prints[at, None] ^ self.prints) <= self.radius)
-        return at[near // len(self.prints)], near % len(self.prints)
+        """Index pairs (window, item) within the radius, each once."""
+        found = [np.zeros(0, np.int64)]
+        for at in range(0, len(prints), AT_ONCE):
+            for (table, values, order), own in zip(self.blocks, prints[at:at + AT_ONCE].view(np.uint16).reshape(-1, 4).T):
+                windows = np.flatnonzero(table[own])
+                probes = own[windows, None] ^ self.masks
+                first, last = np.searchsorted(values, probes), np.searchsorted(values, probes, "right")
+                window, _ = hit = np.nonzero(last > first)
+                number = (last - first)[hit]
+                place = np.repeat(first[hit], number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+                items = order[place]
+                windows = np.repeat(windows[window] + at, number)
+                near = np.bitwise_count(prints[windows] ^ self.prints[items]) <= self.radius
+                found.append(windows[near] * len(self.prints) + items[near])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // len(self.prints), pairs % len(self.prints)
 
     def similarity(self, item: int, window: np.ndarray) -> float:
         """Common weight of the shingles by the weight of their union."""
         weights = self.weights[item]
         common = sum(min(n, weights[h]) for h, n in Counter(window.tolist()).items() if h in weights)
-        return common / (len(window) + self.lengths[item] - common)
+        return common / (len(window) + self.size - common)
+
+
+class Index(dict):
+    """``ItemIndex`` by size, and the shingles of all items."""
+
+    def __init__(self, items: list[str], radius: int):
+        by_size = defaultdict(list)
+        for number, text in enumerate(items):
+            found = shingles(text)
+            if len(found):
+                by_size[len(found)].append((number, found))
+        super().__init__({size: ItemIndex(size, some, radius) for size, some in sorted(by_size.items())})
+        every = [h for some in by_size.values() for _, h in some]
+        self.known = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+        self.table = np.zeros(1 << KNOWN_BITS, bool)
+        self.table[(self.known >> np.uint64(64 - KNOWN_BITS)).astype(np.intp)] = True
+
+    def knows(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each shingle is one of an item."""
+        found = self.table[(hashes >> np.uint64(64 - KNOWN_BITS)).astype(np.intp)]
+        maybe = np.flatnonzero(found)
+        if len(maybe):
+            place = np.searchsorted(self.known, hashes[maybe])
+            found[maybe] = self.known[np.minimum(place, len(self.known) - 1)] == hashes[maybe]
+        return found
+
+
+def build_index(items: list[str], radius: int) -> Index:
+    return Index(items, radius)
 
 
-def build_index(items: list[str], radius: int) -> dict[int, ItemIndex]:
-    by_size = defaultdict(list)
-    for number, text in enumerate(items):
-        found = shingles(text)
-        if len(found):
-            by_size[window_size(len(found))].append((number, found))
-    return {size: ItemIndex(size, some, radius) for size, some in sorted(by_size.items())}
+def windows_of(size: int, length: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of all windows for items of ``size`` in a text of ``length`` shingles."""
+    starts = np.arange(max(0, length - size + 1))
+    shorter = np.arange(int(np.ceil(similarity * size - 1e-9)), min(size - 1, length) + 1)
+    heads, tails = shorter, shorter[shorter < length]  # of a whole text there is one
+    return (np.concatenate([starts, np.zeros(len(heads), np.int64), length - tails]),
+            np.concatenate([starts + size, heads, np.full(len(tails), length)]))
+
+
+def spans(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Runs of windows that touch each other, some at a time: where they begin and end, and which they are."""
+    order = np.argsort(starts, kind="stable")
+    at = 0
+    while at < len(order):
+        upto, end = at + 1, ends[order[at]]
+        while upto < len(order) and upto - at < AT_ONCE and starts[order[upto]] <= end:
+            end = max(end, ends[order[upto]])
+            upto += 1
+        yield int(starts[order[at]]), int(end), order[at:upto]
+        at = upto
 
 
 def matches(
-    texts: list[str | None], index: dict[int, ItemIndex], similarity: float,
+    texts: list[str | None], index: Index, similarity: float, skip: bool = True,
 ) -> dict[tuple[int, int], tuple[float, int, int]]:
-    """(text, item) to the most similar window: similarity, first word, words; of equal ones the first."""
+    """(text, item) to the most similar window: similarity, first word, words; of equal ones the first, then the longest."""
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
-    hashes = [shingles(t) for t in texts]
-    lengths = np.array([len(h) for h in hashes], np.int64)
-    ends = np.cumsum(lengths)
-    if not index or not ends[-1]:
+    if not index:
         return found
-    every = np.concatenate(hashes)
-    widest = max(index)
-
-    def verify(group: ItemIndex, item: int, text: int, start: int) -> None:
-        end = min(start + group.lengths[item], int(ends[text]))
-        value = group.similarity(item, every[start:end])
-        if value >= similarity:
-            first = start - int(ends[text] - lengths[text])
-            key, new = (text, group.number[item]), (value, first, end - start + WORDS - 1)
-            if key not in found or (new[0], -new[1]) > (found[key][0], -found[key][1]):
-                found[key] = new
-
-    for at in range(0, len(every), AT_ONCE):
-        part = every[at:at + AT_ONCE + widest]
-        sums = running_bits(part, widest)
-        for size, group in index.items():
-            if size > len(part):
-                break
-            windows, items = group.candidates(window_fingerprints(sums, size))
-            for start, item in zip((windows + at).tolist(), items.tolist()):
-                text = int(np.searchsorted(ends, start, "right"))
-                if start < at + AT_ONCE and start + size <= ends[text]:
-                    verify(group, item, text, start)
-    # A text that is shorter than the windows, but long enough to be as similar, is a window itself.
-    for text in np.flatnonzero((lengths > 0) & (lengths < widest)).tolist():
-        n = int(lengths[text])
+    fewest = {size: least_common(np.ceil(similarity * size - 1e-9), size, similarity) for size in index}
+    for text, own in enumerate(map(shingles, texts)):
+        if not len(own):
+            continue
+        known = np.concatenate([[0], np.cumsum(index.knows(own))])
         for size, group in index.items():
-            if n < size and n >= similarity * min(group.lengths):
-                own = window_fingerprints(running_bits(hashes[text], n), n)
-                for item in group.candidates(own)[1].tolist():
-                    verify(group, item, text, int(ends[text]) - n)
+            if skip and known[-1] < fewest[size]:
+                break  # larger items need more
+            starts, ends = windows_of(size, len(own), similarity)
+            if skip:
+                enough = known[ends] - known[starts] >= least_common(ends - starts, size, similarity)
+                starts, ends = starts[enough], ends[enough]
+            for low, high, which in spans(starts, ends):
+                prints = window_fingerprints(own[low:high], starts[which] - low, ends[which] - low)
+                for window, item in zip(*(x.tolist() for x in group.candidates(prints))):
+                    start, end = int(starts[which[window]]), int(ends[which[window]])
+                    value = group.similarity(item, own[start:end])
+                    if value >= similarity:
+                        key, new = (text, group.number[item]), (value, start, end - start + WORDS - 1)
+                        if key not in found or (new[0], -new[1], new[2]) > (found[key][0], -found[key][1], found[key][2]):
+                            found[key] = new
     return found
 
 
@@ -197,10 +244,10 @@ def find_contamination(
 ) -> DataFrame:
     """``id``, ``item``, ``similarity``, ``start`` and ``words`` (most similar window) per document and item found in it.
 
-    An item is found where the weighted shingles of a window of its size (or less, at the end of a
-    text) have ``similarity`` or more with its own, and the fingerprint of the window's head differs from
-    that of the item's in at most ``radius`` bits.  Null and empty texts and
-    those under five words hold no shingle: such documents hold no item, such items are in no document.
+    An item is found where the weighted shingles of a window of its size (or less, at the ends of a
+    text) have ``similarity`` or more with its own, and the fingerprints of the window and the item differ
+    in at most ``radius`` bits.  Texts count whole, however long.  Null and empty texts and those
+    under five words hold no shingle: such documents hold no item, such items are in no document.
     Repeated rows are searched one by one, null ids stay null, equal items are all found; without
     documents or items the result is empty.  Other columns are ignored.
     """
@@ -208,7 +255,8 @@ def find_contamination(
         "similarity double, start long, words long"
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     wanted = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
-    blocks = -(-wanted.count() // items_at_once)
+    count, size = wanted.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(-(-count // items_at_once), -(-(size or 0) // ITEM_BYTES)) if count else 0
     found = docs.sparkSession.createDataFrame([], schema)
     for block in range(blocks):
         some = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
