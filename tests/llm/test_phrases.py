@@ -68,7 +68,7 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("least, top", [(8, 2_000), (5, 12), (20, 3)])
+@pytest.mark.parametrize("least, top", [(8, 2_000), (5, 12)])
 def test_against_all_phrases(spark, rows, least, top):
     assert mined(spark, rows, least=least, top=top) == plain(rows, least, top)
 
@@ -76,7 +76,7 @@ def test_against_all_phrases(spark, rows, least, top):
 def test_small_parts_and_a_full_bit_table(spark, rows, monkeypatch):
     """Few codes at a time, a frontier in many parts, and bit tables in which nearly all bits are set change nothing."""
     want = plain(rows, 6, 10)
-    assert mined(spark, rows, least=6, top=10, shares=(0.01, 0.1, 0.3, 1.0)) == want
+    assert mined(spark, rows, least=6, top=10, shares=(0.01, 0.3, 1.0)) == want
     monkeypatch.setattr(phrases, "HELD", 700)
     frame = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], DOCS)
     assert sorted(map(tuple, mine_phrases(frame, least=6, top=10, bits=15).collect())) == want
@@ -87,7 +87,7 @@ def test_scores_close_first_words(spark, rows, monkeypatch):
     made, making = [], phrases.bit_table
     monkeypatch.setattr(phrases, "bit_table", lambda keys, bits: made.append(keys) or making(keys, bits))
     big = [(i, t, "en") for i, t, _ in rows]
-    assert mined(spark, big, least=8, top=4, shares=(0.05, 1.0)) == plain(big, 8, 4)
+    assert mined(spark, big, least=8, top=4, shares=(0.35, 1.0)) == plain(big, 8, 4)
     frequent = made[0].count()
     expanded = sum(k.count() for k in made[1:] if set(k.columns) == {"key", "phrase"})
     assert 0 < expanded < frequent
@@ -103,7 +103,8 @@ def test_codes_of_long_texts_are_those_of_short_steps():
     codes, again = Codes("en", 0), Codes("en", 0)
     whole = encode(text, codes)
     assert np.array_equal(whole, encode(text, again, at_once=7))
-    kept = [codes.spelling[c].decode() for c in whole.tolist() if c]
+    spelling = {c: w for w, c in codes.items()}
+    kept = [spelling[c].decode() for c in whole.tolist() if c]
     assert kept == [w for words in pieces(text) for w in words]
     assert Codes("de", 0)[b"one"] != codes[b"one"] and codes[BREAK] == 0
 

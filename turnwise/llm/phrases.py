@@ -25,13 +25,14 @@ from itertools import count as counting
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnwise.llm.base import query, table
-from turnwise.session import cut_lineage
+from turnwise.session import cut_lineage, new_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -41,9 +42,9 @@ TOP = 2_000
 BITS = 25  # of the places in a bit table: 4 MB each, whatever the data
 BUCKET = 15  # bits of a place within a bucket of Spark's bitmap aggregate
 SHARES = (1 / 8, 1.0)  # of a language's words that are expanded while no score closes any
-HELD = 1 << 21  # codes that a task encodes or counts at a time
-KEPT_WORDS = 500_000  # spellings that a task holds
-ENCODED = "lang string, codes binary, phrase binary, key long, word string, n long"
+HELD = 1 << 20  # codes that a task counts at a time
+KEPT_WORDS = 250_000  # spellings that a task holds
+ENCODED = "kind string, codes binary, key long, phrase binary, lang string, word string, n long"
 COUNTED = "phrase binary, key long, n long, before_min long, before_max long, after_min long, after_max long"
 
 BREAKS, BLANKS, BREAK = b".,;:!?\n\x0b\x0c\r", b" \t", b"\xff"  # no byte of UTF-8 is 0xff
@@ -59,17 +60,14 @@ def word_code(word: bytes, seed: int) -> int:
 
 
 class Codes(dict):
-    """Codes of the words of a language; ``spelling`` leads back."""
+    """Codes of the words of a language that were met."""
 
     def __init__(self, lang: str, seed: int):
         super().__init__({BREAK: 0})
-        self.lang, self.seed, self.spelling, self.clashes = f"{lang}\0".encode("utf-8", "surrogatepass"), seed, {}, []
+        self.lang, self.seed = f"{lang}\0".encode("utf-8", "surrogatepass"), seed
 
     def __missing__(self, word: bytes) -> int:
-        code = word_code(self.lang + word, self.seed)
-        self[word] = code
-        if self.spelling.setdefault(code, word) != word:
-            self.clashes.append((code, word))
+        code = self[word] = word_code(self.lang + word, self.seed)
         return code
 
 
@@ -96,37 +94,75 @@ def at_breaks(codes: np.ndarray, size: int) -> Iterator[np.ndarray]:
         start = stop
 
 
+class Tally:
+    """Counts of codes, added up some at a time."""
+
+    def __init__(self):
+        self.codes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, codes: np.ndarray) -> None:
+        new, counts = np.unique(codes, return_counts=True)
+        every, place = np.unique(np.concatenate([self.codes, new]), return_inverse=True)
+        self.counts = np.bincount(place, np.concatenate([self.counts, counts]), len(every)).astype(np.int64)
+        self.codes = every
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        return self.counts[np.searchsorted(self.codes, codes)]
+
+
+def fixed_binary(values: np.ndarray, width: int) -> pa.Array:
+    """Rows of ``width`` bytes as binary values."""
+    return pa.Array.from_buffers(pa.binary(width), len(values), [None, pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def encoded_rows(kind: str, size: int, **columns) -> pa.RecordBatch:
+    """Rows of the table that encoding writes; columns that are not given are null."""
+    kinds = {"kind": pa.string(), "codes": pa.binary(), "key": pa.int64(), "phrase": pa.binary(), "lang": pa.string(),
+             "word": pa.string(), "n": pa.int64()}
+    columns["kind"] = [kind] * size
+    arrays = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns.get(c, [None] * size), t) for c, t in kinds.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(kinds))
+
+
 def encode_task(seed: int):
-    """Task function: (lang, text) to rows of codes and rows of words with their counts."""
-    def rows(lang: str, codes: Codes, parts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        every = np.concatenate(parts)
-        for part in at_breaks(every, HELD):
-            yield pd.DataFrame({"lang": [lang], "codes": [part.tobytes()], "phrase": [None], "key": [None], "word": [None], "n": [None]})
-        found, numbers = np.unique(every[every != 0], return_counts=True)
-        words = [codes.spelling[c] for c in found.tolist()] + [w for _, w in codes.clashes]
-        found = np.concatenate([found, np.array([c for c, _ in codes.clashes], np.uint64)])
-        if len(found):
-            yield pd.DataFrame({
-                "lang": lang, "codes": None, "phrase": [c.tobytes() for c in found], "key": found.view(np.int64),
-                "word": [w.decode("utf-8", "replace") for w in words], "n": np.pad(numbers, (0, len(codes.clashes)))})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, parts, held = {}, {}, 0
+    """Task function: (lang, text) to rows of codes and, counted over many texts, rows of words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, tallies, parts, held = {}, {}, {}, 0
+
+        def texts() -> pa.RecordBatch:
+            every = []
+            for lang, own in parts.items():
+                joined = np.concatenate(own)
+                tallies[lang].add(joined)
+                every += [p.tobytes() for p in at_breaks(joined, HELD)]
+            return encoded_rows("texts", len(every), codes=every)
+
+        def words() -> Iterator[pa.RecordBatch]:
+            for lang, own in codes.items():
+                del own[BREAK]
+                if own:
+                    keys = np.fromiter(own.values(), np.uint64, len(own))
+                    yield encoded_rows(
+                        "words", len(own), key=pa.array(keys.view(np.int64)), phrase=fixed_binary(keys, 8), lang=[lang] * len(own),
+                        word=[w.decode("utf-8", "replace") for w in own], n=pa.array(tallies[lang].of(keys)))
+
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"]):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 if lang not in codes:
-                    codes[lang] = Codes(lang, seed)
-                part = encode(text, codes[lang])
+                    codes[lang], tallies[lang] = Codes(lang, seed), Tally()
+                part = encode(text.as_py(), codes[lang])
                 parts.setdefault(lang, []).append(part)
                 held += len(part)
-                if held > HELD or sum(map(len, codes.values())) > KEPT_WORDS:
-                    for key, some in parts.items():
-                        yield from rows(key, codes[key], some)
+                full = sum(map(len, codes.values())) > KEPT_WORDS
+                if held > HELD or full:
+                    yield texts()
                     parts, held = {}, 0
-                    if sum(map(len, codes.values())) > KEPT_WORDS:
-                        codes = {}
-        for key, some in parts.items():
-            yield from rows(key, codes[key], some)
+                if full:
+                    yield from words()
+                    codes, tallies = {}, {}
+        if parts:
+            yield texts()
+        yield from words()
     return run
 
 
@@ -152,19 +188,18 @@ def longer(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def tally(codes: np.ndarray, at: np.ndarray, keys: np.ndarray, size: int) -> pd.DataFrame:
+def tally(codes: np.ndarray, at: np.ndarray, keys: np.ndarray, size: int) -> pa.RecordBatch:
     """Phrases of ``size`` words that start ``at`` (a break must precede and follow all codes): counts and neighbours."""
     order = np.argsort(keys, kind="stable")
     at, keys = at[order], keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.intp)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     before, after = codes[at - 1].view(np.int64), codes[at + size].view(np.int64)
-    words = np.ascontiguousarray(codes[at[first][:, None] + np.arange(size)])
-    return pd.DataFrame({
-        "phrase": [w.tobytes() for w in words], "key": keys[first].view(np.int64), "n": np.diff(np.append(first, len(keys))),
-        **({
-            "before_min": np.minimum.reduceat(before, first), "before_max": np.maximum.reduceat(before, first),
-            "after_min": np.minimum.reduceat(after, first), "after_max": np.maximum.reduceat(after, first),
-        } if len(first) else dict.fromkeys(["before_min", "before_max", "after_min", "after_max"], np.zeros(0, np.int64)))})
+    columns = {
+        "phrase": fixed_binary(codes[at[first][:, None] + np.arange(size)], 8 * size), "key": keys[first].view(np.int64),
+        "n": np.diff(np.append(first, len(keys))), "before_min": np.minimum.reduceat(before, first),
+        "before_max": np.maximum.reduceat(before, first), "after_min": np.minimum.reduceat(after, first),
+        "after_max": np.maximum.reduceat(after, first)}
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
 def grown(codes: np.ndarray, size: int, tables: dict[int, BitTable], frequent: BitTable) -> tuple[np.ndarray, np.ndarray]:
@@ -195,12 +230,12 @@ def listed(codes: np.ndarray, tables: dict[int, BitTable]) -> Iterator[tuple[int
 
 def count_task(tables, frequent=None, size: int | None = None):
     """Task function: codes to the phrases that grow to ``size`` words, or (no ``size``) to those that are listed."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = {k: BitTable(t.value) for k, t in tables.items()}
         last = BitTable(frequent.value) if frequent is not None else None
         held, some = 0, []
 
-        def counted() -> Iterator[pd.DataFrame]:
+        def counted() -> Iterator[pa.RecordBatch]:
             codes = np.concatenate([np.zeros(1, np.uint64), *some, np.zeros(LONGEST, np.uint64)])
             found = [(size, *grown(codes, size, bits, last))] if size else listed(codes, bits)
             for length, at, keys in found:
@@ -208,10 +243,10 @@ def count_task(tables, frequent=None, size: int | None = None):
                     yield tally(codes, at, keys, length)
 
         for batch in batches:
-            for data in batch["codes"]:
-                some.append(np.frombuffer(data, np.uint64))
+            for data in batch.column("codes"):
+                some.append(np.frombuffer(data.as_buffer(), np.uint64))
                 held += len(some[-1])
-                if held >= 2 * HELD:
+                if held >= HELD:
                     yield from counted()
                     held, some = 0, []
         if some:
@@ -281,16 +316,19 @@ def first_limits(words: DataFrame, langs: DataFrame, share: float) -> DataFrame:
         "lang").agg(F.max("upto").cast("long").alias("upto"))
 
 
-def encoded(docs: DataFrame, lang: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Stored codes, and all words (``phrase`` of one word, ``key``, ``lang``, ``word``, ``n``), stored."""
+def encoded(docs: DataFrame, lang: str, text: str, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Codes, frequent words (``phrase`` of one word, ``key``, ``lang``, ``word``, ``n``) and the words of each language (``n``), stored."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     for seed in counting():
-        made = cut_lineage(rows.mapInPandas(encode_task(seed), ENCODED))
-        words = cut_lineage(made.where("key IS NOT NULL").groupBy("key").agg(
-            F.min("phrase").alias("phrase"), F.sum("n").alias("n"), F.min(F.struct("lang", "word")).alias("name"),
-            F.max(F.struct("lang", "word")).alias("other")))
-        if words.where("name <> other").isEmpty():
-            return made.where("codes IS NOT NULL").select("codes"), words.select("key", "phrase", "n", "name.lang", "name.word")
+        folder = new_folder(docs.sparkSession, "codes")
+        rows.mapInArrow(encode_task(seed), ENCODED).write.partitionBy("kind").parquet(folder)
+        made = docs.sparkSession.read.schema(ENCODED).parquet(folder)
+        words = made.where("kind = 'words'").drop("kind", "codes")
+        counts = words.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        # Spellings are looked up for frequent words only, and of those each must have a code of its own.
+        spelled = cut_lineage(words.select("key", "phrase", "lang", "word").join(counts, "key").distinct())
+        if spelled.groupBy("key").count().where("count > 1").isEmpty():
+            return made.where("kind = 'texts'").select("codes"), spelled, cut_lineage(words.groupBy("lang").agg(F.sum("n").alias("n")))
 
 
 def mine_phrases(
@@ -307,9 +345,7 @@ def mine_phrases(
     table gives an empty result; other columns are ignored.  Texts of any length are encoded some megabytes at
     a time; the words between two breaks are one value.  Counts and products are exact.
     """
-    codes, all_words = encoded(docs, lang, text)
-    langs = cut_lineage(all_words.groupBy("lang").agg(F.sum("n").alias("n")))
-    words = cut_lineage(all_words.where(F.col("n") >= least))
+    codes, words, langs = encoded(docs, lang, text, least)
     frequent = bit_table(words, bits)
     found, rests, results = None, None, None
     done = cut_lineage(langs.select("lang", F.lit(0).cast("long").alias("upto"), F.lit(False).alias("closed")))
@@ -334,7 +370,7 @@ def mine_phrases(
         tables = {1: bit_table(frontier, bits)}
         levels = []
         for size in range(2, LONGEST + 1):
-            level = combined(codes.mapInPandas(count_task(dict(tables), frequent, size), COUNTED), least)
+            level = combined(codes.mapInArrow(count_task(dict(tables), frequent, size), COUNTED), least)
             levels.append(level)
             if level.isEmpty():
                 break
@@ -369,7 +405,7 @@ def rest_counts(codes: DataFrame, found: DataFrame, bits: int) -> DataFrame:
     tables = {1: bit_table(rests.select(F.col("first").alias("key")), bits)}
     for size in sizes:
         tables[size] = bit_table(rests.where(words_in(F.col("phrase")) == size), bits)
-    counts = codes.mapInPandas(count_task(tables), COUNTED)
+    counts = codes.mapInArrow(count_task(tables), COUNTED)
     return counts.groupBy("phrase").agg(F.sum("n").alias("n")).join(rests.select("phrase"), "phrase", "left_semi")
 
 
