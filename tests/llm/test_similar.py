@@ -1,10 +1,12 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from turnwise.llm.similar import BAND, BANDS, buckets, shingle_set, similar_groups
+from turnwise.llm import similar
+from turnwise.llm.similar import BAND, BANDS, buckets, common_counts, minima, shingle_set, similar_groups
 
 
 def grams(text):
@@ -78,7 +80,54 @@ def test_buckets_meet_as_often_as_their_number_says(prose):
             copy[at] = "other"
         a, b = shingle_set(" ".join(words), 5), shingle_set(" ".join(copy), 5)
         s = similarity(set(a.tolist()), set(b.tolist()))
-        same = int((buckets(a) == buckets(b)).sum())
+        same = int((buckets(minima(a)) == buckets(minima(b))).sum())
         met, pairs, expected = met + same, pairs + BANDS, expected + BANDS * s ** BAND
         assert same or s < 0.8
     assert met == pytest.approx(expected, rel=0.1)
+
+
+def test_tiles_and_parts_of_large_buckets(documents, planted, prose, monkeypatch):
+    """Copies of one text with so many changes that few pairs are similar, and a bucket cut into many parts."""
+    draw, base = random.Random(3), prose(120).split()
+    rows = list(planted[:40])
+    for k in range(60):
+        copy = list(base)
+        for at in draw.sample(range(120), draw.choice([1, 2, 3])):
+            copy[at] = prose(1)
+        rows.append((1_000 + k, " ".join(copy)))
+    want = sorted(groups(rows), key=str)
+    monkeypatch.setattr(similar, "STARS", 0)
+    assert sorted(map(tuple, similar_groups(documents(rows)).collect()), key=str) == want
+    for name, value in {"TILE": 7, "PAIRS_AT_ONCE": 50, "SETS": 40, "ROWS": 60}.items():
+        monkeypatch.setattr(similar, name, value)
+    assert sorted(map(tuple, similar_groups(documents(rows)).collect()), key=str) == want
+
+
+def test_counts_of_common_shingles():
+    draw = random.Random(2)
+    sets = [np.array(sorted(draw.sample(range(400), draw.randint(0, 90))), np.uint64) for _ in range(30)]
+    plain = np.array([[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets])
+    assert common_counts(sets, 12, columns=16).tolist() == plain[:12, 12:].tolist()
+    whole = common_counts(sets, columns=16)
+    off = ~np.eye(30, dtype=bool)
+    assert whole[off].tolist() == plain[off].tolist()
+
+
+def test_sketches_keep_pairs_at_the_limit(prose):
+    """Pairs a little above 0.8 agree in far more minima than are asked for."""
+    draw = random.Random(6)
+    for _ in range(200):
+        words = prose(150).split()
+        copy = list(words)
+        for at in draw.sample(range(150), 3):
+            copy[at] = "other"
+        a, b = shingle_set(" ".join(words), 5), shingle_set(" ".join(copy), 5)
+        if similarity(set(a.tolist()), set(b.tolist())) >= 0.8:
+            assert (minima(a) == minima(b)).sum() >= similar.AGREE
+
+
+def test_very_long_and_empty_tables(documents, prose):
+    long = prose(60_000)
+    rows = [(1, long), (2, long + " tail"), (3, prose(60_000)), (4, None), (5, "")]
+    assert sorted(map(tuple, similar_groups(documents(rows)).collect())) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)]
+    assert similar_groups(documents([])).collect() == []
