@@ -26,7 +26,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,25 +41,46 @@ ITEMS = 20_000  # items that are sent to the tasks at a time
 ITEM_BYTES = 16 << 20  # and their texts
 AT_ONCE = 1 << 8  # windows that a task looks up at a time
 KNOWN_BITS = 24  # of the places of the table of all items' shingles: 16 MB
-KEPT_WORDS = 250_000
-WORD = re.compile(r"\w+")
+LETTERS = 1 << 20  # of a text that are hashed at a time
+GAP = re.compile(r"\W")
 
 
-class WordHashes(dict):
-    """XXH64 of words; the first ones that were met are kept."""
+def word_letters() -> np.ndarray:
+    """For each code point whether it is a letter, a digit or an underscore."""
+    found = np.fromiter(map(str.isalnum, map(chr, range(sys.maxunicode + 1))), bool, sys.maxunicode + 1)
+    found[ord("_")] = True
+    return found
+
 
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < KEPT_WORDS:
-            self[word] = value
-        return value
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of each word: its letters, mixed, times powers by their places, added up and mixed again."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = kept("word letters", word_letters)[codes]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    lengths = edges[1::2] - edges[::2]
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(lengths) - lengths
+    letters = codes[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    letters ^= letters >> np.uint64(31)
+    letters *= np.uint64(0xD6E8FEB86659FD93)
+    powers = np.cumprod(np.full(int(lengths.max()), 0xA24BAED4963EE407, np.uint64))
+    letters *= powers[np.arange(len(letters)) - np.repeat(first, lengths)]
+    sums = np.add.reduceat(letters, first)
+    sums ^= sums >> np.uint64(32)
+    return sums * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """A hash of each run of ``words`` words of the text; none if it is shorter."""
-    hashes = kept("word hashes", WordHashes)
-    found = WORD.findall((text or "").lower())
-    word = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
+    low, parts, start = (text or "").lower(), [], 0
+    while start < len(low):
+        # Long texts are cut between words.
+        gap = GAP.search(low, start + LETTERS)
+        end = gap.start() if gap else len(low)
+        parts.append(word_hashes(low[start:end]))
+        start = end
+    word = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     n = len(word) - words + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -117,17 +137,22 @@ class ItemIndex:
         """Index pairs (window, item) within the radius, each once."""
         found = [np.zeros(0, np.int64)]
         for at in range(0, len(prints), AT_ONCE):
-            for (table, values, order), own in zip(self.blocks, prints[at:at + AT_ONCE].view(np.uint16).reshape(-1, 4).T):
+            some = prints[at:at + AT_ONCE]
+            for (table, values, order), own in zip(self.blocks, some.view(np.uint16).reshape(-1, 4).T):
                 windows = np.flatnonzero(table[own])
-                probes = own[windows, None] ^ self.masks
-                first, last = np.searchsorted(values, probes), np.searchsorted(values, probes, "right")
-                window, _ = hit = np.nonzero(last > first)
-                number = (last - first)[hit]
-                place = np.repeat(first[hit], number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-                items = order[place]
-                windows = np.repeat(windows[window] + at, number)
-                near = np.bitwise_count(prints[windows] ^ self.prints[items]) <= self.radius
-                found.append(windows[near] * len(self.prints) + items[near])
+                if len(order) <= len(self.masks):
+                    # Fewer items than values near to a window's: it meets all items.
+                    window, items = np.divmod(np.arange(len(windows) * len(order)), len(order))
+                else:
+                    probes = own[windows, None] ^ self.masks
+                    first, last = np.searchsorted(values, probes), np.searchsorted(values, probes, "right")
+                    window, _ = hit = np.nonzero(last > first)
+                    number = (last - first)[hit]
+                    items = order[np.repeat(first[hit] - np.cumsum(number) + number, number) + np.arange(number.sum())]
+                    window = np.repeat(window, number)
+                windows = windows[window]
+                near = np.bitwise_count(some[windows] ^ self.prints[items]) <= self.radius
+                found.append((windows[near] + at) * len(self.prints) + items[near])
         pairs = np.unique(np.concatenate(found))
         return pairs // len(self.prints), pairs % len(self.prints)
 
