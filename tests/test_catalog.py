@@ -3,6 +3,9 @@
 import glob
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -55,3 +58,16 @@ def test_entry(spark):
 
 def test_oracle_names_are_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("gone", [("turnwise/llm", "tests/llm"), ("turnwise/llm", "tests/llm", "corpus_pipeline.py"), ("turnwise/llm/catalog.py",)])
+def test_entry_without_the_operators_for_training_data(tmp_path, gone):
+    """Without their folders (or with what is left of them) the entry has all other queries."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    left = shutil.ignore_patterns(".git", "__pycache__", "*.json", "*.md")
+    shutil.copytree(root, tmp_path / "repo", ignore=lambda folder, names: set(left(folder, names)) | {
+        n for n in names if os.path.relpath(os.path.join(folder, n), root) in gone})
+    code = "import __spark_entry__ as e; print(*sorted(e.queries()))"
+    env = {**os.environ, "PYTHONPATH": str(tmp_path / "repo")}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, capture_output=True, text=True, check=True).stdout
+    assert out.split() == sorted(n for n in entry.queries() if not n.startswith("op") and n != "pipeline")

@@ -146,3 +146,24 @@ def test_shuffled_conversations_stay_together(spark):
     assert [g for _, g in got] == [0, 1, 2] * 6 and len({c for c, _ in got[:3]}) == 1
     assert got == [(r["conv"], r["guest_pos"]) for r in d.shuffled_conversations(df, 1).collect()]
     assert F is not None
+
+
+def test_phrases_are_found_letter_by_letter(spark):
+    rng = random.Random(3)
+    words = ["ab", "abc", "b", "ca", "x", "Zürich", "東京", "a.b", "%_", "(c"]
+    texts = [(k, rng.choice(["", " "]) + rng.choice([" ", "  ", "\n"]).join(rng.choices(words, k=rng.randint(0, 12)))) for k in range(200)]
+    texts += [(200, None), (201, ""), (None, "ab abc b"), (3, "again ca x b"), (202, "ab " * 3_000 + "end")]
+    phrases = {"ab", "b", "bc b", "ab abc b", " x ", "x  ca", "ca\nx", "京", "%_", "(c ab", "c b x a", "never here", "not x b", "b end", "ab ab ab end"}
+    for text in rng.sample([t for _, t in texts if t and len(t) > 12], 10):
+        at = rng.randrange(len(text) - 8)
+        phrases.add(text[at:at + rng.randint(1, 30)])
+    frame = spark.createDataFrame(texts, "doc_id int, text string")
+    table = spark.createDataFrame([(p,) for p in phrases] + [(None,), ("ab",)], "phrase string")
+    want = {(k, p) for k, t in texts for p in phrases if t is not None and p in t}
+    assert {tuple(r) for r in p.phrase_hits(frame, table, "doc_id", "text").collect()} == want
+    rows = sorted(map(str, [(k, t) for k, t in texts if t is not None and any(p in t for p in ("x b", "Zürich 東京 ca"))]))
+    assert sorted(map(str, map(tuple, p.search_texts(frame, ["x b", "Zürich 東京 ca"], "text", "doc_id").collect()))) == rows
+    assert p.search_texts(frame, [], "text", "doc_id").count() == 0
+    assert p.search_texts(frame, [""], "text", "doc_id").count() == len(texts) - 1
+    plan = p.search_texts(frame, sorted(phrases), "text", "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "never here" not in plan

@@ -190,3 +190,38 @@ def test_exact_quantiles(spark):
         want = rows.agg(*[F.percentile("v", s).alias(n) for n, s in shares.items()])
         plain, split = both_paths(spark, lambda: exact_quantiles(rows, F.col("v"), shares))
         assert plain == split == want.collect()
+
+
+def test_highlights_of_a_large_item_meet_only_where_they_share_tokens(spark, small_tasks):
+    """Short lists along a long text: the index of tokens leaves out most pairs of blocks, and nothing else."""
+    rng = random.Random(5)
+    rows = [("big", sorted({s + d for d in (0, rng.randint(0, 3), rng.randint(0, 3))})) for s in rng.sample(range(5_000), 400)]
+    rows += [("big", [7]), ("big", [7]), ("small", [1, 2]), ("small", [2]), ("none", [])]
+    df = spark.createDataFrame(rows, "item string, hl array<int>")
+    want = {}
+    for item in ("big", "small"):
+        sets = [set(h) for i, h in rows if i == item and h]
+        want[item] = (sum(len(a & b) / len(a | b) for a, b in itertools.combinations(sets, 2)), len(sets) * (len(sets) - 1) / 2)
+    got = {r["item"]: (r["overlap"], r["pairs"]) for r in pairwise_jaccard(df, 8).collect()}
+    assert set(got) == set(want)
+    for item in want:
+        assert got[item] == pytest.approx(want[item])
+
+
+def test_pairs_of_more_items_than_a_word_holds(spark):
+    """Counts over several words of 64 items, in one study and in many small ones."""
+    rng = random.Random(8)
+    votes = [(i, f"a{p}", rng.randint(0, 1), i // 7) for i in range(300) for p in range(12) if rng.random() < 0.6]
+    df = spark.createDataFrame(votes, "item int, annotator string, vote int, study int")
+    for extra, keys in ((None, lambda r: ()), ("study", lambda r: (r[3],))):
+        want = {}
+        by_item = {}
+        for r in votes:
+            by_item.setdefault((keys(r), r[0]), []).append((r[1], r[2]))
+        for (key, _), people in by_item.items():
+            for (a, x), (b, y) in itertools.combinations(sorted(people), 2):
+                cell = want.setdefault((*key, a, b), [0, 0, 0, 0])
+                cell[{(1, 1): 0, (1, 0): 1, (0, 1): 2, (0, 0): 3}[x, y]] += 1
+        for block in (256, 3):
+            got = pair_tables(df, extra, block=block).collect()
+            assert {(*([r[extra]] if extra else []), r["a"], r["b"]): [r["n11"], r["n10"], r["n01"], r["n00"]] for r in got} == want

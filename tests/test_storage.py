@@ -229,3 +229,57 @@ def test_a_header_that_is_cut_off(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("id\t\"two\nlines\"\n1\t2\n")
     with pytest.raises(ValueError, match="header"):
         readers.read_tsv(spark, [str(tmp_path)])
+
+
+def test_snapshot_digests(spark, tmp_path):
+    rows = [(1, "a", None), (1, "a", None), (2, None, [1, 2]), (None, "b", [])]
+    kinds = "x int, y string, z array<int>"
+    first = spark.createDataFrame(rows, kinds)
+    path = str(tmp_path / "s")
+    assert writers.save_snapshot(first, path) == 1
+    assert writers.save_snapshot(spark.createDataFrame(rows[::-1], kinds).repartition(3).select("z", "x", "y"), path) == 1
+    for n, other in enumerate([rows[1:], rows + rows[:1], [(1, None, None), (1, "a", None), *rows[2:]], [(1, "a", None)] * 2 + [(2, "a", [1, 2]), (None, "b", [])]], 2):
+        assert writers.save_snapshot(spark.createDataFrame(other, kinds), path) == n
+    assert writers.save_snapshot(spark.createDataFrame([(r[0], r[1], r[2]) for r in other], "x long, y string, z array<int>"), str(tmp_path / "t")) == 1
+    got, number = writers.latest_snapshot(spark, path)
+    assert number == 5 and writers.same_rows(got, spark.createDataFrame(other, kinds))
+    # A snapshot without a stored digest is read once to get it.
+    old = str(tmp_path / "old")
+    first.withColumn("snapshot", F.lit(1)).write.partitionBy("snapshot").parquet(old)
+    assert writers.save_snapshot(first, old) == 1
+
+
+def _run_stream(spark, build, schema, folder, mode="append"):
+    stream = build(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True)
+    if mode == "update":
+        writer = writer.outputMode("update").foreachBatch(
+            lambda batch, n: batch.withColumn("n", F.lit(n)).write.mode("append").parquet(f"{folder}/out"))
+    else:
+        writer = writer.format("parquet").option("path", f"{folder}/out")
+    writer.start().awaitTermination()
+
+
+def test_streams_go_on_from_their_checkpoint_and_forget(spark, tmp_path):
+    """Three starts of one stream; state of items and pairs that are old by event time is dropped by its timer."""
+    schema = "item string, annotator string, session int, line int, vote int, ts timestamp"
+    day = lambda d: f"2024-01-{d:02d} 00:00:00"
+    parts = [
+        [("a", "u1", 1, 1, 1, day(1)), ("a", "u2", 1, 2, 1, day(1)), ("b", "u1", 1, 1, 0, day(2)), ("b", "u1", 1, 2, 1, day(2))],
+        [("a", "u3", 1, 1, 1, day(3)), ("b", "u1", 0, 9, 1, day(2)), ("c", "u9", 1, 1, 1, day(20))],
+        [("a", "u4", 1, 1, 0, day(20)), ("a", "u1", 2, 1, 0, day(20)), ("b", "u1", 2, 1, 0, day(21))]]
+    for name, build, mode in (
+            ("stops", lambda v: sv.stopping_rounds(v, forget_after="5 days"), "append"),
+            ("last", lambda v: sv.last_submissions(v, forget_after="5 days"), "update")):
+        folder = str(tmp_path / name)
+        for part in parts:
+            df = spark.createDataFrame([(*r[:-1], r[-1]) for r in part], schema.replace("timestamp", "string")).withColumn("ts", F.to_timestamp("ts"))
+            df.write.mode("append").parquet(f"{folder}/in")
+            _run_stream(spark, build, df.schema, folder, mode)
+    stops = [tuple(r) for r in spark.read.parquet(str(tmp_path / "stops" / "out")).collect()]
+    assert stops == [("a", 3, 3)]  # three votes of two starts; the ones of the third start begin anew
+    last = spark.read.parquet(str(tmp_path / "last" / "out"))
+    got = sorted((r.n, r.item, r.annotator, r.session, r.line, r.vote) for r in last.collect() if r.item != "c")
+    assert got == sorted([
+        (0, "a", "u1", 1, 1, 1), (0, "a", "u2", 1, 2, 1), (0, "b", "u1", 1, 2, 1), (1, "a", "u3", 1, 1, 1),
+        *[(got[-1][0], *r) for r in (("a", "u1", 2, 1, 0), ("a", "u4", 1, 1, 0), ("b", "u1", 2, 1, 0))]])

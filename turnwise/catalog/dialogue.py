@@ -166,6 +166,14 @@ def found_texts(spark, sf_dir):
     return p.search_texts(texts, ['"k": 7', "signup"]).select("qid")
 
 
+@query("benchmark_hits", """SELECT DISTINCT doc_id, md5(b.text) AS phrase_md5 FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
+def benchmark_hits(spark, sf_dir):
+    """Every benchmark text is a phrase, looked for in all documents."""
+    phrases = table(spark, sf_dir, "benchmark").select(F.col("text").alias("phrase"))
+    hits = p.phrase_hits(table(spark, sf_dir, "documents"), phrases, "doc_id", "text")
+    return hits.select("doc_id", F.md5("phrase").alias("phrase_md5"))
+
+
 @query("length_features", with_ctes(DIALOGUES_SQL, RUNS_SQL) + """,
 turns AS (SELECT conv, run, array_to_string(texts, ' ') AS text, max(run) OVER (PARTITION BY conv) + 1 AS k FROM runs),
 lens AS (SELECT conv, (run - 3) // 2 AS pair, (run - 3) % 2 AS odd,

@@ -190,32 +190,31 @@ def cut_corpus(spark, sf_dir):
 
 # -- streams ------------------------------------------------------------------------------------
 
-def _vote_stream(spark, sf_dir):
-    """Line items as votes, stored as three files by time and read one file a batch."""
-    folder = new_folder(spark, "votes")
-    line = table(spark, sf_dir, "lineitem").withColumn("ts", F.col("l_shipdate").cast("timestamp"))
-    cuts = line.agg(F.percentile_approx(F.unix_micros("ts"), [1 / 3, 2 / 3]).alias("c")).first()["c"] or [0, 0]
-    part = F.when(F.unix_micros("ts") <= cuts[0], 0).when(F.unix_micros("ts") <= cuts[1], 1).otherwise(2)
-    for n in range(3):
-        line.where(part == n).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(line.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return stream.select(
-        F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("annotator"), F.col("l_orderkey").alias("session"),
-        F.col("l_linenumber").alias("line"), "ts", (F.col("l_quantity") > 25).cast("int").alias("vote"))
-
-
-def _drain(spark, stream, label: str, keys: list[str] | None = None):
-    """Run a stream over all available input into the shared folder and read the result.
+def _drain(spark, sf_dir, build, label: str, keys: list[str] | None = None):
+    """Line items as votes arrive in three parts by time; after each the stream goes on from its checkpoint.
 
-    With ``keys`` the stream is in update mode, and the newest row of each key counts.
+    All tasks write a part and the stream takes all that is new, so its batches follow each other in time.  The result
+    is written to the shared folder and read.  With ``keys`` the stream is in update mode, and the newest row of each
+    key counts.
     """
     folder = new_folder(spark, label)
-    if keys is None:
-        writer = stream.writeStream.format("parquet").option("path", f"{folder}/out")
-    else:
-        writer = stream.writeStream.foreachBatch(
-            lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out")).outputMode("update")
-    writer.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", F.col("l_shipdate").cast("timestamp").alias("ts"))
+    cuts = line.agg(F.percentile_approx(F.unix_micros("ts"), [1 / 3, 2 / 3]).alias("c")).first()["c"] or [0, 0]
+    part = F.when(F.unix_micros("ts") <= cuts[0], 0).when(F.unix_micros("ts") <= cuts[1], 1).otherwise(2)
+    for n in range(3):
+        line.where(part == n).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(line.schema).parquet(f"{folder}/in").select(
+            F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("annotator"), F.col("l_orderkey").alias("session"),
+            F.col("l_linenumber").alias("line"), "ts", (F.col("l_quantity") > 25).cast("int").alias("vote"))
+        stream = build(arriving)
+        if keys is None:
+            writer = stream.writeStream.format("parquet").option("path", f"{folder}/out")
+        else:
+            # Batches are numbered through, also after a restart.
+            writer = stream.writeStream.foreachBatch(
+                lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{folder}/out")).outputMode("update")
+        writer.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     if keys is None:
         return spark.read.schema(stream.schema).parquet(f"{folder}/out")
     rest = [c for c in stream.columns if c not in keys]
@@ -227,7 +226,7 @@ def _drain(spark, stream, label: str, keys: list[str] | None = None):
   SELECT l_partkey AS item, CAST(sum(CAST(l_quantity > 25 AS INTEGER)) AS BIGINT) AS yes, count(*) AS n FROM lineitem GROUP BY l_partkey)
 SELECT item, yes, n, CAST(greatest(0, need) AS BIGINT) AS need FROM t JOIN need USING (yes, n)""")
 def stream_tallies(spark, sf_dir):
-    out = _drain(spark, sv.running_tallies(_vote_stream(spark, sf_dir)), "tallies", ["item"])
+    out = _drain(spark, sf_dir, sv.running_tallies, "tallies", ["item"])
     return out.select("item", "yes", "n", F.col("need").cast("long").alias("need"))
 
 
@@ -241,14 +240,14 @@ SELECT item, min(n) AS n, arg_min(yes, n) AS yes FROM ok WHERE n >= 15 OR (n >=
 
 @query("stream_stops", STOP_STREAM)
 def stream_stops(spark, sf_dir):
-    stream = _vote_stream(spark, sf_dir).withColumn("annotator", F.concat_ws("-", "annotator", "session", "line"))
-    return _drain(spark, sv.stopping_rounds(stream, forget_after="9000 days"), "stops").select("item", "n", "yes")
+    def stops(votes):
+        return sv.stopping_rounds(votes.withColumn("annotator", F.concat_ws("-", "annotator", "session", "line")), forget_after="9000 days")
+    return _drain(spark, sf_dir, stops, "stops").select("item", "n", "yes")
 
 
 @query("stream_first_submissions", "SELECT DISTINCT l_partkey AS item, l_suppkey AS annotator FROM lineitem")
 def stream_first_submissions(spark, sf_dir):
-    stream = sv.first_submissions(_vote_stream(spark, sf_dir), "9000 days")
-    return _drain(spark, stream, "first").select("item", "annotator")
+    return _drain(spark, sf_dir, lambda votes: sv.first_submissions(votes, "9000 days"), "first").select("item", "annotator")
 
 
 @query("stream_last_submissions", """SELECT item, annotator, session, line, vote FROM (
@@ -256,7 +255,7 @@ def stream_first_submissions(spark, sf_dir):
     row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS place FROM lineitem)
 WHERE place = 1""")
 def stream_last_submissions(spark, sf_dir):
-    out = _drain(spark, sv.last_submissions(_vote_stream(spark, sf_dir)), "last", ["item", "annotator"])
+    out = _drain(spark, sf_dir, sv.last_submissions, "last", ["item", "annotator"])
     return out.select("item", "annotator", "session", "line", "vote")
 
 
@@ -265,5 +264,5 @@ FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""")
 def stream_anonymised(spark, sf_dir):
     names = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(
         F.col("s_suppkey").alias("orig"), F.concat(F.lit("A"), "s_suppkey").alias("anon"))
-    out = _drain(spark, sv.anonymised(_vote_stream(spark, sf_dir), names), "anonymised")
+    out = _drain(spark, sf_dir, lambda votes: sv.anonymised(votes, names), "anonymised")
     return out.groupBy("anon").agg(F.count(F.lit(1)).alias("n"))

@@ -147,8 +147,9 @@ def agreement_report(votes: DataFrame, cut: str, min_shared: float = 1,
                      sized_by: DataFrame | None = None) -> DataFrame:
     """All measures of one data cut as ``cut, measure, value`` rows.
 
-    Three passes: annotator pairs, item tallies, and votes against the other votes.
+    Three passes over the stored votes: annotator pairs, item tallies, and votes against the other votes.
     """
+    votes = cut_lineage(votes.select("item", "annotator", "vote"))
     pairs = cut_lineage(pairwise_kappa(votes, 1, sized_by=sized_by).select("kappa", "shared", "agreement"))
     kept = F.when(F.col("shared") >= min_shared, F.col("kappa"))
     top = F.greatest("share", 1 - F.col("share"))

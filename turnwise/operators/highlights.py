@@ -49,10 +49,10 @@ def individual_records(marks: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def zip_sum(arrays: DataFrame, value: str = "flags") -> DataFrame:
-    """Position-by-position sum of the arrays of an item; only non-zero positions are shuffled."""
+    """Position-by-position sum of the arrays of an item; only non-zero positions become rows."""
     sizes = arrays.groupBy("item").agg(F.max(F.size(value)).alias("len"))
-    sums = arrays.select("item", F.posexplode(value).alias("i", "v")).where("v <> 0").groupBy(
-        "item", (F.col("i") + 1).alias("pos")).agg(F.sum("v").alias("val"))
+    marked = F.array_compact(F.transform(value, lambda x, i: F.when(x != 0, F.struct((i + 1).alias("pos"), x.alias("v")))))
+    sums = arrays.select("item", F.inline(marked)).groupBy("item", "pos").agg(F.sum("v").alias("val"))
     lists = sums.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("pos", "val"))).alias("at"))
     rows = sizes.join(lists, "item", "left")
     zero = F.lit(0).cast(sums.schema["val"].dataType)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions.text import conversation_of, index_range, n_tokens, pair_id, position_of
 from turnwise.operators.dialogue import Runs
+from turnwise.session import cut_lineage
 
 CHUNK = 4096
+GRAM = 3  # letters by which phrases of one or two words are looked up
 _AHEAD = ("first_pos", "last_pos", "n_utt", "first_tokens", "n_tokens", "texts")
 
 
@@ -163,9 +167,61 @@ def source_counts(qids: DataFrame) -> DataFrame:
     ).withColumn("source", F.coalesce("source", F.lit("all")))
 
 
-def search_texts(texts: DataFrame, phrases: list[str], column: str = "guest_text") -> DataFrame:
-    """Pairs whose text holds any of the phrases."""
-    hit = F.lit(False)
-    for phrase in phrases:
-        hit = hit | F.contains(F.col(column), F.lit(phrase))
-    return texts.where(hit)
+def phrase_candidates(texts: DataFrame, phrases: DataFrame, key: str, column: str) -> DataFrame:
+    """``key`` and ``phrase`` of the texts that hold the rarest inner word of a phrase, or one of its parts if it has none.
+
+    Words are what stands between white space.  All words of a phrase but the first and the last are whole words of any
+    text that holds it.  A phrase of one or two words is looked up by its rarest run of up to ``GRAM`` letters.
+    """
+    def inner(name):
+        words = F.split(name, r"\s+")
+        return F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+
+    def grams(name):
+        size = F.least(F.length(name), F.lit(GRAM))
+        return F.when(F.length(name) == 0, F.array(F.lit(""))).otherwise(F.transform(
+            F.sequence(F.lit(1), F.length(name) - size + 1), lambda i: F.substring(F.col(name), i, size)))
+
+    def of_texts(size: int):
+        """All runs of ``size`` letters; the empty one is in every text."""
+        if not size:
+            return F.array(F.lit(""))
+        return F.when(F.length(column) >= size, F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.length(column) - size + 1), lambda i: F.substring(F.col(column), i, F.lit(size)))))
+
+    wanted = phrases.select("phrase").where("phrase IS NOT NULL").distinct()
+    long = wanted.withColumn("parts", inner("phrase")).where(F.size("parts") > 0).withColumn("kind", F.lit(-1))
+    short = wanted.where(F.size(inner("phrase")) == 0).withColumn("parts", grams("phrase")).withColumn(
+        "kind", F.least(F.length("phrase"), F.lit(GRAM)))
+    keys = cut_lineage(long.unionByName(short).select("phrase", "kind", F.explode(F.array_distinct("parts")).alias("part")))
+    kinds = sorted(r["kind"] for r in keys.select("kind").distinct().collect())  # at most GRAM + 2
+    rows = [texts.select(key, F.lit(kind).alias("kind"), F.explode(
+        F.array_distinct(F.split(column, r"\s+")) if kind < 0 else of_texts(kind)).alias("part")) for kind in kinds]
+    if not rows:
+        return texts.select(key, F.lit("").alias("phrase")).limit(0)
+    # Only parts of phrases are kept of the texts; a phrase with a part that is in no text is in none.
+    found = cut_lineage(reduce(DataFrame.unionByName, rows).join(keys.select("kind", "part").distinct(), ["kind", "part"], "left_semi"))
+    often = found.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = keys.join(often, ["kind", "part"], "left").groupBy("phrase", "kind").agg(
+        F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "part")).alias("r")).where("r.texts > 0").select(
+            "phrase", "kind", "r.part")
+    return found.join(rarest, ["kind", "part"]).select(key, "phrase").distinct()
+
+
+def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str = "qid", column: str = "guest_text") -> DataFrame:
+    """``key`` and ``phrase`` for all phrases (a table with ``phrase``) that are in a text, letter by letter."""
+    candidates = phrase_candidates(texts, phrases, key, column)
+    named = texts.select(F.col(key).alias("__key"), F.col(column).alias("__text"))
+    held = candidates.join(named, F.col(key).eqNullSafe(F.col("__key"))).where(F.contains("__text", "phrase"))
+    return held.select(key, "phrase").distinct()
+
+
+def search_texts(texts: DataFrame, phrases: DataFrame | list[str], column: str = "guest_text", key: str = "qid") -> DataFrame:
+    """Rows whose text holds any of the phrases, a list or a table with ``phrase``.
+
+    Phrases are looked up by a word or a part in common, so the plan does not grow with them.
+    """
+    if isinstance(phrases, list):
+        phrases = texts.sparkSession.createDataFrame([(p,) for p in phrases], "phrase string")
+    found = phrase_candidates(texts, phrases, key, column).select(F.col(key).alias("__key"), F.col("phrase").alias("__phrase"))
+    return texts.join(found, F.col(key).eqNullSafe(F.col("__key")) & F.contains(column, "__phrase"), "left_semi")

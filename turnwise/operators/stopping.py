@@ -6,12 +6,23 @@ item (the limit runs before the shuffle too) and the running yes counts become o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions.measures import binary_entropy, col, kappa, majority, scaled_entropy, votes_needed
-from turnwise.operators.agreement import CELLS, agreement_report, table_of
+from turnwise.operators.agreement import CELLS, agreement_report
 from turnwise.operators.votes import ORDER, first_votes, vote_tuples
+from turnwise.session import cut_lineage
+
+# Executors get task functions by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def vote_prefixes(votes: DataFrame, k: int, order: list[str] = ORDER) -> DataFrame:
@@ -83,25 +94,73 @@ def votes_until_stop(votes: DataFrame, order: list[str] = ORDER, threshold: floa
 def agreement_by_cut(votes: DataFrame, order: list[str] = ORDER, first: int = 3, threshold: float = 0.8,
                      max_votes: int = 15, min_shared: float = 1) -> DataFrame:
     """The agreement report on the first votes, on a simulated dynamic recruitment and on all votes."""
+    votes = cut_lineage(votes)  # read by each cut and each pass
     cuts = {"first": first_votes(votes, first, order),
             "dynamic": votes_until_stop(votes, order, threshold, max_votes), "all": votes}
     reports = [agreement_report(rows, name, min_shared, votes) for name, rows in cuts.items()]
     return reports[0].unionByName(reports[1]).unionByName(reports[2])
 
 
+def _matrix(lists: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as the rows of a matrix, padded with zeros, and their lengths."""
+    length = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(lists), width), np.int64)
+    out[np.arange(width) < length[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out, length
+
+
+def _cases(spark: SparkSession, k: int, tests: list) -> np.ndarray:
+    """For each test a table over (rank, yes votes): whether it holds.  As many cases as prefixes of ``k`` votes have counts."""
+    pairs = spark.createDataFrame([(r, c) for r in range(1, k + 1) for c in range(r + 1)], "r int, c int")
+    rows = pairs.select("r", "c", F.array(*[test(F.col("c"), F.col("r")) for test in tests]).alias("holds")).collect()
+    out = np.zeros((len(tests), k + 1, k + 1), bool)
+    for row in rows:
+        out[:, row["r"], row["c"]] = row["holds"]
+    return out
+
+
+def stop_task(cases: np.ndarray, starts: list[int], limits: list[int], names: list[str]):
+    """Task function: ``cum`` and ``final`` of items to one row per rule: votes used, right labels, items.
+
+    All items of a batch are looked up in the tables of the rules at once.
+    """
+    k = cases.shape[1] - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, len(names)), np.int64)
+        rank = np.arange(1, k + 1)
+        for batch in batches:
+            cum, length = _matrix(batch.column("cum"), k)
+            final = batch.column("final").to_numpy()
+            for i, (start, limit) in enumerate(zip(starts, limits)):
+                upto = np.minimum(length, limit)
+                holds = cases[i][rank, cum] & (rank >= start) & (rank <= upto[:, None])
+                stop = np.where(holds.any(axis=1), holds.argmax(axis=1) + 1, upto)
+                yes = np.take_along_axis(cum, stop[:, None] - 1, axis=1)[:, 0]
+                sums[:, i] += stop.sum(), ((2 * yes >= stop) == (final == 1)).sum(), len(stop)
+        yield pa.RecordBatch.from_arrays([pa.array(names), *map(pa.array, sums)], names=["rule", "used", "right", "items"])
+    return run
+
+
 def stop_report(votes: DataFrame, order: list[str] = ORDER, agreeing: list[int] = (1, 2, 3, 4, 5),
                 thresholds: list[float] = (0.5, 0.7, 0.8, 0.9), max_votes: int = 10, min_votes: int = 3,
                 scaled_thresholds: list[float] = (0.2, 0.3, 0.4)) -> DataFrame:
-    """Mean votes used and accuracy against the label of all votes, per rule and setting."""
+    """Mean votes used and accuracy against the label of all votes, per rule and setting.
+
+    Whether a rule stops depends on the rank and the yes votes only, so a rule is a small table; a task looks all
+    its items up in all tables and reports one row per rule.
+    """
     k = max([max_votes] + [2 * a - 1 for a in agreeing])
-    rules = [(f"agree_{a}", agreeing_stop(a)) for a in agreeing]
-    rules += [(f"entropy_{t}", entropy_stop(t, max_votes, min_votes)) for t in thresholds]
-    rules += [(f"scaled_{t}", entropy_stop(t, max_votes, min_votes, True)) for t in scaled_thresholds]
+    rules = [(f"agree_{a}", lambda c, r, a=a: (c == a) | (r - c == a), 1, k) for a in agreeing]
+    rules += [(f"entropy_{t}", lambda c, r, t=t: binary_entropy(c / r) <= t, min_votes, max_votes) for t in thresholds]
+    rules += [(f"scaled_{t}", lambda c, r, t=t: scaled_entropy(c / r, r) <= t, min_votes, max_votes) for t in scaled_thresholds]
+    names, tests, starts, limits = map(list, zip(*rules))
     final = vote_tuples(votes).select("item", majority("share").alias("final"))
-    rows = vote_prefixes(votes, k, order).join(final, "item").select("cum", "final", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("rule"), stop.cast("int").alias("stop")) for name, stop in rules])).alias("r"))
-    return rows.select("r.rule", "r.stop", (label_at(F.col("r.stop")) == F.col("final")).cast("int").alias("ok")) \
-        .groupBy("rule").agg(F.avg("stop").alias("mean_votes"), F.avg("ok").alias("accuracy"))
+    rows = vote_prefixes(votes, k, order).join(final, "item").select(F.col("cum").cast("array<bigint>").alias("cum"), "final")
+    sums = rows.mapInArrow(
+        stop_task(_cases(votes.sparkSession, k, tests), starts, limits, names), "rule string, used long, right long, items long")
+    return sums.groupBy("rule").agg(F.sum("used").alias("used"), F.sum("right").alias("right"), F.sum("items").alias("items")).where(
+        "items > 0").select("rule", (F.col("used") / F.col("items")).alias("mean_votes"), (F.col("right") / F.col("items")).alias("accuracy"))
 
 
 def open_items(tallies: DataFrame, threshold: float = 0.8, max_votes: int = 15) -> DataFrame:
@@ -115,25 +174,45 @@ def smallest_need(tallies: DataFrame, threshold: float = 0.8, max_votes: int = 1
         F.count(F.lit(1)).alias("n_open"), F.min("need").alias("places"))
 
 
+def bootstrap_task(n: int, replicates: int, seed: int):
+    """Task function: items with their votes to one row per (replicate, k): the cells of the labels of k resampled
+    and of the first k votes, and how often the latter is that of all n.
+
+    A replicate of an item is a row of a matrix; running sums along the rows give the labels for all k.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((5, replicates, n), np.int64)  # n11, n10, n01, n00, right
+        heads = [f"{seed}|{r}|".encode() for r in range(1, replicates + 1)]
+        rank = np.arange(1, n + 1)
+        for batch in batches:
+            votes, length = _matrix(batch.column("vs"), n)
+            for item, own, k in zip(batch.column("item").to_pylist(), votes, length.tolist()):
+                tails = [f"{item}|{j}".encode() for j in range(1, k + 1)]
+                drawn = b"".join([md5(head + tail).digest()[:4] for head in heads for tail in tails])
+                draw = np.frombuffer(drawn, ">u4").reshape(replicates, k) % k
+                a = 2 * own[draw].cumsum(axis=1) >= rank[:k]
+                b = 2 * own[:k].cumsum() >= rank[:k]
+                sums[0, :, :k] += a & b
+                sums[1, :, :k] += a & ~b
+                sums[2, :, :k] += ~a & b
+                sums[3, :, :k] += ~a & ~b
+                sums[4, :, :k] += b == b[-1]
+        rep, at = np.indices((replicates, n)).reshape(2, -1) + 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in (rep, at, *sums.reshape(5, -1))], names=["rep", "k", *CELLS, "right"])
+    return run
+
+
 def bootstrap_reliability(votes: DataFrame, n: int = 20, replicates: int = 100, seed: int = 1,
                           order: list[str] = ORDER) -> DataFrame:
     """Mean kappa and accuracy by k between labels of k resampled and of the first k original votes.
 
     Slot j of replicate r of an item draws the vote number md5(seed|r|item|j) mod n, so the draw is
-    the same on every attempt and in every engine.
+    the same on every attempt and in every engine.  Nothing is exploded: a task adds up cells per (replicate, k).
     """
-    def draw(j):
-        key = F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("item").cast("string"),
-                          j.cast("string"))
-        return F.get("vs", F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.col("n")).cast("int"))
-
-    rows = vote_prefixes(votes, n, order).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    rows = rows.withColumn("re", F.transform(F.sequence(F.lit(1), F.col("n")), draw))
-    rows = rows.withColumn("recum", F.transform("re", lambda v, i: F.aggregate(
-        F.slice("re", F.lit(1), i + 1), F.lit(0), lambda a, x: a + x)))
-    final = majority(F.get("cum", F.col("n") - 1) / F.col("n"))
-    at_k = rows.select("rep", final.alias("final"), F.posexplode(F.arrays_zip("recum", "cum")).alias("i", "c")).select(
-        "rep", (F.col("i") + 1).alias("k"), "final",
-        majority(F.col("c.recum") / (F.col("i") + 1)).alias("a"), majority(F.col("c.cum") / (F.col("i") + 1)).alias("b"))
-    per = at_k.groupBy("rep", "k").agg(*table_of("a", "b"), F.avg((F.col("b") == F.col("final")).cast("int")).alias("acc"))
-    return per.groupBy("k").agg(F.avg(kappa(*CELLS)).alias("kappa"), F.avg("acc").alias("accuracy"))
+    rows = vote_prefixes(votes, n, order).select(F.col("item").cast("string").alias("item"), F.col("vs").cast("array<bigint>").alias("vs"))
+    kinds = ", ".join(f"{c} long" for c in ("rep", "k", *CELLS, "right"))
+    sums = rows.mapInArrow(bootstrap_task(n, replicates, seed), kinds).groupBy("rep", "k").agg(
+        *[F.sum(c).alias(c) for c in (*CELLS, "right")])
+    total = F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")
+    return sums.where(total > 0).groupBy("k").agg(F.avg(kappa(*CELLS)).alias("kappa"), F.avg(F.col("right") / total).alias("accuracy"))

@@ -1,8 +1,8 @@
 """Statistics over pairs of members of a group, without listing the pairs of a group.
 
 Members are hashed into blocks.  A (block, block, item shard) tile holds two blocks of members for a
-bounded set of items, whatever the size of any one item, and is reduced by matrix products inside
-the task.  Only one row per distinct pair and tile leaves it, or one number per tile.
+bounded set of items, whatever the size of any one item, and is reduced inside the task by counting the bits that
+rows of 64 items a word have in common.  Only one row per distinct pair and tile leaves it, or one number per tile.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.measures import let
+from turnwise.plans.ordered import row_numbers
+from turnwise.session import cut_lineage
 
 # Executors get the tile functions by value, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -72,9 +74,7 @@ def pair_tables(votes: DataFrame, extra: str | None = None, min_shared: float =
     enough = 1 if several else min_shared
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
-        parts = [part for _, part in pdf.groupby([*by, "cell"], sort=False)]
-        return pd.concat([_cell_counts(part, lo, hi, extra, enough) for part in parts])
+        return _tile_counts(pdf, [*by, "cell"], extra, enough)
 
     tiles = rows.groupBy("lo", "hi", "bundle").applyInPandas(tile, schema)
     if not several:
@@ -84,64 +84,91 @@ def pair_tables(votes: DataFrame, extra: str | None = None, min_shared: float =
     return summed.where(F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00") >= min_shared)
 
 
-def _cell_counts(pdf: pd.DataFrame, lo: int, hi: int, extra: str | None, min_shared: float) -> pd.DataFrame:
-    items, row = np.unique(pdf["item"].to_numpy(), return_inverse=True)
-    own, member, vote = pdf["own"].to_numpy(), pdf["annotator"].to_numpy(), pdf["vote"].to_numpy()
-    left = _side(len(items), row, member, vote, own == lo)
-    right = left if lo == hi else _side(len(items), row, member, vote, own == hi)
-    both = left[1].T @ right[1]
-    keep = both >= min_shared
-    if lo == hi:
-        keep &= np.triu(np.ones_like(keep, dtype=bool), 1)
-    i, j = np.nonzero(keep)
-    both, n11 = both[i, j], (left[2].T @ right[2])[i, j]
-    n10, n01 = (left[2].T @ right[1])[i, j] - n11, (left[1].T @ right[2])[i, j] - n11
-    a, b = left[0][i], right[0][j]
-    swap = a > b
+def _tile_counts(pdf: pd.DataFrame, keys: list[str], extra: str | None, min_shared: float) -> pd.DataFrame:
+    """Counts of the pairs of members of all cells of a tile; the cells share one set of columns."""
+    lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
+    cell = pdf.groupby(keys, sort=False).ngroup().to_numpy()
+    items, names = pd.factorize(pdf["item"])[0], pdf["annotator"].to_numpy()
+    ranked, member = np.unique(names, return_inverse=True)
+    own, vote = pdf["own"].to_numpy(), pdf["vote"].to_numpy().astype(bool)
+    order = np.lexsort([member, cell])
+    ends = np.append(np.flatnonzero(np.diff(cell[order])) + 1, len(order))
+    parts, start = [], 0
+    for end in ends:
+        at = order[start:end]
+        start = end
+        row = np.unique(items[at], return_inverse=True)[1]
+        left = _Bits(row, member[at], vote[at], own[at] == lo)
+        right = left if lo == hi else _Bits(row, member[at], vote[at], own[at] == hi)
+        i, j, counts = left.against(right, min_shared)
+        parts.append((np.full(len(i), at[0]), left.names[i], right.names[j], *counts))
+    at, a, b, n11, n10, n01, n00 = map(np.concatenate, zip(*parts))
+    swap = a > b  # members are numbered in their order
     out = {
-        "a": np.where(swap, b, a), "b": np.where(swap, a, b), "n11": n11.astype("int64"),
-        "n10": np.where(swap, n01, n10).astype("int64"), "n01": np.where(swap, n10, n01).astype("int64"),
-        "n00": (both - n11 - n10 - n01).astype("int64")}
+        "a": ranked[np.where(swap, b, a)], "b": ranked[np.where(swap, a, b)], "n11": n11,
+        "n10": np.where(swap, n01, n10), "n01": np.where(swap, n10, n01), "n00": n00}
     if extra:
-        out = {extra: np.full(len(a), pdf[extra].iat[0]), **out}
+        out = {extra: pdf[extra].to_numpy()[at], **out}
     return pd.DataFrame(out)
 
 
-def _side(n_items: int, row: np.ndarray, member: np.ndarray, vote: np.ndarray, mask: np.ndarray) -> tuple:
-    """Members of a block, and who voted and who voted yes as item x member matrices."""
-    names, col = np.unique(member[mask], return_inverse=True)
-    present = np.zeros((n_items, len(names)), dtype=np.float32)
-    yes = np.zeros_like(present)
-    present[row[mask], col] = 1
-    yes[row[mask], col] = vote[mask]
-    return names, present, yes
+class _Bits:
+    """Who of a block voted and who voted yes, as rows of 64 items a word."""
+
+    def __init__(self, row: np.ndarray, member: np.ndarray, vote: np.ndarray, mask: np.ndarray):
+        self.names, line = np.unique(member[mask], return_inverse=True)
+        row, vote = row[mask], vote[mask]
+        words = int(row.max(initial=0)) // 64 + 1
+        self.present = np.zeros((words, len(self.names)), np.uint64)
+        self.yes = np.zeros_like(self.present)
+        bit = np.uint64(1) << (row % 64).astype(np.uint64)
+        np.bitwise_or.at(self.present, (row // 64, line), bit)
+        np.bitwise_or.at(self.yes, (row // 64, line), np.where(vote, bit, np.uint64(0)))
+
+    def against(self, other: "_Bits", min_shared: float) -> tuple:
+        """Index pairs with ``min_shared`` common items, each once, and their four counts."""
+        both, n11, n10, n01 = (np.zeros((len(self.names), len(other.names)), np.int32) for _ in range(4))
+        for p, y, q, z in zip(self.present, self.yes, other.present, other.yes):
+            both += np.bitwise_count(p[:, None] & q)
+            n11 += np.bitwise_count(y[:, None] & z)
+            n10 += np.bitwise_count(y[:, None] & (q & ~z))
+            n01 += np.bitwise_count((p & ~y)[:, None] & z)
+        keep = both >= min_shared
+        if self is other:
+            keep &= np.triu(np.ones_like(keep), 1)
+        i, j = np.nonzero(keep)
+        counts = [c[i, j].astype(np.int64) for c in (n11, n10, n01)]
+        return i, j, [*counts, both[i, j] - sum(counts)]
 
 
 def pairwise_jaccard(marks: DataFrame, per_block: int = SETS_PER_BLOCK) -> DataFrame:
     """Sum and number of Jaccard overlaps over all pairs of non-empty highlights of an item.
 
     ``marks`` has ``item, hl``.  Equal highlights are counted once with their multiplicity m (the
-    m(m-1)/2 pairs among them overlap fully).  The distinct ones sit in blocks of about
-    ``per_block``; a pair of blocks is one row, so a huge item becomes many rows on many tasks.
+    m(m-1)/2 pairs among them overlap fully).  The distinct ones sit in blocks of ``per_block`` in the order of their
+    tokens.  An index of the tokens of blocks tells which blocks have one in common; only those meet, one row for a pair
+    of blocks, so a huge item becomes many rows on many tasks.  The number of pairs needs no pairs.
     """
     sets = marks.where(F.size("hl") > 0).select("item", F.array_sort(F.array_distinct("hl")).alias("hl")) \
         .groupBy("item", "hl").agg(F.count(F.lit(1)).alias("m"))
-    sizes = sets.groupBy("item").agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias("nb"))
+    sizes = sets.groupBy("item").agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias("nb"), F.sum("m").alias("people"))
     top = sizes.agg(F.max("nb")).first()[0]
     if (top or 1) == 1:
         blocks = sets.groupBy("item").agg(F.collect_list(F.struct("hl", "m")).alias("left"))
         tiles = blocks.select("item", "left", F.lit(True).alias("same"), F.col("left").alias("right"))
     else:
-        placed = sets.join(sizes, "item").withColumn("block", F.pmod(F.xxhash64("hl"), F.col("nb")).cast("int"))
-        blocks = placed.groupBy("item", "nb", "block").agg(F.collect_list(F.struct("hl", "m")).alias("sets"))
-        spread = blocks.select(
-            "item", "block", "sets", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-        tiles = spread.select(
-            "item", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sets",
-        ).groupBy("item", "lo", "hi").agg(
-            F.first(F.when(F.col("block") == F.col("lo"), F.col("sets")), ignorenulls=True).alias("left"),
-            F.first(F.when(F.col("block") == F.col("hi"), F.col("sets")), ignorenulls=True).alias("right"),
-            F.any_value(F.col("lo") == F.col("hi")).alias("same")).where("left IS NOT NULL AND right IS NOT NULL")
+        # In the order of their tokens, so that a block has few tokens and few blocks have one in common.
+        sets = sets.withColumn("length", F.size("hl"))
+        placed = row_numbers(sets, ["item"], ["hl"], "__rn", probe=sets.select("item", "hl"))
+        placed = placed.withColumn("block", F.floor((F.col("__rn") - 1) / per_block).cast("int"))
+        blocks = cut_lineage(placed.groupBy("item", "block").agg(F.collect_list(F.struct("hl", "m")).alias("sets")))
+        tokens = blocks.select("item", "block", F.explode(F.array_distinct(F.flatten(F.transform("sets", lambda x: x["hl"])))).alias("tok"))
+        tokens = cut_lineage(tokens)
+        met = tokens.withColumnRenamed("block", "lo").join(tokens.withColumnRenamed("block", "hi"), ["item", "tok"]).where(
+            "lo <= hi").select("item", "lo", "hi").distinct()
+        tiles = met.join(blocks.select("item", F.col("block").alias("lo"), F.col("sets").alias("left")), ["item", "lo"]).join(
+            blocks.select("item", F.col("block").alias("hi"), F.col("sets").alias("right")), ["item", "hi"]).select(
+                "item", "left", "right", (F.col("lo") == F.col("hi")).alias("same"))
 
     # Among equal highlights the overlap is 1; within one block each unordered pair counts once.
     def overlap(x: Column, i: Column) -> Column:
@@ -150,15 +177,11 @@ def pairwise_jaccard(marks: DataFrame, per_block: int = SETS_PER_BLOCK) -> DataF
         own = F.when(F.col("same"), x["m"] * (x["m"] - 1) / 2).otherwise(F.lit(0.0))
         return F.aggregate(others, own, lambda acc, y: acc + _overlap(x["hl"], y["hl"]) * x["m"] * y["m"])
 
-    def members(side: str) -> Column:
-        return F.aggregate(side, F.lit(0).cast("long"), lambda acc, x: acc + x["m"])
-
     per_tile = tiles.select(
-        "item",
-        F.aggregate(F.transform("left", overlap), F.lit(0.0), lambda acc, v: acc + v).alias("overlap"),
-        F.when(F.col("same"), members("left") * (members("left") - 1) / 2)
-        .otherwise((members("left") * members("right")).cast("double")).alias("pairs"))
-    return per_tile.groupBy("item").agg(F.sum("overlap").alias("overlap"), F.sum("pairs").alias("pairs"))
+        "item", F.aggregate(F.transform("left", overlap), F.lit(0.0), lambda acc, v: acc + v).alias("overlap"))
+    pairs = F.col("people") * (F.col("people") - 1) / 2
+    return per_tile.groupBy("item").agg(F.sum("overlap").alias("overlap")).join(
+        sizes.select("item", pairs.alias("pairs")), "item").select("item", "overlap", "pairs")
 
 
 def _overlap(a: Column, b: Column) -> Column:

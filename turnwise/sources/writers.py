@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -27,22 +28,58 @@ def latest_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame | None, i
     return rows.where(F.col("snapshot") == newest).drop("snapshot"), newest
 
 
+def rows_digest(rows: DataFrame) -> dict:
+    """Columns, number of rows and the sums of two 64-bit hashes of the rows: equal for the same rows in any order.
+
+    Rows that repeat count as often as they are there, and a null is told from any value.  Two tables of different rows
+    have one digest with a probability of about 2 ** -128.
+    """
+    columns = sorted(rows.columns)
+    cells = [c for name in columns for c in (F.col(f"`{name}`"), F.col(f"`{name}`").isNull())]
+    sums = [F.sum(F.xxhash64(F.lit(k), *cells).cast("decimal(38,0)")).cast("string").alias(f"sum{k}") for k in (1, 2)]
+    row = rows.agg(F.count(F.lit(1)).alias("rows"), *sums).first()
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return {"columns": [f"{c} {kinds[c]}" for c in columns], **row.asDict()}
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Equality as multisets, by one grouped count over both."""
-    cols = a.columns
-    if sorted(cols) != sorted(b.columns):
+    """Equality as multisets, by the digests of both."""
+    return rows_digest(a) == rows_digest(b)
+
+
+def _digest_path(path: str, number: int) -> str:
+    return f"{path.rstrip('/')}/_digests/{number}"  # a name that table scans leave out
+
+
+def snapshot_digest(spark: SparkSession, path: str, number: int) -> dict:
+    """The stored digest of a snapshot; of one without it is computed."""
+    stored = _digest_path(path, number)
+    if _readable_text(spark, stored):
+        return json.loads(spark.read.text(stored).first()["value"])
+    return rows_digest(spark.read.parquet(path).where(F.col("snapshot") == number).drop("snapshot"))
+
+
+def _readable_text(spark: SparkSession, path: str) -> bool:
+    from pyspark.errors import AnalysisException
+    try:
+        return not spark.read.text(path).isEmpty()
+    except AnalysisException:
         return False
-    both = a.select(*cols, F.lit(1).alias("__s")).unionByName(b.select(*cols, F.lit(-1).alias("__s")))
-    return both.groupBy(*cols).agg(F.sum("__s").alias("__d")).where(F.col("__d") != 0).isEmpty()
 
 
 def save_snapshot(rows: DataFrame, path: str) -> int:
-    """Append a numbered snapshot unless the newest one has the same rows."""
+    """Append a numbered snapshot unless the newest one has the same rows.
+
+    Whether it has is told by the digest of the new rows and the one that is stored beside the snapshot, so an unchanged
+    table is read once and the snapshots not at all.
+    """
     spark = rows.sparkSession
     old, number = latest_snapshot(spark, path)
-    if old is not None and same_rows(rows, old):
+    digest = rows_digest(rows)
+    if old is not None and digest == snapshot_digest(spark, path, number):
         return number
     rows.withColumn("snapshot", F.lit(number + 1)).write.mode("append").partitionBy("snapshot").parquet(path)
+    spark.createDataFrame([(json.dumps(digest),)], "value string").coalesce(1).write.mode("overwrite").text(_digest_path(path, number + 1))
     return number + 1
 
 

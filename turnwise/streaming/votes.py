@@ -6,16 +6,15 @@ Votes have ``item, annotator, vote, ts``.
 from __future__ import annotations
 
 import heapq
-import itertools
+import json
 import math
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from turnwise.functions.measures import votes_needed
 
@@ -41,14 +40,77 @@ def first_submissions(votes: DataFrame, delay: str = "1 day") -> DataFrame:
     return votes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["item", "annotator"])
 
 
-def last_submissions(votes: DataFrame, order: tuple[str, ...] = ("ts", "session", "line")) -> DataFrame:
+def use_rocksdb(spark: SparkSession) -> None:
+    """State with timers needs this store; a store that the session names itself stays."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(key):
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Forgetting(StatefulProcessor):
+    """One value per key, dropped by an event-time timer some time after its last row."""
+
+    fields: str  # of the value
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", self.fields)
+
+    def keep(self, old: tuple | None, new: tuple, watermark: int) -> None:
+        """Store ``new``, whose last field is the time (ms) of the last row, and move the timer there."""
+        when = max(new[-1], watermark + 1)
+        if old is not None and old[-1] != when:
+            self.handle.deleteTimer(old[-1])
+        if old is None or old[-1] != when:
+            self.handle.registerTimer(when)
+        self.value.update((*new[:-1], when))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.value.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _Last(_Forgetting):
+    """The last row by some columns, given as text; a row that is later than the stored one is passed on."""
+
+    fields = "row string, place string, seen long"
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old = self.value.get() if self.value.exists() else None
+        row, place, seen = None, json.loads(old[1]) if old else None, old[-1] if old else 0
+        for r in rows:
+            seen = max(seen, r["seen"])
+            if place is None or list(r["place"]) > place:
+                row, place = r["row"], list(r["place"])
+        self.keep(old, (row or old[0], json.dumps(place), seen), timerValues.getCurrentWatermarkInMs())
+        if row is not None:
+            yield Row(row=row)
+
+
+def last_submissions(
+    votes: DataFrame, order: tuple[str, ...] = ("ts", "session", "line"), forget_after: str | None = None,
+) -> DataFrame:
     """The last vote of each (item, annotator) by ``order`` (update mode): a later double submission replaces it.
 
-    Only the vote that counts is kept as state, and votes of one batch are combined before the shuffle.
+    Only the vote that counts is kept as state, and votes of one batch are combined before the shuffle.  With
+    ``forget_after`` a pair loses its state when its last vote is that much older than the newest of all, so the
+    state is bounded by the pairs of that time; the columns of ``order`` are numbers or times then.
     """
     rest = [c for c in votes.columns if c not in ("item", "annotator")]
-    last = votes.groupBy("item", "annotator").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("v"))
-    return last.select("item", "annotator", *[F.col("v")[c].alias(c) for c in rest])
+    if forget_after is None:
+        last = votes.groupBy("item", "annotator").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("v"))
+        return last.select("item", "annotator", *[F.col("v")[c].alias(c) for c in rest])
+    use_rocksdb(votes.sparkSession)
+    place = [F.unix_micros(c) if votes.schema[c].dataType.simpleString() == "timestamp" else F.col(c).cast("long") for c in order]
+    rows = votes.withWatermark("ts", forget_after).select(
+        "item", "annotator", "ts", F.to_json(F.struct("item", "annotator", *rest)).alias("row"), F.array(*place).alias("place"),
+        F.unix_millis("ts").alias("seen"))
+    last = rows.groupBy("item", "annotator").transformWithState(_Last(), "row string", "Update", "EventTime")
+    kinds = ", ".join(f"`{c}` {votes.schema[c].dataType.simpleString()}" for c in ("item", "annotator", *rest))
+    return last.select(F.from_json("row", kinds).alias("v")).select("v.*")
 
 
 def _entropy(p: float) -> float:
@@ -69,38 +131,40 @@ def stopping_rounds(votes: DataFrame, threshold: float = THRESHOLD, max_votes: i
     equals the batch rule when votes arrive in order.  At most ``max_votes`` votes of an item change
     its state, the rest only pass by.
     """
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        yes, n, closed = state.get if state.exists else (0, 0, False)
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if closed:
-            latest = max(int(frame["ts_us"].max()) for frame in frames)
-            state.setTimeoutTimestamp(max(latest // 1_000, state.getCurrentWatermarkMs() + 1))
-            return
-        # Only the earliest votes can matter: keep that many across the chunks.
-        head: list[tuple] = []
-        latest = 0
-        for frame in frames:
-            latest = max(latest, int(frame["ts_us"].max()))
-            chunk = zip(frame["ts_us"].tolist(), frame["annotator"].tolist(), frame["vote"].tolist())
-            head = heapq.nsmallest(max_votes, itertools.chain(head, chunk))
-        for _, _, vote in head:
-            yes, n = yes + int(vote), n + 1
-            if _settled(yes, n, threshold, max_votes):
-                closed = True
-                break
-        state.update((yes, n, closed))
-        state.setTimeoutTimestamp(max(latest // 1_000, state.getCurrentWatermarkMs() + 1))
-        if closed:
-            yield pd.DataFrame({"item": [key[0]], "yes": [yes], "n": [n]})
-
+    use_rocksdb(votes.sparkSession)
     item = votes.schema["item"].dataType.simpleString()
-    ready = votes.where("vote IS NOT NULL").withWatermark("ts", forget_after).select("item", F.col("annotator").cast("string").alias("annotator"), "vote",
-                         "ts", F.unix_micros("ts").alias("ts_us"))
-    return ready.groupBy("item").applyInPandasWithState(
-        step, f"item {item}, yes bigint, n bigint", "yes bigint, n bigint, closed boolean", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    ready = votes.where("vote IS NOT NULL").withWatermark("ts", forget_after).select(
+        "item", F.col("annotator").cast("string").alias("annotator"), "vote", "ts", F.unix_micros("ts").alias("ts_us"))
+    return ready.groupBy("item").transformWithState(
+        _Stopping(threshold, max_votes), f"item {item}, yes bigint, n bigint", "Append", "EventTime")
+
+
+class _Stopping(_Forgetting):
+    """Tally of an item until it needs no more votes."""
+
+    fields = "yes long, n long, closed boolean, seen long"
+
+    def __init__(self, threshold: float, max_votes: int):
+        self.threshold, self.max_votes = threshold, max_votes
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old = self.value.get() if self.value.exists() else None
+        yes, n, closed, seen = old or (0, 0, False, 0)
+        was_closed, latest = closed, [seen]
+
+        def votes() -> Iterator[tuple]:
+            for r in rows:
+                latest[0] = max(latest[0], r["ts_us"] // 1_000)
+                yield r["ts_us"], r["annotator"], r["vote"]
+
+        # Only the earliest votes can matter.
+        for _, _, vote in heapq.nsmallest(self.max_votes, votes()):
+            if not closed:
+                yes, n = yes + int(vote), n + 1
+                closed = _settled(yes, n, self.threshold, self.max_votes)
+        self.keep(old, (yes, n, closed, latest[0]), timerValues.getCurrentWatermarkInMs())
+        if closed and not was_closed:
+            yield Row(item=key[0], yes=yes, n=n)
 
 
 def anonymised(votes: DataFrame, names: DataFrame, column: str = "annotator") -> DataFrame:
