@@ -78,6 +78,7 @@ def test_small_parts_and_a_full_bit_table(spark, rows, monkeypatch):
     want = plain(rows, 6, 10)
     assert mined(spark, rows, least=6, top=10, shares=(0.01, 0.3, 1.0)) == want
     monkeypatch.setattr(phrases, "HELD", 700)
+    monkeypatch.setattr(phrases, "ROW", 90)
     frame = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], DOCS)
     assert sorted(map(tuple, mine_phrases(frame, least=6, top=10, bits=15).collect())) == want
 

@@ -43,7 +43,8 @@ BITS = 25  # of the places in a bit table: 4 MB each, whatever the data
 BUCKET = 15  # bits of a place within a bucket of Spark's bitmap aggregate
 SHARES = (1 / 8, 1.0)  # of a language's words that are expanded while no score closes any
 HELD = 1 << 20  # codes that a task counts at a time
-KEPT_WORDS = 250_000  # spellings that a task holds
+ROW = 1 << 15  # codes in a stored row
+KEPT_WORDS = 200_000  # spellings that a task holds
 ENCODED = "kind string, codes binary, key long, phrase binary, lang string, word string, n long"
 COUNTED = "phrase binary, key long, n long, before_min long, before_max long, after_min long, after_max long"
 
@@ -134,7 +135,7 @@ def encode_task(seed: int):
             for lang, own in parts.items():
                 joined = np.concatenate(own)
                 tallies[lang].add(joined)
-                every += [p.tobytes() for p in at_breaks(joined, HELD)]
+                every += [p.tobytes() for p in at_breaks(joined, ROW)]
             return encoded_rows("texts", len(every), codes=every)
 
         def words() -> Iterator[pa.RecordBatch]:
