@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from turnwise.llm.base import query, table
 from turnwise.plans.ordered import row_numbers
@@ -44,11 +45,14 @@ def count_words(text: str | None) -> int:
     return int((blank[:-1] & ~blank[1:]).sum()) + int(len(blank) > 0 and not blank[0])
 
 
-@F.pandas_udf("long")
-def words_of(texts: pd.Series) -> pd.Series:
+def counted(texts: pd.Series) -> pd.Series:
     return pd.Series([count_words(t) for t in texts], dtype="int64")
 
 
+def words_of(text: str) -> Column:
+    return F.pandas_udf(counted, LongType())(F.col(text))
+
+
 def random_number(seed: int, *values: Column) -> Column:
     """A number in (0, 1) from the MD5 of the seed and the values."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(v.cast("string"), F.lit("null")) for v in values])
@@ -163,7 +167,7 @@ def mix_documents(
     that was left out could mend.  A rerun takes the same.  Rows with equal id and text are taken alike, empty texts
     have no words to take, a source without words has the target 0, an empty table gives an empty result.
     """
-    sized = docs.select(F.struct("*").alias("row"), words_of(F.col(text)).alias("size"), F.col(source).alias("source"),
+    sized = docs.select(F.struct("*").alias("row"), words_of(text).alias("size"), F.col(source).alias("source"),
                         random_number(seed, F.col(id), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("u"))
     sizes = cut_lineage(sized.select("source", "size", "u"))
     plan = mixing_plan(sizes, weights=weights, most=most, near=near)
