@@ -117,3 +117,20 @@ def test_components_of_long_chains_and_stars(spark):
     got = {r.node: r.root for r in components(frame).collect()}
     assert got == {i: 0 for i in range(1, 301)} | {1000 + i: 1000 for i in range(1, 200)} | {5000: 4999}
     assert components(frame.limit(0)).collect() == []
+
+
+def test_dense_nodes_go_down_in_rounds(spark):
+    """Thousands of parts of one node: only pairs that live in the radius are met, far fewer than all."""
+    draw = np.random.default_rng(3)
+    prints = np.unique(draw.integers(0, 1 << 40, 6_000, dtype=np.uint64))  # one node of the tries with the upper bits at their top
+    frame = spark.createDataFrame([(int(p),) for p in prints.astype(np.int64)], "fingerprint long")
+    equal = 1
+    depths = [depth for _, depth in simhash.trie_orders(4, equal)]
+    places = frame.mapInPandas(simhash.place_task(4, equal), "trie int, top long, path long, fingerprint long")
+    rows = simhash.node_pairs(places.where("trie = 0"), depths, 4, 8, 4).select("pair", "side").collect()
+    pairs = {r.pair for r in rows}
+    assert 0 < len(pairs) < 0.02 * len(prints) ** 2 / 2
+    sizes = {}
+    for r in rows:
+        sizes[r.pair, r.side] = sizes.get((r.pair, r.side), 0) + 1
+    assert max(sizes.values()) <= 8

@@ -9,8 +9,8 @@ pair is pruned when they exceed the radius.  The number of tries follows from th
 fingerprints and never changes the result.
 
 Nodes below the top are spread over the cluster.  Where one holds more fingerprints than a task
-should (a large group of near copies), the traversal goes on in Spark: the node is split by further
-bits, and pairs of its parts that are within the radius become tasks of their own.
+should (a large group of near copies), the traversal goes on in Spark, in rounds: a table of live node pairs is split by
+some bits, pairs beyond the radius are pruned, and pairs that a task can join become tasks of their own.
 
 A task reports its links as a spanning forest, as links to the smallest of each set, so links of n
 fingerprints are less than n rows however dense they are.  The components of all links are found by alternating star
@@ -238,9 +238,8 @@ def join_task(depths: list[int], radius: int):
 def node_pairs(places: DataFrame, depths: list[int], radius: int, node_rows: int, node_bits: int) -> DataFrame:
     """The rows of all node pairs that a task can join: (pair, trie, side, path, fingerprint).
 
-    Nodes below the top with up to ``node_rows`` rows are joined with themselves.  Larger ones are split
-    by ``node_bits`` further bits until no part is larger or no bits are left; pairs of parts whose bits
-    differ in more than ``radius`` places are pruned.
+    Nodes below the top with up to ``node_rows`` rows are joined with themselves.  Larger ones go down in rounds of
+    ``node_bits`` bits, each pair of parts only as far as it has to.
     """
     depth_of = F.element_at(F.array(*[F.lit(d) for d in depths]), F.col("trie") + 1)
 
@@ -258,24 +257,30 @@ def node_pairs(places: DataFrame, depths: list[int], radius: int, node_rows: int
     found = light.select(pair.alias("pair"), "trie", F.lit(0).alias("side"), "path", "fingerprint")
     if heavy.isEmpty():
         return found
-    bits = 0
-    rows = keyed.join(heavy.select("trie", "node"), ["trie", "node"], "left_semi").drop("node")
-    rows = cut_lineage(rows)
-    # Split until every part fits; the parts of all heavy nodes are counted, never collected.
-    while bits < BITS:
-        bits += node_bits
-        sizes = rows.withColumn("node", node(bits)).groupBy("trie", "top", "node").count()
-        if sizes.where(F.col("count") > node_rows).isEmpty():
+    rows = cut_lineage(keyed.join(heavy.select("trie", "node"), ["trie", "node"], "left_semi").drop("node"))
+    # Pairs of nodes go down together, some bits at a time: parts that differ in more bits than the radius are pruned, pairs
+    # of parts that a task can join are done, and only the others go on.  Nodes are counted, never collected.
+    live = heavy.select("trie", F.col("node").alias("top"), F.col("node").alias("left"), F.col("node").alias("right"))
+    for bits in range(node_bits, BITS + node_bits, node_bits):
+        sizes = cut_lineage(rows.withColumn("node", node(bits)).withColumn("parent", node(bits - node_bits)).groupBy(
+            "trie", "top", "parent", "node").count())
+
+        def below(side: str) -> DataFrame:
+            return sizes.select("trie", "top", F.col("parent").alias(side), F.col("node").alias(f"{side}_part"), F.col("count").alias(f"{side}_rows"))
+
+        pairs = cut_lineage(live.join(below("left"), ["trie", "top", "left"]).join(below("right"), ["trie", "top", "right"]).where(
+            "(left <> right OR left_part <= right_part) AND (left_part <> right_part OR left_rows > 1)").where(
+            F.bit_count(F.col("left_part").bitwiseXOR(F.col("right_part"))) <= radius))
+        # At the last bit a part is one fingerprint.
+        small = F.lit(True) if bits >= BITS else (F.col("left_rows") <= node_rows) & (F.col("right_rows") <= node_rows)
+        done = pairs.where(small).withColumn("pair", F.xxhash64("trie", "top", F.lit(bits), "left_part", "right_part"))
+        sides = done.select("pair", "trie", "top", F.lit(0).alias("side"), F.col("left_part").alias("node")).unionByName(
+            done.where("left_part <> right_part").select("pair", "trie", "top", F.lit(1).alias("side"), F.col("right_part").alias("node")))
+        found = found.unionByName(rows.withColumn("node", node(bits)).join(sides, ["trie", "top", "node"]).select(*columns))
+        live = pairs.where(~small).select("trie", "top", F.col("left_part").alias("left"), F.col("right_part").alias("right"))
+        if live.isEmpty():
             break
-    parts = cut_lineage(sizes)
-    other = parts.select("trie", "top", F.col("node").alias("other"))
-    twins = parts.select("trie", "top", "node").join(other, ["trie", "top"]).where("node <= other").where(
-        F.bit_count(F.col("node").bitwiseXOR(F.col("other"))) <= radius).withColumn(
-        "pair", F.xxhash64("trie", "top", "node", "other"))
-    sides = twins.select("pair", "trie", "top", F.lit(0).alias("side"), "node").unionByName(
-        twins.where("node <> other").select("pair", "trie", "top", F.lit(1).alias("side"), F.col("other").alias("node")))
-    split = rows.withColumn("node", node(bits)).join(sides, ["trie", "top", "node"]).select(*columns)
-    return found.unionByName(split)
+    return found
 
 
 def links(prints: DataFrame, *, radius: int = 4, node_rows: int = NODE_ROWS, node_bits: int = NODE_BITS) -> DataFrame:
