@@ -225,3 +225,24 @@ def test_pairs_of_more_items_than_a_word_holds(spark):
         for block in (256, 3):
             got = pair_tables(df, extra, block=block).collect()
             assert {(*([r[extra]] if extra else []), r["a"], r["b"]): [r["n11"], r["n10"], r["n01"], r["n00"]] for r in got} == want
+
+
+def test_running_median_of_many_values_takes_few_passes(spark, small_tasks, monkeypatch):
+    """Codes of 9 bits: two passes of a digit, one stored table each besides the ones before."""
+    from turnwise.operators import votes as v
+    rng = random.Random(6)
+    rows = [(rng.choice(["x", "x", "x", None, "y"]), i, float(rng.randint(0, 399)) if rng.random() < 0.9 else None) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, id int, value double")
+    stored = []
+    cut = v.cut_lineage
+    monkeypatch.setattr(v, "cut_lineage", lambda d: stored.append(d.columns) or cut(d))
+    got = {r["id"]: r["running_median"] for r in v.running_median(df, "g", ["id"], 1).collect()}
+    seen, want = {}, {}
+    for g, i, value in rows:
+        own = seen.setdefault(g, [])
+        if value is not None:
+            own.append(value)
+        middle = sorted(own)
+        want[i] = (middle[(len(own) - 1) // 2] + middle[len(own) // 2]) / 2 if own else None
+    assert got == want
+    assert sum("range" in columns for columns in stored) == 2

@@ -6,13 +6,22 @@ within an item.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions.measures import majority
-from turnwise.plans.ordered import Ordered, row_numbers
+from turnwise.plans.ordered import Ordered, row_numbers, rows_per_task
 from turnwise.session import cut_lineage
 
+# Executors get task functions by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ORDER = ["start", "session", "line"]
 
 
@@ -129,7 +138,7 @@ def running_median(arrivals: DataFrame, group: str, order: list[str], window_row
     """Adds the median of the values seen so far, by arrival order; NULL values are not seen.
 
     A window keeps the counts of all values seen, which suits groups up to ``window_rows`` rows.
-    Beyond that the wanted order statistics are found bit by bit (see ``_medians_by_bits``).
+    Beyond that the wanted order statistics are found digit by digit (see ``_medians_by_digits``).
     """
     top = arrivals.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     if (top or 0) <= window_rows:
@@ -137,41 +146,85 @@ def running_median(arrivals: DataFrame, group: str, order: list[str], window_row
         return arrivals.withColumn("running_median", F.percentile("value", 0.5).over(win))
     numbered = cut_lineage(Ordered(arrivals, [group], order).running(
         __n=F.lit(1).cast("long"), __seen=F.col("value").isNotNull().cast("long")).result())
-    medians = _medians_by_bits(
+    medians = _medians_by_digits(
         numbered.select(F.col(group).alias("__group"), "__n", "__seen", "value"), "__group").withColumnRenamed("__n", "__at")
     return numbered.join(
         medians, numbered[group].eqNullSafe(medians["__group"]) & (numbered["__n"] == medians["__at"]), "left").drop(
             "__n", "__seen", "__group", "__at")
 
 
-def _medians_by_bits(numbered: DataFrame, group: str) -> DataFrame:
+DIGIT = 8  # bits of a code that one pass looks at
+
+
+def digit_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Task function: the rows of ranges in order to the digits of values and of the answers to questions.
+
+    Rows are (segment, kind, digit, k, ...): kind 0 says how many values with a digit precede the range, kind 1 are
+    values and kind 2 questions for the ``k``th smallest so far, whose digit is where the running counts of the digits pass k.
+    """
+    segment, counts = None, np.zeros(1 << DIGIT, np.int64)
+    for batch in batches:
+        digits, ks = batch["digit"].to_numpy(np.int64).copy(), batch["k"].to_numpy(np.int64).copy()
+        for i, (own, kind) in enumerate(zip(batch["segment"].tolist(), batch["kind"].tolist())):
+            if own != segment:
+                segment, counts = own, np.zeros(1 << DIGIT, np.int64)
+            if kind == 0:
+                counts[digits[i]] += ks[i]
+            elif kind == 1:
+                counts[digits[i]] += 1
+            else:
+                upto = counts.cumsum()
+                digits[i] = np.searchsorted(upto, ks[i])
+                if digits[i]:
+                    ks[i] -= upto[digits[i] - 1]
+        yield batch.assign(digit=digits, k=ks)[batch["kind"] > 0]
+
+
+def _medians_by_digits(numbered: DataFrame, group: str) -> DataFrame:
     """``group, __n, running_median`` for rows numbered by ``__n`` in each group, ``__seen`` values up to each.
 
-    Values are replaced by their dense codes.  A row asks for the one or two middle values among those
-    up to it.  All values and questions descend the bits of the codes together: a question goes
-    to the side holding its order statistic, which a running count of the zero bits tells.  Every bit
-    is one ordered pass, so large groups are spread over tasks as in any other ordered plan.
+    Values are replaced by their dense codes.  A row asks for the one or two middle values among those up to it.  All
+    values and questions descend the codes together, a digit of ``DIGIT`` bits at a time (a wavelet matrix of wide
+    digits): in each node rows are in their order, and a question goes where the running counts of the digits pass
+    its rank.  The rows of a pass are dealt by ranges of nodes and order, whatever the size of a group; what
+    precedes a range is a table of counts for the node that it shares with earlier ranges.
     """
     present = numbered.where("value IS NOT NULL")
     codes = cut_lineage(row_numbers(present.select("value").distinct(), [], ["value"], "code"))
-    bits = max(1, int((codes.agg(F.max("code")).first()[0] or 1) - 1).bit_length())
+    levels = -(-max(1, int((codes.agg(F.max("code")).first()[0] or 1) - 1).bit_length()) // DIGIT)
+    none = F.lit(0).cast("long")
     values = present.join(codes, "value").select(
-        group, F.col("__n").alias("t"), F.lit(0).alias("q"), (F.col("code") - 1).alias("code"),
-        F.lit(None).cast("long").alias("k"), F.lit(0).cast("long").alias("node"))
+        group, F.lit(0).cast("long").alias("node"), F.col("__n").alias("t"), F.lit(0).alias("q"), (F.col("code") - 1).alias("code"), none.alias("k"))
     middle = F.array_distinct(F.array(F.floor((F.col("__seen") + 1) / 2), F.floor((F.col("__seen") + 2) / 2)))
     asked = numbered.where("__seen > 0").select(group, F.col("__n").alias("t"), F.posexplode(middle).alias("p", "k")).select(
-        group, "t", (F.col("p") + 1).alias("q"), F.lit(None).cast("long").alias("code"), "k",
-        F.lit(0).cast("long").alias("node"))
-    rows = values.unionByName(asked)
-    for bit in range(bits - 1, -1, -1):
-        side = F.floor(F.col("code") / 2 ** bit) % 2
-        zero = F.when(side == 0, 1).otherwise(0)
-        rows = Ordered(cut_lineage(rows), [group, "node"], ["t", "q"]).running(zeros=zero).result()
-        right = F.when(F.col("q") == 0, side).otherwise((F.col("k") > F.col("zeros")).cast("long"))
-        rows = rows.withColumn("right", right).select(
-            group, "t", "q", "code",
-            (F.col("k") - F.when(F.col("right") == 1, F.col("zeros")).otherwise(0)).alias("k"),
-            (F.col("node") * 2 + F.col("right")).alias("node"))
+        group, F.lit(0).cast("long").alias("node"), "t", (F.col("p") + 1).alias("q"), none.alias("code"), "k")
+    rows = cut_lineage(values.unionByName(asked))
+    ranges = max(1, -(-2 * rows.count() // rows_per_task(rows)))
+    kinds = f"`{group}` {rows.schema[group].dataType.simpleString()}, node long, t long, q int, code long, k long, digit long"
+    for level in range(levels - 1, -1, -1):
+        digit = F.when(F.col("q") == 0, F.shiftright("code", DIGIT * level).bitwiseAND((1 << DIGIT) - 1)).otherwise(none)
+        dealt = cut_lineage(rows.withColumn("digit", digit).repartitionByRange(ranges, group, "node", "t", "q").withColumn(
+            "range", F.spark_partition_id()))
+        places = dealt.groupBy(group, "node", "range").count()
+        shared = places.groupBy(group, "node").agg(F.min("range").alias("lo"), F.max("range").alias("hi")).where("lo < hi")
+        own = F.col(group).eqNullSafe(F.col("s_group")) & (F.col("node") == F.col("s_node"))
+        shared = shared.select(F.col(group).alias("s_group"), F.col("node").alias("s_node"))
+        counts = dealt.where("q = 0").join(shared, own, "left_semi").groupBy(
+            F.col(group).alias("c_group"), F.col("node").alias("c_node"), F.col("range").alias("c_range"), F.col("digit").alias("c_digit")).agg(
+                F.count(F.lit(1)).alias("c"))
+        slots = places.join(shared, own, "left_semi").select(group, "node", "range", F.explode(F.sequence(
+            none, F.lit((1 << DIGIT) - 1).cast("long"))).alias("digit"))
+        before = Window.partitionBy(group, "node", "digit").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        base = slots.join(counts, F.col(group).eqNullSafe(F.col("c_group")) & (F.col("node") == F.col("c_node")) & (
+            F.col("range") == F.col("c_range")) & (F.col("digit") == F.col("c_digit")), "left").withColumn(
+                "k", F.sum(F.coalesce("c", none)).over(before)).where("k > 0")
+        work = dealt.withColumn("kind", F.when(F.col("q") == 0, 1).otherwise(2)).unionByName(base.select(
+            group, "node", none.alias("t"), F.lit(0).alias("q"), none.alias("code"), "k", "digit", "range", F.lit(0).alias("kind")))
+        # Within a range the counts of a node come first; values come before the questions of their row.
+        work = work.withColumn("segment", F.xxhash64("range", group, "node")).repartition(ranges, "range").sortWithinPartitions(
+            "range", group, "node", F.col("kind") > 0, "t", "q")
+        done = work.mapInPandas(digit_task, f"{kinds}, range int, kind int, segment long")
+        rows = done.select(group, (F.col("node") * (1 << DIGIT) + F.col("digit")).alias("node"), "t", "q", "code", "k")
     found = rows.where("q > 0").withColumn("code", F.col("node") + 1).join(codes, "code")
     return found.groupBy(group, F.col("t").alias("__n")).agg(F.avg("value").alias("running_median"))
 
