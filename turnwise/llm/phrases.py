@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnwise.llm.base import query, table
-from turnwise.session import cut_lineage, new_folder
+from turnwise.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -45,7 +45,8 @@ SHARES = (1 / 8, 1.0)  # of a language's words that are expanded while no score
 HELD = 1 << 20  # codes that a task counts at a time
 ROW = 1 << 15  # codes in a stored row
 KEPT_WORDS = 200_000  # spellings that a task holds
-ENCODED = "kind string, codes binary, key long, phrase binary, lang string, word string, n long"
+ENCODED = "lang string, codes binary, n long"
+SPELLED = "key long, phrase binary, lang string, word string"
 COUNTED = "phrase binary, key long, n long, before_min long, before_max long, after_min long, after_max long"
 
 BREAKS, BLANKS, BREAK = b".,;:!?\n\x0b\x0c\r", b" \t", b"\xff"  # no byte of UTF-8 is 0xff
@@ -61,27 +62,31 @@ def word_code(word: bytes, seed: int) -> int:
 
 
 class Codes(dict):
-    """Codes of the words of a language that were met."""
+    """Codes of the words of a language that were met; words whose code is in ``wanted`` are listed."""
 
-    def __init__(self, lang: str, seed: int):
+    def __init__(self, lang: str, seed: int, wanted: "BitTable | None" = None):
         super().__init__({BREAK: 0})
-        self.lang, self.seed = f"{lang}\0".encode("utf-8", "surrogatepass"), seed
+        self.lang, self.seed, self.wanted, self.listed = f"{lang}\0".encode("utf-8", "surrogatepass"), seed, wanted, []
 
     def __missing__(self, word: bytes) -> int:
         code = self[word] = word_code(self.lang + word, self.seed)
+        if self.wanted is not None and self.wanted.has_one(code):
+            self.listed.append((code, word))
         return code
 
 
-def encode(text: str | None, codes: Codes, at_once: int = 1 << 22) -> np.ndarray:
-    """The code of each word, 0 at breaks (one or more) and at the end."""
-    data = (text or "").encode("utf-8", "surrogatepass").translate(PLAIN)
-    parts, start = [], 0
+def words_at_a_time(text: str | None, at_once: int) -> Iterator[list[bytes]]:
+    """The words of a text and its breaks, in parts; long texts are cut where a word ends."""
+    data, start = (text or "").encode("utf-8", "surrogatepass").translate(PLAIN), 0
     while start < len(data):
-        # Long texts are cut where a word ends.
         stop = min((p for p in (data.find(c, start + at_once) for c in (b" ", b"\t", BREAK)) if p >= 0), default=len(data))
-        words = data[start:stop].replace(BREAK, b" \xff ").split()
-        parts.append(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)))
+        yield data[start:stop].replace(BREAK, b" \xff ").split()
         start = stop
+
+
+def encode(text: str | None, codes: Codes, at_once: int = 1 << 22) -> np.ndarray:
+    """The code of each word, 0 at breaks (one or more) and at the end."""
+    parts = [np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)) for words in words_at_a_time(text, at_once)]
     return np.concatenate([*parts, np.zeros(1, np.uint64)])
 
 
@@ -95,75 +100,82 @@ def at_breaks(codes: np.ndarray, size: int) -> Iterator[np.ndarray]:
         start = stop
 
 
-class Tally:
-    """Counts of codes, added up some at a time."""
-
-    def __init__(self):
-        self.codes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def add(self, codes: np.ndarray) -> None:
-        new, counts = np.unique(codes, return_counts=True)
-        every, place = np.unique(np.concatenate([self.codes, new]), return_inverse=True)
-        self.counts = np.bincount(place, np.concatenate([self.counts, counts]), len(every)).astype(np.int64)
-        self.codes = every
-
-    def of(self, codes: np.ndarray) -> np.ndarray:
-        return self.counts[np.searchsorted(self.codes, codes)]
-
-
 def fixed_binary(values: np.ndarray, width: int) -> pa.Array:
     """Rows of ``width`` bytes as binary values."""
     return pa.Array.from_buffers(pa.binary(width), len(values), [None, pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def encoded_rows(kind: str, size: int, **columns) -> pa.RecordBatch:
-    """Rows of the table that encoding writes; columns that are not given are null."""
-    kinds = {"kind": pa.string(), "codes": pa.binary(), "key": pa.int64(), "phrase": pa.binary(), "lang": pa.string(),
-             "word": pa.string(), "n": pa.int64()}
-    columns["kind"] = [kind] * size
-    arrays = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns.get(c, [None] * size), t) for c, t in kinds.items()]
-    return pa.RecordBatch.from_arrays(arrays, names=list(kinds))
+def cache_of(caches: dict, lang: str, *how) -> Codes:
+    """The codes of a language in a task; all start anew when they hold too many words."""
+    if sum(map(len, caches.values())) > KEPT_WORDS:
+        for own in caches.values():
+            own.clear()
+            own[BREAK] = 0
+    return caches[lang] if lang in caches else caches.setdefault(lang, Codes(lang, *how))
 
 
 def encode_task(seed: int):
-    """Task function: (lang, text) to rows of codes and, counted over many texts, rows of words."""
+    """Task function: (lang, text) to rows of codes, many texts of a language in a row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, tallies, parts, held = {}, {}, {}, 0
-
-        def texts() -> pa.RecordBatch:
-            every = []
-            for lang, own in parts.items():
-                joined = np.concatenate(own)
-                tallies[lang].add(joined)
-                every += [p.tobytes() for p in at_breaks(joined, ROW)]
-            return encoded_rows("texts", len(every), codes=every)
-
-        def words() -> Iterator[pa.RecordBatch]:
-            for lang, own in codes.items():
-                del own[BREAK]
-                if own:
-                    keys = np.fromiter(own.values(), np.uint64, len(own))
-                    yield encoded_rows(
-                        "words", len(own), key=pa.array(keys.view(np.int64)), phrase=fixed_binary(keys, 8), lang=[lang] * len(own),
-                        word=[w.decode("utf-8", "replace") for w in own], n=pa.array(tallies[lang].of(keys)))
+        caches, parts, held = {}, {}, 0
+
+        def rows() -> pa.RecordBatch:
+            found = [(lang, part) for lang, own in parts.items() for part in at_breaks(np.concatenate(own), ROW)]
+            return pa.RecordBatch.from_arrays([
+                pa.array([lang for lang, _ in found]), pa.array([part.tobytes() for _, part in found], pa.binary()),
+                pa.array([int(np.count_nonzero(part)) for _, part in found], pa.int64())], names=["lang", "codes", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                if lang not in codes:
-                    codes[lang], tallies[lang] = Codes(lang, seed), Tally()
-                part = encode(text.as_py(), codes[lang])
+                part = encode(text.as_py(), cache_of(caches, lang, seed))
                 parts.setdefault(lang, []).append(part)
                 held += len(part)
-                full = sum(map(len, codes.values())) > KEPT_WORDS
-                if held > HELD or full:
-                    yield texts()
+                if held > HELD:
+                    yield rows()
                     parts, held = {}, 0
-                if full:
-                    yield from words()
-                    codes, tallies = {}, {}
         if parts:
-            yield texts()
-        yield from words()
+            yield rows()
+    return run
+
+
+def word_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: rows of codes to codes with their counts, added up over as many rows as a task can hold."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def counted() -> pa.RecordBatch:
+        some = keys != 0
+        return pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some])], names=["key", "n"])
+
+    for codes in held_codes(batches):
+        new, number = np.unique(codes, return_counts=True)
+        every, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([counts, number]), len(every)).astype(np.int64)
+        keys = every
+        if len(keys) > HELD:
+            yield counted()
+            keys, counts = keys[:0], counts[:0]
+    yield counted()
+
+
+def spell_task(seed: int, wanted):
+    """Task function: (lang, text) to the spellings of words whose code is in a bit table."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches, bits, told = {}, BitTable(wanted.value), set()
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+                own = cache_of(caches, lang, seed, bits)
+                for words in words_at_a_time(text.as_py(), 1 << 22):
+                    for word in set(words):
+                        own[word]
+            new = [(code, lang, word) for lang, own in caches.items() for code, word in own.listed if (lang, word) not in told]
+            for own in caches.values():
+                own.listed = []
+            told |= {(lang, word) for _, lang, word in new}
+            if new:
+                keys = np.array([code for code, _, _ in new], np.uint64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(keys.view(np.int64)), fixed_binary(keys, 8), pa.array([lang for _, lang, _ in new]),
+                    pa.array([word.decode("utf-8", "replace") for _, _, word in new])], names=["key", "phrase", "lang", "word"])
     return run
 
 
@@ -177,6 +189,10 @@ class BitTable:
         self.bits = np.frombuffer(data, np.uint8)
         self.shift = np.uint64(64 - (8 * len(data)).bit_length() + 1)
 
+    def has_one(self, key: int) -> bool:
+        place = key >> int(self.shift)
+        return bool(self.bits[place >> 3] >> (place & 7) & 1)
+
     def has(self, keys: np.ndarray) -> np.ndarray:
         place = keys >> self.shift
         return (self.bits[(place >> np.uint64(3)).astype(np.intp)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -234,27 +250,30 @@ def count_task(tables, frequent=None, size: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = {k: BitTable(t.value) for k, t in tables.items()}
         last = BitTable(frequent.value) if frequent is not None else None
-        held, some = 0, []
-
-        def counted() -> Iterator[pa.RecordBatch]:
-            codes = np.concatenate([np.zeros(1, np.uint64), *some, np.zeros(LONGEST, np.uint64)])
+        for held in held_codes(batches):
+            codes = np.concatenate([np.zeros(1, np.uint64), held, np.zeros(LONGEST, np.uint64)])
             found = [(size, *grown(codes, size, bits, last))] if size else listed(codes, bits)
             for length, at, keys in found:
                 if len(at):
                     yield tally(codes, at, keys, length)
 
-        for batch in batches:
-            for data in batch.column("codes"):
-                some.append(np.frombuffer(data.as_buffer(), np.uint64))
-                held += len(some[-1])
-                if held >= HELD:
-                    yield from counted()
-                    held, some = 0, []
-        if some:
-            yield from counted()
     return run
 
 
+def held_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The codes of many rows together."""
+    held, some = 0, []
+    for batch in batches:
+        for data in batch.column("codes"):
+            some.append(np.frombuffer(data.as_buffer(), np.uint64))
+            held += len(some[-1])
+            if held >= HELD:
+                yield np.concatenate(some)
+                held, some = 0, []
+    if some:
+        yield np.concatenate(some)
+
+
 def combined(counts: DataFrame, least: int) -> DataFrame:
     """The phrases with ``least`` or more occurrences, stored."""
     return cut_lineage(counts.groupBy("phrase").agg(
@@ -317,19 +336,18 @@ def first_limits(words: DataFrame, langs: DataFrame, share: float) -> DataFrame:
         "lang").agg(F.max("upto").cast("long").alias("upto"))
 
 
-def encoded(docs: DataFrame, lang: str, text: str, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def encoded(docs: DataFrame, lang: str, text: str, least: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Codes, frequent words (``phrase`` of one word, ``key``, ``lang``, ``word``, ``n``) and the words of each language (``n``), stored."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     for seed in counting():
-        folder = new_folder(docs.sparkSession, "codes")
-        rows.mapInArrow(encode_task(seed), ENCODED).write.partitionBy("kind").parquet(folder)
-        made = docs.sparkSession.read.schema(ENCODED).parquet(folder)
-        words = made.where("kind = 'words'").drop("kind", "codes")
-        counts = words.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        # Spellings are looked up for frequent words only, and of those each must have a code of its own.
-        spelled = cut_lineage(words.select("key", "phrase", "lang", "word").join(counts, "key").distinct())
+        made = cut_lineage(rows.mapInArrow(encode_task(seed), ENCODED))
+        codes = made.select("codes")
+        counts = cut_lineage(codes.mapInArrow(word_task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(
+            F.col("n") >= least))
+        # Spellings are looked up for frequent words only, and each of them must have a code of its own.
+        spelled = cut_lineage(rows.mapInArrow(spell_task(seed, bit_table(counts, bits)), SPELLED).distinct().join(counts, "key"))
         if spelled.groupBy("key").count().where("count > 1").isEmpty():
-            return made.where("kind = 'texts'").select("codes"), spelled, cut_lineage(words.groupBy("lang").agg(F.sum("n").alias("n")))
+            return codes, spelled, cut_lineage(made.groupBy("lang").agg(F.sum("n").alias("n")))
 
 
 def mine_phrases(
@@ -346,7 +364,7 @@ def mine_phrases(
     table gives an empty result; other columns are ignored.  Texts of any length are encoded some megabytes at
     a time; the words between two breaks are one value.  Counts and products are exact.
     """
-    codes, words, langs = encoded(docs, lang, text, least)
+    codes, words, langs = encoded(docs, lang, text, least, bits)
     frequent = bit_table(words, bits)
     found, rests, results = None, None, None
     done = cut_lineage(langs.select("lang", F.lit(0).cast("long").alias("upto"), F.lit(False).alias("closed")))
