@@ -88,7 +88,7 @@ def test_scores_close_first_words(spark, rows, monkeypatch):
     made, making = [], phrases.bit_table
     monkeypatch.setattr(phrases, "bit_table", lambda keys, bits: made.append(keys) or making(keys, bits))
     big = [(i, t, "en") for i, t, _ in rows]
-    assert mined(spark, big, least=8, top=4, shares=(0.35, 1.0)) == plain(big, 8, 4)
+    assert mined(spark, big, least=8, top=3, shares=(0.35, 1.0)) == plain(big, 8, 3)
     frequent = made[0].count()
     expanded = sum(k.count() for k in made[1:] if set(k.columns) == {"key", "phrase"})
     assert 0 < expanded < frequent
