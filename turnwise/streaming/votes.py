@@ -57,16 +57,17 @@ class _Forgetting(StatefulProcessor):
         self.value = handle.getValueState("value", self.fields)
 
     def keep(self, old: tuple | None, new: tuple, watermark: int) -> None:
-        """Store ``new``, whose last field is the time (ms) of the last row, and move the timer there."""
-        when = max(new[-1], watermark + 1)
-        if old is not None and old[-1] != when:
-            self.handle.deleteTimer(old[-1])
-        if old is None or old[-1] != when:
-            self.handle.registerTimer(when)
-        self.value.update((*new[:-1], when))
+        """Store ``new``, whose last field is the time (ms) of the last row; a key has one timer, which is not moved."""
+        if old is None:
+            self.handle.registerTimer(max(new[-1], watermark + 1))
+        self.value.update(new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.value.clear()
+        seen = self.value.get()[-1]
+        if seen > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(seen)
+        else:
+            self.value.clear()
         return iter(())
 
     def close(self) -> None:
@@ -79,7 +80,7 @@ class _Last(_Forgetting):
     fields = "row string, place string, seen long"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        old = self.value.get() if self.value.exists() else None
+        old = self.value.get()
         row, place, seen = None, json.loads(old[1]) if old else None, old[-1] if old else 0
         for r in rows:
             seen = max(seen, r["seen"])
@@ -148,7 +149,7 @@ class _Stopping(_Forgetting):
         self.threshold, self.max_votes = threshold, max_votes
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        old = self.value.get() if self.value.exists() else None
+        old = self.value.get()
         yes, n, closed, seen = old or (0, 0, False, 0)
         was_closed, latest = closed, [seen]
 
