@@ -39,12 +39,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LONGEST = 5
 LEAST = 100
 TOP = 2_000
-BITS = 25  # of the places in a bit table: 4 MB each, whatever the data
+BITS = 24  # of the places in a bit table: 2 MB each, whatever the data
 BUCKET = 15  # bits of a place within a bucket of Spark's bitmap aggregate
 SHARES = (1 / 8, 1.0)  # of a language's words that are expanded while no score closes any
-HELD = 1 << 20  # codes that a task counts at a time
+HELD = 1 << 18  # codes that a task counts at a time
+TALLY = 1 << 19  # words whose counts a task adds up before it passes them on
 ROW = 1 << 15  # codes in a stored row
-KEPT_WORDS = 200_000  # spellings that a task holds
+KEPT_WORDS = 100_000  # spellings that a task holds
 ENCODED = "lang string, codes binary, n long"
 SPELLED = "key long, phrase binary, lang string, word string"
 COUNTED = "phrase binary, key long, n long, before_min long, before_max long, after_min long, after_max long"
@@ -151,7 +152,7 @@ def word_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
         counts = np.bincount(place, np.concatenate([counts, number]), len(every)).astype(np.int64)
         keys = every
-        if len(keys) > HELD:
+        if len(keys) > TALLY:
             yield counted()
             keys, counts = keys[:0], counts[:0]
     yield counted()
