@@ -94,6 +94,52 @@ def test_pair_tables_match_all_pairs(spark, block, shard):
     assert got == expected
 
 
+def _votes_with_a_hot_item(seed=8):
+    """Item 0 has all 40 annotators, the others about three."""
+    rnd = random.Random(seed)
+    return {(i, a): rnd.randrange(2) for i in range(120) for a in range(40) if i == 0 or rnd.random() < 0.08}
+
+
+def _all_pairs(votes, study=lambda item: 0):
+    out = {}
+    for (i, a), x in votes.items():
+        for b in range(a + 1, 40):
+            if (i, b) in votes:
+                cells = out.setdefault((study(i), a, b), [0, 0, 0, 0])
+                cells[3 - 2 * x - votes[i, b]] += 1
+    return {k: tuple(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("listed,per_task", [(1024, 1 << 22), (1024, 50), (10, 50), (1, 10)])
+@pytest.mark.parametrize("shared", [1, 2])
+def test_listed_pairs_and_tiles_add_up(spark, listed, per_task, shared):
+    votes = _votes_with_a_hot_item()
+    df = spark.createDataFrame([(i, f"p{a:02d}", v) for (i, a), v in votes.items()], "item int, annotator string, vote int")
+    rows = pair_tables(df, min_shared=shared, block=8, listed=listed, pairs_per_task=per_task).collect()
+    got = {(0, int(r["a"][1:]), int(r["b"][1:])): (r["n11"], r["n10"], r["n01"], r["n00"]) for r in rows}
+    assert len(got) == len(rows)
+    assert got == {k: v for k, v in _all_pairs(votes).items() if sum(v) >= shared}
+
+
+@pytest.mark.parametrize("listed,per_task", [(1024, 1 << 22), (1024, 60), (10, 60)])
+def test_pairs_of_groups_of_items(spark, listed, per_task):
+    votes = _votes_with_a_hot_item()
+    df = spark.createDataFrame(
+        [(f"s{i // 10}", i, a, v) for (i, a), v in votes.items()], "study string, item int, annotator int, vote int")
+    rows = pair_tables(df, "study", 2, block=8, listed=listed, pairs_per_task=per_task).collect()
+    got = {(r["study"], r["a"], r["b"]): (r["n11"], r["n10"], r["n01"], r["n00"]) for r in rows}
+    assert len(got) == len(rows)
+    assert got == {k: v for k, v in _all_pairs(votes, lambda i: f"s{i // 10}").items() if sum(v) >= 2}
+
+
+def test_votes_of_small_items_are_not_copied(spark):
+    """However many blocks of annotators there are, a vote of an item with few votes is moved once."""
+    df = spark.createDataFrame([(i, 7 * i + a, a % 2) for i in range(50) for a in range(5)], "item int, annotator int, vote int")
+    rows = pair_tables(df, block=1)
+    assert "Generate" not in rows._jdf.queryExecution().toString()
+    assert rows.count() == 50 * 10
+
+
 @pytest.mark.parametrize("per_block", [64, 5, 1])
 def test_pairwise_jaccard_matches_all_pairs(spark, per_block):
     rnd = random.Random(9)

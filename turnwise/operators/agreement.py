@@ -5,7 +5,7 @@ Vote tables have ``item, annotator, vote`` with one row per (item, annotator).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.measures import col, kappa, majority, ratio
@@ -34,9 +34,9 @@ def two_list_scores(pairs: DataFrame, a: str, b: str, by: list[str] | None = Non
 
 
 def pairwise_kappa(votes: DataFrame, min_shared: float = 15, study: str | None = None,
-                   sized_by: DataFrame | None = None) -> DataFrame:
+                   sized_by: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Kappa and agreement of every annotator pair with at least ``min_shared`` common items."""
-    cells = pair_tables(votes, study, max(1, min_shared), sized_by=sized_by)
+    cells = pair_tables(votes, study, max(1, min_shared), sized_by=sized_by, most=most)
     shared = F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")
     return cells.withColumns({
         "shared": shared, "kappa": kappa(*CELLS), "agreement": (F.col("n11") + F.col("n00")) / shared,
@@ -45,14 +45,25 @@ def pairwise_kappa(votes: DataFrame, min_shared: float = 15, study: str | None =
 
 def kappa_summary(pairs: DataFrame) -> DataFrame:
     """Pairs, mean, population deviation, exact median, negatives and those above 0.2."""
-    kappas = cut_lineage(pairs.select("kappa"))
-    row = kappas.agg(
-        F.count("kappa").alias("n_pairs"), F.avg("kappa").alias("mean_kappa"), F.stddev_pop("kappa").alias("std_kappa"),
-        F.count_if(F.col("kappa") < 0).alias("n_negative"), F.count_if(F.col("kappa") > 0.2).alias("n_above"))
-    return beside(row, exact_quantiles(kappas, F.col("kappa"), {"median_kappa": 0.5})).select(
+    kappas = cut_lineage(pairs.groupBy("kappa").agg(F.count(F.lit(1)).alias("c")))
+    mean = kappas.agg(*kappa_measures(F.col("kappa")))
+    return beside(mean, exact_quantiles(kappas, F.col("kappa"), {"median_kappa": 0.5}, F.col("c"))).select(
         "n_pairs", "mean_kappa", "std_kappa", "median_kappa", "n_negative", "n_above")
 
 
+def kappa_measures(value: Column) -> list[Column]:
+    """Aggregates over kappas that occur ``c`` times each; NULLs don't count."""
+    c = F.when(value.isNotNull(), F.col("c"))
+    n = F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    mean = F.sum(value * c) / F.nullif(n, F.lit(0).cast("long"))
+    # Kappas lie within [-1, 1], so the squares lose nothing that shows.
+    square = F.sum(value * value * c) / F.nullif(n, F.lit(0).cast("long"))
+    some = lambda test: F.coalesce(F.sum(F.when(test, c)), F.lit(0).cast("long"))
+    return [n.alias("n_pairs"), mean.alias("mean_kappa"),
+            F.when(n > 0, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))).alias("std_kappa"),
+            some(value < 0).alias("n_negative"), some(value > 0.2).alias("n_above")]
+
+
 def study_blocks(votes: DataFrame, size: int = 10, item: str = "item") -> DataFrame:
     """Numbers the studies: every ``size`` items in item order form one."""
     items = row_numbers(votes.select(item).distinct(), [], [item], "__r")
@@ -144,13 +155,14 @@ def spread(scores: DataFrame, value: str) -> DataFrame:
 
 
 def agreement_report(votes: DataFrame, cut: str, min_shared: float = 1,
-                     sized_by: DataFrame | None = None) -> DataFrame:
+                     sized_by: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """All measures of one data cut as ``cut, measure, value`` rows.
 
     Three passes over the stored votes: annotator pairs, item tallies, and votes against the other votes.
     """
     votes = cut_lineage(votes.select("item", "annotator", "vote"))
-    pairs = cut_lineage(pairwise_kappa(votes, 1, sized_by=sized_by).select("kappa", "shared", "agreement"))
+    pairs = cut_lineage(pairwise_kappa(votes, 1, sized_by=sized_by, most=most).groupBy("kappa", "shared", "agreement").agg(
+        F.count(F.lit(1)).alias("c")))
     kept = F.when(F.col("shared") >= min_shared, F.col("kappa"))
     top = F.greatest("share", 1 - F.col("share"))
     tallies = vote_tuples(votes)
@@ -163,11 +175,8 @@ def agreement_report(votes: DataFrame, cut: str, min_shared: float = 1,
     ab = [c.alias(f"{m}_{name}") for m in ("a", "b") for c, name in zip(table_of("vote", m), CELLS)]
     people = labelled.groupBy("annotator").agg(F.avg("right").alias("right"), *ab)
     parts = [
-        pairs.agg(
-            F.count(kept).alias("n_pairs"), F.avg(kept).alias("mean_kappa"), F.stddev_pop(kept).alias("std_kappa"),
-            F.count_if(kept < 0).alias("n_negative"), F.count_if(kept > 0.2).alias("n_above"),
-            F.avg("agreement").alias("pair_agreement")),
-        exact_quantiles(pairs, kept, {"median_kappa": 0.5}),
+        pairs.agg(*kappa_measures(kept), (F.sum(F.col("agreement") * F.col("c")) / F.sum("c")).alias("pair_agreement")),
+        exact_quantiles(pairs, kept, {"median_kappa": 0.5}, F.col("c")),
         tallies.agg(
             F.avg(top).alias("item_agreement"), F.stddev_pop(top).alias("item_agreement_std"),
             F.sum(F.when(shared, 2 * zero * one / (F.col("n") - 1))).alias("seen"),

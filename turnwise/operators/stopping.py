@@ -95,9 +95,9 @@ def agreement_by_cut(votes: DataFrame, order: list[str] = ORDER, first: int = 3,
                      max_votes: int = 15, min_shared: float = 1) -> DataFrame:
     """The agreement report on the first votes, on a simulated dynamic recruitment and on all votes."""
     votes = cut_lineage(votes)  # read by each cut and each pass
-    cuts = {"first": first_votes(votes, first, order),
-            "dynamic": votes_until_stop(votes, order, threshold, max_votes), "all": votes}
-    reports = [agreement_report(rows, name, min_shared, votes) for name, rows in cuts.items()]
+    cuts = {"first": (first_votes(votes, first, order), first),
+            "dynamic": (votes_until_stop(votes, order, threshold, max_votes), max_votes), "all": (votes, None)}
+    reports = [agreement_report(rows, name, min_shared, votes, most) for name, (rows, most) in cuts.items()]
     return reports[0].unionByName(reports[1]).unionByName(reports[2])
 
 

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from turnwise.plans.ordered import Ordered
 
 
-def exact_quantiles(rows: DataFrame, value: Column, shares: dict[str, float]) -> DataFrame:
+def exact_quantiles(rows: DataFrame, value: Column, shares: dict[str, float], times: Column | None = None) -> DataFrame:
     """One row with a column per share (0.5 is the median), linear between the middle values; NULLs don't count.
 
+    A row counts as ``times`` rows.
+
     Values are counted first, combined before the shuffle; the wanted order statistics are then those where the
     running counts of the ordered distinct values pass their ranks.
     """
-    counts = rows.select(value.cast("double").alias("__v")).where("__v IS NOT NULL").groupBy("__v").agg(
-        F.count(F.lit(1)).alias("__c"))
+    weight = F.lit(1).cast("long") if times is None else times
+    counts = rows.select(value.cast("double").alias("__v"), weight.alias("__w")).where("__v IS NOT NULL").groupBy("__v").agg(
+        F.sum("__w").alias("__c"))
     run = Ordered(counts, [], ["__v"]).running(__upto=F.col("__c")).result()
     total = counts.agg(F.sum("__c").alias("__n"))  # one row
     placed = beside(run, total)

@@ -1,6 +1,9 @@
-"""Statistics over pairs of members of a group, without listing the pairs of a group.
+"""Statistics over pairs of members of a group, without a row for each pair of members of an item.
 
-Members are hashed into blocks.  A (block, block, item shard) tile holds two blocks of members for a
+Items with few members are bundled up to a bounded number of pairs: a task numbers the pairs of its bundle, counts equal
+ones, and sends the sorted numbers as a few packed arrays to where the pairs are added up.
+
+Members of large items are hashed into blocks.  A (block, block, item shard) tile holds two blocks of members for a
 bounded set of items, whatever the size of any one item, and is reduced inside the task by counting the bits that
 rows of 64 items a word have in common.  Only one row per distinct pair and tile leaves it, or one number per tile.
 """
@@ -8,6 +11,7 @@ rows of 64 items a word have in common.  Only one row per distinct pair and tile
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +29,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK = 256
 ITEMS_PER_TILE = 16384
 SETS_PER_BLOCK = 64
+LISTED = 1024  # votes of an item up to which its pairs are listed
+PAIRS_PER_TASK = 1 << 22
+COUNTS = ("n11", "n10", "n01", "n00")
 
 
 def _tiling(votes: DataFrame, by: list[str], block: int, items_per_tile: int) -> tuple[int, Column, Column, bool]:
@@ -48,17 +55,154 @@ def _tiling(votes: DataFrame, by: list[str], block: int, items_per_tile: int) ->
 
 
 def pair_tables(votes: DataFrame, extra: str | None = None, min_shared: float = 1, block: int = BLOCK,
-                items_per_tile: int = ITEMS_PER_TILE, sized_by: DataFrame | None = None) -> DataFrame:
+                items_per_tile: int = ITEMS_PER_TILE, sized_by: DataFrame | None = None, most: int | None = None,
+                listed: int = LISTED, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
     """2x2 counts ``a, b, n11, n10, n01, n00`` of every pair of annotators sharing ``min_shared`` items.
 
     ``votes`` has one row per (item, annotator) with ``vote`` 0/1.  ``extra`` names a column that
     further splits the pairs (for instance a study number).  ``sized_by`` is a frame with at least the
-    same items and annotators that is cheaper to measure.
+    same items and annotators that is cheaper to measure; ``most`` says that no item has more votes.
+
+    Pairs of items with up to ``listed`` votes are listed inside tasks, ``pairs_per_task`` at a time; larger items (with
+    ``extra``: groups that hold one, or more pairs than a task) go through tiles.
     """
     by = [extra] if extra else []
     votes = votes.where(F.col("vote").isNotNull()).select(*by, "item", "annotator", "vote")
-    n_blocks, cell, bundle, several = _tiling(
-        votes if sized_by is None else sized_by, by, block, items_per_tile)
+    sizes = votes if sized_by is None else sized_by
+    n = F.count(F.lit(1)) if most is None else F.least(F.count(F.lit(1)), F.lit(most))
+    items = sizes.groupBy(*by, "item").agg(n.alias("n"))
+    work = F.col("n") * (F.col("n") + 1) / 2  # votes and pairs
+    units = items.groupBy(*by).agg(F.max("n").alias("n"), F.sum(work).alias("pairs")) if by else items.withColumn("pairs", work)
+    large = F.col("n") > listed
+    if by:
+        large |= F.col("pairs") > pairs_per_task
+    units = units.withColumn("large", large)
+    n_large, total = units.agg(F.count_if("large"), F.sum(F.when(~F.col("large"), F.col("pairs")))).first()
+    bundles = max(1, -(-int(total or 0) // pairs_per_task))
+    unit = by or ["item"]
+    people, small, enough = sizes, votes, min_shared
+    if n_large:
+        names = cut_lineage(units.where("large").select(*[F.col(c).alias(f"__{c}") for c in unit]))
+        own = F.col(unit[0]).eqNullSafe(F.col(f"__{unit[0]}"))
+        small, votes = votes.join(names, own, "left_anti"), votes.join(names, own, "left_semi")
+        sizes = sizes.join(names, own, "left_semi")
+        enough = min_shared if by else 1  # pairs of small and large items are added up below
+    small = small.withColumn("bundle", F.pmod(F.xxhash64(*unit), F.lit(bundles)).cast("int"))
+    if by:
+        parts = _grouped_pairs(small.repartition(bundles, "bundle"), extra, enough)
+    else:
+        parts = _listed_pairs(small, people, bundles, enough)
+    if not n_large:
+        return parts
+    tiles = _tiled_pairs(votes, by, block, items_per_tile, sizes, enough)
+    if by:
+        return parts.unionByName(tiles)
+    summed = parts.unionByName(tiles).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return summed.where(F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00") >= min_shared)
+
+
+def _listed(item: np.ndarray, member: np.ndarray, vote: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs a < b of members (numbers below ``n``) of each item as sorted numbers (a * n + b) * 4 + cell, and how
+    often each occurs; cells 0 to 3 stand for n11, n10, n01, n00."""
+    order = np.lexsort([vote, member, item])
+    item, member, vote = item[order], member[order], vote[order]
+    last = np.append((np.diff(item) != 0) | (np.diff(member) != 0), True)  # of one member's votes on an item a yes counts
+    item, member, vote = item[last], member[last], vote[last]
+    ends = np.append(np.flatnonzero(np.diff(item)) + 1, len(item))
+    later = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(item)) - 1
+    left = np.repeat(np.arange(len(item)), later)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(later) - later, later) + left + 1
+    number = (member[left] * n + member[right]) * 4 + 3 - 2 * vote[left] - vote[right]
+    number.sort()
+    starts = np.flatnonzero(np.diff(number, prepend=-1))
+    return number[starts], np.diff(starts, append=len(number))
+
+
+def _tables(number: np.ndarray, count: np.ndarray, min_shared: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs with ``min_shared`` common items, and a row of four counts each, from sorted numbers of pairs and cells."""
+    pair, cell = number >> 2, number & 3
+    starts = np.flatnonzero(np.diff(pair, prepend=-1))
+    row = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(pair)))
+    cells = np.zeros((len(starts), 4), np.int64)
+    np.add.at(cells, (row, cell), count)
+    keep = cells.sum(axis=1) >= min_shared
+    return pair[starts][keep], cells[keep]
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers by byte planes: the planes of zeros cost nothing once shuffled data are compressed."""
+    return values.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _listed_pairs(votes: DataFrame, people: DataFrame, bundles: int, min_shared: float) -> DataFrame:
+    """Pair tables of bundles of items.
+
+    Members are numbered in their order.  A bundle sends one row to each place where pairs are added up: the steps
+    between its sorted numbers of pairs, and how often they occur.  A place gets about as many pairs as a bundle.
+    """
+    member = votes.schema["annotator"].dataType.simpleString()
+    people = people.select("annotator", F.col("annotator").isNull().alias("__none")).distinct()
+    codes = cut_lineage(row_numbers(people, [], ["__none", "annotator"], "code").select(
+        F.col("annotator").alias("__name"), (F.col("code") - 1).alias("code")))
+    n = codes.count()
+    rows = votes.join(codes, F.col("annotator").eqNullSafe(F.col("__name"))).select("bundle", "item", "code", "vote")
+    mix = np.uint64(0x9E3779B97F4A7C15)
+
+    def numbers(pdf: pd.DataFrame) -> pd.DataFrame:
+        number, count = _listed(
+            pd.factorize(pdf["item"])[0], pdf["code"].to_numpy(), pdf["vote"].to_numpy().astype(np.int64), n)
+        place = (((number >> 2).astype(np.uint64) * mix >> np.uint64(32)) % np.uint64(bundles)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        number, count = number[order], count[order]
+        places, starts = np.unique(place[order], return_index=True)
+        cuts = starts[1:]
+        return pd.DataFrame({
+            "place": places, "steps": [_pack(np.diff(x, prepend=0)) for x in np.split(number, cuts)][:len(places)],
+            "counts": [_pack(x) for x in np.split(count, cuts)][:len(places)]})
+
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        number = np.concatenate([_unpack(x).cumsum() for x in pdf["steps"]])
+        count = np.concatenate([_unpack(x) for x in pdf["counts"]])
+        order = np.argsort(number, kind="stable")
+        pair, cells = _tables(number[order], count[order], min_shared)
+        return pd.DataFrame({"__a": pair // n, "__b": pair % n, **dict(zip(COUNTS, cells.T))})
+
+    sent = rows.repartition(bundles, "bundle").groupBy("bundle").applyInPandas(numbers, "place long, steps binary, counts binary")
+    summed = sent.repartition(bundles, "place").groupBy("place").applyInPandas(
+        add_up, "__a long, __b long, " + ", ".join(f"{c} long" for c in COUNTS))
+    for side in ("a", "b"):
+        summed = summed.join(codes.select(F.col("code").alias(f"__{side}"), F.col("__name").cast(member).alias(side)), f"__{side}")
+    return summed.select("a", "b", *COUNTS)
+
+
+def _grouped_pairs(votes: DataFrame, extra: str, min_shared: float) -> DataFrame:
+    """Pair tables of whole groups, each with the pairs of one task at most; nothing leaves a task but the result."""
+    member, kind = (votes.schema[c].dataType.simpleString() for c in ("annotator", extra))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Numbers of members within groups: a pair of them names its group.
+        names, group = pdf["annotator"].to_numpy(), pd.factorize(pdf[extra])[0]
+        ranked, rank = np.unique(names, return_inverse=True)
+        codes, first, member = np.unique(group * len(ranked) + rank, return_index=True, return_inverse=True)
+        item, items = pd.factorize(pdf["item"])
+        number, tally = _listed(
+            group * (len(items) + 1) + item, member, pdf["vote"].to_numpy().astype(np.int64), len(codes))
+        pair, cells = _tables(number, tally, min_shared)
+        a, b = first[pair // len(codes)], first[pair % len(codes)]
+        return pd.DataFrame({extra: pdf[extra].to_numpy()[a], "a": names[a], "b": names[b], **dict(zip(COUNTS, cells.T))})
+
+    return votes.groupBy("bundle").applyInPandas(
+        count, f"{extra} {kind}, a {member}, b {member}, " + ", ".join(f"{c} long" for c in COUNTS))
+
+
+def _tiled_pairs(votes: DataFrame, by: list[str], block: int, items_per_tile: int, sizes: DataFrame,
+                 min_shared: float) -> DataFrame:
+    extra = by[0] if by else None
+    n_blocks, cell, bundle, several = _tiling(sizes, by, block, items_per_tile)
     rows = votes.withColumns({
         "own": F.pmod(F.xxhash64("annotator"), F.lit(n_blocks)).cast("int"), "cell": cell, "bundle": bundle})
     if n_blocks == 1:
@@ -66,8 +210,11 @@ def pair_tables(votes: DataFrame, extra: str | None = None, min_shared: float =
     else:
         # The blocks present in an item: at most n_blocks small numbers.
         present = rows.groupBy(*by, "item").agg(F.collect_set("own").alias("present"))
-        rows = rows.join(present, [*by, "item"]).withColumn("other", F.explode("present")).withColumns({
-            "lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("present", "other")
+        keys = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in (*by, "item")]
+        present = present.select(*[F.col(k).alias(f"__{k}") for k in (*by, "item")], "present")
+        rows = rows.join(present, reduce(lambda x, y: x & y, keys)).withColumn("other", F.explode("present")).withColumns({
+            "lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop(
+                "present", "other", *[f"__{k}" for k in (*by, "item")])
     member = votes.schema["annotator"].dataType.simpleString()
     first = f"{extra} {votes.schema[extra].dataType.simpleString()}, " if extra else ""
     schema = f"{first}a {member}, b {member}, n11 bigint, n10 bigint, n01 bigint, n00 bigint"
@@ -79,8 +226,7 @@ def pair_tables(votes: DataFrame, extra: str | None = None, min_shared: float =
     tiles = rows.groupBy("lo", "hi", "bundle").applyInPandas(tile, schema)
     if not several:
         return tiles
-    counts = ("n11", "n10", "n01", "n00")
-    summed = tiles.groupBy(*by, "a", "b").agg(*[F.sum(c).alias(c) for c in counts])
+    summed = tiles.groupBy(*by, "a", "b").agg(*[F.sum(c).alias(c) for c in COUNTS])
     return summed.where(F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00") >= min_shared)
 
 
