@@ -2,12 +2,15 @@
 
 import itertools
 import random
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
 
+from turnwise.operators import stopping
 from turnwise.operators.dialogue import canonical_speakers, conversation_roles
-from turnwise.operators.votes import arrival_progress, running_median
+from turnwise.operators.stopping import bootstrap_reliability, draws
+from turnwise.operators.votes import arrival_progress, running_median, split_coverage
 from turnwise.plans.ordered import ROWS_PER_TASK_CONF, Ordered, row_numbers
 from turnwise.plans.quantiles import exact_quantiles
 from turnwise.plans.tiles import pair_tables, pairwise_jaccard
@@ -292,3 +295,21 @@ def test_running_median_of_many_values_takes_few_passes(spark, small_tasks, monk
         want[i] = (middle[(len(own) - 1) // 2] + middle[len(own) // 2]) / 2 if own else None
     assert got == want
     assert sum("range" in columns for columns in stored) == 2
+
+
+@pytest.mark.parametrize("items", [[b"12345", b"99999"], [b""], [b"x" * 44], [b"y" * 45], [b"q" * 60]])
+def test_draws_are_md5(items):
+    """The draws of many items at once are those of the digests, also of names too long for one block."""
+    got = draws(1, items, 100, 20)
+    for g, item in enumerate(items):
+        for r, j in itertools.product((1, 9, 10, 99, 100), (1, 9, 10, 20)):
+            assert got[g, r - 1, j - 1] == int.from_bytes(md5(b"1|%d|%s|%d" % (r, item, j)).digest()[:4], "big")
+
+
+def test_bootstrap_is_dealt_by_number(spark, monkeypatch):
+    """Few bytes are much work: the number of tasks follows the draws."""
+    monkeypatch.setattr(stopping, "DRAWS_PER_TASK", 500)
+    df = spark.createDataFrame([(i, a, a % 2) for i in range(40) for a in range(5)], "item int, annotator int, vote int")
+    rows = bootstrap_reliability(df, 5, 10, order=["annotator"])
+    assert "RepartitionByExpression [item#" in (plan := rows._jdf.queryExecution().toString()) and "], 4" in plan
+    assert sorted(r["k"] for r in rows.collect()) == [1, 2, 3, 4, 5]

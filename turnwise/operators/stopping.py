@@ -6,9 +6,11 @@ item (the limit runs before the shuffle too) and the running yes counts become o
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from hashlib import md5
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,9 @@ from turnwise.session import cut_lineage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+DRAWS_PER_TASK = 5_000_000
+
+
 def vote_prefixes(votes: DataFrame, k: int, order: list[str] = ORDER) -> DataFrame:
     """``item, n, vs, cum``: the first k votes and their running yes counts (n <= k)."""
     head = first_votes(votes.where(F.col("vote").isNotNull()), k, order)
@@ -174,32 +179,94 @@ def smallest_need(tallies: DataFrame, threshold: float = 0.8, max_votes: int = 1
         F.count(F.lit(1)).alias("n_open"), F.min("need").alias("places"))
 
 
-def bootstrap_task(n: int, replicates: int, seed: int):
+_TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+SHORT = 55  # bytes of a text that md5 digests in one block
+
+
+def _md5_starts(words: dict[int, np.ndarray], shape: tuple) -> np.ndarray:
+    """First 32 bits (big-endian) of the md5 of many padded blocks; ``words`` has those words that are not zero throughout."""
+    a, b, c, d = first = [np.full(shape, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += np.uint32(_SINES[i])
+        if g in words:
+            f += words[g]
+        turn = _TURNS[i // 16][i % 4]
+        high = f >> np.uint32(32 - turn)
+        f <<= np.uint32(turn)
+        f |= high
+        f += b
+        a, d, c, b = d, c, b, f
+    return (a + first[0]).byteswap()
+
+
+def _words(texts: list[bytes], at: int = 0) -> np.ndarray:
+    """Texts as rows of 16 words of a block, from byte ``at`` on."""
+    return np.frombuffer(b"".join((bytes(at) + t).ljust(64, b"\0") for t in texts), "<u4").reshape(-1, 16).astype(np.uint32)
+
+
+def draws(seed: int, items: list[bytes], replicates: int, n: int) -> np.ndarray:
+    """First 32 bits of md5(seed|replicate|item|slot) for items of one length, as an array (item, replicate, slot)."""
+    heads, tails = ([f"{seed}|{r}|".encode() for r in range(1, replicates + 1)], [f"|{j}".encode() for j in range(1, n + 1)])
+    size = len(items[0])
+    if len(heads[-1]) + size + len(tails[-1]) > SHORT:
+        drawn = b"".join([md5(h + i + t).digest()[:4] for i in items for h in heads for t in tails])
+        return np.frombuffer(drawn, ">u4").reshape(len(items), replicates, n).astype(np.uint32)
+    lengths = np.array([len(h) for h in heads])
+    head, item, tail = _words(heads), np.zeros((len(items), replicates, 16), np.uint32), np.zeros((replicates, n, 16), np.uint32)
+    for at in np.unique(lengths).tolist():
+        item[:, lengths == at] = _words(items, at)[:, None]
+        ends = _words([t + b"\x80" for t in tails], at + size)
+        ends[:, 14] = [8 * (at + size + len(t)) for t in tails]
+        tail[lengths == at] = ends
+    used = np.flatnonzero(head.any(axis=0) | item.any(axis=(0, 1)) | tail.any(axis=(0, 1)))
+    words = {int(w): head[:, w][:, None] | item[:, :, w][:, :, None] | tail[:, :, w] for w in used}
+    return _md5_starts(words, (len(items), replicates, n))
+
+
+def bootstrap_task(n: int, replicates: int, seed: int, together: int = 8):
     """Task function: items with their votes to one row per (replicate, k): the cells of the labels of k resampled
     and of the first k votes, and how often the latter is that of all n.
 
-    A replicate of an item is a row of a matrix; running sums along the rows give the labels for all k.
+    Items whose names have the same length are drawn for ``together``; running sums give the labels for all k.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((5, replicates, n), np.int64)  # n11, n10, n01, n00, right
-        heads = [f"{seed}|{r}|".encode() for r in range(1, replicates + 1)]
+        n11, yes = np.zeros((replicates, n), np.int64), np.zeros((replicates, n), np.int64)
+        first, items, right = (np.zeros(n, np.int64) for _ in range(3))
         rank = np.arange(1, n + 1)
         for batch in batches:
             votes, length = _matrix(batch.column("vs"), n)
-            for item, own, k in zip(batch.column("item").to_pylist(), votes, length.tolist()):
-                tails = [f"{item}|{j}".encode() for j in range(1, k + 1)]
-                drawn = b"".join([md5(head + tail).digest()[:4] for head in heads for tail in tails])
-                draw = np.frombuffer(drawn, ">u4").reshape(replicates, k) % k
-                a = 2 * own[draw].cumsum(axis=1) >= rank[:k]
-                b = 2 * own[:k].cumsum() >= rank[:k]
-                sums[0, :, :k] += a & b
-                sums[1, :, :k] += a & ~b
-                sums[2, :, :k] += ~a & b
-                sums[3, :, :k] += ~a & ~b
-                sums[4, :, :k] += b == b[-1]
+            votes = votes.astype(np.int16)
+            names = [f"{x}".encode() for x in batch.column("item").to_pylist()]
+            order = sorted(range(len(names)), key=lambda i: len(names[i]))
+            for start in range(0, len(order), together):
+                for _, same in groupby(order[start:start + together], key=lambda i: len(names[i])):
+                    at = list(same)
+                    own, k = votes[at], length[at]
+                    draw = draws(seed, [names[i] for i in at], replicates, n) % k[:, None, None].astype(np.uint32)
+                    drawn = own[np.arange(len(at))[:, None, None], draw]
+                    there = rank <= k[:, None]
+                    a = (2 * drawn.cumsum(axis=2, dtype=np.int16) >= rank.astype(np.int16)) & there[:, None]
+                    b = (2 * own.cumsum(axis=1) >= rank) & there
+                    final = b[np.arange(len(at)), k - 1]
+                    n11 += (a & b[:, None]).sum(axis=0)
+                    yes += a.sum(axis=0)
+                    first += b.sum(axis=0)
+                    items += there.sum(axis=0)
+                    right += ((b == final[:, None]) & there).sum(axis=0)
+        cells = [n11, yes - n11, first - n11, items - first - yes + n11, np.broadcast_to(right, n11.shape)]
         rep, at = np.indices((replicates, n)).reshape(2, -1) + 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in (rep, at, *sums.reshape(5, -1))], names=["rep", "k", *CELLS, "right"])
+            [pa.array(c) for c in (rep, at, *[x.ravel() for x in cells])], names=["rep", "k", *CELLS, "right"])
     return run
 
 
@@ -209,8 +276,11 @@ def bootstrap_reliability(votes: DataFrame, n: int = 20, replicates: int = 100,
 
     Slot j of replicate r of an item draws the vote number md5(seed|r|item|j) mod n, so the draw is
     the same on every attempt and in every engine.  Nothing is exploded: a task adds up cells per (replicate, k).
+    The lists of votes are short and their work is long, so they are dealt by number, not by size.
     """
-    rows = vote_prefixes(votes, n, order).select(F.col("item").cast("string").alias("item"), F.col("vs").cast("array<bigint>").alias("vs"))
+    rows = cut_lineage(vote_prefixes(votes, n, order).select(
+        F.col("item").cast("string").alias("item"), F.col("vs").cast("array<bigint>").alias("vs")))
+    rows = rows.repartition(max(1, -(-rows.count() * replicates * n // DRAWS_PER_TASK)), "item")
     kinds = ", ".join(f"{c} long" for c in ("rep", "k", *CELLS, "right"))
     sums = rows.mapInArrow(bootstrap_task(n, replicates, seed), kinds).groupBy("rep", "k").agg(
         *[F.sum(c).alias(c) for c in (*CELLS, "right")])
