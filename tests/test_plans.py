@@ -313,3 +313,19 @@ def test_bootstrap_is_dealt_by_number(spark, monkeypatch):
     rows = bootstrap_reliability(df, 5, 10, order=["annotator"])
     assert "RepartitionByExpression [item#" in (plan := rows._jdf.queryExecution().toString()) and "], 4" in plan
     assert sorted(r["k"] for r in rows.collect()) == [1, 2, 3, 4, 5]
+
+
+def test_spans_are_merged_before_they_are_cut(spark):
+    """Split points by brute force; many items with the same spans leave few rows to cut into blocks."""
+    rnd = random.Random(2)
+    votes = {(i, a) for i in range(30) for a in range(1, 24) if rnd.random() < 0.4}
+    df = spark.createDataFrame([(i, f"p{a}") for i, a in votes], "item int, annotator string")
+    ranked = spark.createDataFrame([(f"p{a}", a) for a in range(1, 24)], "annotator string, rank int")
+    rows = split_coverage(df, ranked)
+    assert rows._jdf.queryExecution().toString().count("Generate") >= 6  # halves, blocks and points in two plans
+    got = {r["i"]: (r["min_left"], r["min_right"]) for r in rows.collect()}
+    items = {i for i, _ in votes}
+    for split in range(1, 24):
+        left = [n for i in items if (n := sum(1 for j, a in votes if j == i and a <= split))]
+        right = [n for i in items if (n := sum(1 for j, a in votes if j == i and a > split))]
+        assert got[split] == (min(left, default=None), min(right, default=None))

@@ -259,7 +259,8 @@ def split_coverage(votes: DataFrame, ranked: DataFrame) -> DataFrame:
     """Fewest votes per touched item on both sides of every split point i of the ordered annotators.
 
     ``ranked`` has ``annotator, rank`` (1..m).  Between two of its voting ranks an item has constant
-    counts, so it is a list of spans [lo, hi).  A span is cut into at most 2*log2(m) aligned
+    counts, so it is a list of spans [lo, hi).  A span is the union of two of the longest power of two that fits;
+    these repeat, so their minima are taken first.  Then a span is cut into at most 2*log2(m) aligned
     power-of-two blocks, the minimum is taken per block, and a split point looks up the one block
     per level that covers it.
     """
@@ -285,7 +286,13 @@ def split_coverage(votes: DataFrame, ranked: DataFrame) -> DataFrame:
             F.when(open_ & (low % 2 == 1), F.struct(k.alias("level"), low.alias("block"))),
             F.when(open_ & (high % 2 == 1), F.struct(k.alias("level"), (high - 1).alias("block"))))
 
-    cover = spans.unionByName(tail).select(
+    # 2 ** (binary digits of the length - 1); at most m starts for each of log2(m) lengths are left.
+    longest = F.pow(F.lit(2.0), F.length(F.bin(F.col("hi") - F.col("lo"))) - 1).cast("long")
+    halves = spans.unionByName(tail).where("lo < hi").withColumn("size", longest).select(
+        "left", "right", "size", F.explode(F.array("lo", F.col("hi") - F.col("size"))).alias("lo"))
+    halves = halves.groupBy("size", "lo").agg(F.min("left").alias("left"), F.min("right").alias("right")).withColumn(
+        "hi", F.col("lo") + F.col("size"))
+    cover = halves.select(
         "left", "right",
         F.explode(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), blocks)))).alias("b"),
     ).groupBy("b.level", "b.block").agg(F.min("left").alias("left"), F.min("right").alias("right"))
