@@ -283,3 +283,21 @@ def test_streams_go_on_from_their_checkpoint_and_forget(spark, tmp_path):
     assert got == sorted([
         ("a", "u1", 1, 1, 1), ("a", "u2", 1, 2, 1), ("b", "u1", 1, 2, 1), ("a", "u3", 1, 1, 1),
         ("a", "u1", 2, 1, 0), ("a", "u4", 1, 1, 0), ("b", "u1", 2, 1, 0)])
+
+
+def test_exports_get_as_many_files_as_rows_ask_for(spark, tmp_path, monkeypatch):
+    """However many rows there are, a file (and the task that sorts it) holds a bounded number; the counts stay."""
+    from turnwise.catalog import storage
+    rows = [(i % 7, "ANR"[i % 3]) for i in range(95)]
+    spark.createDataFrame(rows, "l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, float(i - 3)) for i in range(7)], "s_suppkey long, s_acctbal double").write.parquet(
+        f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(storage, "ROWS_PER_FILE", 10)
+    monkeypatch.setattr(storage, "new_folder", lambda session, label: f"{tmp_path}/{label}")
+    got = {(r["flag"], r["annotator"]): r["n"] for r in storage.anonymised_files(spark, str(tmp_path)).collect()}
+    expected = {}
+    for key, flag in rows:
+        name = (flag, f"A{key}" if key > 3 else str(key))
+        expected[name] = expected.get(name, 0) + 1
+    assert got == expected
+    assert len(list(tmp_path.glob("files/in/place=*"))) == 10

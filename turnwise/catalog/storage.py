@@ -117,16 +117,20 @@ def ids_from_files(spark, sf_dir):
     return readers.read_ids(spark, f"{folder}/*.csv")
 
 
+ROWS_PER_FILE = 500_000
+
+
 @query("anonymised_files", """SELECT l_returnflag AS flag, coalesce('A' || s.s_suppkey, CAST(l_suppkey AS VARCHAR)) AS annotator, count(*) AS n
 FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) s ON s_suppkey = l_suppkey GROUP BY 1, 2""")
 def anonymised_files(spark, sf_dir):
     folder = new_folder(spark, "files")
     line = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_suppkey").cast("string").alias("Annotator"))
-    # One file per part, each with its header line, as exports come.
+    # One file per part, each with its header line, as exports come; as many as the rows ask for.
+    places = max(3, -(-line.count() // ROWS_PER_FILE))
     body = line.select(F.monotonically_increasing_id().alias("n"), "*").select(
-        F.pmod("n", F.lit(3)).alias("place"), F.concat_ws("\t", "Annotator", "l_returnflag").alias("value"))
-    heads = spark.range(3).select(F.col("id").alias("place"), F.lit("Annotator\tflag").alias("value"))
-    heads.withColumn("o", F.lit(0)).unionByName(body.withColumn("o", F.lit(1))).repartition(3, "place").sortWithinPartitions(
+        F.pmod("n", F.lit(places)).alias("place"), F.concat_ws("\t", "Annotator", "l_returnflag").alias("value"))
+    heads = spark.range(places).select(F.col("id").alias("place"), F.lit("Annotator\tflag").alias("value"))
+    heads.withColumn("o", F.lit(0)).unionByName(body.withColumn("o", F.lit(1))).repartition(places, "place").sortWithinPartitions(
         "place", "o").select("place", "value").write.partitionBy("place").text(f"{folder}/in")
     names = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(
         F.col("s_suppkey").cast("string").alias("orig"), F.concat(F.lit("A"), "s_suppkey").alias("anon"))
