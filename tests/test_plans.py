@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnwise.operators import stopping
 from turnwise.operators.dialogue import canonical_speakers, conversation_roles
+from turnwise.operators.sets import in_every_study
 from turnwise.operators.stopping import bootstrap_reliability, draws
 from turnwise.operators.votes import arrival_progress, running_median, split_coverage
 from turnwise.plans.ordered import ROWS_PER_TASK_CONF, Ordered, row_numbers
@@ -329,3 +330,12 @@ def test_spans_are_merged_before_they_are_cut(spark):
         left = [n for i in items if (n := sum(1 for j, a in votes if j == i and a <= split))]
         right = [n for i in items if (n := sum(1 for j, a in votes if j == i and a > split))]
         assert got[split] == (min(left, default=None), min(right, default=None))
+
+
+def test_members_of_studies_are_dealt_by_number(spark, small_tasks):
+    members = spark.createDataFrame([(s, a) for s in range(6) for a in range(20) if (s + a) % 5], "study int, annotator int")
+    studies = spark.createDataFrame([(s // 2, s) for s in range(6)], "group int, study int")
+    rows = in_every_study(members, studies)
+    assert "RepartitionByExpression [group#" in (plan := rows._jdf.queryExecution().toString()) and "], 5" in plan
+    assert {tuple(r) for r in rows.collect()} == {
+        (g, a) for g in range(3) for a in range(20) if (2 * g + a) % 5 and (2 * g + 1 + a) % 5}

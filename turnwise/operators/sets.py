@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.plans.ordered import rows_per_task
+
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Rows of all frames; columns a frame lacks are NULL."""
@@ -55,7 +57,10 @@ def in_every_study(members: DataFrame, studies: DataFrame) -> DataFrame:
     ``members`` has ``study, annotator``, ``studies`` has ``group, study``.
     """
     sizes = studies.groupBy("group").agg(F.count_distinct("study").alias("k"))
-    seen = members.join(studies, "study").groupBy("group", "annotator").agg(F.count_distinct("study").alias("c"))
+    # Dealt by number: tasks cut by the size of shuffled data hold many short rows in their tables.
+    rows = members.join(studies, "study").select("group", "annotator", "study")
+    tasks = max(1, -(-rows.count() // rows_per_task(rows)))
+    seen = rows.repartition(tasks, "group", "annotator").groupBy("group", "annotator").agg(F.count_distinct("study").alias("c"))
     return seen.join(sizes, "group").where(F.col("c") == F.col("k")).select("group", "annotator")
 
 
