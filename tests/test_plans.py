@@ -2,8 +2,10 @@
 
 import itertools
 import random
+from collections import Counter
 from hashlib import md5
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,10 +13,10 @@ from turnwise.operators import stopping
 from turnwise.operators.dialogue import canonical_speakers, conversation_roles
 from turnwise.operators.sets import in_every_study
 from turnwise.operators.stopping import bootstrap_reliability, draws
-from turnwise.operators.votes import arrival_progress, running_median, split_coverage
+from turnwise.operators.votes import arrival_progress, keep_last_vote, running_median, split_coverage
 from turnwise.plans.ordered import ROWS_PER_TASK_CONF, Ordered, row_numbers
 from turnwise.plans.quantiles import exact_quantiles
-from turnwise.plans.tiles import pair_tables, pairwise_jaccard
+from turnwise.plans.tiles import _pack, _unpack, pair_tables, pairwise_jaccard
 
 
 def skewed(n=400, seed=3):
@@ -136,6 +138,38 @@ def test_pairs_of_groups_of_items(spark, listed, per_task):
     assert got == {k: v for k, v in _all_pairs(votes, lambda i: f"s{i // 10}").items() if sum(v) >= 2}
 
 
+@pytest.mark.parametrize("study", [None, "study"])
+@pytest.mark.parametrize("listed,per_task", [(1024, 1 << 22), (1024, 50), (10, 50), (1, 10)])
+def test_pairs_of_equal_counts_leave_their_tasks_together(spark, study, listed, per_task):
+    votes = _votes_with_a_hot_item()
+    df = spark.createDataFrame(
+        [(i // 10, i, f"p{a:02d}", v) for (i, a), v in votes.items()], "study int, item int, annotator string, vote int")
+    rows = pair_tables(df, study, 2, block=8, listed=listed, pairs_per_task=per_task, tally=True).collect()
+    got = {(r["n11"], r["n10"], r["n01"], r["n00"]): r["c"] for r in rows}
+    pairs = _all_pairs(votes, (lambda i: i // 10) if study else (lambda i: 0))
+    assert len(got) == len(rows)
+    assert got == Counter(v for v in pairs.values() if sum(v) >= 2)
+
+
+def test_pairs_are_sent_in_few_bytes():
+    """4 million pairs of 60,000 members take less than two bytes each, with their counts."""
+    draw = np.random.default_rng(4)
+    steps = draw.geometric(1 / 1800, 1 << 20)
+    packed = _pack(steps)
+    assert (_unpack(packed) == steps).all()
+    assert len(packed) + len(_pack(np.ones_like(steps))) < 2 * len(steps)
+
+
+def test_last_votes_are_sent_once(spark):
+    """The order columns are not sent beside the row that holds them; the latest row counts."""
+    df = spark.createDataFrame(
+        [(1, 1, 5, 2, 1, 0), (1, 1, 4, 2, 2, 1), (1, 1, 9, 1, 9, 1), (2, 1, 1, 1, 1, None), (None, 1, 1, 1, 1, 1)],
+        "item int, annotator int, session int, start int, line int, vote int")
+    rows = keep_last_vote(df)
+    assert {tuple(r) for r in rows.collect()} == {(1, 1, 5, 2, 1, 0), (2, 1, 1, 1, 1, None), (None, 1, 1, 1, 1, 1)}
+    assert "max_by" not in rows._jdf.queryExecution().toString()
+
+
 def test_votes_of_small_items_are_not_copied(spark):
     """However many blocks of annotators there are, a vote of an item with few votes is moved once."""
     df = spark.createDataFrame([(i, 7 * i + a, a % 2) for i in range(50) for a in range(5)], "item int, annotator int, vote int")

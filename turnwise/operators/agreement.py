@@ -34,9 +34,12 @@ def two_list_scores(pairs: DataFrame, a: str, b: str, by: list[str] | None = Non
 
 
 def pairwise_kappa(votes: DataFrame, min_shared: float = 15, study: str | None = None,
-                   sized_by: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """Kappa and agreement of every annotator pair with at least ``min_shared`` common items."""
-    cells = pair_tables(votes, study, max(1, min_shared), sized_by=sized_by, most=most)
+                   sized_by: DataFrame | None = None, most: int | None = None, tally: bool = False) -> DataFrame:
+    """Kappa and agreement of every annotator pair with at least ``min_shared`` common items.
+
+    With ``tally`` one row without names stands for all ``c`` pairs of the same counts.
+    """
+    cells = pair_tables(votes, study, max(1, min_shared), sized_by=sized_by, most=most, tally=tally)
     shared = F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")
     return cells.withColumns({
         "shared": shared, "kappa": kappa(*CELLS), "agreement": (F.col("n11") + F.col("n00")) / shared,
@@ -44,13 +47,20 @@ def pairwise_kappa(votes: DataFrame, min_shared: float = 15, study: str | None =
 
 
 def kappa_summary(pairs: DataFrame) -> DataFrame:
-    """Pairs, mean, population deviation, exact median, negatives and those above 0.2."""
-    kappas = cut_lineage(pairs.groupBy("kappa").agg(F.count(F.lit(1)).alias("c")))
+    """Pairs, mean, population deviation, exact median, negatives and those above 0.2.
+
+    A row is a pair, or ``c`` pairs if it has such a column.
+    """
+    kappas = cut_lineage(pairs.groupBy("kappa").agg(F.sum(_times(pairs)).alias("c")))
     mean = kappas.agg(*kappa_measures(F.col("kappa")))
     return beside(mean, exact_quantiles(kappas, F.col("kappa"), {"median_kappa": 0.5}, F.col("c"))).select(
         "n_pairs", "mean_kappa", "std_kappa", "median_kappa", "n_negative", "n_above")
 
 
+def _times(pairs: DataFrame) -> Column:
+    return F.col("c") if "c" in pairs.columns else F.lit(1).cast("long")
+
+
 def kappa_measures(value: Column) -> list[Column]:
     """Aggregates over kappas that occur ``c`` times each; NULLs don't count."""
     c = F.when(value.isNotNull(), F.col("c"))
@@ -66,6 +76,7 @@ def kappa_measures(value: Column) -> list[Column]:
 
 def study_blocks(votes: DataFrame, size: int = 10, item: str = "item") -> DataFrame:
     """Numbers the studies: every ``size`` items in item order form one."""
+    votes = cut_lineage(votes)  # read to list the items, to number them and to be joined
     items = row_numbers(votes.select(item).distinct(), [], [item], "__r")
     studies = items.select(item, F.floor((F.col("__r") - 1) / size).alias("study"))
     return votes.join(studies, item)
@@ -73,7 +84,8 @@ def study_blocks(votes: DataFrame, size: int = 10, item: str = "item") -> DataFr
 
 def pair_agreement(votes: DataFrame, sized_by: DataFrame | None = None) -> DataFrame:
     """Mean over annotator pairs with a common item of their share of equal votes."""
-    return pairwise_kappa(votes, 1, sized_by=sized_by).agg(F.avg("agreement").alias("pair_agreement"))
+    pairs = pairwise_kappa(votes, 1, sized_by=sized_by, tally=True)
+    return pairs.agg((F.sum(F.col("agreement") * F.col("c")) / F.sum("c")).alias("pair_agreement"))
 
 
 def fleiss_kappa(votes: DataFrame, raters: int) -> DataFrame:
@@ -161,8 +173,9 @@ def agreement_report(votes: DataFrame, cut: str, min_shared: float = 1,
     Three passes over the stored votes: annotator pairs, item tallies, and votes against the other votes.
     """
     votes = cut_lineage(votes.select("item", "annotator", "vote"))
-    pairs = cut_lineage(pairwise_kappa(votes, 1, sized_by=sized_by, most=most).groupBy("kappa", "shared", "agreement").agg(
-        F.count(F.lit(1)).alias("c")))
+    sizes = votes if sized_by is None else sized_by
+    pairs = pairwise_kappa(votes, 1, sized_by=sizes, most=most, tally=True)
+    pairs = cut_lineage(pairs.groupBy("kappa", "shared", "agreement").agg(F.sum("c").alias("c")))
     kept = F.when(F.col("shared") >= min_shared, F.col("kappa"))
     top = F.greatest("share", 1 - F.col("share"))
     tallies = vote_tuples(votes)

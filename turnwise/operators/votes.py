@@ -37,7 +37,9 @@ def choice_votes(choices: DataFrame, choice: str = "highlighted") -> DataFrame:
 def keep_last_vote(votes: DataFrame, order: list[str] = ORDER) -> DataFrame:
     """Last vote of each (item, annotator); reduced before the shuffle, no window."""
     rest = [c for c in votes.columns if c not in ("item", "annotator")]
-    last = votes.groupBy("item", "annotator").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("v"))
+    # The largest row that begins with the order columns; it is sent once and not beside its place.
+    whole = [*order, *[c for c in rest if c not in order]]
+    last = votes.groupBy("item", "annotator").agg(F.max(F.struct(*whole)).alias("v"))
     return last.select("item", "annotator", *[F.col("v")[c].alias(c) for c in rest])
 
 

@@ -11,6 +11,7 @@ rows of 64 items a word have in common.  Only one row per distinct pair and tile
 from __future__ import annotations
 
 import sys
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -31,6 +32,8 @@ ITEMS_PER_TILE = 16384
 SETS_PER_BLOCK = 64
 LISTED = 1024  # votes of an item up to which its pairs are listed
 PAIRS_PER_TASK = 1 << 22
+VOTES_PER_TASK = 1 << 18
+SLICES = 8  # places over which the pairs of one member are dealt, at most
 COUNTS = ("n11", "n10", "n01", "n00")
 
 
@@ -56,9 +59,12 @@ def _tiling(votes: DataFrame, by: list[str], block: int, items_per_tile: int) ->
 
 def pair_tables(votes: DataFrame, extra: str | None = None, min_shared: float = 1, block: int = BLOCK,
                 items_per_tile: int = ITEMS_PER_TILE, sized_by: DataFrame | None = None, most: int | None = None,
-                listed: int = LISTED, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+                listed: int = LISTED, pairs_per_task: int = PAIRS_PER_TASK, tally: bool = False) -> DataFrame:
     """2x2 counts ``a, b, n11, n10, n01, n00`` of every pair of annotators sharing ``min_shared`` items.
 
+    With ``tally`` the pairs are not named: ``n11, n10, n01, n00, c`` says how many have these counts, and pairs with
+    equal counts are put together before they leave their task.
+
     ``votes`` has one row per (item, annotator) with ``vote`` 0/1.  ``extra`` names a column that
     further splits the pairs (for instance a study number).  ``sized_by`` is a frame with at least the
     same items and annotators that is cheaper to measure; ``most`` says that no item has more votes.
@@ -68,17 +74,21 @@ def pair_tables(votes: DataFrame, extra: str | None = None, min_shared: float =
     """
     by = [extra] if extra else []
     votes = votes.where(F.col("vote").isNotNull()).select(*by, "item", "annotator", "vote")
+    if sized_by is None:
+        votes = cut_lineage(votes)  # measured, then read
     sizes = votes if sized_by is None else sized_by
     n = F.count(F.lit(1)) if most is None else F.least(F.count(F.lit(1)), F.lit(most))
     items = sizes.groupBy(*by, "item").agg(n.alias("n"))
     work = F.col("n") * (F.col("n") + 1) / 2  # votes and pairs
-    units = items.groupBy(*by).agg(F.max("n").alias("n"), F.sum(work).alias("pairs")) if by else items.withColumn("pairs", work)
+    units = items.groupBy(*by).agg(F.max("n").alias("n"), F.sum("n").alias("votes"), F.sum(work).alias("pairs")) if by \
+        else items.withColumns({"votes": F.col("n"), "pairs": work})
     large = F.col("n") > listed
     if by:
         large |= F.col("pairs") > pairs_per_task
     units = units.withColumn("large", large)
-    n_large, total = units.agg(F.count_if("large"), F.sum(F.when(~F.col("large"), F.col("pairs")))).first()
-    bundles = max(1, -(-int(total or 0) // pairs_per_task))
+    n_large, total, cast = units.agg(
+        F.count_if("large"), *[F.sum(F.when(~F.col("large"), F.col(c))) for c in ("pairs", "votes")]).first()
+    bundles = max(1, -(-int(total or 0) // pairs_per_task), -(-int(cast or 0) // VOTES_PER_TASK))
     unit = by or ["item"]
     people, small, enough = sizes, votes, min_shared
     if n_large:
@@ -88,17 +98,24 @@ def pair_tables(votes: DataFrame, extra: str | None = None, min_shared: float =
         sizes = sizes.join(names, own, "left_semi")
         enough = min_shared if by else 1  # pairs of small and large items are added up below
     small = small.withColumn("bundle", F.pmod(F.xxhash64(*unit), F.lit(bundles)).cast("int"))
+    whole = tally and (by or not n_large)  # no pair has counts elsewhere
     if by:
-        parts = _grouped_pairs(small.repartition(bundles, "bundle"), extra, enough)
+        parts = _grouped_pairs(small.repartition(bundles, "bundle"), extra, enough, whole)
     else:
-        parts = _listed_pairs(small, people, bundles, enough)
+        parts = _listed_pairs(small, people, bundles, enough, whole)
+    if whole:
+        if n_large:
+            tiles = _tiled_pairs(votes, by, block, items_per_tile, sizes, enough)
+            parts = parts.unionByName(tiles.select(*COUNTS, F.lit(1).cast("long").alias("c")))
+        return parts.groupBy(*COUNTS).agg(F.sum("c").alias("c"))
     if not n_large:
         return parts
     tiles = _tiled_pairs(votes, by, block, items_per_tile, sizes, enough)
     if by:
         return parts.unionByName(tiles)
     summed = parts.unionByName(tiles).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    return summed.where(F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00") >= min_shared)
+    summed = summed.where(F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00") >= min_shared)
+    return summed.groupBy(*COUNTS).agg(F.count(F.lit(1)).alias("c")) if tally else summed
 
 
 def _listed(item: np.ndarray, member: np.ndarray, vote: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,26 +140,39 @@ def _tables(number: np.ndarray, count: np.ndarray, min_shared: float) -> tuple[n
     pair, cell = number >> 2, number & 3
     starts = np.flatnonzero(np.diff(pair, prepend=-1))
     row = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(pair)))
-    cells = np.zeros((len(starts), 4), np.int64)
-    np.add.at(cells, (row, cell), count)
+    cells = np.zeros(4 * len(starts), np.int64)
+    np.add.at(cells, 4 * row + cell, count)
+    cells = cells.reshape(-1, 4)
     keep = cells.sum(axis=1) >= min_shared
     return pair[starts][keep], cells[keep]
 
 
+def _tallied(cells: np.ndarray) -> pd.DataFrame:
+    """Distinct rows of four counts and how often each occurs."""
+    short = cells.max(initial=0) < 1 << 15  # four counts make one number
+    cells = cells[np.argsort(cells @ (1 << np.arange(0, 60, 15)))] if short else cells[np.lexsort(cells.T)]
+    starts = np.flatnonzero(np.append(True, (np.diff(cells, axis=0) != 0).any(axis=1))[:len(cells)])
+    return pd.DataFrame({**dict(zip(COUNTS, cells[starts].T)), "c": np.diff(starts, append=len(cells))})
+
+
 def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers by byte planes: the planes of zeros cost nothing once shuffled data are compressed."""
-    return values.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Whole numbers by byte planes, with codes of few bits for the bytes that are frequent in a plane."""
+    planes = values.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    packer = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return packer.compress(planes) + packer.flush()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).ravel()
 
 
-def _listed_pairs(votes: DataFrame, people: DataFrame, bundles: int, min_shared: float) -> DataFrame:
+def _listed_pairs(votes: DataFrame, people: DataFrame, bundles: int, min_shared: float, tally: bool) -> DataFrame:
     """Pair tables of bundles of items.
 
     Members are numbered in their order.  A bundle sends one row to each place where pairs are added up: the steps
     between its sorted numbers of pairs, and how often they occur.  A place gets about as many pairs as a bundle.
+    Pairs of one member with neighbours in that order go to one place, so the steps are small.
     """
     member = votes.schema["annotator"].dataType.simpleString()
     people = people.select("annotator", F.col("annotator").isNull().alias("__none")).distinct()
@@ -151,17 +181,21 @@ def _listed_pairs(votes: DataFrame, people: DataFrame, bundles: int, min_shared:
     n = codes.count()
     rows = votes.join(codes, F.col("annotator").eqNullSafe(F.col("__name"))).select("bundle", "item", "code", "vote")
     mix = np.uint64(0x9E3779B97F4A7C15)
+    width = max(1, -(-n // SLICES))
+    kind = np.uint16 if bundles <= 1 << 16 else np.int64  # short numbers are sorted by their digits
 
     def numbers(pdf: pd.DataFrame) -> pd.DataFrame:
         number, count = _listed(
             pd.factorize(pdf["item"])[0], pdf["code"].to_numpy(), pdf["vote"].to_numpy().astype(np.int64), n)
-        place = (((number >> 2).astype(np.uint64) * mix >> np.uint64(32)) % np.uint64(bundles)).astype(np.int64)
+        a, b = np.divmod(number >> 2, n)
+        slice_ = (a * SLICES + b // width).astype(np.uint64)
+        place = ((slice_ * mix >> np.uint64(32)) % np.uint64(bundles)).astype(kind)
         order = np.argsort(place, kind="stable")
         number, count = number[order], count[order]
         places, starts = np.unique(place[order], return_index=True)
         cuts = starts[1:]
         return pd.DataFrame({
-            "place": places, "steps": [_pack(np.diff(x, prepend=0)) for x in np.split(number, cuts)][:len(places)],
+            "place": places.astype(np.int64), "steps": [_pack(np.diff(x, prepend=0)) for x in np.split(number, cuts)][:len(places)],
             "counts": [_pack(x) for x in np.split(count, cuts)][:len(places)]})
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -169,17 +203,22 @@ def _listed_pairs(votes: DataFrame, people: DataFrame, bundles: int, min_shared:
         count = np.concatenate([_unpack(x) for x in pdf["counts"]])
         order = np.argsort(number, kind="stable")
         pair, cells = _tables(number[order], count[order], min_shared)
+        if tally:
+            return _tallied(cells)
         return pd.DataFrame({"__a": pair // n, "__b": pair % n, **dict(zip(COUNTS, cells.T))})
 
     sent = rows.repartition(bundles, "bundle").groupBy("bundle").applyInPandas(numbers, "place long, steps binary, counts binary")
+    kinds = ", ".join(f"{c} long" for c in COUNTS)
     summed = sent.repartition(bundles, "place").groupBy("place").applyInPandas(
-        add_up, "__a long, __b long, " + ", ".join(f"{c} long" for c in COUNTS))
+        add_up, f"{kinds}, c long" if tally else f"__a long, __b long, {kinds}")
+    if tally:
+        return summed
     for side in ("a", "b"):
         summed = summed.join(codes.select(F.col("code").alias(f"__{side}"), F.col("__name").cast(member).alias(side)), f"__{side}")
     return summed.select("a", "b", *COUNTS)
 
 
-def _grouped_pairs(votes: DataFrame, extra: str, min_shared: float) -> DataFrame:
+def _grouped_pairs(votes: DataFrame, extra: str, min_shared: float, tally: bool) -> DataFrame:
     """Pair tables of whole groups, each with the pairs of one task at most; nothing leaves a task but the result."""
     member, kind = (votes.schema[c].dataType.simpleString() for c in ("annotator", extra))
 
@@ -189,14 +228,17 @@ def _grouped_pairs(votes: DataFrame, extra: str, min_shared: float) -> DataFrame
         ranked, rank = np.unique(names, return_inverse=True)
         codes, first, member = np.unique(group * len(ranked) + rank, return_index=True, return_inverse=True)
         item, items = pd.factorize(pdf["item"])
-        number, tally = _listed(
+        number, often = _listed(
             group * (len(items) + 1) + item, member, pdf["vote"].to_numpy().astype(np.int64), len(codes))
-        pair, cells = _tables(number, tally, min_shared)
+        pair, cells = _tables(number, often, min_shared)
+        if tally:
+            return _tallied(cells)
         a, b = first[pair // len(codes)], first[pair % len(codes)]
         return pd.DataFrame({extra: pdf[extra].to_numpy()[a], "a": names[a], "b": names[b], **dict(zip(COUNTS, cells.T))})
 
+    kinds = ", ".join(f"{c} long" for c in COUNTS)
     return votes.groupBy("bundle").applyInPandas(
-        count, f"{extra} {kind}, a {member}, b {member}, " + ", ".join(f"{c} long" for c in COUNTS))
+        count, f"{kinds}, c long" if tally else f"{extra} {kind}, a {member}, b {member}, {kinds}")
 
 
 def _tiled_pairs(votes: DataFrame, by: list[str], block: int, items_per_tile: int, sizes: DataFrame,
