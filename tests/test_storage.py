@@ -301,3 +301,25 @@ def test_exports_get_as_many_files_as_rows_ask_for(spark, tmp_path, monkeypatch)
         expected[name] = expected.get(name, 0) + 1
     assert got == expected
     assert len(list(tmp_path.glob("files/in/place=*"))) == 10
+
+
+def test_state_grows_by_partitions(spark, tmp_path):
+    """The more rows a stream is to see, the more partitions its state has, kept out of the heap; a restart keeps them."""
+    df = spark.createDataFrame([(i % 50, i % 7, i, i, i % 2) for i in range(400)], "item int, annotator int, ts int, line int, vote int")
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    for begin in range(2):
+        df.where(f"ts % 2 = {begin}").write.mode("append").parquet(f"{tmp_path}/in")
+        with sv.state_partitions(spark, 400, each=40):
+            stream = sv.last_submissions(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), ("ts", "line"))
+            query = stream.writeStream.foreachBatch(lambda batch, k: batch.write.mode("append").parquet(f"{tmp_path}/out")).outputMode(
+                "update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+            query.awaitTermination()
+        state = query.lastProgress["stateOperators"][0]
+        assert state["numShufflePartitions"] == 10
+        assert any(name.startswith("rocksdb") for name in state["customMetrics"])
+        assert spark.conf.get("spark.sql.shuffle.partitions") == usual
+    last = {}
+    for r in df.collect():
+        last[r["item"], r["annotator"]] = max(r["ts"], last.get((r["item"], r["annotator"]), -1))
+    got = spark.read.parquet(f"{tmp_path}/out").groupBy("item", "annotator").agg({"ts": "max"}).collect()
+    assert {(r[0], r[1]): r[2] for r in got} == last

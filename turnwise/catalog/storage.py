@@ -204,7 +204,8 @@ def _drain(spark, sf_dir, build, label: str, keys: list[str] | None = None):
     folder = new_folder(spark, label)
     line = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", F.col("l_shipdate").cast("timestamp").alias("ts"))
-    cuts = line.agg(F.percentile_approx(F.unix_micros("ts"), [1 / 3, 2 / 3]).alias("c")).first()["c"] or [0, 0]
+    rows, cuts = line.agg(F.count(F.lit(1)), F.percentile_approx(F.unix_micros("ts"), [1 / 3, 2 / 3])).first()
+    cuts = cuts or [0, 0]
     part = F.when(F.unix_micros("ts") <= cuts[0], 0).when(F.unix_micros("ts") <= cuts[1], 1).otherwise(2)
     for n in range(3):
         line.where(part == n).write.mode("append").parquet(f"{folder}/in")
@@ -218,12 +219,13 @@ def _drain(spark, sf_dir, build, label: str, keys: list[str] | None = None):
             # Batches are numbered through, also after a restart.
             writer = stream.writeStream.foreachBatch(
                 lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{folder}/out")).outputMode("update")
-        writer.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+        with sv.state_partitions(spark, rows):
+            writer.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     if keys is None:
         return spark.read.schema(stream.schema).parquet(f"{folder}/out")
     rest = [c for c in stream.columns if c not in keys]
-    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("v")).select(*keys, "v.*")
+    out = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("v")).select(*keys, "v.*")
 
 
 @query("stream_tallies", with_ctes(NEED_SQL) + """, t AS (

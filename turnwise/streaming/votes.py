@@ -10,6 +10,7 @@ import json
 import math
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -24,6 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_VOTES = 15
 MIN_VOTES = 3
 THRESHOLD = 0.8
+ROWS_PER_STATE = 250_000
 
 
 def running_tallies(votes: DataFrame, threshold: float = THRESHOLD, max_votes: int = MAX_VOTES) -> DataFrame:
@@ -41,10 +43,31 @@ def first_submissions(votes: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """State with timers needs this store; a store that the session names itself stays."""
+    """State with timers, and state of many keys, needs this store; a store that the session names itself stays.
+
+    The other one keeps all keys in the heap.  All stores of an executor share one bounded memory.
+    """
     key = "spark.sql.streaming.stateStore.providerClass"
     if "RocksDB" not in spark.conf.get(key):
         spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    bounded = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+    if spark.conf.get(bounded, None) is None:
+        spark.conf.set(bounded, "true")
+
+
+@contextmanager
+def state_partitions(spark: SparkSession, rows: int, each: int = ROWS_PER_STATE) -> Iterator[None]:
+    """Streams that begin in here have a partition of state for ``each`` of the expected ``rows``, and no fewer than usual.
+
+    A stream keeps the number it began with, so its longest task grows with the rows a partition gets.
+    """
+    key = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(usual), -(-rows // each))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, usual)
 
 
 class _Forgetting(StatefulProcessor):
@@ -101,10 +124,10 @@ def last_submissions(
     state is bounded by the pairs of that time; the columns of ``order`` are numbers or times then.
     """
     rest = [c for c in votes.columns if c not in ("item", "annotator")]
+    use_rocksdb(votes.sparkSession)
     if forget_after is None:
         last = votes.groupBy("item", "annotator").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("v"))
         return last.select("item", "annotator", *[F.col("v")[c].alias(c) for c in rest])
-    use_rocksdb(votes.sparkSession)
     place = [F.unix_micros(c) if votes.schema[c].dataType.simpleString() == "timestamp" else F.col(c).cast("long") for c in order]
     rows = votes.withWatermark("ts", forget_after).select(
         "item", "annotator", "ts", F.to_json(F.struct("item", "annotator", *rest)).alias("row"), F.array(*place).alias("place"),
