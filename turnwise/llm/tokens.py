@@ -11,7 +11,7 @@ import hashlib
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,7 @@ from turnwise.session import new_folder
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
+TOGETHER = 64  # texts that are encoded in one call
 
 
 def tokenizer_version(path: str) -> str:
@@ -50,14 +51,14 @@ def _counter(path: str):
 
 
 def count_texts(path: str):
-    """Task function: (digest, text) rows to (digest, n_tokens) rows, some texts at a time."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Task function: (digest, text) rows to (digest, n_tokens) rows; a few texts at a time leave the Arrow batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = kept(f"counter {path}", lambda: _counter(path))
         for batch in batches:
-            texts, n = batch["text"].tolist(), []
-            for i in range(0, len(texts), 64):
-                n += count(texts[i:i + 64])
-            yield pd.DataFrame({"digest": batch["digest"], "n_tokens": pd.Series(n, dtype="int64")})
+            texts, n = batch.column("text"), []
+            for i in range(0, len(texts), TOGETHER):
+                n += count(texts.slice(i, TOGETHER).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
     return run
 
 
@@ -92,7 +93,7 @@ def count_tokens(
     # Copies meet in the map tasks first, so a text of many copies is sent once by each of them.
     misses = rows.select("digest", "text").join(known.select("digest"), "digest", "left_anti").groupBy("digest").agg(
         F.first("text").alias("text"))
-    misses.mapInPandas(count_texts(tokenizer), "digest binary, n_tokens long").select(
+    misses.mapInArrow(count_texts(tokenizer), "digest binary, n_tokens long").select(
         "digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(
         F.max("n_tokens").alias("n_tokens"))
