@@ -98,3 +98,14 @@ def test_plan_is_best_fit(lengths):
         assert end <= 40
     assert sum(map(len, places.values())) == len(lengths)
     assert len(places) == best_fit(lengths, 40)
+
+
+def test_word_memory_is_bounded_and_changes_no_ids(monkeypatch):
+    """Words beyond the memory, and very long ones, are forgotten after their call; all ids are those of whole texts."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "KEPT_WORDS", 6)
+    encoder, whole = packing.WordEncoder(path), Tokenizer.from_file(path)
+    for texts in (["one two three", "", "two two"], ["four five six seven eight", "x" * 100 + " one"], ["nine eight one"]):
+        ids = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert ids == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.known) <= 6 and all(len(w) <= packing.KEPT_LENGTH for w in encoder.known)

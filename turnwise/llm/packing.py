@@ -80,18 +80,17 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         parts = [self._words(t) for t in texts]
-        get = self.known.get
-        found = [list(map(get, words)) for words in parts]
-        missing = {w for words, ids in zip(parts, found) if None in ids for w, x in zip(words, ids) if x is None}
-        if missing:
-            new = self._new(list(missing))
-            room = KEPT_WORDS - len(self.known)
-            if room > 0:
-                self.known.update((w, x) for w, x in list(new.items())[:room] if len(w) <= KEPT_LENGTH)
-            found = [
-                [new[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids
-                for words, ids in zip(parts, found)]
-        return [b"".join(ids) for ids in found]
+        missing = set().union(*parts).difference(self.known)
+        if not missing:
+            return [b"".join(map(self.known.__getitem__, words)) for words in parts]
+        room = KEPT_WORDS - len(self.known)
+        new = self._new(list(missing))
+        self.known.update(new)
+        found = [b"".join(map(self.known.__getitem__, words)) for words in parts]
+        for at, word in enumerate(new):  # the memory is filled once
+            if at >= room or len(word) > KEPT_LENGTH:
+                del self.known[word]
+        return found
 
 
 def piece_task(tokenizer: str, capacity: int, end: int):
