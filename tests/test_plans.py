@@ -9,11 +9,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from turnwise.operators import stopping
+from turnwise.operators import agreement, stopping
 from turnwise.operators.dialogue import canonical_speakers, conversation_roles
 from turnwise.operators.sets import in_every_study
 from turnwise.operators.stopping import bootstrap_reliability, draws
-from turnwise.operators.votes import arrival_progress, keep_last_vote, running_median, split_coverage
+from turnwise.operators.votes import arrival_progress, first_votes, keep_last_vote, running_median, split_coverage
+from turnwise.plans import tiles
 from turnwise.plans.ordered import ROWS_PER_TASK_CONF, Ordered, row_numbers
 from turnwise.plans.quantiles import exact_quantiles
 from turnwise.plans.tiles import _pack, _unpack, pair_tables, pairwise_jaccard
@@ -170,6 +171,50 @@ def test_last_votes_are_sent_once(spark):
     assert "max_by" not in rows._jdf.queryExecution().toString()
 
 
+def _raw_votes(spark):
+    """Some annotators voted again on an item; item 0 has many votes; some keys and votes are missing."""
+    rnd = random.Random(12)
+    rows = [(i, a, rnd.randrange(30), rnd.randrange(3), k, rnd.choice([0, 1, 1, None]))
+            for i in range(60) for a in range(30) if i == 0 or rnd.random() < 0.2 for k in range(rnd.choice([1, 1, 1, 3]))]
+    rows += [(None, a, 1, 1, 1, a % 2) for a in range(4)]
+    return spark.createDataFrame(rows, "item int, annotator int, session int, start int, line int, vote int")
+
+
+@pytest.mark.parametrize("listed,per_task,rows", [(1024, 1 << 22, 1 << 18), (1024, 50, 20), (10, 50, 1 << 18)])
+def test_raw_votes_give_the_same_pairs(spark, monkeypatch, listed, per_task, rows):
+    monkeypatch.setattr(tiles, "VOTES_PER_TASK", rows)
+    raw = _raw_votes(spark)
+    some = {"block": 8, "listed": listed, "pairs_per_task": per_task}
+    for make, most in ((keep_last_vote, None), (lambda x: first_votes(keep_last_vote(x), 3), 3)):
+        want = Counter(map(tuple, pair_tables(make(raw), **some).collect()))
+        assert want == Counter(map(tuple, pair_tables(raw, most=most, prepare=make, **some).collect()))
+
+
+def test_raw_votes_are_sent_once(spark):
+    """Neither the last votes nor the items that are listed need another shuffle."""
+    plan = pair_tables(_raw_votes(spark), tally=True, pairs_per_task=200, prepare=keep_last_vote)._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "Exchange hashpartitioning(item" in line]
+    assert len(sent) == 1 and "REPARTITION_BY_NUM" in sent[0]
+
+
+def test_studies_of_raw_votes_are_those_of_votes(spark):
+    raw = _raw_votes(spark)
+    columns = ["n11", "n10", "n01", "n00", "c"]
+    blocks = agreement.study_blocks(keep_last_vote(raw).select("item", "annotator", "vote"))
+    want = agreement.pairwise_kappa(blocks, 2, "study", tally=True).select(*columns).collect()
+    got = agreement.study_kappa(raw, keep_last_vote, 2, tally=True).select(*columns)
+    assert want and Counter(map(tuple, want)) == Counter(map(tuple, got.collect()))
+
+
+@pytest.mark.parametrize("listed", [1024, 10])
+def test_report_of_raw_votes_is_that_of_votes(spark, monkeypatch, listed):
+    monkeypatch.setattr(agreement, "LISTED", listed)
+    raw = _raw_votes(spark)
+    want = {r["measure"]: r["value"] for r in agreement.agreement_report(keep_last_vote(raw), "all").collect()}
+    got = {r["measure"]: r["value"] for r in agreement.agreement_report(raw, "all", prepare=keep_last_vote).collect()}
+    assert got == pytest.approx(want) and None not in want.values()
+
+
 def test_votes_of_small_items_are_not_copied(spark):
     """However many blocks of annotators there are, a vote of an item with few votes is moved once."""
     df = spark.createDataFrame([(i, 7 * i + a, a % 2) for i in range(50) for a in range(5)], "item int, annotator int, vote int")

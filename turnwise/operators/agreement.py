@@ -5,6 +5,8 @@ Vote tables have ``item, annotator, vote`` with one row per (item, annotator).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from turnwise.functions.measures import col, kappa, majority, ratio
 from turnwise.operators.votes import vote_tuples
 from turnwise.plans.ordered import row_numbers
 from turnwise.plans.quantiles import beside, exact_quantiles
-from turnwise.plans.tiles import pair_tables
+from turnwise.plans.tiles import LISTED, VOTES_PER_TASK, pair_tables
 from turnwise.session import cut_lineage
 
 
@@ -34,12 +36,14 @@ def two_list_scores(pairs: DataFrame, a: str, b: str, by: list[str] | None = Non
 
 
 def pairwise_kappa(votes: DataFrame, min_shared: float = 15, study: str | None = None,
-                   sized_by: DataFrame | None = None, most: int | None = None, tally: bool = False) -> DataFrame:
+                   sized_by: DataFrame | None = None, most: int | None = None, tally: bool = False,
+                   prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Kappa and agreement of every annotator pair with at least ``min_shared`` common items.
 
-    With ``tally`` one row without names stands for all ``c`` pairs of the same counts.
+    With ``tally`` one row without names stands for all ``c`` pairs of the same counts.  ``prepare`` makes the votes out
+    of raw ones, item by item; it is better given here, as then the raw votes are sent once.
     """
-    cells = pair_tables(votes, study, max(1, min_shared), sized_by=sized_by, most=most, tally=tally)
+    cells = pair_tables(votes, study, max(1, min_shared), sized_by=sized_by, most=most, tally=tally, prepare=prepare)
     shared = F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")
     return cells.withColumns({
         "shared": shared, "kappa": kappa(*CELLS), "agreement": (F.col("n11") + F.col("n00")) / shared,
@@ -74,17 +78,33 @@ def kappa_measures(value: Column) -> list[Column]:
             some(value < 0).alias("n_negative"), some(value > 0.2).alias("n_above")]
 
 
+def study_numbers(items: DataFrame, size: int = 10, item: str = "item") -> DataFrame:
+    """The items with their study: every ``size`` of them in their order form one."""
+    return row_numbers(items, [], [item], "__r").withColumn("study", F.floor((F.col("__r") - 1) / size)).drop("__r")
+
+
 def study_blocks(votes: DataFrame, size: int = 10, item: str = "item") -> DataFrame:
     """Numbers the studies: every ``size`` items in item order form one."""
     votes = cut_lineage(votes)  # read to list the items, to number them and to be joined
-    items = row_numbers(votes.select(item).distinct(), [], [item], "__r")
-    studies = items.select(item, F.floor((F.col("__r") - 1) / size).alias("study"))
-    return votes.join(studies, item)
+    return votes.join(study_numbers(votes.select(item).distinct(), size, item), item)
+
+
+def study_kappa(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], min_shared: float = 3, size: int = 10,
+                tally: bool = False) -> DataFrame:
+    """Kappa of annotator pairs within studies of ``size`` items; ``prepare`` makes the votes out of ``rows``, item by item."""
+    counts = cut_lineage(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")))
+    studies = cut_lineage(study_numbers(counts, size))
 
+    def blocks(raw: DataFrame) -> DataFrame:
+        return prepare(raw).join(studies.select("item", "study"), "item")
 
-def pair_agreement(votes: DataFrame, sized_by: DataFrame | None = None) -> DataFrame:
+    return pairwise_kappa(rows, min_shared, "study", studies.where("item IS NOT NULL"), tally=tally, prepare=blocks)
+
+
+def pair_agreement(votes: DataFrame, sized_by: DataFrame | None = None,
+                   prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Mean over annotator pairs with a common item of their share of equal votes."""
-    pairs = pairwise_kappa(votes, 1, sized_by=sized_by, tally=True)
+    pairs = pairwise_kappa(votes, 1, sized_by=sized_by, tally=True, prepare=prepare)
     return pairs.agg((F.sum(F.col("agreement") * F.col("c")) / F.sum("c")).alias("pair_agreement"))
 
 
@@ -142,10 +162,14 @@ def item_agreement(votes: DataFrame) -> DataFrame:
 def against_others(votes: DataFrame, include_self: bool = False) -> DataFrame:
     """Each vote with the share of the other (or all) votes on the item, NULL when there is none."""
     totals = votes.groupBy("item").agg(F.sum("vote").alias("yes"), F.count("vote").alias("n"))
+    return _against(votes.where(F.col("vote").isNotNull()).join(totals, "item"), include_self)
+
+
+def _against(votes: DataFrame, include_self: bool = False) -> DataFrame:
+    """The same for votes beside the ``yes`` and ``n`` of their items."""
     own = F.lit(0) if include_self else F.col("vote")
     left = F.lit(0) if include_self else F.lit(1)
-    return votes.where(F.col("vote").isNotNull()).join(totals, "item").withColumn(
-        "others", F.when(F.col("n") - left > 0, (F.col("yes") - own) / (F.col("n") - left)))
+    return votes.withColumn("others", F.when(F.col("n") - left > 0, (F.col("yes") - own) / (F.col("n") - left)))
 
 
 def majority_accuracy(votes: DataFrame, include_self: bool = False) -> DataFrame:
@@ -167,21 +191,36 @@ def spread(scores: DataFrame, value: str) -> DataFrame:
 
 
 def agreement_report(votes: DataFrame, cut: str, min_shared: float = 1,
-                     sized_by: DataFrame | None = None, most: int | None = None) -> DataFrame:
+                     sized_by: DataFrame | None = None, most: int | None = None,
+                     prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All measures of one data cut as ``cut, measure, value`` rows.
 
-    Three passes over the stored votes: annotator pairs, item tallies, and votes against the other votes.
+    Three passes over the stored votes: annotator pairs, item tallies, and votes against the other votes.  ``prepare``
+    makes the votes out of raw ones, item by item; then these are sent once, and small items are stored as lists.
     """
-    votes = cut_lineage(votes.select("item", "annotator", "vote"))
+    tallies = others = None
+    if prepare is not None:
+        rows, top = votes.groupBy("item").count().agg(F.sum("count"), F.max("count")).first()
+        if (top or 0) <= LISTED:
+            votes = votes.repartition(max(1, -(-(rows or 0) // VOTES_PER_TASK)), "item")
+            cast = F.collect_list(F.struct("annotator", "vote")).alias("cast")
+            lists = cut_lineage(prepare(votes).groupBy("item").agg(
+                F.sum("vote").alias("yes"), F.count("vote").alias("n"), F.avg("vote").alias("share"), cast))
+            tallies, votes = lists.drop("cast"), lists.select("item", F.inline("cast"))
+            others = _against(lists.where("item IS NOT NULL").select("item", "yes", "n", F.inline("cast")).where("vote IS NOT NULL"))
+        else:
+            votes = prepare(votes)
+    if tallies is None:
+        votes = cut_lineage(votes.select("item", "annotator", "vote"))
+        tallies, others = vote_tuples(votes), against_others(votes)
     sizes = votes if sized_by is None else sized_by
     pairs = pairwise_kappa(votes, 1, sized_by=sizes, most=most, tally=True)
     pairs = cut_lineage(pairs.groupBy("kappa", "shared", "agreement").agg(F.sum("c").alias("c")))
     kept = F.when(F.col("shared") >= min_shared, F.col("kappa"))
     top = F.greatest("share", 1 - F.col("share"))
-    tallies = vote_tuples(votes)
     one, zero = F.col("yes"), F.col("n") - F.col("yes")
     shared = F.col("n") >= 2
-    others = against_others(votes).where("others IS NOT NULL").withColumn("all", F.col("yes") / F.col("n"))
+    others = others.where("others IS NOT NULL").withColumn("all", F.col("yes") / F.col("n"))
     labelled = others.withColumns({
         "right": (majority("others") == F.col("vote")).cast("int"), "a": F.bround("others", 0).cast("int"),
         "b": F.bround("all", 0).cast("int")})

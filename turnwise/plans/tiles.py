@@ -1,7 +1,8 @@
 """Statistics over pairs of members of a group, without a row for each pair of members of an item.
 
-Items with few members are bundled up to a bounded number of pairs: a task numbers the pairs of its bundle, counts equal
-ones, and sends the sorted numbers as a few packed arrays to where the pairs are added up.
+Rows of an item with few members meet once and become one row with a list.  A task numbers the pairs of its lists, a
+bounded number at a time, counts equal ones, and sends the sorted numbers as a few packed arrays to where the pairs are
+added up.
 
 Members of large items are hashed into blocks.  A (block, block, item shard) tile holds two blocks of members for a
 bounded set of items, whatever the size of any one item, and is reduced inside the task by counting the bits that
@@ -12,10 +13,12 @@ from __future__ import annotations
 
 import sys
 import zlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +62,8 @@ def _tiling(votes: DataFrame, by: list[str], block: int, items_per_tile: int) ->
 
 def pair_tables(votes: DataFrame, extra: str | None = None, min_shared: float = 1, block: int = BLOCK,
                 items_per_tile: int = ITEMS_PER_TILE, sized_by: DataFrame | None = None, most: int | None = None,
-                listed: int = LISTED, pairs_per_task: int = PAIRS_PER_TASK, tally: bool = False) -> DataFrame:
+                listed: int = LISTED, pairs_per_task: int = PAIRS_PER_TASK, tally: bool = False,
+                prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """2x2 counts ``a, b, n11, n10, n01, n00`` of every pair of annotators sharing ``min_shared`` items.
 
     With ``tally`` the pairs are not named: ``n11, n10, n01, n00, c`` says how many have these counts, and pairs with
@@ -67,27 +71,34 @@ def pair_tables(votes: DataFrame, extra: str | None = None, min_shared: float =
 
     ``votes`` has one row per (item, annotator) with ``vote`` 0/1.  ``extra`` names a column that
     further splits the pairs (for instance a study number).  ``sized_by`` is a frame with at least the
-    same items and annotators that is cheaper to measure; ``most`` says that no item has more votes.
+    same items and annotators that is cheaper to measure (with a column ``n``: of that many rows each, and annotators may
+    be absent if there is an ``extra``); ``most`` says that no item has more votes.  ``prepare`` makes the votes out of
+    the rows in ``votes``, item by item; then these are measured, and the rows of an item meet before they are prepared.
 
     Pairs of items with up to ``listed`` votes are listed inside tasks, ``pairs_per_task`` at a time; larger items (with
     ``extra``: groups that hold one, or more pairs than a task) go through tiles.
     """
     by = [extra] if extra else []
-    votes = votes.where(F.col("vote").isNotNull()).select(*by, "item", "annotator", "vote")
-    if sized_by is None:
-        votes = cut_lineage(votes)  # measured, then read
+    cast_votes = lambda rows: rows.where(F.col("vote").isNotNull()).select(*by, "item", "annotator", "vote")
+    if prepare is None:
+        votes = cast_votes(votes)
+        if sized_by is None:
+            votes = cut_lineage(votes)  # measured, then read
     sizes = votes if sized_by is None else sized_by
-    n = F.count(F.lit(1)) if most is None else F.least(F.count(F.lit(1)), F.lit(most))
-    items = sizes.groupBy(*by, "item").agg(n.alias("n"))
+    rows = F.sum("n") if "n" in sizes.columns else F.count(F.lit(1))
+    n = rows if most is None else F.least(rows, F.lit(most))
+    items = sizes.groupBy(*by, "item").agg(n.alias("n"), rows.alias("rows"))
     work = F.col("n") * (F.col("n") + 1) / 2  # votes and pairs
-    units = items.groupBy(*by).agg(F.max("n").alias("n"), F.sum("n").alias("votes"), F.sum(work).alias("pairs")) if by \
+    units = items.groupBy(*by).agg(
+        F.max("n").alias("n"), F.sum("n").alias("votes"), F.sum(work).alias("pairs"), F.max("rows").alias("rows")) if by \
         else items.withColumns({"votes": F.col("n"), "pairs": work})
     large = F.col("n") > listed
     if by:
         large |= F.col("pairs") > pairs_per_task
     units = units.withColumn("large", large)
-    n_large, total, cast = units.agg(
-        F.count_if("large"), *[F.sum(F.when(~F.col("large"), F.col(c))) for c in ("pairs", "votes")]).first()
+    n_large, total, cast, top = units.agg(
+        F.count_if("large"), *[F.sum(F.when(~F.col("large"), F.col(c))) for c in ("pairs", "votes")],
+        F.max(F.when(~F.col("large"), F.col("rows")))).first()
     bundles = max(1, -(-int(total or 0) // pairs_per_task), -(-int(cast or 0) // VOTES_PER_TASK))
     unit = by or ["item"]
     people, small, enough = sizes, votes, min_shared
@@ -97,12 +108,19 @@ def pair_tables(votes: DataFrame, extra: str | None = None, min_shared: float =
         small, votes = votes.join(names, own, "left_anti"), votes.join(names, own, "left_semi")
         sizes = sizes.join(names, own, "left_semi")
         enough = min_shared if by else 1  # pairs of small and large items are added up below
-    small = small.withColumn("bundle", F.pmod(F.xxhash64(*unit), F.lit(bundles)).cast("int"))
+    if prepare is not None:
+        if (top or 0) <= VOTES_PER_TASK:
+            small = small.repartition(bundles, "item")
+        small = cast_votes(prepare(small))
+        if n_large:
+            votes = cast_votes(prepare(votes))
+    if n_large and "annotator" not in sizes.columns:
+        sizes = votes = cut_lineage(votes)
     whole = tally and (by or not n_large)  # no pair has counts elsewhere
     if by:
-        parts = _grouped_pairs(small.repartition(bundles, "bundle"), extra, enough, whole)
+        parts = _grouped_pairs(small, extra, bundles, enough, whole)
     else:
-        parts = _listed_pairs(small, people, bundles, enough, whole)
+        parts = _listed_pairs(small, people, bundles, enough, whole, pairs_per_task)
     if whole:
         if n_large:
             tiles = _tiled_pairs(votes, by, block, items_per_tile, sizes, enough)
@@ -167,26 +185,43 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).ravel()
 
 
-def _listed_pairs(votes: DataFrame, people: DataFrame, bundles: int, min_shared: float, tally: bool) -> DataFrame:
-    """Pair tables of bundles of items.
+def _listed_pairs(votes: DataFrame, people: DataFrame, bundles: int, min_shared: float, tally: bool,
+                  pairs_per_task: int) -> DataFrame:
+    """Pair tables of items that are one row each.
 
-    Members are numbered in their order.  A bundle sends one row to each place where pairs are added up: the steps
-    between its sorted numbers of pairs, and how often they occur.  A place gets about as many pairs as a bundle.
-    Pairs of one member with neighbours in that order go to one place, so the steps are small.
+    Members are numbered in their order.  About ``pairs_per_task`` pairs at a time, a task sends one row to each place
+    where pairs are added up: the steps between their sorted numbers, and how often they occur.  Pairs of one member with
+    neighbours in that order go to one place, so the steps are small.
     """
     member = votes.schema["annotator"].dataType.simpleString()
     people = people.select("annotator", F.col("annotator").isNull().alias("__none")).distinct()
     codes = cut_lineage(row_numbers(people, [], ["__none", "annotator"], "code").select(
         F.col("annotator").alias("__name"), (F.col("code") - 1).alias("code")))
     n = codes.count()
-    rows = votes.join(codes, F.col("annotator").eqNullSafe(F.col("__name"))).select("bundle", "item", "code", "vote")
+    rows = votes.join(codes, F.col("annotator").eqNullSafe(F.col("__name")))
+    # Nothing is sent here if the rows of an item are together already.
+    lists = rows.groupBy("item").agg(F.collect_list(F.col("code") * 2 + F.col("vote").cast("long")).alias("cast")).select("cast")
     mix = np.uint64(0x9E3779B97F4A7C15)
     width = max(1, -(-n // SLICES))
     kind = np.uint16 if bundles <= 1 << 16 else np.int64  # short numbers are sorted by their digits
 
-    def numbers(pdf: pd.DataFrame) -> pd.DataFrame:
-        number, count = _listed(
-            pd.factorize(pdf["item"])[0], pdf["code"].to_numpy(), pdf["vote"].to_numpy().astype(np.int64), n)
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, load = [], 0
+        for batch in batches:
+            lengths = np.diff(batch.column(0).offsets.to_numpy())
+            work = np.cumsum(lengths.astype(np.int64) * (lengths + 1) // 2)
+            ends = np.append(np.flatnonzero(np.diff(work // -(-pairs_per_task // 4))) + 1, len(lengths))
+            for start, end in zip(np.append(0, ends[:-1]), ends):
+                held.append((lengths[start:end], batch.column(0).slice(start, end - start).flatten().to_numpy()))
+                load += int(work[end - 1] - (work[start - 1] if start else 0)) if end > start else 0
+                if load > 1.25 * pairs_per_task:
+                    yield packed(*map(np.concatenate, zip(*held)))
+                    held, load = [], 0
+        if held:
+            yield packed(*map(np.concatenate, zip(*held)))
+
+    def packed(lengths: np.ndarray, cast: np.ndarray) -> pa.RecordBatch:
+        number, count = _listed(np.repeat(np.arange(len(lengths)), lengths), cast >> 1, cast & 1, n)
         a, b = np.divmod(number >> 2, n)
         slice_ = (a * SLICES + b // width).astype(np.uint64)
         place = ((slice_ * mix >> np.uint64(32)) % np.uint64(bundles)).astype(kind)
@@ -194,9 +229,10 @@ def _listed_pairs(votes: DataFrame, people: DataFrame, bundles: int, min_shared:
         number, count = number[order], count[order]
         places, starts = np.unique(place[order], return_index=True)
         cuts = starts[1:]
-        return pd.DataFrame({
-            "place": places.astype(np.int64), "steps": [_pack(np.diff(x, prepend=0)) for x in np.split(number, cuts)][:len(places)],
-            "counts": [_pack(x) for x in np.split(count, cuts)][:len(places)]})
+        return pa.RecordBatch.from_arrays([
+            pa.array(places.astype(np.int64)),
+            pa.array([_pack(np.diff(x, prepend=0)) for x in np.split(number, cuts)][:len(places)], pa.binary()),
+            pa.array([_pack(x) for x in np.split(count, cuts)][:len(places)], pa.binary())], names=["place", "steps", "counts"])
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         number = np.concatenate([_unpack(x).cumsum() for x in pdf["steps"]])
@@ -207,7 +243,7 @@ def _listed_pairs(votes: DataFrame, people: DataFrame, bundles: int, min_shared:
             return _tallied(cells)
         return pd.DataFrame({"__a": pair // n, "__b": pair % n, **dict(zip(COUNTS, cells.T))})
 
-    sent = rows.repartition(bundles, "bundle").groupBy("bundle").applyInPandas(numbers, "place long, steps binary, counts binary")
+    sent = lists.mapInArrow(numbers, "place long, steps binary, counts binary")
     kinds = ", ".join(f"{c} long" for c in COUNTS)
     summed = sent.repartition(bundles, "place").groupBy("place").applyInPandas(
         add_up, f"{kinds}, c long" if tally else f"__a long, __b long, {kinds}")
@@ -218,11 +254,16 @@ def _listed_pairs(votes: DataFrame, people: DataFrame, bundles: int, min_shared:
     return summed.select("a", "b", *COUNTS)
 
 
-def _grouped_pairs(votes: DataFrame, extra: str, min_shared: float, tally: bool) -> DataFrame:
-    """Pair tables of whole groups, each with the pairs of one task at most; nothing leaves a task but the result."""
+def _grouped_pairs(votes: DataFrame, extra: str, bundles: int, min_shared: float, tally: bool) -> DataFrame:
+    """Pair tables of whole groups, each with the pairs of one task at most; nothing leaves a task but the result.
+
+    An item is sent as one row with the lists of its members and of their votes.
+    """
     member, kind = (votes.schema[c].dataType.simpleString() for c in ("annotator", extra))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, cast = np.concatenate(pdf["names"].to_list()), np.concatenate(pdf["cast"].to_list())
+        pdf = pdf.take(np.repeat(np.arange(len(pdf)), pdf["names"].map(len))).assign(annotator=names, vote=cast)
         # Numbers of members within groups: a pair of them names its group.
         names, group = pdf["annotator"].to_numpy(), pd.factorize(pdf[extra])[0]
         ranked, rank = np.unique(names, return_inverse=True)
@@ -237,7 +278,11 @@ def _grouped_pairs(votes: DataFrame, extra: str, min_shared: float, tally: bool)
         return pd.DataFrame({extra: pdf[extra].to_numpy()[a], "a": names[a], "b": names[b], **dict(zip(COUNTS, cells.T))})
 
     kinds = ", ".join(f"{c} long" for c in COUNTS)
-    return votes.groupBy("bundle").applyInPandas(
+    lists = votes.groupBy(extra, "item").agg(
+        F.collect_list(F.struct("annotator", F.col("vote").cast("tinyint").alias("vote"))).alias("votes")).select(
+            extra, "item", F.col("votes.annotator").alias("names"), F.col("votes.vote").alias("cast"),
+            F.pmod(F.xxhash64(extra), F.lit(bundles)).cast("int").alias("bundle"))
+    return lists.repartition(bundles, "bundle").groupBy("bundle").applyInPandas(
         count, f"{kinds}, c long" if tally else f"{extra} {kind}, a {member}, b {member}, {kinds}")
 
 
