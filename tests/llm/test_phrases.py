@@ -4,6 +4,7 @@ import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark import cloudpickle
@@ -110,6 +111,21 @@ def test_codes_of_long_texts_are_those_of_short_steps():
     assert Codes("de", 0)[b"one"] != codes[b"one"] and codes[BREAK] == 0
 
 
+def test_rows_of_codes_are_small_and_read_in_parts(monkeypatch):
+    """10,000 rows, as many as an Arrow batch has, hold about 10 MB of codes; parts of a batch end with a break."""
+    words = pa.RecordBatch.from_pydict({"lang": ["en"], "text": ["four words a piece. " * 100_000]})
+    rows = list(phrases.encode_task(0)(iter([words])))
+    sizes = [len(x) for batch in rows for x in batch.column("codes").to_pylist()]
+    assert max(sizes) <= 2_048 and sum(sizes) == 8 * 500_001
+    monkeypatch.setattr(phrases, "HELD", 1_000)
+    whole = np.concatenate([np.frombuffer(x, np.uint64) for batch in rows for x in batch.column("codes").to_pylist()])
+    parts = list(phrases.held_codes(batch.slice(0, 3_000) for batch in rows))
+    assert max(map(len, parts)) <= 1_010 and all(part[-1] == 0 for part in parts)
+    skipped = list(phrases.held_codes(batch.slice(2) for batch in rows))
+    first = sum(len(x) // 8 for x in rows[0].column("codes").to_pylist()[:2])
+    assert len(rows) > 1 or np.array_equal(np.concatenate(skipped), whole[first:])
+
+
 def test_two_words_of_one_code_lead_to_another_seed(spark, monkeypatch):
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = [(k, "same words again and again", "en") for k in range(12)]

@@ -44,7 +44,7 @@ BUCKET = 15  # bits of a place within a bucket of Spark's bitmap aggregate
 SHARES = (1 / 8, 1.0)  # of a language's words that are expanded while no score closes any
 HELD = 1 << 18  # codes that a task counts at a time
 TALLY = 1 << 19  # words whose counts a task adds up before it passes them on
-ROW = 1 << 15  # codes in a stored row
+ROW = 1 << 7  # codes in a stored row: Arrow batches have 10,000 rows, so about 10 MB
 KEPT_WORDS = 100_000  # spellings that a task holds
 ENCODED = "lang string, codes binary, n long"
 SPELLED = "key long, phrase binary, lang string, word string"
@@ -262,17 +262,13 @@ def count_task(tables, frequent=None, size: int | None = None):
 
 
 def held_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The codes of many rows together."""
-    held, some = 0, []
+    """The codes of a batch, some rows at a time: a row ends with a break, so its codes may be cut at any."""
     for batch in batches:
-        for data in batch.column("codes"):
-            some.append(np.frombuffer(data.as_buffer(), np.uint64))
-            held += len(some[-1])
-            if held >= HELD:
-                yield np.concatenate(some)
-                held, some = 0, []
-    if some:
-        yield np.concatenate(some)
+        rows = batch.column("codes")
+        if len(rows):
+            at = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset:rows.offset + len(rows) + 1]
+            codes = np.frombuffer(rows.buffers()[2], np.uint8)[at[0]:at[-1]].view(np.uint64)
+            yield from at_breaks(codes, HELD)
 
 
 def combined(counts: DataFrame, least: int) -> DataFrame:
