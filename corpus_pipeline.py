@@ -15,7 +15,7 @@ from turnwise.llm.language import document_rows, fit_languages, identify_languag
 from turnwise.llm.packing import pack
 from turnwise.llm.quality import fit_quality, score_quality
 from turnwise.llm.similar import similar_groups
-from turnwise.session import cut_lineage
+from turnwise.session import cut_lineage, cut_texts
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -64,7 +64,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     keyed = docs.select(row_key(docs).alias("key"), "text")
-    found = find_contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id="key")
+    found = cut_texts(find_contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id="key"))
     return picked(docs, found, "left_anti")
 
 

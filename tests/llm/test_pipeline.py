@@ -2,8 +2,11 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from turnwise.llm import similar
+from turnwise.session import BATCH_CONF, small_batches
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,3 +78,46 @@ def test_empty_tables(spark, tables, tmp_path):
     some = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in pipeline.STAGES[1:]:
         assert stage(spark, some, str(tmp_path)).count() > 0
+
+
+def test_texts_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    """By number of rows, the texts of a partition would come at once; the session's setting is as before."""
+    rows = spark.range(0, 6_000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 200), x -> concat(id, '_', x)), ' ')").alias("text"))
+    rows.write.parquet(f"{tmp_path}/docs")
+    make = similar.set_task
+
+    def checked(words):
+        run = make(words)
+
+        def task(batches):
+            def small():
+                for batch in batches:
+                    assert batch["text"].str.len().sum() < 5 << 20
+                    yield batch
+            return run(small())
+        return task
+
+    monkeypatch.setattr(similar, "set_task", checked)
+    assert similar.similar_groups(spark.read.parquet(f"{tmp_path}/docs")).count() == 6_000
+    assert spark.conf.get(BATCH_CONF, None) is None
+
+
+def test_session_limit_of_batches_stays(spark):
+    spark.conf.set(BATCH_CONF, "1m")
+    try:
+        with small_batches(spark):
+            assert spark.conf.get(BATCH_CONF) == "1m"
+        assert spark.conf.get(BATCH_CONF) == "1m"
+    finally:
+        spark.conf.unset(BATCH_CONF)
+
+
+def test_search_for_items_reads_no_table_from_python(spark, tables):
+    """Such a table starts Python workers of another kind, which stay beside those of the tasks."""
+    folder, _, _ = tables
+    docs, bench = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "benchmark"))
+    for items in (bench, bench.limit(0)):
+        found = pipeline.find_contamination(docs, items)
+        assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+    assert found.collect() == []

@@ -282,10 +282,12 @@ def find_contamination(
     wanted = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     count, size = wanted.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     blocks = max(-(-count // items_at_once), -(-(size or 0) // ITEM_BYTES)) if count else 0
-    found = docs.sparkSession.createDataFrame([], schema)
+    # Without items no row is read.  An empty table from Python would start further workers on every executor.
+    found = rows.where(F.lit(False)).mapInPandas(match_task([], radius, similarity), schema) if not blocks else None
     for block in range(blocks):
         some = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        found = found.unionByName(rows.mapInPandas(match_task([tuple(r) for r in some], radius, similarity), schema))
+        part = rows.mapInPandas(match_task([tuple(r) for r in some], radius, similarity), schema)
+        found = part if found is None else found.unionByName(part)
     return found.select(
         F.col("id").alias(id), F.col("item").alias(item), "similarity", "start", "words")
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.base import full, query, table
 from turnwise.llm.urls import url_host_path
-from turnwise.session import cut_lineage
+from turnwise.session import cut_texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -144,7 +144,7 @@ def identify_languages(rows: DataFrame, model: TrigramModel, *, accept: float =
         return narrow.select(
             "id", F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), F.lit("und").alias("text_lang"), "host",
             "declared", F.lit(False).alias("accepted"))
-    read = cut_lineage(narrow.mapInPandas(
+    read = cut_texts(narrow.mapInPandas(
         text_task(model), f"id {key}, declared string, suffix string, host string, n long, likely array<double>"))
     every = read.withColumn("shares", F.when(F.col("n") > 0, softmax(F.col("likely")))).withColumn(
         "domain", registered_domain(F.col("host")))

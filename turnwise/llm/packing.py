@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnwise.llm.base import kept, query, table
-from turnwise.session import cut_lineage
+from turnwise.session import cut_texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -118,7 +118,7 @@ def token_pieces(
 ) -> DataFrame:
     """The pieces of all documents, stored: ids (little-endian unsigned 32 bit) and their place in the document."""
     key = docs.schema[id].dataType.simpleString()
-    return cut_lineage(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(
+    return cut_texts(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(
         piece_task(tokenizer, capacity, end),
         f"id {key}, piece int, start long, length long, ids binary, ids_crc32 long, task int, rank long"))
 

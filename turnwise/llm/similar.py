@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.base import partitions
 from turnwise.llm.simhash import Forest, components, links, majority_bits, shingle_hashes
-from turnwise.session import cut_lineage
+from turnwise.session import cut_lineage, cut_texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -120,7 +120,7 @@ def verify_task(similarity: tuple[int, int]):
 
 def verified(pairs: DataFrame, bodies: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The rows of ``pairs`` (``u``, ``v``) whose sets are similar, stored."""
-    return cut_lineage(pairs.join(bodies.select(F.col("set").alias("u"), F.col("body").alias("left")), "u").join(
+    return cut_texts(pairs.join(bodies.select(F.col("set").alias("u"), F.col("body").alias("left")), "u").join(
         bodies.select(F.col("set").alias("v"), F.col("body").alias("right")), "v").select(
             "u", "v", "left", "right").mapInPandas(verify_task(similarity), "u long, v long"))
 
@@ -287,7 +287,7 @@ def similar_groups(
     """
     key = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    sets = cut_lineage(rows.mapInPandas(
+    sets = cut_texts(rows.mapInPandas(
         set_task(words), f"id {key}, set long, size long, fingerprint long, buckets array<long>, sketch binary"))
     places = sets.select("set", "size", F.explode("buckets").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a < b").select("bucket")
@@ -297,7 +297,7 @@ def similar_groups(
     named = members.select("set").union(copies.select("u")).union(copies.select("v")).distinct()
     chosen = least.join(named, "set", "left_semi")
     texts = rows.join(chosen, rows["id"].eqNullSafe(chosen["least"])).select("set", "text")
-    bodies = cut_lineage(texts.mapInPandas(body_task(words), "set long, body binary").dropDuplicates(["set"]))
+    bodies = cut_texts(texts.mapInPandas(body_task(words), "set long, body binary").dropDuplicates(["set"]))
 
     few, many = similarity
     fits = (F.col("size") * many >= F.col("other_size") * few) & (F.col("other_size") * many >= F.col("size") * few)
@@ -313,9 +313,9 @@ def similar_groups(
         found.append(verified(pairs, bodies, similarity))
     members = cut_lineage(with_components(members.select("bucket", "set", "size"), joined(found)))
     sketches = sets.join(members.select("set").distinct(), "set", "left_semi").select("set", "buckets", "sketch").dropDuplicates(["set"])
-    near = cut_lineage(tiled(members.join(sketches, "set"), ROWS).mapInPandas(sketch_task(similarity), "bucket long, set long").distinct())
+    near = cut_texts(tiled(members.join(sketches, "set"), ROWS).mapInPandas(sketch_task(similarity), "bucket long, set long").distinct())
     whole = near.join(bodies, "set").withColumn("size", (F.octet_length("body") / 8).cast("long"))
-    found.append(cut_lineage(tiled(whole, SETS).mapInPandas(tile_task(similarity), "u long, v long")))
+    found.append(cut_texts(tiled(whole, SETS).mapInPandas(tile_task(similarity), "u long, v long")))
 
     classes = least.join(joined(found).withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     firsts = classes.groupBy("root").agg(F.min("least").alias("first"))

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,27 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+BATCH_BYTES = 4 << 20  # of rows that go to a Python worker at a time
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """What is run inside sends rows to Python in Arrow batches of about ``size`` bytes at most, one row at least.
+
+    By number of rows alone a batch of texts takes tens of MB, several times over: in the JVM, in
+    Python and as its objects.  A limit that the session has already stays.
+    """
+    if spark.conf.get(BATCH_CONF, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_CONF, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_CONF)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table into the shared folder and go on from there.
 
@@ -59,3 +82,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder = new_folder(df.sparkSession, "stage")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def cut_texts(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` where Python tasks take wide rows, such as whole texts: in small batches."""
+    with small_batches(df.sparkSession):
+        return cut_lineage(df)
