@@ -1,4 +1,6 @@
+import heapq
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -323,3 +325,58 @@ def test_state_grows_by_partitions(spark, tmp_path):
         last[r["item"], r["annotator"]] = max(r["ts"], last.get((r["item"], r["annotator"]), -1))
     got = spark.read.parquet(f"{tmp_path}/out").groupBy("item", "annotator").agg({"ts": "max"}).collect()
     assert {(r[0], r[1]): r[2] for r in got} == last
+
+
+def _stops(batches, threshold=0.8, max_votes=15):
+    """The plain rule, vote by vote: rows are (item, annotator, vote, micros), without a time they are last."""
+    tally, stopped = {}, []
+    for batch in batches:
+        for item in {r[0] for r in batch}:
+            yes, n, closed = tally.get(item, (0, 0, False))
+            mine = [(t is None, t or 0, a, v) for i, a, v, t in batch if i == item and v is not None]
+            for *_, vote in heapq.nsmallest(max_votes, mine):
+                if not closed:
+                    yes, n = yes + vote, n + 1
+                    closed = sv._settled(yes, n, threshold, max_votes)
+                    stopped += [(item, yes, n)] if closed else []
+            tally[item] = yes, n, closed
+    return sorted(stopped, key=str)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "date"])
+def test_stops_of_many_items_share_rows_of_state(spark, tmp_path, kind):
+    """A row of state and a call of Python is for a bundle of items, however many there are; equal times go by name."""
+    draw = random.Random(5)
+    batches = [[(draw.choice([None, *range(300)]), f"u{draw.randrange(40)}", draw.choice([None, 0, 0, 1, 1, 1]),
+                 None if draw.random() < 0.02 else (1_700_000_000 + 86_400 * (3 * k + draw.randrange(3))) * 1_000_000)
+                for _ in range(3_000)] for k in range(3)]
+    item = {"bigint": F.col("item") + (1 << 60), "string": F.concat(F.lit("i \""), "item"), "date": F.expr("date_add(DATE'0012-03-04', CAST(item AS INT))")}[kind]
+    back = {}
+    for batch in batches:
+        df = spark.createDataFrame(batch, "item long, annotator string, vote int, us long").withColumn("key", item)
+        back |= {r["key"]: r["item"] for r in df.select("key", "item").distinct().collect()}
+        df.select(F.col("key").alias("item"), "annotator", "vote", F.timestamp_micros("us").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        votes = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+        query = sv.stopping_rounds(votes, bundles=8).writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+            "checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 9
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.schema["item"].dataType.simpleString() == kind
+    assert sorted(((back[r["item"]], r["yes"], r["n"]) for r in out.collect()), key=str) == _stops(batches)
+
+
+def test_votes_of_a_bundle_are_held_in_parts(monkeypatch):
+    """However many votes an item has, also at one time, no more than its earliest are held; the decision stays."""
+    draw = random.Random(6)
+    monkeypatch.setattr(sv, "ROWS_AT_ONCE", 50)
+    votes = [("x" if draw.random() < 0.9 else f"i{draw.randrange(3)}", f"u{draw.randrange(900)}", draw.randrange(2), draw.choice([7, 7, 8]) * 1_000) for _ in range(5_000)]
+    chunks = (pd.DataFrame(votes[k:k + 100], columns=["item", "annotator", "vote", "ts_us"]) for k in range(0, len(votes), 100))
+    most, earliest = [], sv._earliest
+    monkeypatch.setattr(sv, "_earliest", lambda rows, n: most.append(len(rows["item"])) or earliest(rows, n))
+    got = sv._gathered(chunks, 15, False)
+    assert max(most) <= 300
+    for item in ("x", "i0", "i1", "i2"):
+        mine = heapq.nsmallest(15, [(t, a, v) for i, a, v, t in votes if i == item])
+        assert [x[1:] for x in zip(got["item"], got["ts_us"], got["annotator"], got["vote"]) if x[0] == item] == mine
+    assert set(got["seen"]) == {8}

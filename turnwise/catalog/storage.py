@@ -194,12 +194,12 @@ def cut_corpus(spark, sf_dir):
 
 # -- streams ------------------------------------------------------------------------------------
 
-def _drain(spark, sf_dir, build, label: str, keys: list[str] | None = None):
+def _drain(spark, sf_dir, build, label: str, keys: list[str] | None = None, each: int = sv.ROWS_PER_STATE):
     """Line items as votes arrive in three parts by time; after each the stream goes on from its checkpoint.
 
     All tasks write a part and the stream takes all that is new, so its batches follow each other in time.  The result
     is written to the shared folder and read.  With ``keys`` the stream is in update mode, and the newest row of each
-    key counts.
+    key counts.  A partition of state is for ``each`` of the rows.
     """
     folder = new_folder(spark, label)
     line = table(spark, sf_dir, "lineitem").select(
@@ -219,7 +219,7 @@ def _drain(spark, sf_dir, build, label: str, keys: list[str] | None = None):
             # Batches are numbered through, also after a restart.
             writer = stream.writeStream.foreachBatch(
                 lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{folder}/out")).outputMode("update")
-        with sv.state_partitions(spark, rows):
+        with sv.state_partitions(spark, rows, each):
             writer.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     if keys is None:
         return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -246,9 +246,12 @@ SELECT item, min(n) AS n, arg_min(yes, n) AS yes FROM ok WHERE n >= 15 OR (n >=
 
 @query("stream_stops", STOP_STREAM)
 def stream_stops(spark, sf_dir):
+    bundles = sv.bundles_for(spark, table(spark, sf_dir, "lineitem").count())
+
     def stops(votes):
-        return sv.stopping_rounds(votes.withColumn("annotator", F.concat_ws("-", "annotator", "session", "line")), forget_after="9000 days")
-    return _drain(spark, sf_dir, stops, "stops").select("item", "n", "yes")
+        return sv.stopping_rounds(votes.withColumn("annotator", F.concat_ws("-", "annotator", "session", "line")),
+                                  forget_after="9000 days", bundles=bundles)
+    return _drain(spark, sf_dir, stops, "stops", each=sv.ROWS_PER_BUNDLES).select("item", "n", "yes")
 
 
 @query("stream_first_submissions", "SELECT DISTINCT l_partkey AS item, l_suppkey AS annotator FROM lineitem")
