@@ -263,14 +263,18 @@ def node_pairs(places: DataFrame, depths: list[int], radius: int, node_rows: int
     live = heavy.select("trie", F.col("node").alias("top"), F.col("node").alias("left"), F.col("node").alias("right"))
     for bits in range(node_bits, BITS + node_bits, node_bits):
         sizes = cut_lineage(rows.withColumn("node", node(bits)).withColumn("parent", node(bits - node_bits)).groupBy(
-            "trie", "top", "parent", "node").count())
+            "trie", "top", "parent", "node").agg(F.count(F.lit(1)).alias("count"), F.bit_and("path").alias("ones"), F.bit_or("path").alias("some")))
 
         def below(side: str) -> DataFrame:
-            return sizes.select("trie", "top", F.col("parent").alias(side), F.col("node").alias(f"{side}_part"), F.col("count").alias(f"{side}_rows"))
+            return sizes.select("trie", "top", F.col("parent").alias(side), F.col("node").alias(f"{side}_part"),
+                                F.col("count").alias(f"{side}_rows"), F.col("ones").alias(f"{side}_ones"), F.col("some").alias(f"{side}_some"))
 
         pairs = cut_lineage(live.join(below("left"), ["trie", "top", "left"]).join(below("right"), ["trie", "top", "right"]).where(
             "(left <> right OR left_part <= right_part) AND (left_part <> right_part OR left_rows > 1)").where(
-            F.bit_count(F.col("left_part").bitwiseXOR(F.col("right_part"))) <= radius))
+            F.bit_count(F.col("left_part").bitwiseXOR(F.col("right_part"))) <= radius).where(
+            # Bits that all rows of a part have, or none has, differ for each pair of rows.
+            F.expr("bit_count((left_ones & ~right_some) | (right_ones & ~left_some))") <= radius).drop(
+            "left_ones", "left_some", "right_ones", "right_some"))
         # At the last bit a part is one fingerprint.
         small = F.lit(True) if bits >= BITS else (F.col("left_rows") <= node_rows) & (F.col("right_rows") <= node_rows)
         done = pairs.where(small).withColumn("pair", F.xxhash64("trie", "top", F.lit(bits), "left_part", "right_part"))
